@@ -71,3 +71,70 @@ def _reports() -> None:
         lambda t: R.recent_successes(t.offers, ORDERS_AS_OF))
     register("sweep_summary", O.SWEEP_SUMMARY, "offers")(
         lambda t: R.sweep_summary(t.offers, ORDERS_AS_OF))
+
+
+# ---------------------------------------------------------------------------
+# §2.2 lookups
+# ---------------------------------------------------------------------------
+def _lookups() -> None:
+    from pyspark.sql import functions as F
+
+    from offerlake.operators import lookups as L
+
+    register("offer_by_id", O.OFFER_BY_ID, "offers", "offer_changes")(
+        lambda t: L.offers_by_ids(t.offers, t.offer_changes))
+    register("offer_by_payment_hash", O.OFFER_BY_PAYMENT_HASH, "offers", "invoice_updates")(
+        lambda t: L.offer_by_payment_hash(
+            t.offers, t.invoice_updates.where(F.col("raw_state").isin("ACCEPTED", "hold_invoice_accepted"))))
+    register("offers_by_status", O.OFFERS_BY_STATUS, "offers")(
+        lambda t: L.offers_by_status(t.offers).select(*O.S.OFFER_COLUMNS))
+    register("my_active_offers", O.MY_ACTIVE_OFFERS, "offers")(
+        lambda t: L.my_active_offers(t.offers).select("user_pubkey", *O.S.OFFER_COLUMNS))
+    register("my_active_offer", O.MY_ACTIVE_OFFER, "offers")(lambda t: L.my_active_offer(t.offers))
+    register("my_finished_offers", O.MY_FINISHED_OFFERS, "offers")(
+        lambda t: L.my_finished_offers(t.offers, ORDERS_AS_OF))
+    register("offers_last_hours", O.OFFERS_LAST_HOURS, "offers")(
+        lambda t: L.offers_last_hours(t.offers, ORDERS_AS_OF, hours=168))
+    register("recent_offers", O.RECENT_OFFERS, "offers")(lambda t: L.recent_offers(t.offers))
+    register("audit_by_offer", O.AUDIT_BY_OFFER, "audit")(
+        lambda t: L.audit_by_offer(t.audit).select(*O.S.AUDIT_COLUMNS))
+    register("audit_by_id", O.AUDIT_BY_ID, "audit", "audit_changes")(
+        lambda t: L.audit_by_ids(t.audit, t.audit_changes))
+    register("offer_public_view", O.OFFER_PUBLIC_VIEW, "offers")(lambda t: L.offer_public_view(t.offers))
+    register("offer_public_view_pubkeys", O.OFFER_PUBLIC_VIEW_PUBKEYS, "offers")(
+        lambda t: L.offer_public_view(t.offers, with_pubkeys=True))
+
+
+# ---------------------------------------------------------------------------
+# §2.9 audit enrichment
+# ---------------------------------------------------------------------------
+def _audit() -> None:
+    from offerlake.operators import audit as A
+
+    register("enrich_audit", O.ENRICH_AUDIT, "audit")(lambda t: A.enrich_audit(t.log_records))
+    register("infer_level", O.INFER_LEVEL, "log_records")(
+        lambda t: t.log_records.select("record_id", A.infer_level().alias("level")))
+    register("infer_action", O.INFER_ACTION, "log_records")(
+        lambda t: t.log_records.select("record_id", A.infer_action().alias("action")))
+    register("infer_offer_id", O.INFER_OFFER_ID, "log_records")(
+        lambda t: t.log_records.select("record_id", A.infer_offer_id().alias("offer_id")))
+    register("normalize_offer_id", O.NORMALIZE_OFFER_ID, "log_records")(
+        lambda t: t.log_records.select("record_id", A.normalize_offer_id("offer_id").alias("offer_id")))
+    register("cleanse_audit", O.CLEANSE_AUDIT, "log_records")(
+        lambda t: A.cleanse_audit(t.log_records).select("record_id", "offer_id"))
+
+
+# ---------------------------------------------------------------------------
+# §2.8 order feed and messaging
+# ---------------------------------------------------------------------------
+def _feed() -> None:
+    from offerlake.operators import feed as FD
+
+    register("feed_status", O.FEED_STATUS, "offers")(lambda t: FD.feed_status_of(t.offers))
+    register("order_events", O.ORDER_EVENTS, "offers")(lambda t: FD.order_events(t.offers, as_json=True))
+    register("order_expiration", O.ORDER_EXPIRATION, "offers")(lambda t: FD.order_expiration(t.offers))
+    register("rebroadcast_orders", O.REBROADCAST_ORDERS, "offers")(
+        lambda t: FD.rebroadcast_orders(t.offers, ORDERS_AS_OF, hours=168, as_json=True))
+    register("status_fanout", O.STATUS_FANOUT, "offers")(lambda t: FD.status_fanout(t.offers))
+    register("validate_requests", O.VALIDATE_REQUESTS, "requests")(
+        lambda t: FD.validate_requests(t.requests))

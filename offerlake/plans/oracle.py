@@ -172,4 +172,175 @@ FROM (
 GROUP BY 1, 2
 """
 
-AUDIT_SQL = "SELECT * FROM log_records"  # replaced by the audit section below
+
+# ---------------------------------------------------------------------------
+# §2.2 lookups
+# ---------------------------------------------------------------------------
+LISTING = ", ".join(S.LISTING_COLUMNS)
+OFFER_COLS = ", ".join(S.OFFER_COLUMNS)
+AUDIT_COLS = ", ".join(S.AUDIT_COLUMNS)
+ACTIVE = ", ".join(f"'{s}'" for s in S.ACTIVE_STATUSES)
+PUBLIC = PUBLIC_VIEW.format(hash="hold_invoice_payment_hash")
+PUBLIC_PK = PUBLIC + ", maker_pubkey, taker_pubkey"
+
+OFFER_BY_ID = f"""SELECT {LISTING} FROM offers
+WHERE id IN (SELECT offer_id FROM offer_changes WHERE offer_id IS NOT NULL)"""
+
+OFFER_BY_PAYMENT_HASH = f"""SELECT {OFFER_COLS} FROM offers WHERE hold_invoice_payment_hash IN
+(SELECT payment_hash FROM invoice_updates WHERE raw_state IN ('ACCEPTED', 'hold_invoice_accepted'))"""
+
+OFFERS_BY_STATUS = f"""SELECT {OFFER_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY status ORDER BY created_at DESC, id) AS rn FROM offers
+) WHERE rn <= 50"""
+
+_ROLES = f"""(SELECT maker_pubkey AS user_pubkey, * FROM offers WHERE status IN ({ACTIVE})
+  UNION ALL
+  SELECT taker_pubkey AS user_pubkey, * FROM offers
+  WHERE status IN ({ACTIVE}) AND taker_pubkey IS NOT NULL AND taker_pubkey <> maker_pubkey)"""
+
+MY_ACTIVE_OFFERS = f"SELECT user_pubkey, {OFFER_COLS} FROM {_ROLES} r"
+
+MY_ACTIVE_OFFER = f"""SELECT user_pubkey, {PUBLIC_PK} FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_pubkey ORDER BY created_at DESC, id) AS rn FROM {_ROLES} r
+) WHERE rn = 1"""
+
+MY_FINISHED_OFFERS = f"""SELECT user_pubkey, {PUBLIC_PK} FROM {_ROLES} r
+WHERE status NOT IN ('expired', 'cancelled')
+   OR (taker_paid_at IS NOT NULL AND (epoch_us({NOW}) - epoch_us(taker_paid_at)) // 3600000000 < 24)"""
+
+OFFERS_LAST_HOURS = f"SELECT {OFFER_COLS} FROM offers WHERE created_at >= {NOW} - INTERVAL 168 HOUR"
+
+RECENT_OFFERS = f"SELECT {LISTING} FROM offers ORDER BY coalesce(updated_at, created_at) DESC, id LIMIT 50"
+
+AUDIT_BY_OFFER = f"""SELECT {AUDIT_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY created_at DESC, id DESC) AS rn
+  FROM audit WHERE offer_id IS NOT NULL
+) WHERE rn <= 50"""
+
+AUDIT_BY_ID = f"""SELECT {AUDIT_COLS} FROM audit
+WHERE id IN (SELECT audit_id FROM audit_changes WHERE audit_id IS NOT NULL)"""
+
+OFFER_PUBLIC_VIEW = f"SELECT {PUBLIC} FROM offers"
+OFFER_PUBLIC_VIEW_PUBKEYS = f"SELECT {PUBLIC_PK} FROM offers"
+
+# ---------------------------------------------------------------------------
+# §2.9 audit enrichment
+# ---------------------------------------------------------------------------
+
+
+def _contains_any(words: list[str]) -> str:
+    return " OR ".join(f"contains(lower(message), '{w}')" for w in words)
+
+
+LEVEL_EXPR = (f"coalesce(level, CASE WHEN {_contains_any(S.SEVERE_WORDS)} THEN 'SEVERE' "
+              f"WHEN {_contains_any(S.WARNING_WORDS)} THEN 'WARNING' ELSE 'INFO' END)")
+ACTION_EXPR = ("CASE WHEN action IS NULL OR action = 'system.event' THEN CASE "
+               + " ".join(f"WHEN {_contains_any(w)} THEN '{a}'" for w, a in S.ACTION_RULES)
+               + " ELSE 'system.event' END ELSE action END")
+LOGGER_ID_EXPR = (f"coalesce(CASE WHEN trim(offer_id) <> '' AND regexp_matches(trim(offer_id), '{S.UUID_IN_TEXT}') "
+                  f"THEN trim(offer_id) END, nullif(regexp_extract(message, '{S.UUID_IN_TEXT}', 0), ''))")
+
+
+def _db_normalize(x: str) -> str:
+    return f"CASE WHEN trim({x}) <> '' AND regexp_matches(trim({x}), '{S.UUID_WHOLE}') THEN trim({x}) END"
+
+
+AUDIT_SQL = f"""SELECT CAST(record_id AS BIGINT) AS id, {_db_normalize(LOGGER_ID_EXPR)} AS offer_id,
+  {ACTION_EXPR} AS action, {LEVEL_EXPR} AS level, logger_name, message, error,
+  CAST(NULL AS VARCHAR) AS stack_trace, metadata, ts AS created_at FROM log_records"""
+
+ENRICH_AUDIT = f"SELECT {AUDIT_COLS} FROM audit"
+INFER_LEVEL = f"SELECT record_id, {LEVEL_EXPR} AS level FROM log_records"
+INFER_ACTION = f"SELECT record_id, {ACTION_EXPR} AS action FROM log_records"
+INFER_OFFER_ID = f"SELECT record_id, {LOGGER_ID_EXPR} AS offer_id FROM log_records"
+NORMALIZE_OFFER_ID = f"SELECT record_id, {_db_normalize('offer_id')} AS offer_id FROM log_records"
+CLEANSE_AUDIT = ("SELECT record_id, CASE WHEN offer_id IS NULL OR regexp_matches(offer_id, "
+                 "'^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$', 'i') THEN offer_id END "
+                 "AS offer_id FROM log_records")
+
+# ---------------------------------------------------------------------------
+# §2.8 order feed and messaging
+# ---------------------------------------------------------------------------
+FEED_CASE = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.FEED_STATUS.items()) + " END"
+FEED_STATUS = f"SELECT id, status, {FEED_CASE} AS feed_status FROM offers"
+
+EXPIRATION_EXPR = "CASE WHEN status = 'funded' THEN epoch_ms(created_at + INTERVAL 600 SECOND) // 1000 END"
+ORDER_EXPIRATION = f"SELECT id, {EXPIRATION_EXPR} AS expiration FROM offers"
+
+
+def _tags(with_expiration: bool) -> str:
+    fa = "regexp_replace(CAST(fiat_amount AS VARCHAR), '0+$', '')"
+    fa = f"CASE WHEN suffix({fa}, '.') THEN {fa} || '0' ELSE {fa} END"
+    exp = (f"CASE WHEN {EXPIRATION_EXPR} IS NOT NULL THEN ['expiration', CAST({EXPIRATION_EXPR} AS VARCHAR)] END"
+           if with_expiration else "NULL")
+
+    def secs(c: str) -> str:
+        return f"coalesce(CAST(epoch_ms({c}) // 1000 AS VARCHAR), '')"
+
+    items = [
+        "['d', id]", "['k', 'sell']", "['f', fiat_currency]", f"['s', {FEED_CASE}]",
+        "['amt', CAST(amount_sats AS VARCHAR)]", f"['fa', {fa}]", "['pm', 'BLIK']", "['premium', '0.0']",
+        "['source', 'https://bitblik.app/offers/' || id]", "['network', 'mainnet']",
+        "['layer', 'lightning']", "['name', '']", "['bond', '0']", exp, "['y', 'Bitblik']",
+        "['z', 'order']", f"['reserved_at', {secs('reserved_at')}]",
+        "['created_at', CAST(epoch_ms(created_at) // 1000 AS VARCHAR)]", f"['paid_at', {secs('taker_paid_at')}]",
+        "CASE WHEN taker_fees > 0 THEN ['taker_fees', CAST(taker_fees AS VARCHAR)] END",
+        "CASE WHEN maker_fees > 0 THEN ['maker_fees', CAST(maker_fees AS VARCHAR)] END",
+    ]
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+ORDER_EVENTS = f"SELECT id, 38383 AS kind, CAST(to_json({_tags(False)}) AS VARCHAR) AS tags FROM offers"
+REBROADCAST_ORDERS = (f"SELECT id, 38383 AS kind, CAST(to_json({_tags(True)}) AS VARCHAR) AS tags FROM offers "
+                      f"WHERE created_at >= {NOW} - INTERVAL 168 HOUR")
+
+_BODY = ("json_object('offer_id', id, 'payment_hash', hold_invoice_payment_hash, 'status', status, "
+         "'created_at', epoch_ms(created_at) // 1000, 'reserved_at', epoch_ms(reserved_at) // 1000, "
+         "'timestamp', epoch_ms(coalesce(updated_at, created_at)) // 1000)")
+STATUS_FANOUT = f"""SELECT id AS offer_id, status, 'maker' AS role, maker_pubkey AS recipient, CAST({_BODY} AS VARCHAR) AS body FROM offers
+UNION ALL
+SELECT id, status, 'taker', taker_pubkey, CAST({_BODY} AS VARCHAR) FROM offers WHERE taker_pubkey IS NOT NULL AND taker_pubkey <> ''"""
+
+
+def _validate_sql() -> str:
+    prefix = "Exception: Error processing request: Exception: "
+
+    def p(name: str) -> str:
+        return f"json_extract_string(body, '$.params.{name}')"
+
+    missing = []
+    for m, req in S.REQUEST_METHODS.items():
+        conds = []
+        for r in req:
+            if isinstance(r, list):
+                conds.append("(" + " AND ".join(f"{p(x)} IS NULL" for x in r) + ")")
+            else:
+                conds.append(f"{p(r)} IS NULL")
+        if not conds:
+            continue
+        if len(req) == 1:
+            msg = f"Missing required parameter: {req[0]}"
+        elif m == "submit_blik":
+            msg = "Missing required parameters: offer_id, blik_code, taker_lightning_address"
+        else:
+            msg = "Missing required parameters: " + ", ".join(x for x in req if isinstance(x, str))
+        missing.append((m, " OR ".join(conds), msg))
+    miss_cond = " OR ".join(f"(mth = '{m}' AND ({c}))" for m, c, _ in missing)
+    miss_msg = "CASE " + " ".join(f"WHEN mth = '{m}' AND ({c}) THEN '{prefix}{msg}'" for m, c, msg in missing) + " END"
+    known = ", ".join(f"'{m}'" for m in S.REQUEST_METHODS)
+    return f"""
+SELECT request_id, sender, rid AS id, mth AS method,
+  CASE WHEN NOT ok THEN 'dropped' WHEN rid IS NULL OR mth IS NULL OR mth NOT IN ({known}) OR {miss_cond}
+       THEN 'error' ELSE 'routed' END AS status,
+  CASE WHEN NOT ok THEN 'PARSE_ERROR' WHEN rid IS NULL OR mth IS NULL THEN 'INVALID_REQUEST'
+       WHEN mth NOT IN ({known}) OR {miss_cond} THEN 'INTERNAL_ERROR' END AS error_code,
+  CASE WHEN NOT ok THEN 'Malformed request body' WHEN rid IS NULL OR mth IS NULL THEN 'Missing method or id'
+       WHEN mth NOT IN ({known}) THEN '{prefix}Unknown method: ' || mth
+       ELSE {miss_msg} END AS error_message,
+  CASE WHEN ok THEN {p('offer_id')} END AS offer_id, ts
+FROM (SELECT *, json_valid(body) AS ok,
+        CASE WHEN json_valid(body) THEN json_extract_string(body, '$.id') END AS rid,
+        CASE WHEN json_valid(body) THEN json_extract_string(body, '$.method') END AS mth FROM requests) r"""
+
+
+VALIDATE_REQUESTS = _validate_sql()

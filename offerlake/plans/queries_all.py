@@ -3,3 +3,6 @@
 from offerlake.plans import catalog
 
 catalog._reports()
+catalog._lookups()
+catalog._audit()
+catalog._feed()

@@ -253,7 +253,9 @@ def _params_for(method: str | None, drop_first: bool) -> str:
 
 REQUESTS = Fixture("requests", "events", [
     Stage([
-        ("e", "event_id"), ("ts", "ts"), ("sender", "'npub-' || CAST(user_id AS STRING)"),
+        ("e", "event_id"), ("ts", "ts"),
+        ("sender", "CASE WHEN event_id % 3 = 0 THEN 'taker-' || CAST(((user_id * 101) % 20000 * 31) % 997 AS STRING) "
+                   "ELSE 'maker-' || CAST(user_id AS STRING) END"),
         ("mname", _case("event_id % 18", [(str(i), _q(m) if m else "NULL") for i, m in enumerate(_METHOD_NAMES)])),
         ("params", "CASE WHEN event_id % 7 = 0 THEN "
          + _case("event_id % 18", [(str(i), _params_for(m, True)) for i, m in enumerate(_METHOD_NAMES)], "''")
