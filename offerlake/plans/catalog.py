@@ -138,3 +138,75 @@ def _feed() -> None:
     register("status_fanout", O.STATUS_FANOUT, "offers")(lambda t: FD.status_fanout(t.offers))
     register("validate_requests", O.VALIDATE_REQUESTS, "requests")(
         lambda t: FD.validate_requests(t.requests))
+
+
+# ---------------------------------------------------------------------------
+# §2.6 pricing and fees
+# ---------------------------------------------------------------------------
+def rounds_of(t: Tables):
+    from offerlake.operators import pricing as P
+    return P.average_rate(P.parse_rates(t.rate_payloads))
+
+
+def priced_quotes(t: Tables):
+    from offerlake.operators import pricing as P
+    return P.rate_at(t.quotes, rounds_of(t))
+
+
+def _pricing() -> None:
+    from pyspark.sql import functions as F
+
+    from offerlake.operators import pricing as P
+    from offerlake.operators import reports as R
+
+    register("parse_rates", O.PARSE_RATES, "rate_payloads")(lambda t: P.parse_rates(t.rate_payloads))
+    register("average_rate", O.AVERAGE_RATE, "rate_payloads")(rounds_of)
+    register("rate_at", O.RATE_AT, "rate_payloads", "quotes")(priced_quotes)
+    register("quote_offer", O.QUOTE_OFFER, "rate_payloads", "quotes")(lambda t: P.quote_offer(priced_quotes(t)))
+    register("taker_net_amount", O.TAKER_NET_AMOUNT, "offers")(lambda t: P.taker_net_amount(t.offers))
+    register("invoice_tolerance", O.INVOICE_TOLERANCE, "action_log", "offers")(
+        lambda t: P.check_invoice_tolerance(t.action_log, t.offers))
+
+    def _amount_match(t: Tables):
+        net = P.taker_net_amount(t.offers.where(F.col("taker_invoice").isNotNull()))
+        k = F.substring("id", 25, 12).cast("bigint")
+        inv = (F.when(k % 5 == 0, F.lit(0)).when(k % 5 == 1, F.col("net_at_payment") + 1)
+               .otherwise(F.col("net_at_payment")))
+        df = net.select("id", inv.cast("bigint").alias("invoice_amount_sats"),
+                        F.col("net_at_payment").alias("expected_sats"))
+        return df.withColumn("error", P.invoice_amount_match(F.col("invoice_amount_sats"), F.col("expected_sats")))
+
+    register("invoice_amount_match", O.INVOICE_AMOUNT_MATCH, "offers")(_amount_match)
+    register("fee_limit", O.FEE_LIMIT, "offers")(lambda t: P.fee_limit(t.offers))
+    register("sendable_range", O.SENDABLE_RANGE, "offers", "addresses")(
+        lambda t: P.sendable_range(t.offers, t.addresses))
+    register("amount_limit_check", O.AMOUNT_LIMIT_CHECK, "offers")(lambda t: P.amount_limit_check(t.offers))
+    register("metrics_profit_fiat", O.METRICS_PROFIT_FIAT, "offers", "rate_payloads")(
+        lambda t: R.profit_fiat(R.metrics_by_period(t.offers, "monthly", ORDERS_AS_OF).select("date", "profit"),
+                                P.latest_rate(rounds_of(t))))
+
+
+# ---------------------------------------------------------------------------
+# §2.7 invoice and payment events
+# ---------------------------------------------------------------------------
+def _payments() -> None:
+    from pyspark.sql import functions as F
+
+    from offerlake.operators import payments as PM
+
+    register("normalize_invoice_updates", O.NORMALIZE_INVOICE_UPDATES, "invoice_updates")(
+        lambda t: PM.normalize_invoice_updates(t.invoice_updates))
+    register("normalize_invoice_details", O.NORMALIZE_INVOICE_DETAILS, "invoices_raw")(
+        lambda t: PM.normalize_invoice_details(t.invoices_raw))
+    register("invoice_status_latest", O.INVOICE_STATUS_LATEST, "invoice_updates")(
+        lambda t: PM.invoice_status_latest(PM.normalize_invoice_updates(t.invoice_updates)))
+    register("filter_invoice_updates", O.FILTER_INVOICE_UPDATES, "invoice_updates", "offers")(
+        lambda t: PM.filter_invoice_updates(
+            PM.normalize_invoice_updates(t.invoice_updates),
+            t.offers.where(F.col("status") == "funded"), "hold_invoice_payment_hash"))
+    register("payment_outcome", O.PAYMENT_OUTCOME, "payment_updates")(
+        lambda t: PM.payment_outcome(t.payment_updates))
+    register("payment_result", O.PAYMENT_RESULT, "payment_updates")(
+        lambda t: PM.payment_result(PM.payment_outcome(t.payment_updates)))
+    register("payment_failures", O.PAYMENT_FAILURES, "payment_updates")(
+        lambda t: PM.payment_failures(PM.payment_outcome(t.payment_updates)))

@@ -344,3 +344,136 @@ FROM (SELECT *, json_valid(body) AS ok,
 
 
 VALIDATE_REQUESTS = _validate_sql()
+
+# ---------------------------------------------------------------------------
+# §2.6 pricing and fees
+# ---------------------------------------------------------------------------
+_PATH = "CASE source " + " ".join(f"WHEN '{s}' THEN '{p}'" for s, p in S.RATE_SOURCES) + " END"
+PARSED_RATES_CTE = f"""parsed AS (
+  SELECT round_id, source, fetched_at,
+         CASE WHEN http_status = 200 AND json_valid(body)
+                   AND json_type(body, {_PATH}) IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+              THEN CAST(json_extract(body, {_PATH}) AS DOUBLE) END AS rate
+  FROM rate_payloads)"""
+ROUNDS_CTE = """rounds AS (
+  SELECT round_id, MIN(fetched_at) AS fetched_at,
+         CAST(SUM(CAST(rate AS DECIMAL(24,8))) AS DOUBLE) / COUNT(rate) AS rate, COUNT(rate) AS n_sources
+  FROM parsed WHERE rate IS NOT NULL GROUP BY round_id)"""
+
+PARSE_RATES = (f"WITH {PARSED_RATES_CTE} SELECT round_id, source, fetched_at, rate, "
+               f"CASE WHEN rate > 0 THEN rate END AS rate_strict FROM parsed")
+AVERAGE_RATE = f"WITH {PARSED_RATES_CTE}, {ROUNDS_CTE} SELECT * FROM rounds"
+RATE_AT_CTE = f"""{PARSED_RATES_CTE}, {ROUNDS_CTE},
+priced AS (
+  SELECT q.quote_id, q.fiat_amount, q.ts, q.payment_hash, q.maker_id, r.rate,
+         r.round_id AS rate_round_id, r.fetched_at AS rate_fetched_at,
+         CASE WHEN r.round_id IS NULL THEN 'error'
+              WHEN epoch_us(q.ts) - epoch_us(r.fetched_at) < 300000000 THEN 'fresh' ELSE 'stale' END AS rate_status
+  FROM quotes q ASOF LEFT JOIN rounds r ON q.ts >= r.fetched_at)"""
+RATE_AT = f"WITH {RATE_AT_CTE} SELECT * FROM priced"
+
+
+def _fee(sats: str, pct: float) -> str:
+    return f"CAST(ceil(CAST({sats} AS DOUBLE) * {pct} / 100.0) AS BIGINT)"
+
+
+_SATS = "CAST(round(fiat_amount * (1.0 / CASE WHEN rate > 0 THEN rate END) * 100000000.0) AS BIGINT)"
+QUOTE_OFFER = f"""WITH {RATE_AT_CTE}
+SELECT *, {_SATS} AS amount_sats, {_fee(_SATS, S.MAKER_FEE_PCT)} AS maker_fees,
+       {_fee(_SATS, S.TAKER_FEE_PCT)} AS taker_fees, {_SATS} + {_fee(_SATS, S.MAKER_FEE_PCT)} AS total_amount_sats,
+       CASE WHEN rate IS NULL THEN 'Failed to fetch BTC/PLN rate from all sources.'
+            WHEN rate <= 0 THEN 'Unsupported operation: Infinity or NaN toInt' END AS error
+FROM priced"""
+
+NET_SUBMIT = f"amount_sats - coalesce(taker_fees, {_fee('amount_sats', S.TAKER_FEE_PCT)})"
+NET_PAY = f"amount_sats - {_fee('amount_sats', S.TAKER_FEE_PCT)}"
+TAKER_NET_AMOUNT = (f"SELECT id, amount_sats, taker_fees, {NET_SUBMIT} AS net_at_submit, "
+                    f"{NET_PAY} AS net_at_payment FROM offers")
+INVOICE_TOLERANCE = f"""
+SELECT a.offer_id, a.seq, a.invoice_amount_sats, o.net AS net_at_submit,
+       CASE WHEN a.invoice_amount_sats > o.net + 10 THEN 'too_large'
+            WHEN a.invoice_amount_sats < o.net - 100 THEN 'too_small' ELSE 'ok' END AS verdict
+FROM action_log a JOIN (SELECT id, {NET_SUBMIT} AS net FROM offers) o ON o.id = a.offer_id
+WHERE a.invoice_amount_sats IS NOT NULL"""
+INVOICE_AMOUNT_MATCH = f"""
+SELECT id, invoice_amount_sats, expected_sats,
+       CASE WHEN invoice_amount_sats <> 0 AND invoice_amount_sats <> expected_sats
+              THEN 'Invoice amount ' || CAST(invoice_amount_sats AS VARCHAR) || ' does not match expected amount '
+                   || CAST(expected_sats AS VARCHAR) || ' sats'
+            WHEN invoice_amount_sats = 0 AND (expected_sats IS NULL OR expected_sats <= 0)
+              THEN 'Amount must be provided for a zero-amount invoice.' END AS error
+FROM (SELECT id, {NET_PAY} AS expected_sats,
+             CASE CAST(substr(id, 25) AS BIGINT) % 5 WHEN 0 THEN 0 WHEN 1 THEN {NET_PAY} + 1
+                  ELSE {NET_PAY} END AS invoice_amount_sats
+      FROM offers WHERE taker_invoice IS NOT NULL) t"""
+FEE_LIMIT = """SELECT id, taker_fees, CAST(ceil(CAST(taker_fees AS DOUBLE) * 0.2) AS BIGINT) AS fee_limit_sat,
+  taker_invoice_fees AS paid_fee_sat, taker_invoice_fees <= CAST(ceil(CAST(taker_fees AS DOUBLE) * 0.2) AS BIGINT) AS within_limit
+FROM offers WHERE status = 'takerPaid'"""
+SENDABLE_RANGE = f"""
+SELECT o.id, o.taker_lightning_address, ({NET_PAY.replace('amount_sats', 'o.amount_sats')}) * 1000 AS amount_msat,
+  CASE WHEN NOT contains(o.taker_lightning_address, '@') THEN 'not_an_address'
+       WHEN a.tag IS NULL THEN 'unresolved'
+       WHEN a.status = 'ERROR' THEN 'error_status'
+       WHEN a.tag <> 'payRequest' THEN 'invalid_tag'
+       WHEN a.callback IS NULL OR a.min_sendable IS NULL OR a.max_sendable IS NULL THEN 'missing_fields'
+       WHEN ({NET_PAY.replace('amount_sats', 'o.amount_sats')}) * 1000 < a.min_sendable
+         OR ({NET_PAY.replace('amount_sats', 'o.amount_sats')}) * 1000 > a.max_sendable THEN 'out_of_range'
+       ELSE 'ok' END AS reason
+FROM offers o LEFT JOIN addresses a ON a.lightning_address = o.taker_lightning_address
+WHERE o.taker_lightning_address IS NOT NULL"""
+AMOUNT_LIMIT_CHECK = f"""SELECT * FROM (
+  SELECT id, amount_sats, fiat_currency,
+         CASE WHEN amount_sats < {S.MIN_AMOUNT_SATS} THEN 'below_min' WHEN amount_sats > {S.MAX_AMOUNT_SATS} THEN 'above_max'
+              WHEN upper(fiat_currency) NOT IN ('PLN') THEN 'unsupported_currency' END AS reason
+  FROM offers) t WHERE reason IS NOT NULL"""
+METRICS_PROFIT_FIAT = f"""WITH {PARSED_RATES_CTE}, {ROUNDS_CTE},
+latest AS (SELECT arg_max(rate, {"t": fetched_at, "r": round_id}) AS rate FROM rounds),
+report AS ({metrics_period_sql('monthly')})
+SELECT report.date, report.profit,
+       CASE WHEN latest.rate IS NULL OR latest.rate = 0 OR report.profit IS NULL OR report.profit = 0 THEN 0.0
+            ELSE CAST(report.profit AS DOUBLE) / 100000000.0 * latest.rate END AS profit_fiat
+FROM report CROSS JOIN latest"""
+
+# ---------------------------------------------------------------------------
+# §2.7 invoice and payment events
+# ---------------------------------------------------------------------------
+_LND = "CASE raw_state " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.LND_INVOICE_STATES.items()) + " ELSE 'UNKNOWN' END"
+_NWC = "CASE raw_state " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.NWC_NOTIFICATIONS.items()) + " ELSE 'UNKNOWN' END"
+NORMALIZED_UPDATES = f"""SELECT backend, payment_hash, seq, CASE WHEN backend = 'lnd' THEN {_LND} ELSE {_NWC} END AS status,
+  CAST(CASE WHEN backend = 'lnd' AND raw_state = 'SETTLED' THEN amount_paid_sat END AS BIGINT) AS amount_paid_sat, ts
+FROM invoice_updates"""
+NORMALIZE_INVOICE_UPDATES = NORMALIZED_UPDATES
+NORMALIZE_INVOICE_DETAILS = f"""SELECT payment_hash, backend,
+  CAST(CASE WHEN backend = 'lnd' THEN value * 1000 ELSE value END AS BIGINT) AS amount_msat,
+  CAST(creation_date AS BIGINT) AS created_at,
+  CAST(CASE WHEN backend = 'lnd' THEN nullif(settle_date, 0) ELSE settle_date END AS BIGINT) AS settled_at,
+  CAST(creation_date + expiry AS BIGINT) AS expires_at,
+  CASE WHEN backend = 'lnd' THEN {_LND.replace('raw_state', 'state')}
+       WHEN settle_date > 0 THEN 'SETTLED' ELSE 'OPEN' END AS status,
+  memo AS description, 'incoming' AS type
+FROM invoices_raw"""
+INVOICE_STATUS_LATEST = f"""SELECT payment_hash, arg_max(status, seq) AS latest_status, MAX(seq) AS latest_seq,
+  MIN(ts) FILTER (WHERE status = 'ACCEPTED') AS first_accepted_at,
+  MIN(seq) FILTER (WHERE status = 'ACCEPTED') AS first_accepted_seq,
+  COUNT(*) FILTER (WHERE status = 'CANCELED') AS canceled_updates, COUNT(*) AS updates
+FROM ({NORMALIZED_UPDATES}) n GROUP BY payment_hash"""
+FILTER_INVOICE_UPDATES = (f"SELECT * FROM ({NORMALIZED_UPDATES}) n WHERE payment_hash IN "
+                          f"(SELECT hold_invoice_payment_hash FROM offers WHERE status = 'funded')")
+OUTCOME_SQL = """SELECT payment_hash,
+  CASE WHEN t IS NULL THEN 'UNKNOWN' ELSE t.raw_status END AS status,
+  CAST(CASE WHEN t.raw_status = 'SUCCEEDED' THEN t.fee_sat END AS BIGINT) AS fee_sat,
+  CASE WHEN t.raw_status = 'SUCCEEDED' THEN t.preimage END AS preimage,
+  CASE WHEN t IS NULL THEN 'Payment status could not be determined: no definitive status'
+       WHEN t.raw_status = 'FAILED' THEN t.failure_reason END AS error,
+  t.stream AS decided_by
+FROM (SELECT payment_hash,
+        arg_min({'raw_status': raw_status, 'fee_sat': fee_sat, 'preimage': preimage,
+                 'failure_reason': failure_reason, 'stream': stream, 'seq': seq},
+                CASE WHEN stream = 'send' THEN 0 ELSE 1 END * 1000000 + seq)
+          FILTER (WHERE raw_status IN ('SUCCEEDED', 'FAILED')) AS t
+      FROM payment_updates GROUP BY payment_hash) a"""
+PAYMENT_OUTCOME = OUTCOME_SQL
+PAYMENT_RESULT = f"""SELECT payment_hash, (error IS NULL AND preimage IS NOT NULL) AS is_success,
+  CAST(CASE WHEN error IS NULL AND preimage IS NOT NULL THEN coalesce(fee_sat, 0) END AS BIGINT) AS stored_fee_sat, error
+FROM ({OUTCOME_SQL}) o"""
+PAYMENT_FAILURES = f"SELECT error AS reason, COUNT(*) AS failures FROM ({OUTCOME_SQL}) o WHERE error IS NOT NULL GROUP BY 1"

@@ -6,3 +6,5 @@ catalog._reports()
 catalog._lookups()
 catalog._audit()
 catalog._feed()
+catalog._pricing()
+catalog._payments()
