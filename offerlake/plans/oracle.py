@@ -427,7 +427,7 @@ AMOUNT_LIMIT_CHECK = f"""SELECT * FROM (
               WHEN upper(fiat_currency) NOT IN ('PLN') THEN 'unsupported_currency' END AS reason
   FROM offers) t WHERE reason IS NOT NULL"""
 METRICS_PROFIT_FIAT = f"""WITH {PARSED_RATES_CTE}, {ROUNDS_CTE},
-latest AS (SELECT arg_max(rate, {"t": fetched_at, "r": round_id}) AS rate FROM rounds),
+latest AS (SELECT arg_max(rate, {{"t": fetched_at, "r": round_id}}) AS rate FROM rounds),
 report AS ({metrics_period_sql('monthly')})
 SELECT report.date, report.profit,
        CASE WHEN latest.rate IS NULL OR latest.rate = 0 OR report.profit IS NULL OR report.profit = 0 THEN 0.0
