@@ -210,3 +210,57 @@ def _payments() -> None:
         lambda t: PM.payment_result(PM.payment_outcome(t.payment_updates)))
     register("payment_failures", O.PAYMENT_FAILURES, "payment_updates")(
         lambda t: PM.payment_failures(PM.payment_outcome(t.payment_updates)))
+
+
+# ---------------------------------------------------------------------------
+# §2.5 lifecycle
+# ---------------------------------------------------------------------------
+def invoice_update_rows(t: Tables):
+    from pyspark.sql import functions as F
+    pu = t.payment_updates
+    k = F.substring("payment_hash", 5, 20)
+    return pu.where((F.col("seq") == 1) | (F.col("raw_status") == "SUCCEEDED")).select(
+        F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(k, 12, "0")).alias("offer_id"),
+        F.when(F.col("seq") == 1, F.concat(F.lit("inv-"), k, F.lit("-r"))).alias("taker_invoice"),
+        F.when(F.col("raw_status") == "SUCCEEDED", F.col("fee_sat")).cast("bigint").alias("taker_invoice_fees"),
+        "ts")
+
+
+def invoice_change_rows(t: Tables):
+    from pyspark.sql import functions as F
+    req = t.requests.select("sender", "ts", F.from_json(
+        "body", "struct<method:string,params:map<string,string>>").alias("r"))
+    return (req.where(F.col("r.method") == "update_taker_invoice")
+            .select(F.col("r.params")["offer_id"].alias("offer_id"), "sender",
+                    F.col("r.params")["bolt11"].alias("bolt11"), "ts")
+            .where(F.col("offer_id").isNotNull() & F.col("bolt11").isNotNull()))
+
+
+def _lifecycle() -> None:
+    from pyspark.sql import functions as F
+
+    from offerlake.operators import lifecycle as LC
+
+    for rule, key in [("funded_expiry", "sweep_funded"), ("reservation", "sweep_reserved"),
+                      ("blik_confirmation", "sweep_blik"), ("taker_charged", "sweep_taker_charged"),
+                      ("conflict", "sweep_conflict")]:
+        register(key, O.sweep_sql(rule), "offers")(
+            lambda t, _r=rule: LC.sweep(t.offers, _r, ORDERS_AS_OF))
+    register("startup_sweep", O.STARTUP_SWEEP, "offers")(lambda t: LC.startup_sweep(t.offers, ORDERS_AS_OF))
+    register("deadlines", O.DEADLINES, "offers")(lambda t: LC.deadlines(t.offers, ORDERS_AS_OF))
+    register("revert_to_funded", O.REVERT_TO_FUNDED, "offers")(
+        lambda t: LC.revert_to_funded(t.offers, ORDERS_AS_OF))
+    register("status_history", O.STATUS_HISTORY, "status_events")(
+        lambda t: LC.status_history(t.status_events))
+    register("apply_status_updates", O.APPLY_STATUS_UPDATES, "offers", "status_events")(
+        lambda t: LC.apply_status_updates(t.offers, t.status_events))
+    register("apply_invoice_updates", O.APPLY_INVOICE_UPDATES, "offers", "payment_updates")(
+        lambda t: LC.apply_invoice_updates(t.offers, invoice_update_rows(t)))
+    register("apply_cancellations", O.APPLY_CANCELLATIONS, "offers", "action_log")(
+        lambda t: LC.apply_cancellations(t.offers, t.action_log.where(F.col("action") == "cancel_offer"),
+                                         ORDERS_AS_OF))
+    register("apply_invoice_change", O.APPLY_INVOICE_CHANGE, "offers", "requests")(
+        lambda t: LC.apply_invoice_change(t.offers, invoice_change_rows(t)))
+    register("validate_actions", O.VALIDATE_ACTIONS, "action_log", "offers")(
+        lambda t: LC.validate_actions(t.action_log, t.offers))
+    register("replay_actions")(lambda t: LC.replay_actions(t.action_log, t.offers))

@@ -477,3 +477,174 @@ PAYMENT_RESULT = f"""SELECT payment_hash, (error IS NULL AND preimage IS NOT NUL
   CAST(CASE WHEN error IS NULL AND preimage IS NOT NULL THEN coalesce(fee_sat, 0) END AS BIGINT) AS stored_fee_sat, error
 FROM ({OUTCOME_SQL}) o"""
 PAYMENT_FAILURES = f"SELECT error AS reason, COUNT(*) AS failures FROM ({OUTCOME_SQL}) o WHERE error IS NOT NULL GROUP BY 1"
+
+# ---------------------------------------------------------------------------
+# §2.5 lifecycle
+# ---------------------------------------------------------------------------
+_RULES_SQL = {
+    "funded_expiry": (["funded"], "created_at + INTERVAL 600 SECOND", {"funded": "expired"}),
+    "reservation": (["reserved"], "reserved_at + INTERVAL 30 SECOND", {"reserved": "funded"}),
+    "blik_confirmation": (["blikReceived", "blikSentToMaker"], "blik_received_at + INTERVAL 120 SECOND",
+                          {"blikReceived": "expiredBlik", "blikSentToMaker": "expiredSentBlik"}),
+    "taker_charged": (["takerCharged"], "created_at + INTERVAL 3600 SECOND", {"takerCharged": "settled"}),
+    "conflict": (["conflict"], "coalesce(updated_at, created_at) + INTERVAL 3600 SECOND", {"conflict": "dispute"}),
+}
+
+
+def _new_status(moves: dict) -> str:
+    return "CASE status " + " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in moves.items()) + " END"
+
+
+def sweep_sql(rule: str) -> str:
+    sts, due, moves = _RULES_SQL[rule]
+    ins = ", ".join(f"'{x}'" for x in sts)
+    return (f"SELECT id, status, {_new_status(moves)} AS new_status, {due} AS due_at FROM offers "
+            f"WHERE status IN ({ins}) AND ({due} IS NULL OR {NOW} > {due})")
+
+
+DEADLINES = " UNION ALL ".join(
+    f"SELECT id, status, '{rule}' AS rule, due_at, timeout_status, "
+    f"CAST(trunc((epoch_us(due_at) - epoch_us({NOW})) / 1000000.0) AS BIGINT) AS remaining_seconds, "
+    f"(due_at IS NULL OR {NOW} > due_at) AS overdue "
+    f"FROM (SELECT id, status, {due} AS due_at, {_new_status(moves)} AS timeout_status FROM offers "
+    f"WHERE status IN ({', '.join(repr(x) for x in sts)})) t"
+    for rule, (sts, due, moves) in _RULES_SQL.items())
+
+_SWEEP_NEW = "CASE " + " ".join(
+    f"WHEN status = '{f}' AND ({due} IS NULL OR {NOW} > {due}) THEN '{t}'"
+    for sts, due, moves in _RULES_SQL.values() for f, t in moves.items()) + " END"
+
+
+def _startup_cols() -> str:
+    cols = []
+    for c in S.OFFER_COLUMNS:
+        if c == "status":
+            cols.append("coalesce(_new, status) AS status")
+        elif c == "updated_at":
+            cols.append(f"CASE WHEN _new IS NOT NULL THEN {NOW} ELSE updated_at END AS updated_at")
+        elif c in ("maker_confirmed_at", "settled_at"):
+            cols.append(f"CASE WHEN _new = 'settled' THEN {NOW} ELSE {c} END AS {c}")
+        elif c in ("taker_pubkey", "reserved_at", "taker_lightning_address", "taker_invoice",
+                   "taker_invoice_fees", "blik_received_at"):
+            cols.append(f"CASE WHEN _new IN ('funded', 'expired', 'cancelled') THEN NULL ELSE {c} END AS {c}")
+        else:
+            cols.append(c)
+    return ", ".join(cols)
+
+
+STARTUP_SWEEP = f"SELECT {_startup_cols()} FROM (SELECT *, {_SWEEP_NEW} AS _new FROM offers) s"
+
+REVERT_TO_FUNDED = f"""SELECT id, status AS old_status, 'funded' AS status, CAST(NULL AS VARCHAR) AS taker_pubkey,
+  CAST(NULL AS TIMESTAMP) AS reserved_at, CAST(NULL AS VARCHAR) AS taker_lightning_address,
+  CAST(NULL AS TIMESTAMP) AS blik_received_at, {NOW} AS updated_at,
+  created_at + INTERVAL 600 SECOND AS funded_expires_at, {NOW} > created_at + INTERVAL 600 SECOND AS expires_immediately
+FROM offers WHERE status IN ('reserved', 'expiredBlik', 'invalidBlik')"""
+
+STATUS_HISTORY = """SELECT offer_id, seq, status, ts,
+  lag(status) OVER w AS prev_status,
+  CAST(trunc((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000.0) AS BIGINT) AS seconds_in_status,
+  lead(seq) OVER w IS NULL AS is_current
+FROM status_events WINDOW w AS (PARTITION BY offer_id ORDER BY seq)"""
+
+_FIELD_WRITES_SQL = {
+    "taker_pubkey": ("status = 'reserved'", "taker_pubkey"),
+    "reserved_at": ("status = 'reserved'", "ts"),
+    "blik_received_at": ("status = 'blikReceived'", "ts"),
+    "taker_lightning_address": ("status = 'blikReceived'", "address"),
+    "maker_confirmed_at": ("status = 'makerConfirmed'", "ts"),
+    "settled_at": ("status = 'settled'", "ts"),
+    "taker_paid_at": ("status = 'takerPaid'", "ts"),
+    "taker_fees": ("status = 'takerPaid'", "taker_fees"),
+    "taker_invoice": ("false", "NULL"),
+    "taker_invoice_fees": ("false", "NULL"),
+}
+_CLEARED_SQL = {"taker_pubkey", "reserved_at", "blik_received_at", "taker_lightning_address",
+                "taker_invoice", "taker_invoice_fees"}
+
+
+def _apply_status_sql() -> str:
+    aggs = ["arg_max({'status': status, 'ts': ts}, seq) AS _last"]
+    for f, (cond, val) in _FIELD_WRITES_SQL.items():
+        touch = f"({cond})" + (" OR status IN ('funded', 'expired', 'cancelled')" if f in _CLEARED_SQL else "")
+        aggs.append(f"arg_max({{'v': CASE WHEN {cond} THEN {val} END}}, seq) FILTER (WHERE {touch}) AS _{f}")
+    cols = []
+    for c in S.OFFER_COLUMNS:
+        if c == "status":
+            cols.append("coalesce(u._last.status, o.status) AS status")
+        elif c == "updated_at":
+            cols.append("CASE WHEN u._last IS NOT NULL THEN u._last.ts ELSE o.updated_at END AS updated_at")
+        elif c in _FIELD_WRITES_SQL:
+            typ = "BIGINT" if c in ("taker_fees", "taker_invoice_fees") else (
+                "TIMESTAMP" if c.endswith("_at") else "VARCHAR")
+            cols.append(f"CASE WHEN u._{c} IS NOT NULL THEN CAST(u._{c}.v AS {typ}) ELSE o.{c} END AS {c}")
+        else:
+            cols.append(f"o.{c}")
+    return (f"SELECT {', '.join(cols)} FROM offers o LEFT JOIN ("
+            f"SELECT offer_id, {', '.join(aggs)} FROM status_events "
+            f"WHERE NOT (status = 'reserved' AND taker_pubkey IS NULL) AND ts IS NOT NULL GROUP BY offer_id"
+            f") u ON u.offer_id = o.id")
+
+
+APPLY_STATUS_UPDATES = _apply_status_sql()
+
+INVOICE_UPDATE_ROWS = """SELECT '00000000-0000-4000-8000-' || lpad(substr(payment_hash, 5), 12, '0') AS offer_id,
+  CASE WHEN seq = 1 THEN 'inv-' || substr(payment_hash, 5) || '-r' END AS taker_invoice,
+  CASE WHEN raw_status = 'SUCCEEDED' THEN fee_sat END AS taker_invoice_fees, ts
+FROM payment_updates WHERE seq = 1 OR raw_status = 'SUCCEEDED'"""
+
+
+def _replace_cols(repl: dict[str, str], prefix: str = "o.") -> str:
+    return ", ".join(f"{repl[c]} AS {c}" if c in repl else f"{prefix}{c}" for c in S.OFFER_COLUMNS)
+
+
+APPLY_INVOICE_UPDATES = f"""WITH upd AS ({INVOICE_UPDATE_ROWS}),
+latest AS (SELECT offer_id,
+  arg_max(taker_invoice, ts) FILTER (WHERE taker_invoice IS NOT NULL) AS inv,
+  max(ts) FILTER (WHERE taker_invoice IS NOT NULL) AS inv_ts,
+  arg_max(taker_invoice_fees, ts) FILTER (WHERE taker_invoice_fees IS NOT NULL) AS fee,
+  max(ts) FILTER (WHERE taker_invoice_fees IS NOT NULL) AS fee_ts
+  FROM upd GROUP BY offer_id)
+SELECT {_replace_cols({"taker_invoice": "coalesce(l.inv, o.taker_invoice)",
+                       "taker_invoice_fees": "coalesce(l.fee, o.taker_invoice_fees)",
+                       "updated_at": "coalesce(greatest(l.inv_ts, l.fee_ts), o.updated_at)"})}
+FROM offers o LEFT JOIN latest l ON l.offer_id = o.id"""
+
+_CANCEL_HIT = "(c.id IS NOT NULL)"
+APPLY_CANCELLATIONS = f"""WITH ok AS (
+  SELECT DISTINCT a.offer_id AS id FROM action_log a JOIN offers o ON o.id = a.offer_id
+  WHERE a.action = 'cancel_offer' AND a.actor = o.maker_pubkey AND o.status = 'funded')
+SELECT {_replace_cols(dict({"status": f"CASE WHEN {_CANCEL_HIT} THEN 'cancelled' ELSE o.status END",
+                            "updated_at": f"CASE WHEN {_CANCEL_HIT} THEN {NOW} ELSE o.updated_at END"},
+                           **{c: f"CASE WHEN {_CANCEL_HIT} THEN NULL ELSE o.{c} END" for c in _CLEARED_SQL}))}
+FROM offers o LEFT JOIN ok c ON c.id = o.id"""
+
+INVOICE_CHANGE_ROWS = """SELECT json_extract_string(body, '$.params.offer_id') AS offer_id, sender,
+  json_extract_string(body, '$.params.bolt11') AS bolt11, ts
+FROM requests WHERE json_valid(body) AND json_extract_string(body, '$.method') = 'update_taker_invoice'
+  AND json_extract_string(body, '$.params.offer_id') IS NOT NULL
+  AND json_extract_string(body, '$.params.bolt11') IS NOT NULL"""
+APPLY_INVOICE_CHANGE = f"""WITH chg AS ({INVOICE_CHANGE_ROWS}),
+own AS (SELECT c.* FROM chg c JOIN offers o ON o.id = c.offer_id WHERE c.sender = o.taker_pubkey),
+latest AS (SELECT offer_id, arg_max(bolt11, {{'t': ts, 'b': bolt11}}) AS bolt11, max(ts) AS ts FROM own GROUP BY offer_id)
+SELECT {_replace_cols({"taker_invoice": "coalesce(l.bolt11, o.taker_invoice)",
+                       "updated_at": "coalesce(l.ts, o.updated_at)"})}
+FROM offers o LEFT JOIN latest l ON l.offer_id = o.id"""
+
+
+def _validate_sql() -> str:
+    from offerlake.operators.lifecycle import (VALIDATE_REFS, decide_reason_sql, decide_status_sql,
+                                               decide_warning_sql)
+    reason = decide_reason_sql(VALIDATE_REFS)
+    return f"""SELECT offer_id, seq, action, actor, cur_status AS status, ({reason}) IS NULL AS accepted,
+  {reason} AS reason, {decide_status_sql(VALIDATE_REFS, reason)} AS new_status,
+  {decide_warning_sql(VALIDATE_REFS, reason)} AS warning
+FROM (SELECT a.*, CASE WHEN a.invoice_amount_sats IS NULL THEN NULL
+                       WHEN a.invoice_amount_sats > n.net + 10 THEN 'too_large'
+                       WHEN a.invoice_amount_sats < n.net - 100 THEN 'too_small' ELSE 'ok' END AS verdict,
+             o.status AS cur_status, o.maker_pubkey, o.taker_pubkey, o.blik_received_at, o.taker_invoice
+      FROM action_log a
+      LEFT JOIN (SELECT id, {NET_SUBMIT} AS net FROM offers) n ON n.id = a.offer_id
+      LEFT JOIN offers o ON o.id = a.offer_id) j"""
+
+
+VALIDATE_ACTIONS = _validate_sql()

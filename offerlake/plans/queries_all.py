@@ -8,3 +8,4 @@ catalog._audit()
 catalog._feed()
 catalog._pricing()
 catalog._payments()
+catalog._lifecycle()

@@ -192,3 +192,36 @@ AUDIT_COLUMNS = [f.name for f in AUDIT_SCHEMA.fields]
 LISTING_COLUMNS = ["id", "status", "amount_sats", "fiat_amount", "created_at",
                    "updated_at", "reserved_at", "maker_confirmed_at",
                    "settled_at", "taker_paid_at"]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: the offer state machine
+# ---------------------------------------------------------------------------
+# action -> (who may do it, {from status: to status}). None as a from-status
+# means "offer does not exist yet"; "*" means any status (no guard).
+TRANSITIONS = {
+    "fund": ("system", {None: "funded"}),
+    "reserve": ("any", {"funded": "reserved", "invalidBlik": "reserved",
+                        "expiredBlik": "reserved", "expiredSentBlik": "reserved"}),
+    "submit_blik": ("taker", {"reserved": "blikReceived"}),
+    "get_blik": ("maker", {"blikReceived": "blikSentToMaker", "blikSentToMaker": "blikSentToMaker"}),
+    "mark_blik_invalid": ("maker", {"takerCharged": "conflict", "blikSentToMaker": "invalidBlik",
+                                    "expiredSentBlik": "invalidBlik"}),
+    "mark_blik_charged": ("taker", {"invalidBlik": "conflict", "expiredSentBlik": "takerCharged"}),
+    "open_dispute": ("maker", {"conflict": "dispute"}),
+    "confirm_payment": ("maker", {"conflict": "settled", "takerCharged": "settled",
+                                  "blikSentToMaker": "settled", "expiredSentBlik": "settled"}),
+    "cancel_reservation": ("taker", {"reserved": "funded", "expiredBlik": "funded", "invalidBlik": "funded"}),
+    "cancel_offer": ("maker", {"funded": "cancelled"}),
+    "pay_taker": ("system", {"settled": "takerPaid"}),
+    "pay_taker_failed": ("system", {"settled": "takerPaymentFailed"}),
+    "retry_taker_payment": ("taker", {"*": "takerPaid"}),
+    "expire_funded": ("system", {"funded": "expired"}),
+    "expire_reservation": ("system", {"reserved": "funded"}),
+    "expire_blik": ("system", {"blikReceived": "expiredBlik", "blikSentToMaker": "expiredSentBlik"}),
+    "auto_confirm": ("system", {"takerCharged": "settled"}),
+    "auto_dispute": ("system", {"conflict": "dispute"}),
+}
+# Re-reserving from these statuses is only allowed for the same taker.
+SAME_TAKER_RESERVE = ["invalidBlik", "expiredBlik"]
+# Statuses whose write clears the taker-side fields.
+CLEARING_STATUSES = ["funded", "expired", "cancelled"]
