@@ -44,7 +44,7 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
     rn = F.row_number().over(w)
     out = df.withColumn("_rn", rn).where((F.col("_rn") > offset) & (F.col("_rn") <= offset + k))
     if rank_col:
-        return out.withColumnRenamed("_rn", rank_col)
+        return out.withColumn(rank_col, F.col("_rn").cast("bigint")).drop("_rn")
     return out.drop("_rn")
 
 

@@ -264,3 +264,20 @@ def _lifecycle() -> None:
     register("validate_actions", O.VALIDATE_ACTIONS, "action_log", "offers")(
         lambda t: LC.validate_actions(t.action_log, t.offers))
     register("replay_actions")(lambda t: LC.replay_actions(t.action_log, t.offers))
+
+
+# ---------------------------------------------------------------------------
+# §2.4 joins on changes
+# ---------------------------------------------------------------------------
+def _joins() -> None:
+    from offerlake.operators import changes as C
+    from offerlake.operators import pricing as P
+
+    register("changes_enriched", O.CHANGES_ENRICHED, "offer_changes", "offers")(
+        lambda t: C.changes_enriched(t.offer_changes, t.offers))
+    register("audit_changes_enriched", O.AUDIT_CHANGES_ENRICHED, "audit_changes", "audit")(
+        lambda t: C.audit_changes_enriched(t.audit_changes, t.audit))
+    register("fund_offers", O.FUND_OFFERS, "rate_payloads", "quotes", "quote_updates", "offers")(
+        lambda t: C.fund_offers(P.quote_offer(priced_quotes(t)), t.quote_updates, t.offers))
+    register("offers_with_audit", O.OFFERS_WITH_AUDIT, "offers", "audit")(
+        lambda t: C.offers_with_audit(t.offers, t.audit))

@@ -648,3 +648,49 @@ FROM (SELECT a.*, CASE WHEN a.invoice_amount_sats IS NULL THEN NULL
 
 
 VALIDATE_ACTIONS = _validate_sql()
+
+# ---------------------------------------------------------------------------
+# §2.4 joins on changes
+# ---------------------------------------------------------------------------
+CHANGES_ENRICHED = f"""SELECT c.seq, c.operation, c.offer_id,
+  CASE WHEN o.id IS NOT NULL THEN 'offer_changed' ELSE 'offer_removed' END AS type,
+  {', '.join('o.' + x for x in S.LISTING_COLUMNS if x != 'id')}
+FROM offer_changes c LEFT JOIN offers o ON o.id = c.offer_id WHERE c.offer_id IS NOT NULL"""
+
+_AV = ["id", "offer_id", "action", "level", "message", "created_at"]
+AUDIT_CHANGES_ENRICHED = f"""WITH latest AS (
+  SELECT offer_id, arg_max({{{', '.join(f"'{x}': {x}" for x in _AV)}}}, {{'c': created_at, 'i': id}}) AS r
+  FROM audit WHERE offer_id IS NOT NULL GROUP BY offer_id)
+SELECT c.seq, c.operation, c.offer_id, c.audit_id, 'audit_changed' AS type,
+  {', '.join(f"CASE WHEN a.id IS NOT NULL THEN a.{x} WHEN c.operation <> 'DELETE' THEN l.r.{x} END AS entry_{x}" for x in _AV)}
+FROM audit_changes c LEFT JOIN audit a ON a.id = c.audit_id LEFT JOIN latest l ON l.offer_id = c.offer_id
+WHERE c.offer_id IS NOT NULL"""
+
+FUND_OFFERS = f"""WITH {RATE_AT_CTE},
+q AS (SELECT *, {_SATS} AS amount_sats, {_fee(_SATS, S.MAKER_FEE_PCT)} AS maker_fees,
+             {_fee(_SATS, S.TAKER_FEE_PCT)} AS taker_fees FROM priced),
+d AS (SELECT payment_hash, arg_min({{'status': status, 'ts': ts}}, seq) AS d FROM quote_updates
+      WHERE status IN ('ACCEPTED', 'CANCELED') GROUP BY payment_hash),
+r AS (SELECT q.*, d.d,
+        CASE WHEN d.d IS NULL THEN 'pending' WHEN d.d.status = 'CANCELED' THEN 'canceled'
+             WHEN q.amount_sats IS NULL THEN 'no_quote'
+             WHEN q.payment_hash IN (SELECT hold_invoice_payment_hash FROM offers) THEN 'already_exists'
+             ELSE 'funded' END AS outcome
+      FROM q LEFT JOIN d ON d.payment_hash = q.payment_hash)
+SELECT quote_id, payment_hash, outcome,
+  CASE WHEN outcome = 'funded' THEN '00000000-0000-4000-8000-' || lpad(CAST(quote_id + 100000000000 AS VARCHAR), 12, '0') END AS id,
+  CASE WHEN outcome = 'funded' THEN amount_sats END AS amount_sats,
+  CASE WHEN outcome = 'funded' THEN maker_fees END AS maker_fees,
+  CASE WHEN outcome = 'funded' THEN taker_fees END AS taker_fees,
+  CASE WHEN outcome = 'funded' THEN maker_id END AS maker_pubkey,
+  CASE WHEN outcome = 'funded' THEN 'funded' END AS status,
+  CASE WHEN outcome = 'funded' THEN d.ts END AS created_at,
+  CASE WHEN outcome = 'funded' THEN CAST(fiat_amount AS DECIMAL(18,2)) END AS fiat_amount
+FROM r"""
+
+OFFERS_WITH_AUDIT = f"""SELECT {', '.join('o.' + x for x in S.LISTING_COLUMNS)}, t.id AS audit_id, t.rn AS audit_rank,
+  t.action AS audit_action, t.message AS audit_message, t.created_at AS audit_created_at
+FROM offers o JOIN (
+  SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY created_at DESC, id DESC) AS rn
+  FROM audit WHERE offer_id IS NOT NULL) t ON t.offer_id = o.id
+WHERE t.rn <= 50"""

@@ -9,3 +9,4 @@ catalog._feed()
 catalog._pricing()
 catalog._payments()
 catalog._lifecycle()
+catalog._joins()

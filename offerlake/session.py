@@ -19,6 +19,7 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -45,7 +46,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     for k, v in BASE_CONF.items():
-        if k != "spark.ui.enabled":
+        if not k.startswith("spark.ui."):
             spark.conf.set(k, v)
     return spark
 

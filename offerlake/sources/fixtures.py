@@ -278,10 +278,21 @@ REQUESTS = Fixture("requests", "events", [
 # --------------------------------------------------------------------------
 QUOTES = Fixture("quotes", "events", [
     Stage([("quote_id", "event_id"), ("fiat_amount", "value"), ("ts", "ts"),
-           ("payment_hash", "'hash-q' || CAST(event_id AS STRING)"), ("maker_id", "'maker-' || CAST(user_id AS STRING)")],
+           ("payment_hash", "CASE WHEN event_id % 25 = 1 THEN 'hash-' ELSE 'hash-q' END || CAST(event_id AS STRING)"),
+           ("maker_id", "'maker-' || CAST(user_id AS STRING)")],
           where="quote_id % 2 = 1"),
 ])
 
+# Hold-invoice updates of the quotes: OPEN, then ACCEPTED (CANCELED when
+# quote_id % 10 = 3, nothing when % 10 = 7), and a repeated ACCEPTED when % 10 = 1.
+QUOTE_UPDATES = Fixture("quote_updates", "quotes", [
+    Stage([("q", "quote_id"), ("h", "payment_hash"), ("t", "ts"), ("i", "{gen:3}")]),
+    Stage([("payment_hash", "h"), ("seq", "CAST(i AS INT)"),
+           ("status", "CASE WHEN i = 1 THEN 'OPEN' WHEN i = 2 AND q % 10 = 3 THEN 'CANCELED' "
+                      "WHEN i = 2 AND q % 10 <> 7 THEN 'ACCEPTED' WHEN i = 3 AND q % 10 = 1 THEN 'ACCEPTED' END"),
+           ("ts", "{add_s:t::CASE i WHEN 1 THEN 1 WHEN 2 THEN 30 ELSE 60 END}")], where="status IS NOT NULL"),
+])
+
 _RATE_BODY = _case("s", [
     ("0", "'{\"bitcoin\":{\"pln\":' || r || '}}'"),
     ("1", "'{\"BTC\":' || r || ',\"USD\":' || CAST(CAST(value AS DECIMAL(12,2)) AS STRING) || ',\"base\":\"PLN\"}'"),
@@ -437,7 +448,7 @@ ACTION_LOG = Fixture("action_log", "orders", [
 
 SIMPLE_FIXTURES = {f.name: f for f in [
     OFFERS, LOG_RECORDS, OFFER_CHANGES, AUDIT_CHANGES, REQUESTS, QUOTES, RATE_PAYLOADS,
-    INVOICE_UPDATES, PAYMENT_UPDATES, INVOICES_RAW, ADDRESSES, ACTION_LOG]}
+    INVOICE_UPDATES, PAYMENT_UPDATES, INVOICES_RAW, ADDRESSES, ACTION_LOG, QUOTE_UPDATES]}
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -516,6 +527,7 @@ FIXTURE_DEPS = {
     "requests": [], "quotes": [], "rate_payloads": [], "action_log": [],
     "invoice_updates": ["offers"], "payment_updates": ["offers"], "invoices_raw": ["offers"],
     "addresses": ["offers"], "status_events": ["offers"], "audit": ["log_records"],
+    "quote_updates": ["quotes"],
 }
 
 
