@@ -281,3 +281,115 @@ def _joins() -> None:
         lambda t: C.fund_offers(P.quote_offer(priced_quotes(t)), t.quote_updates, t.offers))
     register("offers_with_audit", O.OFFERS_WITH_AUDIT, "offers", "audit")(
         lambda t: C.offers_with_audit(t.offers, t.audit))
+
+
+# ---------------------------------------------------------------------------
+# §2.1 sources and sinks
+# ---------------------------------------------------------------------------
+def funded_offer_rows(t: Tables):
+    """New offers produced by funding, in the stored-table shape."""
+    from pyspark.sql import functions as F
+
+    from offerlake import schema as S
+    from offerlake.operators import changes as C
+    from offerlake.operators import pricing as P
+    f = C.fund_offers(P.quote_offer(priced_quotes(t)), t.quote_updates, t.offers).where(F.col("outcome") == "funded")
+    cols = {"hold_invoice_payment_hash": F.col("payment_hash"), "fiat_currency": F.lit("PLN")}
+    return f.select(*[(cols[c] if c in cols else
+                       (F.col(c) if c in f.columns else F.lit(None))).cast(S.OFFER_SCHEMA[c].dataType).alias(c)
+                      for c in S.OFFER_COLUMNS])
+
+
+def _sources() -> None:
+    from pyspark.sql import functions as F
+
+    from offerlake import schema as S
+    from offerlake.operators import feed as FD
+    from offerlake.sources import io as IO
+    from offerlake.sources.fixtures import EVENTS_AS_OF
+
+    def read_offers_q(t: Tables):
+        spark = t.spark
+        path = IO.scratch_path(spark, "offers-table")
+        k = F.substring("id", 25, 12).cast("bigint")
+        new_shape = t.offers.where(k % 2 == 0).withColumn("blik_code", F.lit("123456")) \
+            .withColumn("hold_invoice_preimage", F.lit("secret"))
+        old_shape = t.offers.where(k % 2 == 1).drop(*S.OFFER_LATE_COLUMNS).withColumn("hold_invoice_preimage",
+                                                                                     F.lit("secret"))
+        new_shape.write.parquet(path)
+        old_shape.write.mode("append").parquet(path)
+        return IO.read_offers(spark, path)
+
+    register("read_offers", O.READ_OFFERS, "offers")(read_offers_q)
+
+    def read_audit_q(t: Tables):
+        path = IO.scratch_path(t.spark, "audit-table")
+        IO.append_audit(t.audit, path)
+        return IO.read_audit(t.spark, path)
+
+    register("read_audit", O.READ_AUDIT, "audit")(read_audit_q)
+
+    def append_offers_q(t: Tables):
+        path = IO.scratch_path(t.spark, "offers-append")
+        IO.write_offers(t.offers, path)
+        k = F.substring("id", 25, 12).cast("bigint")
+        new = funded_offer_rows(t)
+        replays = t.offers.where(k % 150 == 0)  # already stored: must not be appended again
+        IO.append_offers(new.unionByName(new).unionByName(replays), path, EVENTS_AS_OF)
+        return IO.read_offers(t.spark, path)
+
+    register("append_offers", O.APPEND_OFFERS, "offers", "rate_payloads", "quotes", "quote_updates")(append_offers_q)
+
+    def append_audit_q(t: Tables):
+        path = IO.scratch_path(t.spark, "audit-append")
+        IO.append_audit(t.audit.where(F.col("id") % 2 == 0), path)
+        IO.append_audit(t.audit.where(F.col("id") % 2 == 1), path)
+        return IO.read_audit(t.spark, path)
+
+    register("append_audit", O.READ_AUDIT, "audit")(append_audit_q)
+
+    def read_rates_q(t: Tables):
+        path = IO.scratch_path(t.spark, "rates-json")
+        IO.write_rates(t.rate_payloads, path)
+        return IO.read_rates(t.spark, path)
+
+    register("read_rates", O.READ_RATES, "rate_payloads")(read_rates_q)
+
+    def publish_orders_q(t: Tables):
+        path = IO.scratch_path(t.spark, "orders-feed")
+        IO.publish_orders(FD.order_events(t.offers, as_json=True), path)
+        return t.spark.read.schema("id STRING, kind INT, tags STRING").json(path)
+
+    register("publish_orders", O.ORDER_EVENTS, "offers")(publish_orders_q)
+
+    def report_json_q(t: Tables):
+        from offerlake.operators import reports as R
+        return IO.report_json(R.metrics_by_period(t.offers, "weekly", ORDERS_AS_OF), R.metrics_totals(t.offers),
+                              R.taker_domain_ranking(t.offers), R.weekday_profile(t.offers))
+
+    register("report_json")(report_json_q)
+
+
+# ---------------------------------------------------------------------------
+# §2.10 streaming (each compared with its batch twin)
+# ---------------------------------------------------------------------------
+def _streams() -> None:
+    from offerlake.operators import pricing as P
+    from offerlake.streaming import jobs as J
+
+    register("read_changes", O.READ_CHANGES, "offer_changes")(
+        lambda t: t.spark.read.parquet(J.run_to_files(J.read_changes(t.spark, t.offer_changes), "changes")))
+    register("stream_enrich_audit", O.ENRICH_AUDIT, "audit")(
+        lambda t: J.stream_enrich_audit(t.spark, t.log_records))
+    register("stream_validate_requests", O.VALIDATE_REQUESTS, "requests")(
+        lambda t: J.stream_validate_requests(t.spark, t.requests))
+    register("stream_offer_changes", O.CHANGES_ENRICHED, "offer_changes", "offers")(
+        lambda t: J.stream_offer_changes(t.spark, t.offer_changes, t.offers))
+    register("stream_audit_changes", O.AUDIT_CHANGES_ENRICHED, "audit_changes", "audit")(
+        lambda t: J.stream_audit_changes(t.spark, t.audit_changes, t.audit))
+    register("stream_recent_offers", O.STREAM_RECENT_OFFERS, "offer_changes", "offers")(
+        lambda t: J.stream_recent_offers(t.spark, t.offer_changes, t.offers))
+    register("stream_rates", O.AVERAGE_RATE, "rate_payloads")(lambda t: J.stream_rates(t.spark, t.rate_payloads))
+    register("stream_fund_offers", O.STREAM_FUND_OFFERS, "rate_payloads", "quotes", "quote_updates", "offers")(
+        lambda t: J.stream_fund_offers(t.spark, P.quote_offer(priced_quotes(t)), t.quote_updates, t.offers))
+    register("stream_deadlines")(lambda t: J.stream_deadlines(t.spark, t.status_events))

@@ -694,3 +694,33 @@ FROM offers o JOIN (
   SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY created_at DESC, id DESC) AS rn
   FROM audit WHERE offer_id IS NOT NULL) t ON t.offer_id = o.id
 WHERE t.rn <= 50"""
+
+# ---------------------------------------------------------------------------
+# §2.1 sources and sinks, §2.10 streams (batch twins)
+# ---------------------------------------------------------------------------
+_ODD = "CAST(substr(id, 25) AS BIGINT) % 2 = 1"
+READ_OFFERS = "SELECT " + ", ".join(
+    f"CASE WHEN {_ODD} THEN NULL ELSE {c} END AS {c}" if c in S.OFFER_LATE_COLUMNS else c
+    for c in S.OFFER_COLUMNS) + " FROM offers"
+READ_AUDIT = ENRICH_AUDIT
+READ_RATES = "SELECT round_id, source, fetched_at, CAST(http_status AS INTEGER) AS http_status, body FROM rate_payloads"
+
+_FUNDED_COLS = ["quote_id", "payment_hash", "id", "amount_sats", "maker_fees", "taker_fees", "maker_pubkey",
+                "status", "created_at", "fiat_amount"]
+STREAM_FUND_OFFERS = f"SELECT {', '.join(_FUNDED_COLS)} FROM ({FUND_OFFERS}) f WHERE outcome = 'funded'"
+
+APPEND_OFFERS = f"""SELECT {OFFER_COLS} FROM offers
+UNION ALL
+SELECT id, amount_sats, maker_fees, taker_fees, maker_pubkey, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+  CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), payment_hash, status, created_at, {EV_NOW}, CAST(NULL AS TIMESTAMP),
+  CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP),
+  fiat_amount, 'PLN'
+FROM ({STREAM_FUND_OFFERS}) n"""
+
+READ_CHANGES = "SELECT seq, operation, offer_id, change_ts FROM offer_changes"
+
+STREAM_RECENT_OFFERS = f"""WITH e AS ({CHANGES_ENRICHED}),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY seq DESC) AS rn FROM e) x
+           WHERE rn = 1 AND type = 'offer_changed')
+SELECT offer_id AS id, {', '.join(c for c in S.LISTING_COLUMNS if c != 'id')} FROM latest
+ORDER BY coalesce(updated_at, created_at) DESC, offer_id LIMIT 50"""

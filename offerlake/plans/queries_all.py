@@ -10,3 +10,5 @@ catalog._pricing()
 catalog._payments()
 catalog._lifecycle()
 catalog._joins()
+catalog._sources()
+catalog._streams()
