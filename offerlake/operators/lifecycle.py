@@ -337,13 +337,15 @@ def apply_invoice_change(offers: DataFrame, changes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # actions
 # ---------------------------------------------------------------------------
-def _with_verdict(actions: DataFrame, offers: DataFrame) -> DataFrame:
-    from offerlake.operators.pricing import invoice_tolerance, taker_net_amount
-    net = taker_net_amount(offers).select(F.col("id").alias("offer_id"), "net_at_submit")
-    return (actions.join(net, "offer_id", "left")
-            .withColumn("verdict", F.when(F.col("invoice_amount_sats").isNotNull(),
-                                          invoice_tolerance(F.col("invoice_amount_sats"), F.col("net_at_submit"))))
-            .drop("net_at_submit"))
+def _verdict(net: Column) -> Column:
+    from offerlake.operators.pricing import invoice_tolerance
+    return F.when(F.col("invoice_amount_sats").isNotNull(), invoice_tolerance(F.col("invoice_amount_sats"), net))
+
+
+def _net_at_submit() -> Column:
+    from offerlake.functions import fee_ceil
+    amt = F.col("amount_sats")
+    return amt - F.coalesce(F.col("taker_fees"), fee_ceil(amt, S.TAKER_FEE_PCT))
 
 
 VALIDATE_REFS = {"action": "action", "status": "cur_status", "actor": "actor", "maker": "maker_pubkey",
@@ -355,9 +357,10 @@ def validate_actions(actions: DataFrame, offers: DataFrame) -> DataFrame:
     """Each requested action against the offer's current row: accepted or
     the reason (not_found, wrong_actor, wrong_state, ...), plus the status
     it would move to."""
-    cur = offers.select("id", F.col("status").alias("cur_status"), "maker_pubkey", "taker_pubkey",
-                        "blik_received_at", "taker_invoice")
-    j = _with_verdict(actions, offers).join(cur, F.col("offer_id") == F.col("id"), "left")
+    # One join with the current rows brings both the state and the amounts.
+    cur = offers.select(F.col("id").alias("offer_id"), F.col("status").alias("cur_status"), "maker_pubkey",
+                        "taker_pubkey", "blik_received_at", "taker_invoice", "amount_sats", "taker_fees")
+    j = actions.join(cur, "offer_id", "left").withColumn("verdict", _verdict(_net_at_submit()))
     reason = decide_reason_sql(VALIDATE_REFS)
     return j.select(
         "offer_id", "seq", "action", "actor", F.col("cur_status").alias("status"),
@@ -379,20 +382,23 @@ def replay_actions(actions: DataFrame, offers: DataFrame) -> DataFrame:
     The fold is a JVM higher-order ``aggregate`` over the offer's sorted
     action list (one offer's log is bounded by its protocol steps); no
     Python runs per row."""
-    makers = offers.select(F.col("id").alias("offer_id"), F.col("maker_pubkey").alias("maker"))
-    acts = _with_verdict(actions, offers).join(makers, "offer_id", "left")
+    makers = offers.select(F.col("id").alias("offer_id"), F.col("maker_pubkey").alias("maker"),
+                           "amount_sats", "taker_fees")
+    acts = actions.join(makers, "offer_id", "left").withColumn("verdict", _verdict(_net_at_submit()))
     grouped = acts.groupBy("offer_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("seq").cast("int").alias("seq"), "action", "actor", "maker", "verdict"))).alias("acts"))
+    # Lambdas are evaluated per element; bind the decision once per step with
+    # single-element `transform`s (d = reason, e = new status / warning).
     reason = decide_reason_sql(REPLAY_REFS)
-    new_status = decide_status_sql(REPLAY_REFS, reason)
-    warning = decide_warning_sql(REPLAY_REFS, reason)
-    ok = f"(({reason}) IS NULL)"
-    clears = f"(({new_status}) IN ('funded', 'expired', 'cancelled'))"
+    new_status = decide_status_sql(REPLAY_REFS, "d.reason")
+    warning = decide_warning_sql(REPLAY_REFS, "d.reason")
+    ok = "(d.reason IS NULL)"
+    clears = "(e.ns IN ('funded', 'expired', 'cancelled'))"
     zero = ("named_struct('status', CAST(NULL AS STRING), 'taker', CAST(NULL AS STRING), "
             "'has_blik', false, 'has_invoice', false, 'accepted', 0, 'warnings', 0, "
             "'rejected', CAST(array() AS ARRAY<STRUCT<seq: INT, action: STRING, reason: STRING>>))")
-    step = f"""named_struct(
-        'status', {new_status},
+    state = f"""named_struct(
+        'status', e.ns,
         'taker', CASE WHEN {ok} AND x.action = 'reserve' THEN x.actor WHEN {ok} AND {clears} THEN NULL
                       ELSE acc.taker END,
         'has_blik', CASE WHEN {ok} AND x.action = 'submit_blik' THEN true WHEN {ok} AND {clears} THEN false
@@ -400,10 +406,12 @@ def replay_actions(actions: DataFrame, offers: DataFrame) -> DataFrame:
         'has_invoice', CASE WHEN {ok} AND x.action = 'submit_blik' THEN true WHEN {ok} AND {clears} THEN false
                             ELSE acc.has_invoice END,
         'accepted', acc.accepted + CASE WHEN {ok} THEN 1 ELSE 0 END,
-        'warnings', acc.warnings + CASE WHEN ({warning}) IS NULL THEN 0 ELSE 1 END,
+        'warnings', acc.warnings + CASE WHEN e.warn IS NULL THEN 0 ELSE 1 END,
         'rejected', CASE WHEN {ok} THEN acc.rejected
                          ELSE concat(acc.rejected, array(named_struct('seq', x.seq, 'action', x.action,
-                                                                      'reason', {reason}))) END)"""
+                                                                      'reason', d.reason))) END)"""
+    step = (f"element_at(transform(array(named_struct('reason', {reason})), d -> "
+            f"element_at(transform(array(named_struct('ns', {new_status}, 'warn', {warning})), e -> {state}), 1)), 1)")
     folded = grouped.select("offer_id", F.size("acts").alias("n_actions"),
                             F.expr(f"aggregate(acts, {zero}, (acc, x) -> {step})").alias("s"))
     return folded.select("offer_id", F.col("s.status").alias("final_status"), F.col("s.taker").alias("taker_pubkey"),

@@ -415,40 +415,42 @@ SCENARIOS = [
     HAPPY + [("retry_taker_payment", "taker")],
     [("reserve", "taker"), ("fund", "system"), ("get_blik", "maker"), ("expire_funded", "system")],
 ]
-_MAX_STEPS = max(len(s) for s in SCENARIOS)
+SCENARIO_STEPS = [(si, j + 1, a, role) for si, steps in enumerate(SCENARIOS) for j, (a, role) in enumerate(steps)]
+
+# action_log = orders joined with the literal step table on k % 12 (each order
+# gets exactly its scenario's steps); in Spark the step table is a fixed-size
+# broadcast.
+_ACTION_COLS = [
+    ("offer_id", "{uuid:o_orderkey}"),
+    ("seq", "CAST(step AS INT)"),
+    ("action", "action"),
+    ("actor", _case("role", [("'maker'", "'maker-' || CAST(o_custkey AS STRING)"),
+                             ("'taker'", "'taker-' || CAST((o_orderkey * 31) % 997 AS STRING)"),
+                             ("'taker2'", "'taker-x' || CAST(o_orderkey AS STRING)")], "'system'")),
+    ("ts", "{add_s:{add_s:o_orderdate::(o_orderkey * 7919) % 86400}::10 * step}"),
+    ("invoice_amount_sats", "CASE WHEN action = 'submit_blik' AND sc = 1 AND role = 'taker' THEN "
+                            "CAST(floor(o_totalprice) AS BIGINT) - "
+                            "{div:CAST(floor(o_totalprice) AS BIGINT) * 5 + 999::1000} + 50 END"),
+]
 
 
-def _scenario_case(pick) -> str:
-    whens = []
-    for si, steps in enumerate(SCENARIOS):
-        inner = " ".join(f"WHEN {j + 1} THEN {pick(a)}" for j, a in enumerate(steps))
-        whens.append((str(si), f"CASE step {inner} ELSE NULL END"))
-    return _case("sc", whens)
+def action_log_duck() -> str:
+    values = ", ".join(f"({sc}, {st}, '{a}', '{r}')" for sc, st, a, r in SCENARIO_STEPS)
+    cols = ", ".join(f"{_expand(e, 'duck')} AS {n}" for n, e in _ACTION_COLS)
+    return (f"SELECT {cols} FROM orders o JOIN (VALUES {values}) AS s(sc, step, action, role) "
+            f"ON s.sc = o.o_orderkey % 12")
 
 
-ACTION_LOG = Fixture("action_log", "orders", [
-    Stage([("k", "o_orderkey"), ("cust", "o_custkey"), ("price", "o_totalprice"),
-           ("odate", "o_orderdate"), ("step", f"{{gen:{_MAX_STEPS}}}")]),
-    Stage([("sc", "k % 12")], keep=True),
-    Stage([("action", _scenario_case(lambda a: _q(a[0]))),
-           ("role", _scenario_case(lambda a: _q(a[1])))], keep=True),
-    Stage([
-        ("offer_id", "{uuid:k}"),
-        ("seq", "CAST(step AS INT)"),
-        ("action", "action"),
-        ("actor", _case("role", [("'maker'", "'maker-' || CAST(cust AS STRING)"),
-                                 ("'taker'", "'taker-' || CAST((k * 31) % 997 AS STRING)"),
-                                 ("'taker2'", "'taker-x' || CAST(k AS STRING)")], "'system'")),
-        ("ts", "{add_s:{add_s:odate::(k * 7919) % 86400}::10 * step}"),
-        ("invoice_amount_sats", "CASE WHEN action = 'submit_blik' AND sc = 1 AND role = 'taker' THEN "
-                                "CAST(floor(price) AS BIGINT) - {div:CAST(floor(price) AS BIGINT) * 5 + 999::1000}"
-                                " + 50 END"),
-    ], where="action IS NOT NULL"),
-], final=["offer_id", "seq", "action", "actor", "ts", "invoice_amount_sats"])
+def action_log_spark(orders: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+    steps = orders.sparkSession.createDataFrame(SCENARIO_STEPS, "sc INT, step INT, action STRING, role STRING")
+    j = orders.join(F.broadcast(steps), F.col("o_orderkey") % 12 == F.col("sc"))
+    return j.selectExpr(*[f"{_expand(e, 'spark')} AS {n}" for n, e in _ACTION_COLS])
+
 
 SIMPLE_FIXTURES = {f.name: f for f in [
     OFFERS, LOG_RECORDS, OFFER_CHANGES, AUDIT_CHANGES, REQUESTS, QUOTES, RATE_PAYLOADS,
-    INVOICE_UPDATES, PAYMENT_UPDATES, INVOICES_RAW, ADDRESSES, ACTION_LOG, QUOTE_UPDATES]}
+    INVOICE_UPDATES, PAYMENT_UPDATES, INVOICES_RAW, ADDRESSES, QUOTE_UPDATES]}
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -513,6 +515,8 @@ class Tables:
             return self.base(name)
         if name == "status_events":
             return status_events_spark(self["offers"])
+        if name == "action_log":
+            return action_log_spark(self["orders"])
         if name == "audit":
             from offerlake.operators.audit import enrich_audit
             return enrich_audit(self["log_records"])
@@ -534,6 +538,8 @@ FIXTURE_DEPS = {
 def fixture_sql(name: str) -> str:
     if name == "status_events":
         return status_events_duck()
+    if name == "action_log":
+        return action_log_duck()
     if name == "audit":
         from offerlake.plans.oracle import AUDIT_SQL
         return AUDIT_SQL
