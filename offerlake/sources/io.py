@@ -40,14 +40,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # ---------------------------------------------------------------------------
 # offers
 # ---------------------------------------------------------------------------
-def read_offers(spark: SparkSession, path: str, fiat_scale: int = 2) -> DataFrame:
+def read_offers(spark: SparkSession, path: str, fiat_scale: int = 2, since: datetime | str | None = None,
+                until: datetime | str | None = None) -> DataFrame:
     """Scan an offers table with the fixed schema; secrets are not read,
     late columns missing from old files are NULL, unknown statuses are
-    dropped (see `offer_status_rejects`)."""
+    dropped (see `offer_status_rejects`). ``since`` / ``until`` restrict
+    created_at and add the matching ``created_date`` partition predicate,
+    so only the needed date folders are listed and read."""
     fields = [f if f.name != "fiat_amount" else T.StructField("fiat_amount", T.DecimalType(18, fiat_scale), True)
               for f in S.OFFER_SCHEMA.fields]
     schema = T.StructType(fields)
     df = spark.read.schema(schema).parquet(path)
+    if since is not None or until is not None:
+        if PARTITION_COL not in df.columns:
+            df = spark.read.schema(T.StructType(fields + [T.StructField(PARTITION_COL, T.DateType())])).parquet(path)
+        if since is not None:
+            df = df.where((F.col(PARTITION_COL) >= F.to_date(ts_lit(since))) & (F.col("created_at") >= ts_lit(since)))
+        if until is not None:
+            df = df.where((F.col(PARTITION_COL) <= F.to_date(ts_lit(until))) & (F.col("created_at") < ts_lit(until)))
     return df.where(F.col("status").isin(S.STATUSES)).select(*S.OFFER_COLUMNS)
 
 
