@@ -374,19 +374,99 @@ REPLAY_REFS = {"action": "x.action", "status": "acc.status", "actor": "x.actor",
                "taker": "acc.taker", "has_blik": "acc.has_blik", "has_invoice": "acc.has_invoice",
                "verdict": "x.verdict"}
 
-
-def replay_actions(actions: DataFrame, offers: DataFrame) -> DataFrame:
-    """Fold each offer's action log, in seq order, from "no offer": the final
-    status, the taker, counts, and the list of rejected steps.
-
-    The fold is a JVM higher-order ``aggregate`` over the offer's sorted
-    action list (one offer's log is bounded by its protocol steps); no
-    Python runs per row."""
+STEP_SCHEMA = ("offer_id STRING, seq INT, action STRING, actor STRING, status_before STRING, "
+               "status_after STRING, accepted BOOLEAN, reason STRING, warning STRING, taker_after STRING")
+
+
+def decide(action, status, actor, maker, taker, has_blik, has_invoice, verdict):
+    """Python twin of the generated SQL rule (used for offers whose action
+    log is too long for one in-row fold). Returns (reason, new_status,
+    warning)."""
+    if action not in S.TRANSITIONS:
+        return "unknown_action", status, None
+    if action == "fund":
+        return (None, "funded", None) if status is None else ("already_exists", status, None)
+    if status is None:
+        return "not_found", status, None
+    role, moves = S.TRANSITIONS[action]
+    froms = [f for f in moves if f is not None]
+    state_bad = False if froms == ["*"] else status not in froms
+    is_maker = maker is not None and actor is not None and maker == actor
+    is_taker = taker is not None and actor is not None and taker == actor
+    actor_bad = {"maker": not is_maker, "taker": not is_taker,
+                 "system": actor is not None and actor != "system", "any": False}[role]
+    if action == "reserve":
+        checks = [(state_bad, "wrong_state"), (status in S.SAME_TAKER_RESERVE and not is_taker, "wrong_actor")]
+    else:
+        checks = [(actor_bad, "wrong_actor"), (state_bad, "wrong_state")]
+    if action == "get_blik":
+        checks.append((not has_blik, "missing_blik_code"))
+    if action == "retry_taker_payment":
+        checks.append((not has_invoice, "no_invoice"))
+    if action == "submit_blik":
+        checks.append(((verdict or "ok") == "too_large", "invoice_too_large"))
+        checks.append(((verdict or "ok") == "too_small", "invoice_too_small"))
+    reason = next((why for bad, why in checks if bad), None)
+    if reason is not None:
+        return reason, status, None
+    new = moves.get(status, moves.get("*"))
+    warning = "retry_on_paid" if action == "retry_taker_payment" and status == "takerPaid" else None
+    return None, new, warning
+
+
+def _fold_sorted_batches(batches):
+    """mapInPandas body: rows arrive sorted by (offer_id, seq); the state of
+    the current offer is carried across Arrow batches, nothing is buffered."""
+    import pandas as pd
+    cur = None
+    status = taker = None
+    has_blik = has_inv = False
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            if r.offer_id != cur:
+                cur, status, taker, has_blik, has_inv = r.offer_id, None, None, False, False
+            reason, new, warn = decide(r.action, status, r.actor, r.maker, taker, has_blik, has_inv,
+                                       r.verdict if isinstance(r.verdict, str) else None)
+            ok = reason is None
+            before = status
+            if ok:
+                clears = new in S.CLEARING_STATUSES
+                if r.action == "reserve":
+                    taker = r.actor
+                elif clears:
+                    taker = None
+                if r.action == "submit_blik":
+                    has_blik = has_inv = True
+                elif clears:
+                    has_blik = has_inv = False
+                status = new
+            out.append((r.offer_id, int(r.seq), r.action, r.actor, before, status, ok, reason, warn, taker))
+        yield pd.DataFrame(out, columns=["offer_id", "seq", "action", "actor", "status_before", "status_after",
+                                         "accepted", "reason", "warning", "taker_after"])
+
+
+def replay_steps(actions: DataFrame, offers: DataFrame, hot_threshold: int = 1000) -> DataFrame:
+    """Replay every offer's action log in seq order from "no offer" and
+    return one decision row per action (status before / after, accepted or
+    the reason, warning, taker after).
+
+    Offers with at most ``hot_threshold`` actions (nearly all) fold inside
+    the JVM: higher-order ``aggregate`` over the offer's sorted action list.
+    Longer logs are never collected: their rows are sorted by (offer, seq)
+    and folded by ``mapInPandas`` with the state carried in a few variables,
+    so memory stays bounded however hot the offer is."""
     makers = offers.select(F.col("id").alias("offer_id"), F.col("maker_pubkey").alias("maker"),
                            "amount_sats", "taker_fees")
-    acts = actions.join(makers, "offer_id", "left").withColumn("verdict", _verdict(_net_at_submit()))
-    grouped = acts.groupBy("offer_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("seq").cast("int").alias("seq"), "action", "actor", "maker", "verdict"))).alias("acts"))
+    acts = (actions.join(makers, "offer_id", "left").withColumn("verdict", _verdict(_net_at_submit()))
+            .select("offer_id", F.col("seq").cast("int").alias("seq"), "action", "actor", "maker", "verdict"))
+    sizes = acts.groupBy("offer_id").agg(F.count(F.lit(1)).alias("_n"))
+    hot_ids = sizes.where(F.col("_n") > hot_threshold).select("offer_id")
+    normal = acts.join(hot_ids, "offer_id", "left_anti")
+    hot = acts.join(hot_ids, "offer_id", "left_semi")
+
+    grouped = normal.groupBy("offer_id").agg(F.array_sort(F.collect_list(F.struct(
+        "seq", "action", "actor", "maker", "verdict"))).alias("acts"))
     # Lambdas are evaluated per element; bind the decision once per step with
     # single-element `transform`s (d = reason, e = new status / warning).
     reason = decide_reason_sql(REPLAY_REFS)
@@ -394,27 +474,43 @@ def replay_actions(actions: DataFrame, offers: DataFrame) -> DataFrame:
     warning = decide_warning_sql(REPLAY_REFS, "d.reason")
     ok = "(d.reason IS NULL)"
     clears = "(e.ns IN ('funded', 'expired', 'cancelled'))"
+    step_type = ("ARRAY<STRUCT<seq: INT, action: STRING, actor: STRING, status_before: STRING, "
+                 "status_after: STRING, accepted: BOOLEAN, reason: STRING, warning: STRING, taker_after: STRING>>")
     zero = ("named_struct('status', CAST(NULL AS STRING), 'taker', CAST(NULL AS STRING), "
-            "'has_blik', false, 'has_invoice', false, 'accepted', 0, 'warnings', 0, "
-            "'rejected', CAST(array() AS ARRAY<STRUCT<seq: INT, action: STRING, reason: STRING>>))")
+            f"'has_blik', false, 'has_invoice', false, 'steps', CAST(array() AS {step_type}))")
+    taker_next = (f"CASE WHEN {ok} AND x.action = 'reserve' THEN x.actor WHEN {ok} AND {clears} THEN NULL "
+                  "ELSE acc.taker END")
     state = f"""named_struct(
         'status', e.ns,
-        'taker', CASE WHEN {ok} AND x.action = 'reserve' THEN x.actor WHEN {ok} AND {clears} THEN NULL
-                      ELSE acc.taker END,
+        'taker', {taker_next},
         'has_blik', CASE WHEN {ok} AND x.action = 'submit_blik' THEN true WHEN {ok} AND {clears} THEN false
                          ELSE acc.has_blik END,
         'has_invoice', CASE WHEN {ok} AND x.action = 'submit_blik' THEN true WHEN {ok} AND {clears} THEN false
                             ELSE acc.has_invoice END,
-        'accepted', acc.accepted + CASE WHEN {ok} THEN 1 ELSE 0 END,
-        'warnings', acc.warnings + CASE WHEN e.warn IS NULL THEN 0 ELSE 1 END,
-        'rejected', CASE WHEN {ok} THEN acc.rejected
-                         ELSE concat(acc.rejected, array(named_struct('seq', x.seq, 'action', x.action,
-                                                                      'reason', d.reason))) END)"""
+        'steps', concat(acc.steps, array(named_struct('seq', x.seq, 'action', x.action, 'actor', x.actor,
+            'status_before', acc.status, 'status_after', e.ns, 'accepted', {ok}, 'reason', d.reason,
+            'warning', e.warn, 'taker_after', {taker_next}))))"""
     step = (f"element_at(transform(array(named_struct('reason', {reason})), d -> "
             f"element_at(transform(array(named_struct('ns', {new_status}, 'warn', {warning})), e -> {state}), 1)), 1)")
-    folded = grouped.select("offer_id", F.size("acts").alias("n_actions"),
-                            F.expr(f"aggregate(acts, {zero}, (acc, x) -> {step})").alias("s"))
-    return folded.select("offer_id", F.col("s.status").alias("final_status"), F.col("s.taker").alias("taker_pubkey"),
-                         "n_actions", F.col("s.accepted").alias("n_accepted"),
-                         F.size("s.rejected").alias("n_rejected"), F.col("s.warnings").alias("n_warnings"),
-                         F.col("s.rejected").alias("rejected"))
+    folded = (grouped.select("offer_id", F.expr(f"aggregate(acts, {zero}, (acc, x) -> {step})").alias("s"))
+              .select("offer_id", F.inline("s.steps")))
+
+    streamed = (hot.repartition("offer_id").sortWithinPartitions("offer_id", "seq")
+                .mapInPandas(_fold_sorted_batches, STEP_SCHEMA))
+    return folded.unionByName(streamed)
+
+
+def replay_actions(actions: DataFrame, offers: DataFrame, hot_threshold: int = 1000) -> DataFrame:
+    """Per offer: final status and taker, counts, and the first rejected
+    step - aggregates over `replay_steps` (partial aggregation, so a long
+    log adds rows, not memory)."""
+    steps = replay_steps(actions, offers, hot_threshold)
+    rejected = F.when(~F.col("accepted"), F.struct("seq", "action", "reason"))
+    return steps.groupBy("offer_id").agg(
+        F.max_by("status_after", "seq").alias("final_status"),
+        F.max_by("taker_after", "seq").alias("taker_pubkey"),
+        F.count(F.lit(1)).alias("n_actions"),
+        F.count_if("accepted").alias("n_accepted"),
+        F.count_if(~F.col("accepted")).alias("n_rejected"),
+        F.count("warning").alias("n_warnings"),
+        F.min_by(rejected, F.when(~F.col("accepted"), F.col("seq"))).alias("first_rejected"))

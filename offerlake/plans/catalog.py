@@ -264,6 +264,7 @@ def _lifecycle() -> None:
     register("validate_actions", O.VALIDATE_ACTIONS, "action_log", "offers")(
         lambda t: LC.validate_actions(t.action_log, t.offers))
     register("replay_actions")(lambda t: LC.replay_actions(t.action_log, t.offers))
+    register("replay_steps")(lambda t: LC.replay_steps(t.action_log, t.offers))
 
 
 # ---------------------------------------------------------------------------

@@ -222,6 +222,55 @@ def test_replay_scenarios(spark):
         assert r.final_status == EXPECTED_REPLAY[r.sc], (r.sc, r)
         assert r.n_accepted + r.n_rejected == r.n_actions
         assert r.n_warnings == (1 if r.sc == 10 else 0)
+        assert (r.first_rejected is None) == (r.n_rejected == 0)
+
+
+def test_replay_hot_path_matches_fold(spark):
+    """Offers above the threshold go through the streamed fold; results must
+    equal the in-JVM fold, step by step."""
+    import __spark_entry__ as E  # noqa: F401
+    from offerlake.sources.fixtures import Tables
+    from tests.conftest import SF_SMALL
+    t = Tables(spark, SF_SMALL)
+    cols = ["offer_id", "seq", "status_before", "status_after", "accepted", "reason", "warning", "taker_after"]
+    jvm = LC.replay_steps(t.action_log, t.offers, hot_threshold=10**9).select(*cols)
+    mixed = LC.replay_steps(t.action_log, t.offers, hot_threshold=5).select(*cols)
+    assert jvm.count() == t.action_log.count()
+    assert jvm.exceptAll(mixed).count() == 0 and mixed.exceptAll(jvm).count() == 0
+
+
+def test_replay_brute_force(spark):
+    """Sequential reference fold in plain Python over the sf0.001 logs."""
+    from offerlake.sources.fixtures import Tables
+    from tests.conftest import SF_SMALL
+    t = Tables(spark, SF_SMALL)
+    logs = {}
+    makers = {r.id: (r.maker_pubkey, r.amount_sats, r.taker_fees) for r in t.offers.collect()}
+    for r in t.action_log.orderBy("offer_id", "seq").collect():
+        logs.setdefault(r.offer_id, []).append(r)
+    expect = {}
+    for oid, acts in logs.items():
+        maker, amt, tf = makers.get(oid, (None, None, None))
+        status = taker = None
+        blik = inv = False
+        for a in acts:
+            verdict = None
+            if a.invoice_amount_sats is not None and amt is not None:
+                net = amt - (tf if tf is not None else -(-amt * 0.5 // 100))
+                verdict = "too_large" if a.invoice_amount_sats > net + 10 else (
+                    "too_small" if a.invoice_amount_sats < net - 100 else "ok")
+            reason, new, _ = LC.decide(a.action, status, a.actor, maker, taker, blik, inv, verdict)
+            if reason is None:
+                clears = new in S.CLEARING_STATUSES
+                taker = a.actor if a.action == "reserve" else (None if clears else taker)
+                if a.action == "submit_blik":
+                    blik = inv = True
+                elif clears:
+                    blik = inv = False
+                status = new
+        expect[oid] = (status, taker)
+    got = {r.offer_id: (r.final_status, r.taker_pubkey) for r in LC.replay_actions(t.action_log, t.offers).collect()}
+    assert got == expect
 
 
 def test_neighbors_across_chunks(spark):
