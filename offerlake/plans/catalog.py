@@ -368,7 +368,7 @@ def _sources() -> None:
         return IO.report_json(R.metrics_by_period(t.offers, "weekly", ORDERS_AS_OF), R.metrics_totals(t.offers),
                               R.taker_domain_ranking(t.offers), R.weekday_profile(t.offers))
 
-    register("report_json")(report_json_q)
+    register("report_json", O.REPORT_JSON, "offers")(report_json_q)
 
 
 # ---------------------------------------------------------------------------

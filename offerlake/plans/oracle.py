@@ -724,3 +724,18 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORD
            WHERE rn = 1 AND type = 'offer_changed')
 SELECT offer_id AS id, {', '.join(c for c in S.LISTING_COLUMNS if c != 'id')} FROM latest
 ORDER BY coalesce(updated_at, created_at) DESC, offer_id LIMIT 50"""
+
+_TOTAL_ORDER = ["total_failed", "total_success", "total_profit", "total_volume", "total_volume_sats",
+                "overall_success_percentage", "overall_avg_reserved_seconds", "overall_avg_total_seconds",
+                "overall_avg_taker_invoice_fees", "overall_taker_fees_percentage"]
+REPORT_JSON = f"""WITH rws AS ({metrics_period_sql('weekly')}),
+tot AS ({METRICS_TOTALS}),
+dom AS ({TAKER_DOMAIN_RANKING}),
+wk AS ({WEEKDAY_PROFILE})
+SELECT CAST(to_json({{
+  'rows': (SELECT list(r ORDER BY r.date) FROM rws r),
+  'totals': (SELECT {{{', '.join(f"'{c}': t.{c}" for c in _TOTAL_ORDER)}}} FROM tot t),
+  'takerDomainRanking': (SELECT list(d ORDER BY d.avg_fees_percentage DESC, d.taker_domain) FROM dom d),
+  'weekdaySuccess': (SELECT list(w ORDER BY CASE w.weekday {' '.join(f"WHEN '{n}' THEN {i}" for i, n in S.WEEKDAYS)} END)
+                     FROM wk w)
+}}) AS VARCHAR) AS report"""
