@@ -148,8 +148,8 @@ def report_json(rows: DataFrame, totals: DataFrame, domains: DataFrame, weekdays
     w = arr(weekdays, "weekdaySuccess", day_num[F.col("weekday")])
     t = totals.select(F.struct(*totals.columns).alias("totals"))
     doc = r.crossJoin(t).crossJoin(d).crossJoin(w)  # four one-row frames
-    return doc.select(F.to_json(F.struct("rows", "totals", "takerDomainRanking", "weekdaySuccess"))
-                      .alias("report"))
+    return doc.select(F.to_json(F.struct("rows", "totals", "takerDomainRanking", "weekdaySuccess"),
+                                {"ignoreNullFields": "false"}).alias("report"))
 
 
 def publish_orders(events: DataFrame, path: str) -> None:
