@@ -21,13 +21,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from offerlake import schema as S
 from offerlake.sources.io import scratch_path
 
-STATE_STORE_CONF = {
-    # RocksDB keeps large state off the JVM heap on executors.
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-}
-
-
 def land_files(df: DataFrame, name: str, files: int = 4, order: str | None = None) -> tuple[str, T.StructType]:
     """Write ``df`` as a folder of Parquet files (a replayable source).
 

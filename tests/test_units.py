@@ -326,3 +326,40 @@ def test_status_fanout_keeps_nulls(spark):
     assert len(rows) == 3
     body = [r.body for r in rows if r.offer_id == UUID][0]
     assert '"reserved_at":null' in body
+
+
+def test_stream_deadline_timers(spark):
+    from offerlake.streaming.jobs import stream_deadlines
+    rows = [("A", 1, "funded", T0), ("B", 1, "funded", T0), ("B", 2, "reserved", T0 + timedelta(seconds=60)),
+            ("C", 1, "funded", T0), ("C", 2, "settled", T0 + timedelta(seconds=100)),
+            ("Z", 1, "funded", T0 + timedelta(hours=2))]  # later traffic moves the watermark on
+    ev = spark.createDataFrame(rows, "offer_id string, seq int, status string, ts timestamp_ntz")
+    fired = {r.offer_id: (r.status, r.timeout_status, r.due_at) for r in stream_deadlines(spark, ev).collect()}
+    assert fired["A"][:2] == ("funded", "expired")
+    assert fired["B"][:2] == ("reserved", "funded")
+    assert "C" not in fired and "Z" not in fired
+    assert fired["A"][2] == T0 + timedelta(seconds=600)
+    assert fired["B"][2] == T0 + timedelta(seconds=90)
+
+
+def test_report_invariants(spark):
+    """Period counts add up to the totals; the weekday profile has 7 rows
+    whose success counts add up too."""
+    from offerlake.sources.fixtures import Tables
+    from tests.conftest import SF_SMALL
+    offers = Tables(spark, SF_SMALL).offers
+    tot = R.metrics_totals(offers).first()
+    monthly = R.metrics_by_period(offers, "monthly", T0, limit=None).agg(
+        F.sum("success").alias("s"), F.sum("failed").alias("f"), F.sum("profit").alias("p")).first()
+    assert (monthly.s, monthly.f, monthly.p) == (tot.total_success, tot.total_failed, tot.total_profit)
+    wk = R.weekday_profile(offers).collect()
+    assert len(wk) == 7 and sum(r.success_count for r in wk) == tot.total_success
+
+
+def test_replay_order_stable(spark):
+    from offerlake.sources.fixtures import Tables
+    from tests.conftest import SF_SMALL
+    t = Tables(spark, SF_SMALL)
+    a = LC.replay_actions(t.action_log, t.offers)
+    b = LC.replay_actions(t.action_log.repartition(7).orderBy(F.rand(3)), t.offers)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
