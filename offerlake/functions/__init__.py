@@ -30,9 +30,19 @@ def plus_seconds(ts: str | Column, seconds: int | Column) -> Column:
     return c + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n)
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def epoch_ms(ts: str | Column) -> Column:
+    """Epoch milliseconds of a UTC wall-clock TIMESTAMP_NTZ (independent of
+    the session time zone)."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_diff("MILLISECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), c)
+
+
+def epoch_us(ts: str | Column) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_millis(c.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), c)
 
 
 def epoch_s(ts: str | Column) -> Column:

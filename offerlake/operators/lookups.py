@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake import schema as S
-from offerlake.functions import public_view, ts_lit
+from offerlake.functions import epoch_us, public_view, ts_lit
 
 
 def offer_by_id(offers: DataFrame, offer_id: str) -> DataFrame:
@@ -80,7 +80,7 @@ def my_active_offer(offers: DataFrame) -> DataFrame:
     partial aggregation absorbs users with very many offers.
     """
     roles = my_active_offers(offers)
-    key = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), F.col("id").alias("i"))
+    key = F.struct((-epoch_us("created_at")).alias("t"), F.col("id").alias("i"))
     row = F.struct(*public_view(with_pubkeys=True))
     return (roles.groupBy("user_pubkey").agg(F.min_by(row, key).alias("o"))
             .select("user_pubkey", "o.*"))

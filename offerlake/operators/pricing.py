@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake import schema as S
-from offerlake.functions import fee_ceil, micros_between
+from offerlake.functions import epoch_us, fee_ceil, micros_between
 
 BUCKET_SECONDS = S.RATE_VALIDITY_MINUTES * 60
 _NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
@@ -55,7 +55,7 @@ def average_rate(parsed: DataFrame, rate_col: str = "rate") -> DataFrame:
 
 
 def _bucket(ts: str) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (BUCKET_SECONDS * 1_000_000)).cast("bigint")
+    return F.floor(epoch_us(ts) / (BUCKET_SECONDS * 1_000_000)).cast("bigint")
 
 
 def rate_at(quotes: DataFrame, rounds: DataFrame, ts_col: str = "ts", key: str = "quote_id") -> DataFrame:

@@ -45,7 +45,7 @@ def _expand(expr: str, dialect: str) -> str:
             return f"(({a}) div ({b}))" if dialect == "spark" else f"(({a}) // ({b}))"
         if name == "unix_s":
             (ts,) = args
-            return (f"unix_seconds(CAST({ts} AS TIMESTAMP))" if dialect == "spark"
+            return (f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})" if dialect == "spark"
                     else f"(epoch_ms({ts}) // 1000)")
         if name == "gen":
             (n,) = args
