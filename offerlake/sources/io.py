@@ -1,8 +1,11 @@
 """Readers and writers of the offer store, the audit log, rate payloads and
 order events.
 
-Tables are Parquet folders partitioned by creation date (``created_date``)
-so date predicates prune files; readers always pass an explicit schema
+Tables are Parquet folders partitioned by creation month (``created_month``)
+with rows range-partitioned and sorted by ``created_at`` inside, so a date
+predicate prunes month folders and then row groups (min/max statistics);
+every writer task covers one contiguous time range, so a busy month is
+spread over many files and tasks. Readers always pass an explicit schema
 (never inferred): columns missing from older files come back NULL, and the
 two secret columns of the stored table are simply not part of the read
 schema, so they are never read.
@@ -21,7 +24,16 @@ from offerlake import schema as S
 from offerlake.functions import ts_lit
 from offerlake.session import checkpoint_dir
 
-PARTITION_COL = "created_date"
+PARTITION_COL = "created_month"
+
+
+def _month(c: str = "created_at"):
+    return F.trunc(F.to_date(F.col(c)), "month")
+
+
+def _time_ranged(df: DataFrame, ts: str = "created_at") -> DataFrame:
+    """Contiguous time ranges per task, sorted inside (writer layout)."""
+    return df.repartitionByRange(ts).sortWithinPartitions(ts)
 
 RATE_PAYLOAD_SCHEMA = T.StructType([
     T.StructField("round_id", T.LongType()),
@@ -55,9 +67,11 @@ def read_offers(spark: SparkSession, path: str, fiat_scale: int = 2, since: date
         if PARTITION_COL not in df.columns:
             df = spark.read.schema(T.StructType(fields + [T.StructField(PARTITION_COL, T.DateType())])).parquet(path)
         if since is not None:
-            df = df.where((F.col(PARTITION_COL) >= F.to_date(ts_lit(since))) & (F.col("created_at") >= ts_lit(since)))
+            df = df.where((F.col(PARTITION_COL) >= F.trunc(F.to_date(ts_lit(since)), "month"))
+                          & (F.col("created_at") >= ts_lit(since)))
         if until is not None:
-            df = df.where((F.col(PARTITION_COL) <= F.to_date(ts_lit(until))) & (F.col("created_at") < ts_lit(until)))
+            df = df.where((F.col(PARTITION_COL) <= F.trunc(F.to_date(ts_lit(until)), "month"))
+                          & (F.col("created_at") < ts_lit(until)))
     return df.where(F.col("status").isin(S.STATUSES)).select(*S.OFFER_COLUMNS)
 
 
@@ -77,12 +91,11 @@ def read_offers_jdbc(spark: SparkSession, url: str, table: str = "offers", prope
 
 
 def write_offers(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a snapshot partitioned by creation date; with dynamic partition
-    overwrite only the dates present in ``df`` are replaced."""
+    """Write a snapshot partitioned by creation month; with dynamic partition
+    overwrite only the months present in ``df`` are replaced."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (df.withColumn(PARTITION_COL, F.to_date("created_at"))
-     .repartition(PARTITION_COL)
+    (_time_ranged(df).withColumn(PARTITION_COL, _month())
      .write.mode(mode).partitionBy(PARTITION_COL).parquet(path))
 
 
@@ -99,7 +112,7 @@ def append_offers(new_rows: DataFrame, path: str, as_of: datetime | str) -> Data
     out = scratch_path(spark, "append-stage")
     fresh.write.parquet(out)  # stage once: the anti-join reads the table we append to
     staged = spark.read.parquet(out)
-    (staged.withColumn(PARTITION_COL, F.to_date("created_at"))
+    (_time_ranged(staged).withColumn(PARTITION_COL, _month())
      .write.mode("append").partitionBy(PARTITION_COL).parquet(path))
     return staged
 
@@ -115,7 +128,7 @@ def read_audit(spark: SparkSession, path: str, parse_metadata: bool = False) ->
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    (rows.select(*S.AUDIT_COLUMNS).withColumn(PARTITION_COL, F.to_date("created_at"))
+    (_time_ranged(rows.select(*S.AUDIT_COLUMNS)).withColumn(PARTITION_COL, _month())
      .write.mode("append").partitionBy(PARTITION_COL).parquet(path))
 
 

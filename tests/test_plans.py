@@ -34,7 +34,7 @@ def test_partition_and_filter_pushdown(spark):
     io.write_offers(t.offers, path)
     df = io.read_offers(spark, path, since=datetime(2001, 7, 1))
     plan = plan_of(df)
-    assert "PartitionFilters: [isnotnull(created_date" in plan
+    assert "PartitionFilters: [isnotnull(created_month" in plan
     assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in plan
     assert df.count() == t.offers.where("created_at >= TIMESTAMP '2001-07-01 00:00:00'").count()
 
