@@ -18,24 +18,33 @@ from offerlake import schema as S
 from offerlake.functions import epoch_us, fee_ceil, micros_between
 
 BUCKET_SECONDS = S.RATE_VALIDITY_MINUTES * 60
-_NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
+# Per source: the JSON path of the rate as a one-field schema; from_json with
+# a DOUBLE leaf returns NULL for strings, booleans, objects and bad bodies,
+# i.e. it keeps numbers only (the `is num` rule).
+_RATE_SCHEMAS = {
+    "CoinGecko": ("bitcoin STRUCT<pln: DOUBLE>", ("bitcoin", "pln")),
+    "Yadio": ("BTC DOUBLE", ("BTC",)),
+    "Blockchain.info": ("PLN STRUCT<last: DOUBLE>", ("PLN", "last")),
+}
+_JSON_OPTS = {"allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
 
 
-def _rate_value(v: Column, path: str) -> tuple[Column, Column]:
-    node = F.variant_get(v, path, "variant")
-    is_num = F.coalesce(F.schema_of_variant(node).rlike(_NUMERIC), F.lit(False))
-    return is_num, F.try_variant_get(v, path, "double")
+def _rate_value(source: str) -> Column:
+    ddl, path = _RATE_SCHEMAS[source]
+    node = F.from_json(F.col("body"), ddl, _JSON_OPTS)
+    for p in path:
+        node = node[p]
+    return node
 
 
 def parse_rates(payloads: DataFrame) -> DataFrame:
     """One rate per (round, source): the number at the source's JSON path;
     NULL for a non-200 answer, a bad body or a non-number. ``rate_strict``
-    additionally requires a positive value (dashboard rule)."""
-    v = F.try_parse_json(F.col("body"))
+    additionally requires a positive value (dashboard rule). Only the
+    matching source's parser runs for a row (CASE branches are lazy)."""
     rate = F.lit(None).cast("double")
-    for source, path in reversed(S.RATE_SOURCES):
-        is_num, val = _rate_value(v, path)
-        rate = F.when(F.col("source") == source, F.when(is_num, val)).otherwise(rate)
+    for source, _ in reversed(S.RATE_SOURCES):
+        rate = F.when(F.col("source") == source, _rate_value(source)).otherwise(rate)
     rate = F.when(F.col("http_status") == 200, rate)
     return payloads.select("round_id", "source", "fetched_at", rate.alias("rate"),
                            F.when(rate > 0, rate).alias("rate_strict"))
