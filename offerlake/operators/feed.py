@@ -141,7 +141,8 @@ def request_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_rule_rows(), schema)
 
 
-_REQ_SCHEMA = "struct<id:string,method:string,params:map<string,string>>"
+_REQ_SCHEMA = "struct<id:string,method:string,params:map<string,string>,_corrupt:string>"
+_REQ_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
@@ -149,10 +150,10 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     coordinator would answer with. Malformed JSON is dropped without an
     answer (status 'dropped')."""
     spark = requests.sparkSession
-    parsed = requests.select(
-        "request_id", "sender", "ts",
-        F.try_parse_json(F.col("body")).isNotNull().alias("valid_json"),
-        F.from_json(F.col("body"), _REQ_SCHEMA).alias("req"))
+    # One parse per body: malformed text lands in the corrupt-record field.
+    parsed = (requests.select("request_id", "sender", "ts", F.from_json(F.col("body"), _REQ_SCHEMA, _REQ_OPTS)
+                              .alias("req"))
+              .withColumn("valid_json", F.col("req").isNotNull() & F.col("req._corrupt").isNull()))
     # Fixed 16-row rule table: size is a constant, broadcast is safe.
     joined = parsed.join(F.broadcast(request_rules(spark)),
                          F.col("req.method") == F.col("rule_method"), "left")
