@@ -739,3 +739,6 @@ SELECT CAST(to_json({{
   'weekdaySuccess': (SELECT list(w ORDER BY CASE w.weekday {' '.join(f"WHEN '{n}' THEN {i}" for i, n in S.WEEKDAYS)} END)
                      FROM wk w)
 }}) AS VARCHAR) AS report"""
+
+STREAM_PUBLISH_ORDERS = (f"SELECT c.seq, o.id, 38383 AS kind, CAST(to_json({_tags(False)}) AS VARCHAR) AS tags "
+                         f"FROM offer_changes c JOIN offers o ON o.id = c.offer_id")

@@ -266,3 +266,23 @@ def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 min
 
 def batch_as_of(value: datetime) -> str:
     return value.strftime("%Y-%m-%d %H:%M:%S")
+
+
+# ---------------------------------------------------------------------------
+# order-feed publishing
+# ---------------------------------------------------------------------------
+def stream_publish_orders(spark: SparkSession, changes: DataFrame, offers: DataFrame) -> DataFrame:
+    """Every offer change publishes the offer's current order event. Each
+    micro-batch is written by ``foreachBatch`` into its own folder, so a
+    retried batch rewrites the same output."""
+    from offerlake.operators.feed import order_tags
+    stream = read_changes(spark, changes, "publish").where(F.col("offer_id").isNotNull())
+    rows = stream.join(offers.withColumnRenamed("id", "offer_id"), "offer_id").withColumnRenamed("offer_id", "id")
+    events = rows.select("seq", "id", F.lit(S.ORDER_EVENT_KIND).alias("kind"),
+                         F.to_json(order_tags()).alias("tags"))
+
+    def write(df: DataFrame, batch_id: int, out: str) -> None:
+        df.write.mode("overwrite").json(f"{out}/batch={batch_id}")
+
+    out = run_foreach_batch(events, "publish", write, mode="append")
+    return spark.read.schema("seq LONG, id STRING, kind INT, tags STRING").json(out).drop("batch")
