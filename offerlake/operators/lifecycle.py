@@ -126,15 +126,20 @@ def sweep(offers: DataFrame, rule: str, as_of: datetime | str, limit: int | None
 
 def deadlines(offers: DataFrame, as_of: datetime | str) -> DataFrame:
     """Due time and remaining whole seconds (negative when overdue) for every
-    offer waiting on one of the five timed rules."""
-    parts = []
-    for rule in SWEEP_ORDER:
-        df, due, new = _rule_frame(offers, rule)
-        parts.append(df.select("id", "status", F.lit(rule).alias("rule"), due.alias("due_at"),
-                               new.alias("timeout_status")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    offer waiting on one of the five timed rules. One pass over the offers:
+    the rule, due time and timeout status are CASE expressions on status."""
+    st = F.col("status")
+    rule = due = new = None
+    for name in SWEEP_ORDER:
+        statuses, due_fn, moves = RULES[name]
+        hit = st.isin(statuses)
+        rule = F.when(hit, F.lit(name)) if rule is None else rule.when(hit, F.lit(name))
+        due = F.when(hit, due_fn()) if due is None else due.when(hit, due_fn())
+        for f, t in moves.items():
+            new = F.when(st == f, F.lit(t)) if new is None else new.when(st == f, F.lit(t))
+    timed = [s_ for n in SWEEP_ORDER for s_ in RULES[n][0]]
+    out = offers.where(st.isin(timed)).select("id", "status", rule.alias("rule"), due.alias("due_at"),
+                                              new.alias("timeout_status"))
     rem_us = micros_between(ts_lit(as_of), F.col("due_at"))
     return out.select("*", F.when(rem_us.isNotNull(), (rem_us / 1_000_000).cast("bigint")).alias("remaining_seconds"),
                       (F.col("due_at").isNull() | (ts_lit(as_of) > F.col("due_at"))).alias("overdue"))
