@@ -465,7 +465,8 @@ def replay_steps(actions: DataFrame, offers: DataFrame, hot_threshold: int = 100
                            "amount_sats", "taker_fees")
     acts = (actions.join(makers, "offer_id", "left").withColumn("verdict", _verdict(_net_at_submit()))
             .select("offer_id", F.col("seq").cast("int").alias("seq"), "action", "actor", "maker", "verdict"))
-    sizes = acts.groupBy("offer_id").agg(F.count(F.lit(1)).alias("_n"))
+    # Sizes from the raw log: only offer_id is read for this pass.
+    sizes = actions.groupBy("offer_id").agg(F.count(F.lit(1)).alias("_n"))
     hot_ids = sizes.where(F.col("_n") > hot_threshold).select("offer_id")
     normal = acts.join(hot_ids, "offer_id", "left_anti")
     hot = acts.join(hot_ids, "offer_id", "left_semi")
