@@ -451,16 +451,58 @@ def _fold_sorted_batches(batches):
                                          "accepted", "reason", "warning", "taker_after"])
 
 
+# Decision table for the in-JVM fold: every combination of (action, status,
+# actor is maker, actor is taker, actor is "system", per-action flag) maps to
+# one packed int (reason id, new status id, warning bit), built once from
+# `decide` so the fold does an array lookup instead of interpreting a CASE.
+ACTIONS = list(S.TRANSITIONS)
+STATUS_CODES = S.STATUSES + [None]          # index 18 = "no offer"
+REASONS = [None, "unknown_action", "already_exists", "not_found", "wrong_state", "wrong_actor",
+           "missing_blik_code", "no_invoice", "invoice_too_large", "invoice_too_small"]
+VERDICTS = [None, "too_large", "too_small"]
+_NA, _NS = len(ACTIONS) + 1, len(STATUS_CODES)
+
+
+def _lut_index(a: int, s: int, m: int, t: int, sysf: int, f: int) -> int:
+    return ((((a * _NS + s) * 2 + m) * 2 + t) * 2 + sysf) * 3 + f
+
+
+def decision_table() -> list[int]:
+    out = [0] * (_NA * _NS * 2 * 2 * 2 * 3)
+    for a in range(_NA):
+        action = ACTIONS[a] if a < len(ACTIONS) else "__unknown__"
+        for si, status in enumerate(STATUS_CODES):
+            for m in (0, 1):
+                for t in (0, 1):
+                    for sysf in (0, 1):
+                        for f in (0, 1, 2):
+                            actor = "system" if sysf else "someone"
+                            maker = actor if m else "other-maker"
+                            taker = actor if t else "other-taker"
+                            reason, new, warn = decide(action, status, actor, maker, taker,
+                                                       f == 1, f == 1, VERDICTS[f] if f else None)
+                            out[_lut_index(a, si, m, t, sysf, f)] = (
+                                REASONS.index(reason) * 64 + STATUS_CODES.index(new) * 2 + (1 if warn else 0))
+    return out
+
+
+def _code(col: Column, values: list) -> Column:
+    """Index of col in ``values`` (last index + 1 when absent / NULL)."""
+    m = F.create_map(*[F.lit(x) for i, v in enumerate(values) if v is not None for x in (v, i)])
+    return F.coalesce(m[col], F.lit(len(values) if None not in values else values.index(None)))
+
+
 def replay_steps(actions: DataFrame, offers: DataFrame, hot_threshold: int = 1000) -> DataFrame:
     """Replay every offer's action log in seq order from "no offer" and
     return one decision row per action (status before / after, accepted or
     the reason, warning, taker after).
 
     Offers with at most ``hot_threshold`` actions (nearly all) fold inside
-    the JVM: higher-order ``aggregate`` over the offer's sorted action list.
-    Longer logs are never collected: their rows are sorted by (offer, seq)
-    and folded by ``mapInPandas`` with the state carried in a few variables,
-    so memory stays bounded however hot the offer is."""
+    the JVM: higher-order ``aggregate`` over the offer's sorted action list,
+    each step one lookup in the constant decision table. Longer logs are
+    never collected: their rows are sorted by (offer, seq) and folded by
+    ``mapInPandas`` with the state carried in a few variables, so memory
+    stays bounded however hot the offer is."""
     makers = offers.select(F.col("id").alias("offer_id"), F.col("maker_pubkey").alias("maker"),
                            "amount_sats", "taker_fees")
     acts = (actions.join(makers, "offer_id", "left").withColumn("verdict", _verdict(_net_at_submit()))
@@ -471,39 +513,61 @@ def replay_steps(actions: DataFrame, offers: DataFrame, hot_threshold: int = 100
     normal = acts.join(hot_ids, "offer_id", "left_anti")
     hot = acts.join(hot_ids, "offer_id", "left_semi")
 
-    grouped = normal.groupBy("offer_id").agg(F.array_sort(F.collect_list(F.struct(
-        "seq", "action", "actor", "maker", "verdict"))).alias("acts"))
-    # Lambdas are evaluated per element; bind the decision once per step with
-    # single-element `transform`s (d = reason, e = new status / warning).
-    reason = decide_reason_sql(REPLAY_REFS)
-    new_status = decide_status_sql(REPLAY_REFS, "d.reason")
-    warning = decide_warning_sql(REPLAY_REFS, "d.reason")
-    ok = "(d.reason IS NULL)"
-    clears = "(e.ns IN ('funded', 'expired', 'cancelled'))"
-    step_type = ("ARRAY<STRUCT<seq: INT, action: STRING, actor: STRING, status_before: STRING, "
-                 "status_after: STRING, accepted: BOOLEAN, reason: STRING, warning: STRING, taker_after: STRING>>")
-    zero = ("named_struct('status', CAST(NULL AS STRING), 'taker', CAST(NULL AS STRING), "
-            f"'has_blik', false, 'has_invoice', false, 'steps', CAST(array() AS {step_type}))")
-    taker_next = (f"CASE WHEN {ok} AND x.action = 'reserve' THEN x.actor WHEN {ok} AND {clears} THEN NULL "
+    # State-independent parts of each step, in generated code.
+    coded = normal.select(
+        "offer_id", "seq", "action", "actor",
+        _code(F.col("action"), ACTIONS).alias("a"),
+        F.coalesce(F.col("maker") == F.col("actor"), F.lit(False)).cast("int").alias("m"),
+        F.coalesce(F.col("actor") == "system", F.lit(False)).cast("int").alias("sysf"),
+        _code(F.col("verdict"), VERDICTS).alias("v"))
+    grouped = coded.groupBy("offer_id").agg(F.array_sort(F.collect_list(F.struct(
+        "seq", "action", "actor", "a", "m", "sysf", "v"))).alias("acts"))
+    i_get, i_retry, i_submit = (ACTIONS.index(x) for x in ("get_blik", "retry_taker_payment", "submit_blik"))
+    idx = (f"((((x.a * {_NS} + acc.s) * 2 + x.m) * 2 + CAST(coalesce(acc.taker = x.actor, false) AS INT)) * 2 "
+           f"+ x.sysf) * 3 + CASE x.a WHEN {i_get} THEN CAST(acc.has_blik AS INT) "
+           f"WHEN {i_retry} THEN CAST(acc.has_invoice AS INT) WHEN {i_submit} THEN x.v ELSE 0 END")
+    clear_codes = ", ".join(str(STATUS_CODES.index(c)) for c in S.CLEARING_STATUSES)
+    i_reserve = ACTIONS.index("reserve")
+    step_type = ("ARRAY<STRUCT<seq: INT, action: STRING, actor: STRING, s_before: INT, code: INT, "
+                 "taker_after: STRING>>")
+    zero = (f"named_struct('s', {STATUS_CODES.index(None)}, 'taker', CAST(NULL AS STRING), 'has_blik', false, "
+            f"'has_invoice', false, 'steps', CAST(array() AS {step_type}))")
+    ok = "(c DIV 64 = 0)"
+    ns = "CAST((c % 64) DIV 2 AS INT)"
+    clears = f"({ns} IN ({clear_codes}))"
+    taker_next = (f"CASE WHEN {ok} AND x.a = {i_reserve} THEN x.actor WHEN {ok} AND {clears} THEN NULL "
                   "ELSE acc.taker END")
     state = f"""named_struct(
-        'status', e.ns,
+        's', {ns},
         'taker', {taker_next},
-        'has_blik', CASE WHEN {ok} AND x.action = 'submit_blik' THEN true WHEN {ok} AND {clears} THEN false
+        'has_blik', CASE WHEN {ok} AND x.a = {i_submit} THEN true WHEN {ok} AND {clears} THEN false
                          ELSE acc.has_blik END,
-        'has_invoice', CASE WHEN {ok} AND x.action = 'submit_blik' THEN true WHEN {ok} AND {clears} THEN false
+        'has_invoice', CASE WHEN {ok} AND x.a = {i_submit} THEN true WHEN {ok} AND {clears} THEN false
                             ELSE acc.has_invoice END,
         'steps', concat(acc.steps, array(named_struct('seq', x.seq, 'action', x.action, 'actor', x.actor,
-            'status_before', acc.status, 'status_after', e.ns, 'accepted', {ok}, 'reason', d.reason,
-            'warning', e.warn, 'taker_after', {taker_next}))))"""
-    step = (f"element_at(transform(array(named_struct('reason', {reason})), d -> "
-            f"element_at(transform(array(named_struct('ns', {new_status}, 'warn', {warning})), e -> {state}), 1)), 1)")
-    folded = (grouped.select("offer_id", F.expr(f"aggregate(acts, {zero}, (acc, x) -> {step})").alias("s"))
-              .select("offer_id", F.inline("s.steps")))
+            's_before', acc.s, 'code', c, 'taker_after', {taker_next}))))"""
+    # The table is a constant inside the expression (folded to one literal),
+    # not a column, so it is never copied into rows.
+    lut = "array(" + ",".join(map(str, decision_table())) + ")"
+    step = f"element_at(transform(array(element_at({lut}, {idx} + 1)), c -> {state}), 1)"
+    folded = (grouped
+              .select("offer_id", F.expr(f"aggregate(acts, {zero}, (acc, x) -> {step})").alias("st"))
+              .select("offer_id", F.inline("st.steps")))
+    names = F.array(*[F.lit(x) for x in STATUS_CODES])
+    reasons = F.array(*[F.lit(x) for x in REASONS])
+    code = F.col("code")
+    decoded = folded.select(
+        "offer_id", "seq", "action", "actor",
+        F.element_at(names, F.col("s_before") + 1).alias("status_before"),
+        F.element_at(names, F.floor((code % 64) / 2).cast("int") + 1).alias("status_after"),
+        (F.floor(code / 64) == 0).alias("accepted"),
+        F.element_at(reasons, F.floor(code / 64).cast("int") + 1).alias("reason"),
+        F.when(code % 2 == 1, F.lit("retry_on_paid")).alias("warning"),
+        "taker_after")
 
     streamed = (hot.repartition("offer_id").sortWithinPartitions("offer_id", "seq")
                 .mapInPandas(_fold_sorted_batches, STEP_SCHEMA))
-    return folded.unionByName(streamed)
+    return decoded.unionByName(streamed)
 
 
 def replay_actions(actions: DataFrame, offers: DataFrame, hot_threshold: int = 1000) -> DataFrame:

@@ -363,3 +363,26 @@ def test_replay_order_stable(spark):
     a = LC.replay_actions(t.action_log, t.offers)
     b = LC.replay_actions(t.action_log.repartition(7).orderBy(F.rand(3)), t.offers)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_decision_table_matches_sql_rule(spark):
+    """The fold's lookup table (built from `decide`) and the generated SQL
+    CASE (validate_actions, oracle) agree on every input combination."""
+    rows = []
+    for a in LC.ACTIONS + ["bogus"]:
+        for st in LC.STATUS_CODES:
+            for m in (0, 1):
+                for t in (0, 1):
+                    for sysf in (0, 1):
+                        for f in (0, 1, 2):
+                            actor = "system" if sysf else "someone"
+                            rows.append((a, st, actor, actor if m else "mk", actor if t else "tk",
+                                         f == 1, f == 1, LC.VERDICTS[f]))
+    df = spark.createDataFrame(rows, "action string, cur_status string, actor string, maker_pubkey string, "
+                                     "taker_pubkey string, hb boolean, hi boolean, verdict string")
+    refs = dict(LC.VALIDATE_REFS, has_blik="hb", has_invoice="hi")
+    reason = LC.decide_reason_sql(refs)
+    got = df.select(F.expr(reason).alias("r"), F.expr(LC.decide_status_sql(refs, reason)).alias("n"),
+                    F.expr(LC.decide_warning_sql(refs, reason)).alias("w")).collect()
+    for row, g in zip(rows, got):
+        assert (g.r, g.n, g.w) == LC.decide(row[0], row[1], row[2], row[3], row[4], row[5], row[6], row[7]), row
