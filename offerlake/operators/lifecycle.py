@@ -1,11 +1,15 @@
 """The offer state machine as data work: sweeps, deadlines, reverts, status
 history, update application, action validation and replay.
 
-The transition decision is generated from ``schema.TRANSITIONS`` as one SQL
-CASE expression parameterised by column references, so the same rule runs
-on joined columns (`validate_actions`), inside the JVM fold over an offer's
-action list (`replay_actions`, higher-order ``aggregate``) and in the DuckDB
-oracle.
+The transition rule comes from ``schema.TRANSITIONS`` in three encodings:
+- a generated SQL CASE, parameterised by column references, used for
+  `validate_actions` and the DuckDB oracle;
+- `decide`, its Python twin, used by the streamed fold for very long action
+  logs;
+- a constant decision table built from `decide`, used by the JVM fold in
+  `replay_steps`.
+A test evaluates the CASE over every input combination and compares it with
+`decide`.
 """
 
 from __future__ import annotations
