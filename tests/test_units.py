@@ -328,13 +328,15 @@ def test_status_fanout_keeps_nulls(spark):
     assert '"reserved_at":null' in body
 
 
-def test_stream_deadline_timers(spark):
+@pytest.mark.parametrize("impl", ["transform_with_state", "group_state"])
+def test_stream_deadline_timers(spark, impl):
     from offerlake.streaming.jobs import stream_deadlines
     rows = [("A", 1, "funded", T0), ("B", 1, "funded", T0), ("B", 2, "reserved", T0 + timedelta(seconds=60)),
             ("C", 1, "funded", T0), ("C", 2, "settled", T0 + timedelta(seconds=100)),
             ("Z", 1, "funded", T0 + timedelta(hours=2))]  # later traffic moves the watermark on
     ev = spark.createDataFrame(rows, "offer_id string, seq int, status string, ts timestamp_ntz")
-    fired = {r.offer_id: (r.status, r.timeout_status, r.due_at) for r in stream_deadlines(spark, ev).collect()}
+    fired = {r.offer_id: (r.status, r.timeout_status, r.due_at)
+             for r in stream_deadlines(spark, ev, impl=impl).collect()}
     assert fired["A"][:2] == ("funded", "expired")
     assert fired["B"][:2] == ("reserved", "funded")
     assert "C" not in fired and "Z" not in fired
