@@ -280,8 +280,8 @@ def _tags(with_expiration: bool) -> str:
     items = [
         "['d', id]", "['k', 'sell']", "['f', fiat_currency]", f"['s', {FEED_CASE}]",
         "['amt', CAST(amount_sats AS VARCHAR)]", f"['fa', {fa}]", "['pm', 'BLIK']", "['premium', '0.0']",
-        "['source', 'https://bitblik.app/offers/' || id]", "['network', 'mainnet']",
-        "['layer', 'lightning']", "['name', '']", "['bond', '0']", exp, "['y', 'Bitblik']",
+        f"['source', 'https://{S.FRONTEND_DOMAIN}/offers/' || id]", "['network', 'mainnet']",
+        "['layer', 'lightning']", "['name', '']", "['bond', '0']", exp, f"['y', '{S.PLATFORM}']",
         "['z', 'order']", f"['reserved_at', {secs('reserved_at')}]",
         "['created_at', CAST(epoch_ms(created_at) // 1000 AS VARCHAR)]", f"['paid_at', {secs('taker_paid_at')}]",
         "CASE WHEN taker_fees > 0 THEN ['taker_fees', CAST(taker_fees AS VARCHAR)] END",

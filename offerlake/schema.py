@@ -75,13 +75,13 @@ REBROADCAST_HOURS = 12
 ORDER_EVENT_KIND = 38383
 ORDER_TYPE = "sell"
 PAYMENT_METHODS = ["BLIK"]
-PLATFORM = "Bitblik"
+PLATFORM = "offerlake"            # deployment setting (platform tag)
 NETWORK = "mainnet"
 LAYER = "lightning"
 DOCUMENT = "order"
 BOND = "0"
 PREMIUM = "0.0"
-FRONTEND_DOMAIN = "bitblik.app"
+FRONTEND_DOMAIN = "offers.example"  # deployment setting (source link host)
 
 # Weekday labels, ISO numbering (1 = Monday).
 WEEKDAYS = [(1, "Mon"), (2, "Tue"), (3, "Wed"), (4, "Thu"), (5, "Fri"),
