@@ -70,7 +70,12 @@ def _bucket(ts: str) -> Column:
 def rate_at(quotes: DataFrame, rounds: DataFrame, ts_col: str = "ts", key: str = "quote_id") -> DataFrame:
     """For each quote: the newest averaged rate fetched at or before it.
     ``rate_status`` is 'fresh' (age < 5 full minutes), 'stale' (older, the
-    last known rate) or 'error' (no rate yet, rate NULL)."""
+    last known rate) or 'error' (no rate yet, rate NULL).
+
+    A quote is paired only with the rounds of its own 5-minute bucket; a
+    round exists only when a fetch produced a valid rate and the fetcher
+    caches a rate for 5 minutes, so a bucket holds one or two rounds and a
+    hot bucket of quotes stays linear (AQE splits it across tasks)."""
     r = rounds.select(F.col("round_id"), F.col("fetched_at"), F.col("rate"), _bucket("fetched_at").alias("bucket"))
     q = quotes.withColumn("_bucket", _bucket(ts_col))
     rate_struct = F.struct(F.col("fetched_at"), F.col("round_id"), F.col("rate"))
