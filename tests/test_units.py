@@ -388,3 +388,39 @@ def test_decision_table_matches_sql_rule(spark):
                     F.expr(LC.decide_warning_sql(refs, reason)).alias("w")).collect()
     for row, g in zip(rows, got):
         assert (g.r, g.n, g.w) == LC.decide(row[0], row[1], row[2], row[3], row[4], row[5], row[6], row[7]), row
+
+
+def test_report_quirks(spark):
+    as_of = datetime(2023, 2, 1, 12, 0, 0)
+    rows = [
+        # amount == taker_fees: NULLIF drops the row from the fee percentage
+        offer(id="p1", status="takerPaid", amount_sats=1000, taker_fees=1000, taker_invoice_fees=5,
+              created_at=as_of - timedelta(days=1)),
+        # a period with neither failed nor paid offers: percentage NULL
+        offer(id="f1", status="funded", created_at=as_of - timedelta(days=2)),
+        # the daily window is 29 x 24 h back from as_of, not midnight aligned
+        offer(id="in", status="funded", created_at=as_of - timedelta(days=29) + timedelta(seconds=1)),
+        offer(id="out", status="funded", created_at=as_of - timedelta(days=29) - timedelta(seconds=1)),
+    ]
+    daily = {r.date: r for r in R.metrics_by_period(offers_df(spark, rows), "daily", as_of).collect()}
+    assert daily["2023-01-31"].taker_fees_percentage == 0 and daily["2023-01-31"].success == 1
+    assert daily["2023-01-30"].success_percentage is None
+    assert "2023-01-03" in daily and sum(r.failed + r.success for r in daily.values()) == 1
+    assert len(daily) == 3  # 01-31, 01-30, 01-03 (12:00:01); the 11:59:59 offer is outside
+
+
+def test_daily_time_zone(spark):
+    late = datetime(2023, 1, 1, 23, 30, 0)
+    df = offers_df(spark, [offer(created_at=late)])
+    utc = [r.date for r in R.metrics_by_period(df, "daily", late + timedelta(hours=1)).collect()]
+    waw = [r.date for r in R.metrics_by_period(df, "daily", late + timedelta(hours=1), tz="Europe/Warsaw").collect()]
+    assert utc == ["2023-01-01"] and waw == ["2023-01-02"]
+
+
+def test_finished_filter_keeps_every_active_offer(spark):
+    from offerlake.operators import lookups as L
+    rows = [offer(id="a", status="funded"), offer(id="b", status="takerPaid", taker_pubkey="t",
+                                                  taker_paid_at=T0 - timedelta(days=30)),
+            offer(id="c", status="expired")]
+    got = L.my_finished_offers(offers_df(spark, rows), T0).select("id").distinct().collect()
+    assert sorted(r.id for r in got) == ["a", "b"]
