@@ -53,22 +53,29 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
             .parquet(path))
 
 
-def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> str:
-    """Run a stream over everything available now into a Parquet file sink."""
+def run_to_files(stream: DataFrame, name: str, mode: str = "append", out: str | None = None,
+                 checkpoint: str | None = None) -> str:
+    """Run a stream over everything available now into a Parquet file sink.
+    Pass stable ``out`` / ``checkpoint`` locations for a production job so a
+    restarted query resumes from its checkpoint (exactly-once file sink);
+    without them each call is a fresh one-shot run."""
     spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, f"sink-{name}"), scratch_path(spark, f"ckpt-{name}")
+    out = out or scratch_path(spark, f"sink-{name}")
+    ckpt = checkpoint or scratch_path(spark, f"ckpt-{name}")
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
-def run_foreach_batch(stream: DataFrame, name: str, fn, mode: str = "update") -> str:
+def run_foreach_batch(stream: DataFrame, name: str, fn, mode: str = "update", out: str | None = None,
+                      checkpoint: str | None = None) -> str:
     """Run a stream with a ``foreachBatch`` writer; ``fn(batch_df, batch_id,
     out_path)`` must be idempotent per batch id (it is re-run after a
-    failure)."""
+    failure). Stable ``out`` / ``checkpoint`` locations make it resumable."""
     spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, f"sink-{name}"), scratch_path(spark, f"ckpt-{name}")
+    out = out or scratch_path(spark, f"sink-{name}")
+    ckpt = checkpoint or scratch_path(spark, f"ckpt-{name}")
     q = (stream.writeStream.foreachBatch(lambda df, bid: fn(df, bid, out))
          .option("checkpointLocation", ckpt).outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
