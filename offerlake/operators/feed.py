@@ -113,7 +113,7 @@ def status_fanout(offers: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # request validation
 # ---------------------------------------------------------------------------
-_PREFIX = "Exception: Error processing request: Exception: "
+_PREFIX = S.MESSAGES["request_error_prefix"]
 
 
 def _rule_rows() -> list[tuple]:
@@ -122,11 +122,11 @@ def _rule_rows() -> list[tuple]:
         required = [p for p in req if isinstance(p, str)]
         any_of = next((p for p in req if isinstance(p, list)), [])
         if len(req) == 1:
-            msg = f"Missing required parameter: {required[0]}"
+            msg = S.MESSAGES["missing_param"] + required[0]
         elif method == "submit_blik":
-            msg = "Missing required parameters: offer_id, blik_code, taker_lightning_address"
+            msg = S.MESSAGES["missing_params_submit_blik"]
         elif req:
-            msg = "Missing required parameters: " + ", ".join(required)
+            msg = S.MESSAGES["missing_params"] + ", ".join(required)
         else:
             msg = None
         rows.append((method, required, any_of, msg))
@@ -167,9 +167,9 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     status = (F.when(bad_json, "dropped").when(missing_id | unknown | missing, "error").otherwise("routed"))
     code = (F.when(bad_json, "PARSE_ERROR").when(missing_id, "INVALID_REQUEST")
             .when(unknown | missing, "INTERNAL_ERROR"))
-    message = (F.when(bad_json, F.lit("Malformed request body"))
-               .when(missing_id, F.lit("Missing method or id"))
-               .when(unknown, F.concat(F.lit(_PREFIX + "Unknown method: "), F.col("req.method")))
+    message = (F.when(bad_json, F.lit(S.MALFORMED_REQUEST))
+               .when(missing_id, F.lit(S.MESSAGES["invalid_request"]))
+               .when(unknown, F.concat(F.lit(_PREFIX + S.MESSAGES["unknown_method"]), F.col("req.method")))
                .when(missing, F.concat(F.lit(_PREFIX), F.col("missing_message"))))
     return joined.select(
         "request_id", "sender",

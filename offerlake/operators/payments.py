@@ -87,7 +87,7 @@ def payment_outcome(updates: DataFrame) -> DataFrame:
         F.when(none, "UNKNOWN").otherwise(F.col("t.raw_status")).alias("status"),
         F.when(F.col("t.raw_status") == "SUCCEEDED", F.col("t.fee_sat")).cast("bigint").alias("fee_sat"),
         F.when(F.col("t.raw_status") == "SUCCEEDED", F.col("t.preimage")).alias("preimage"),
-        (F.when(none, F.lit("Payment status could not be determined: no definitive status"))
+        (F.when(none, F.lit(S.MESSAGES["no_definitive_status"]))
          .when(F.col("t.raw_status") == "FAILED", F.col("t.failure_reason"))).alias("error"),
         F.col("t.stream").alias("decided_by"))
 

@@ -122,8 +122,8 @@ def quote_offer(priced: DataFrame, maker_pct: float = S.MAKER_FEE_PCT,
         F.when(ok, fee_ceil(sats, maker_pct)).alias("maker_fees"),
         F.when(ok, fee_ceil(sats, taker_pct)).alias("taker_fees"),
         F.when(ok, sats + fee_ceil(sats, maker_pct)).alias("total_amount_sats"),
-        F.when(F.col("rate").isNull(), F.lit("Failed to fetch BTC/PLN rate from all sources."))
-        .when(~ok, F.lit("Unsupported operation: Infinity or NaN toInt")).alias("error"),
+        F.when(F.col("rate").isNull(), F.lit(S.MESSAGES["rate_unavailable"]))
+        .when(~ok, F.lit(S.MESSAGES["rate_not_finite"])).alias("error"),
     )
 
 
@@ -157,10 +157,9 @@ def check_invoice_tolerance(submissions: DataFrame, offers: DataFrame) -> DataFr
 def invoice_amount_match(invoice_amount: Column, expected: Column) -> Column:
     """Payment-time check of a decoded invoice amount; NULL means OK."""
     return (F.when((invoice_amount != 0) & (invoice_amount != expected),
-                   F.format_string("Invoice amount %d does not match expected amount %d sats",
-                                   invoice_amount, expected))
+                   F.format_string(S.MESSAGES["invoice_amount_mismatch"], invoice_amount, expected))
             .when((invoice_amount == 0) & (expected.isNull() | (expected <= 0)),
-                  F.lit("Amount must be provided for a zero-amount invoice.")))
+                  F.lit(S.MESSAGES["zero_amount_invoice"])))
 
 
 def fee_limit(offers: DataFrame, factor: float = S.TAKER_FEE_LIMIT_FACTOR) -> DataFrame:

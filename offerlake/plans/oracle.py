@@ -303,7 +303,7 @@ SELECT id, status, 'taker', taker_pubkey, CAST({_BODY} AS VARCHAR) FROM offers W
 
 
 def _validate_sql() -> str:
-    prefix = "Exception: Error processing request: Exception: "
+    prefix = S.MESSAGES["request_error_prefix"]
 
     def p(name: str) -> str:
         return f"json_extract_string(body, '$.params.{name}')"
@@ -319,11 +319,11 @@ def _validate_sql() -> str:
         if not conds:
             continue
         if len(req) == 1:
-            msg = f"Missing required parameter: {req[0]}"
+            msg = S.MESSAGES["missing_param"] + req[0]
         elif m == "submit_blik":
-            msg = "Missing required parameters: offer_id, blik_code, taker_lightning_address"
+            msg = S.MESSAGES["missing_params_submit_blik"]
         else:
-            msg = "Missing required parameters: " + ", ".join(x for x in req if isinstance(x, str))
+            msg = S.MESSAGES["missing_params"] + ", ".join(x for x in req if isinstance(x, str))
         missing.append((m, " OR ".join(conds), msg))
     miss_cond = " OR ".join(f"(mth = '{m}' AND ({c}))" for m, c, _ in missing)
     miss_msg = "CASE " + " ".join(f"WHEN mth = '{m}' AND ({c}) THEN '{prefix}{msg}'" for m, c, msg in missing) + " END"
@@ -334,8 +334,8 @@ SELECT request_id, sender, rid AS id, mth AS method,
        THEN 'error' ELSE 'routed' END AS status,
   CASE WHEN NOT ok THEN 'PARSE_ERROR' WHEN rid IS NULL OR mth IS NULL THEN 'INVALID_REQUEST'
        WHEN mth NOT IN ({known}) OR {miss_cond} THEN 'INTERNAL_ERROR' END AS error_code,
-  CASE WHEN NOT ok THEN 'Malformed request body' WHEN rid IS NULL OR mth IS NULL THEN 'Missing method or id'
-       WHEN mth NOT IN ({known}) THEN '{prefix}Unknown method: ' || mth
+  CASE WHEN NOT ok THEN '{S.MALFORMED_REQUEST}' WHEN rid IS NULL OR mth IS NULL THEN '{S.MESSAGES["invalid_request"]}'
+       WHEN mth NOT IN ({known}) THEN '{prefix}{S.MESSAGES["unknown_method"]}' || mth
        ELSE {miss_msg} END AS error_message,
   CASE WHEN ok THEN {p('offer_id')} END AS offer_id, ts
 FROM (SELECT *, json_valid(body) AS ok,
@@ -381,8 +381,8 @@ _SATS = "CAST(round(fiat_amount * (1.0 / CASE WHEN rate > 0 THEN rate END) * 100
 QUOTE_OFFER = f"""WITH {RATE_AT_CTE}
 SELECT *, {_SATS} AS amount_sats, {_fee(_SATS, S.MAKER_FEE_PCT)} AS maker_fees,
        {_fee(_SATS, S.TAKER_FEE_PCT)} AS taker_fees, {_SATS} + {_fee(_SATS, S.MAKER_FEE_PCT)} AS total_amount_sats,
-       CASE WHEN rate IS NULL THEN 'Failed to fetch BTC/PLN rate from all sources.'
-            WHEN rate <= 0 THEN 'Unsupported operation: Infinity or NaN toInt' END AS error
+       CASE WHEN rate IS NULL THEN '{S.MESSAGES["rate_unavailable"]}'
+            WHEN rate <= 0 THEN '{S.MESSAGES["rate_not_finite"]}' END AS error
 FROM priced"""
 
 NET_SUBMIT = f"amount_sats - coalesce(taker_fees, {_fee('amount_sats', S.TAKER_FEE_PCT)})"
@@ -398,10 +398,9 @@ WHERE a.invoice_amount_sats IS NOT NULL"""
 INVOICE_AMOUNT_MATCH = f"""
 SELECT id, invoice_amount_sats, expected_sats,
        CASE WHEN invoice_amount_sats <> 0 AND invoice_amount_sats <> expected_sats
-              THEN 'Invoice amount ' || CAST(invoice_amount_sats AS VARCHAR) || ' does not match expected amount '
-                   || CAST(expected_sats AS VARCHAR) || ' sats'
+              THEN format('{S.MESSAGES["invoice_amount_mismatch"].replace("%d", "{}")}', invoice_amount_sats, expected_sats)
             WHEN invoice_amount_sats = 0 AND (expected_sats IS NULL OR expected_sats <= 0)
-              THEN 'Amount must be provided for a zero-amount invoice.' END AS error
+              THEN '{S.MESSAGES["zero_amount_invoice"]}' END AS error
 FROM (SELECT id, {NET_PAY} AS expected_sats,
              CASE CAST(substr(id, 25) AS BIGINT) % 5 WHEN 0 THEN 0 WHEN 1 THEN {NET_PAY} + 1
                   ELSE {NET_PAY} END AS invoice_amount_sats
@@ -463,7 +462,7 @@ OUTCOME_SQL = """SELECT payment_hash,
   CASE WHEN t IS NULL THEN 'UNKNOWN' ELSE t.raw_status END AS status,
   CAST(CASE WHEN t.raw_status = 'SUCCEEDED' THEN t.fee_sat END AS BIGINT) AS fee_sat,
   CASE WHEN t.raw_status = 'SUCCEEDED' THEN t.preimage END AS preimage,
-  CASE WHEN t IS NULL THEN 'Payment status could not be determined: no definitive status'
+  CASE WHEN t IS NULL THEN '{S.MESSAGES["no_definitive_status"]}'
        WHEN t.raw_status = 'FAILED' THEN t.failure_reason END AS error,
   t.stream AS decided_by
 FROM (SELECT payment_hash,
@@ -472,6 +471,7 @@ FROM (SELECT payment_hash,
                 CASE WHEN stream = 'send' THEN 0 ELSE 1 END * 1000000 + seq)
           FILTER (WHERE raw_status IN ('SUCCEEDED', 'FAILED')) AS t
       FROM payment_updates GROUP BY payment_hash) a"""
+OUTCOME_SQL = OUTCOME_SQL.replace('{S.MESSAGES["no_definitive_status"]}', S.MESSAGES["no_definitive_status"])
 PAYMENT_OUTCOME = OUTCOME_SQL
 PAYMENT_RESULT = f"""SELECT payment_hash, (error IS NULL AND preimage IS NOT NULL) AS is_success,
   CAST(CASE WHEN error IS NULL AND preimage IS NOT NULL THEN coalesce(fee_sat, 0) END AS BIGINT) AS stored_fee_sat, error

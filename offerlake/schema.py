@@ -141,6 +141,23 @@ NWC_NOTIFICATIONS = {"hold_invoice_accepted": "ACCEPTED",
                      "holdInvoiceSettled": "SETTLED",
                      "holdInvoiceCanceled": "CANCELED"}
 
+# Error and result texts, as the original answers or stores them.
+MESSAGES = {
+    "rate_unavailable": "Failed to fetch BTC/PLN rate from all sources.",
+    "rate_not_finite": "Unsupported operation: Infinity or NaN toInt",
+    "invoice_amount_mismatch": "Invoice amount %d does not match expected amount %d sats",
+    "zero_amount_invoice": "Amount must be provided for a zero-amount invoice.",
+    "no_definitive_status": "Payment stream completed without definitive status, and tracking did not resolve it.",
+    "invalid_request": "Missing method or id",
+    "request_error_prefix": "Exception: Error processing request: Exception: ",
+    "unknown_method": "Unknown method: ",
+    "missing_param": "Missing required parameter: ",
+    "missing_params": "Missing required parameters: ",
+    "missing_params_submit_blik": "Missing required parameters: offer_id, blik_code, taker_lightning_address",
+}
+# Our own texts (no counterpart in the original).
+MALFORMED_REQUEST = "Malformed request body"
+
 # ---------------------------------------------------------------------------
 # Schemas
 # ---------------------------------------------------------------------------
