@@ -18,14 +18,18 @@ from offerlake import schema as S
 from offerlake.functions import epoch_us, fee_ceil, micros_between
 
 BUCKET_SECONDS = S.RATE_VALIDITY_MINUTES * 60
-# Per source: the JSON path of the rate as a one-field schema; from_json with
-# a DOUBLE leaf returns NULL for strings, booleans, objects and bad bodies,
-# i.e. it keeps numbers only (the `is num` rule).
-_RATE_SCHEMAS = {
-    "CoinGecko": ("bitcoin STRUCT<pln: DOUBLE>", ("bitcoin", "pln")),
-    "Yadio": ("BTC DOUBLE", ("BTC",)),
-    "Blockchain.info": ("PLN STRUCT<last: DOUBLE>", ("PLN", "last")),
-}
+# Per source: the JSON path of the rate (schema.RATE_SOURCES) as a one-field
+# schema; from_json with a DOUBLE leaf returns NULL for strings, booleans,
+# objects and bad bodies, i.e. it keeps numbers only (the `is num` rule).
+def _path_schema(path: str) -> tuple[str, tuple[str, ...]]:
+    parts = tuple(path.removeprefix("$.").split("."))
+    ddl = "DOUBLE"
+    for name in reversed(parts[1:]):
+        ddl = f"STRUCT<{name}: {ddl}>"
+    return f"{parts[0]} {ddl}", parts
+
+
+_RATE_SCHEMAS = {source: _path_schema(path) for source, path in S.RATE_SOURCES}
 _JSON_OPTS = {"allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
 
 
