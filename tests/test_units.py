@@ -447,3 +447,78 @@ def test_stream_resumes_from_checkpoint(spark):
     result = spark.read.parquet(out)
     assert first == recs.where("record_id % 2 = 0").count()
     assert result.count() == recs.count() and result.select("id").distinct().count() == recs.count()
+
+
+# The original's coordinator tests as rows: (case, status, taker, blik received, invoice stored,
+# action, actor, accepted, new status). Maker is "maker", the taker is "taker" unless given.
+ORIGINAL_CASES = [
+    ("funded, maker cancels", "funded", None, False, False, "cancel_offer", "maker", True, "cancelled"),
+    ("funded, taker reserves", "funded", None, False, False, "reserve", "taker", True, "reserved"),
+    ("reserved, taker cancels reservation", "reserved", "taker", False, False, "cancel_reservation", "taker",
+     True, "funded"),
+    ("reserved, taker enters BLIK", "reserved", "taker", False, False, "submit_blik", "taker", True, "blikReceived"),
+    ("blikReceived, maker gets BLIK", "blikReceived", "taker", True, True, "get_blik", "maker", True,
+     "blikSentToMaker"),
+    ("blikSentToMaker, maker confirms", "blikSentToMaker", "taker", True, True, "confirm_payment", "maker", True,
+     "settled"),
+    ("blikSentToMaker, maker marks bad BLIK", "blikSentToMaker", "taker", True, True, "mark_blik_invalid", "maker",
+     True, "invalidBlik"),
+    ("invalidBlik, same taker re-takes", "invalidBlik", "taker", True, True, "reserve", "taker", True, "reserved"),
+    ("invalidBlik, other taker re-takes", "invalidBlik", "taker", True, True, "reserve", "other", False,
+     "invalidBlik"),
+    ("invalidBlik, taker marks charged", "invalidBlik", "taker", True, True, "mark_blik_charged", "taker", True,
+     "conflict"),
+    ("conflict, maker confirms", "conflict", "taker", True, True, "confirm_payment", "maker", True, "settled"),
+    ("conflict, maker opens dispute", "conflict", "taker", True, True, "open_dispute", "maker", True, "dispute"),
+    ("takerPaymentFailed, retry", "takerPaymentFailed", "taker", True, True, "retry_taker_payment", "taker", True,
+     "takerPaid"),
+    ("settled, payment made", "settled", "taker", True, True, "pay_taker", "system", True, "takerPaid"),
+    ("confirm by wrong maker", "blikSentToMaker", "taker", True, True, "confirm_payment", "other", False,
+     "blikSentToMaker"),
+    ("mark invalid by wrong maker", "blikSentToMaker", "taker", True, True, "mark_blik_invalid", "other", False,
+     "blikSentToMaker"),
+    ("get BLIK by wrong maker", "blikReceived", "taker", True, True, "get_blik", "other", False, "blikReceived"),
+    ("submit BLIK by wrong taker", "reserved", "taker", False, False, "submit_blik", "other", False, "reserved"),
+    ("cancel reservation by wrong taker", "reserved", "taker", False, False, "cancel_reservation", "other", False,
+     "reserved"),
+    ("cancel offer by wrong maker", "funded", None, False, False, "cancel_offer", "other", False, "funded"),
+    ("mark conflict by wrong taker", "invalidBlik", "taker", True, True, "mark_blik_charged", "other", False,
+     "invalidBlik"),
+    ("retry by wrong user", "takerPaymentFailed", "taker", True, True, "retry_taker_payment", "other", False,
+     "takerPaymentFailed"),
+    ("confirm in wrong state", "reserved", "taker", False, False, "confirm_payment", "maker", False, "reserved"),
+    ("submit BLIK when not reserved", "funded", None, False, False, "submit_blik", "taker", False, "funded"),
+    ("reserve an already reserved offer", "reserved", "taker", False, False, "reserve", "other", False,
+     "reserved"),
+    ("maker cancels a reserved offer", "reserved", "taker", False, False, "cancel_offer", "maker", False,
+     "reserved"),
+]
+
+
+def test_original_transition_cases(spark):
+    offers = offers_df(spark, [
+        offer(id=f"o{i}", status=st, taker_pubkey=tk, blik_received_at=T0 if blik else None,
+              taker_invoice="inv" if inv else None)
+        for i, (_, st, tk, blik, inv, *_rest) in enumerate(ORIGINAL_CASES)])
+    acts = spark.createDataFrame([(f"o{i}", 1, c[5], c[6], None) for i, c in enumerate(ORIGINAL_CASES)],
+                                 "offer_id string, seq int, action string, actor string, invoice_amount_sats long")
+    got = {r.offer_id: (r.accepted, r.new_status) for r in LC.validate_actions(acts, offers).collect()}
+    for i, case in enumerate(ORIGINAL_CASES):
+        assert got[f"o{i}"] == (case[7], case[8]), case[0]
+
+
+def test_revert_keeps_original_funded_deadline(spark):
+    df = offers_df(spark, [offer(status="reserved", reserved_at=T0 + timedelta(seconds=500))])
+    r = LC.revert_to_funded(df, T0 + timedelta(seconds=540)).first()
+    assert r.status == "funded" and r.funded_expires_at == T0 + timedelta(seconds=600)
+    assert r.expires_immediately is False
+    assert LC.revert_to_funded(df, T0 + timedelta(seconds=601)).first().expires_immediately is True
+
+
+def test_invoice_change_only_by_own_taker(spark):
+    offers = offers_df(spark, [offer(taker_pubkey="taker", taker_invoice="old")])
+    chg = spark.createDataFrame([(UUID, "other", "lnbc-evil", T0), (UUID, "taker", "lnbc-new", T0)],
+                                "offer_id string, sender string, bolt11 string, ts timestamp_ntz")
+    assert LC.apply_invoice_change(offers, chg).first().taker_invoice == "lnbc-new"
+    only_other = chg.where("sender = 'other'")
+    assert LC.apply_invoice_change(offers, only_other).first().taker_invoice == "old"
