@@ -3,6 +3,8 @@ and partition predicates reach the scan, unused columns are pruned."""
 
 from datetime import datetime
 
+from pyspark.sql import Window
+
 import pytest
 
 import __spark_entry__ as E
@@ -76,3 +78,38 @@ def test_bucketed_tables_join_without_shuffle(spark):
     a = LC.apply_status_updates(offers, events.withColumnRenamed("id", "offer_id"))
     b = LC.apply_status_updates(t.offers, t.status_events)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_hot_offer_status_history_matches_window(spark):
+    """One offer holding a third of all status events (spanning several
+    chunks) gives the same lag/lead as a plain window in DuckDB."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from offerlake.operators import lifecycle as LC
+    t = Tables(spark, SF_SMALL)
+    ev = t.status_events
+    hot = F.col("offer_id") < "00000000-0000-4000-8000-000000000500"   # about a third of the offers
+    skewed = ev.select(
+        F.when(hot, F.lit("HOT")).otherwise(F.col("offer_id")).alias("offer_id"),
+        F.when(hot, F.row_number().over(Window.orderBy("offer_id", "seq")) * 7).otherwise(F.col("seq"))
+        .cast("int").alias("seq"),
+        "status", "ts")
+    hot_rows = skewed.where("offer_id = 'HOT'").agg(F.count("*").alias("n"), F.max("seq").alias("s")).first()
+    assert hot_rows.n * 3 > skewed.count() * 0.9 and hot_rows.s // 4096 >= 3  # ~a third, several chunks
+    got = LC.status_history(skewed).toArrow()
+    con = duckdb.connect()
+    con.register("e", skewed.toArrow())
+    want = con.sql("""SELECT offer_id, seq, status, ts, lag(status) OVER w AS prev_status,
+        CAST(trunc((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000.0) AS BIGINT) AS seconds_in_status,
+        lead(seq) OVER w IS NULL AS is_current FROM e WINDOW w AS (PARTITION BY offer_id ORDER BY seq)""").arrow()
+    if hasattr(want, "read_all"):
+        want = want.read_all()
+    from tools.check_oracle import rows_of
+    assert rows_of(got) == rows_of(want)
+    # applying the hot offer's events in order equals the last event's status
+    applied = LC.apply_status_updates(
+        t.offers.limit(1).withColumn("id", F.lit("HOT")), skewed.withColumn("taker_pubkey", F.lit("x"))
+        .withColumn("address", F.lit(None).cast("string")).withColumn("taker_fees", F.lit(None).cast("bigint")))
+    last = skewed.where("offer_id = 'HOT'").orderBy(F.col("seq").desc()).first()
+    assert applied.first().status == last.status
