@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake import schema as S
-from offerlake.functions import (dec, epoch_s, exact_ratio, is_failed, is_success,
+from offerlake.functions import (dec, exact_ratio, is_failed, is_success,
                                  iso_week_label, iso_weekday, micros_between, plus_seconds,
                                  public_view, round2, ts_lit)
 

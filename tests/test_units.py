@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from offerlake import schema as S
 from offerlake.operators import audit as A
