@@ -43,6 +43,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     if master and master.startswith("local"):
         builder = builder.config("spark.driver.memory", "16g")
+        # catalog metadata of external tables stays out of the working directory
+        builder = builder.config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "offerlake-warehouse"))
         builder = builder.config("spark.sql.shuffle.partitions",
                                  str(shuffle_partitions or 8))
     elif shuffle_partitions:
