@@ -89,10 +89,6 @@ def round2(c: Column) -> Column:
     return F.round(c, 2).cast("decimal(18,2)")
 
 
-def status_in(values: list[str]) -> Column:
-    return F.col("status").isin(values)
-
-
 def is_success() -> Column:
     return F.col("status") == S.SUCCESS_STATUS
 

@@ -10,8 +10,6 @@ the state store) and ``applyInPandasWithState`` for per-offer timers.
 
 from __future__ import annotations
 
-from datetime import datetime
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -337,10 +335,6 @@ def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 min
     return spark.read.parquet(run_to_files(fired, "deadlines"))
 
 
-def batch_as_of(value: datetime) -> str:
-    return value.strftime("%Y-%m-%d %H:%M:%S")
-
-
 # ---------------------------------------------------------------------------
 # order-feed publishing
 # ---------------------------------------------------------------------------
