@@ -393,6 +393,7 @@ def _streams() -> None:
     register("stream_rates", O.AVERAGE_RATE, "rate_payloads")(lambda t: J.stream_rates(t.spark, t.rate_payloads))
     register("stream_fund_offers", O.STREAM_FUND_OFFERS, "rate_payloads", "quotes", "quote_updates", "offers")(
         lambda t: J.stream_fund_offers(t.spark, P.quote_offer(priced_quotes(t)), t.quote_updates, t.offers))
-    register("stream_deadlines")(lambda t: J.stream_deadlines(t.spark, t.status_events))
+    register("stream_deadlines", O.STREAM_DEADLINES, "status_events")(
+        lambda t: J.stream_deadlines(t.spark, t.status_events, single_batch=True))
     register("stream_publish_orders", O.STREAM_PUBLISH_ORDERS, "offer_changes", "offers")(
         lambda t: J.stream_publish_orders(t.spark, t.offer_changes, t.offers))

@@ -742,3 +742,25 @@ SELECT CAST(to_json({{
 
 STREAM_PUBLISH_ORDERS = (f"SELECT c.seq, o.id, 38383 AS kind, CAST(to_json({_tags(False)}) AS VARCHAR) AS tags "
                          f"FROM offer_changes c JOIN offers o ON o.id = c.offer_id")
+
+_TIMED_SQL = [("funded", "coalesce(created_ms, last_ms)", S.FUNDED_EXPIRY_SECONDS, "expired"),
+              ("reserved", "coalesce(reserved_ms, last_ms)", S.RESERVATION_SECONDS, "funded"),
+              ("blikReceived", "coalesce(blik_ms, last_ms)", S.BLIK_CONFIRMATION_SECONDS, "expiredBlik"),
+              ("blikSentToMaker", "coalesce(blik_ms, last_ms)", S.BLIK_CONFIRMATION_SECONDS, "expiredSentBlik"),
+              ("takerCharged", "coalesce(created_ms, last_ms)", S.TAKER_CHARGED_AUTO_CONFIRM_SECONDS, "settled"),
+              ("conflict", "last_ms", S.CONFLICT_AUTO_DISPUTE_SECONDS, "dispute")]
+STREAM_DEADLINES = f"""WITH ev AS (SELECT offer_id, seq, status, epoch_ms(ts) AS ms FROM status_events),
+wm AS (SELECT max(ms) - 60000 AS w FROM ev),
+per AS (SELECT offer_id, arg_max(status, seq) AS status, arg_max(ms, seq) AS last_ms,
+               arg_min(ms, seq) FILTER (WHERE status = 'funded') AS created_ms,
+               arg_max(ms, seq) FILTER (WHERE status = 'reserved') AS reserved_ms,
+               arg_max(ms, seq) FILTER (WHERE status = 'blikReceived') AS blik_ms
+        FROM ev GROUP BY offer_id),
+due AS (SELECT offer_id, status,
+          CASE status {' '.join(f"WHEN '{st}' THEN {base} + {secs * 1000}" for st, base, secs, _ in _TIMED_SQL)} END AS due_ms,
+          CASE status {' '.join(f"WHEN '{st}' THEN '{to}'" for st, _, _, to in _TIMED_SQL)} END AS timeout_status
+        FROM per)
+SELECT offer_id, status, timeout_status,
+       TIMESTAMP '1970-01-01 00:00:00' + to_milliseconds(due_ms) AS due_at,
+       TIMESTAMP '1970-01-01 00:00:00' + to_milliseconds((SELECT w FROM wm)) AS fired_at
+FROM due WHERE due_ms IS NOT NULL AND (SELECT w FROM wm) > due_ms"""

@@ -213,48 +213,58 @@ _TIMED = {"funded": ("created", S.FUNDED_EXPIRY_SECONDS, "expired"),
           "takerCharged": ("created", S.TAKER_CHARGED_AUTO_CONFIRM_SECONDS, "settled"),
           "conflict": ("event", S.CONFLICT_AUTO_DISPUTE_SECONDS, "dispute")}
 
-DEADLINE_OUT = ("offer_id STRING, status STRING, timeout_status STRING, due_at TIMESTAMP, fired_at TIMESTAMP")
+DEADLINE_OUT = "offer_id STRING, status STRING, timeout_status STRING, due_ms LONG, fired_ms LONG"
 DEADLINE_STATE = "status STRING, seq INT, due_ms LONG, created_ms LONG, reserved_ms LONG, blik_ms LONG"
 
 
+def _advance(state: tuple, pdfs) -> tuple[tuple, bool]:
+    """Fold new status events (sorted by seq) into the offer state; returns
+    (new state without due time, whether anything new arrived)."""
+    status, seq, _due, created_ms, reserved_ms, blik_ms = state
+    last_ms, new = None, False
+    for pdf in pdfs:
+        for r in pdf.sort_values("seq").itertuples(index=False):
+            if r.seq <= seq:
+                continue
+            new = True
+            status, seq, last_ms = r.status, int(r.seq), int(r.ts_ms)
+            if status == "funded" and created_ms is None:
+                created_ms = last_ms
+            if status == "reserved":
+                reserved_ms = last_ms
+            if status == "blikReceived":
+                blik_ms = last_ms
+    due = None
+    if new and status in _TIMED:
+        base, secs, _ = _TIMED[status]
+        start = {"created": created_ms, "reserved": reserved_ms, "blik": blik_ms}.get(base) or last_ms
+        due = start + secs * 1000
+    return (status, seq, due, created_ms, reserved_ms, blik_ms), new
+
+
+def _fired(offer_id: str, state: tuple, watermark_ms: int) -> pd.DataFrame:
+    status, _seq, due_ms = state[:3]
+    return pd.DataFrame({"offer_id": [offer_id], "status": [status], "timeout_status": [_TIMED[status][2]],
+                         "due_ms": [due_ms], "fired_ms": [watermark_ms]})
+
+
 def _deadline_fn(key, pdfs, state: GroupState):
     """Per-offer timer: keep the latest status; when it is a timed status,
     arm an event-time timeout at its deadline; a timeout that fires while
     the offer is still in that status emits the timeout transition. A new
-    status cancels the previous timer."""
-    offer_id = key[0]
+    status cancels the previous timer; a batch with nothing new keeps it."""
     if state.hasTimedOut:
-        status, _seq, due_ms, *_ = state.get
+        cur = state.get
         state.remove()
-        due = pd.Timestamp(due_ms, unit="ms")
-        yield pd.DataFrame({"offer_id": [offer_id], "status": [status],
-                            "timeout_status": [_TIMED[status][2]], "due_at": [due],
-                            "fired_at": [pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")]})
+        yield _fired(key[0], cur, state.getCurrentWatermarkMs())
         return
     cur = state.get if state.exists else (None, -1, None, None, None, None)
-    status, seq, _due, created_ms, reserved_ms, blik_ms = cur
-    last_ms = None
-    for pdf in pdfs:
-        for row in pdf.sort_values("seq").itertuples(index=False):
-            ms = int(pd.Timestamp(row.ts).value // 1_000_000)
-            if row.seq <= seq:
-                continue
-            status, seq = row.status, int(row.seq)
-            if status == "funded" and created_ms is None:
-                created_ms = ms
-            if status == "reserved":
-                reserved_ms = ms
-            if status == "blikReceived":
-                blik_ms = ms
-            last_ms = ms
-    if status in _TIMED:
-        base, secs, _ = _TIMED[status]
-        start = {"created": created_ms, "reserved": reserved_ms, "blik": blik_ms}.get(base, last_ms) or last_ms
-        due_ms = start + secs * 1000
-        state.update((status, seq, due_ms, created_ms, reserved_ms, blik_ms))
-        state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
-    else:
-        state.update((status, seq, None, created_ms, reserved_ms, blik_ms))
+    nxt, new = _advance(cur, pdfs)
+    if not new:
+        return
+    state.update(nxt)
+    if nxt[2] is not None:
+        state.setTimeoutTimestamp(max(nxt[2], state.getCurrentWatermarkMs() + 1))
 
 
 class DeadlineProcessor(StatefulProcessor):
@@ -269,38 +279,20 @@ class DeadlineProcessor(StatefulProcessor):
         self.offer = handle.getValueState("offer", DEADLINE_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        status, seq, due_ms, created_ms, reserved_ms, blik_ms = (
-            self.offer.get() if self.offer.exists() else (None, -1, None, None, None, None))
-        old_due, last_ms = due_ms, None
-        for pdf in rows:
-            for r in pdf.sort_values("seq").itertuples(index=False):
-                if r.seq <= seq:
-                    continue
-                ms = int(pd.Timestamp(r.ts).value // 1_000_000)
-                status, seq, last_ms = r.status, int(r.seq), ms
-                if status == "funded" and created_ms is None:
-                    created_ms = ms
-                if status == "reserved":
-                    reserved_ms = ms
-                if status == "blikReceived":
-                    blik_ms = ms
-        if old_due is not None:
-            self.handle.deleteTimer(old_due)
-        due_ms = None
-        if status in _TIMED:
-            base, secs, _ = _TIMED[status]
-            start = {"created": created_ms, "reserved": reserved_ms, "blik": blik_ms}.get(base, last_ms) or last_ms
-            due_ms = start + secs * 1000
-            self.handle.registerTimer(due_ms)
-        self.offer.update((status, seq, due_ms, created_ms, reserved_ms, blik_ms))
+        cur = self.offer.get() if self.offer.exists() else (None, -1, None, None, None, None)
+        nxt, new = _advance(cur, rows)
+        if new:
+            if cur[2] is not None:
+                self.handle.deleteTimer(cur[2])
+            if nxt[2] is not None:
+                self.handle.registerTimer(nxt[2])
+            self.offer.update(nxt)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        status, _seq, due_ms, *_ = self.offer.get()
+        cur = self.offer.get()
         self.offer.clear()
-        yield pd.DataFrame({"offer_id": [key[0]], "status": [status], "timeout_status": [_TIMED[status][2]],
-                            "due_at": [pd.Timestamp(due_ms, unit="ms")],
-                            "fired_at": [pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")]})
+        yield _fired(key[0], cur, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -310,7 +302,7 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 minute",
-                     impl: str = "group_state") -> DataFrame:
+                     impl: str = "group_state", single_batch: bool = False) -> DataFrame:
     """Timeout transitions fired by per-offer event-time timers over a stream
     of status events. Timers fire once the watermark passes the deadline, so
     offers whose deadline lies beyond the last event time stay pending.
@@ -319,10 +311,19 @@ def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 min
     event-time timeout; ``impl='transform_with_state'`` uses the Spark 4
     stateful processor API (value state + event-time timers on RocksDB).
     Both give the same transitions; the first is faster here because the
-    processor API makes a round trip to the JVM for every state call."""
-    path, schema = land_files(events.select("offer_id", "seq", "status", F.col("ts").cast("timestamp").alias("ts")),
-                              "status-events", order="ts")
-    stream = read_stream(spark, path, schema).withWatermark("ts", delay)
+    processor API makes a round trip to the JVM for every state call.
+
+    Event times travel as epoch milliseconds of the UTC wall clock, so the
+    result does not depend on the session time zone. ``single_batch`` reads
+    all landed files in one micro-batch: every offer then arms its timer
+    for its final status and the following no-data batch fires those due
+    before max(event time) - delay, a deterministic result."""
+    from offerlake.functions import EPOCH_NTZ, epoch_ms
+    src = events.select("offer_id", "seq", "status", epoch_ms("ts").alias("ts_ms"), "ts")
+    path, schema = land_files(src, "status-events", order="ts")
+    stream = read_stream(spark, path, schema, files_per_trigger=100000 if single_batch else 1)
+    stream = (stream.withColumn("event_time", F.timestamp_millis("ts_ms")).drop("ts")
+              .withWatermark("event_time", delay))
     if impl == "transform_with_state":
         # The stateful processor API needs RocksDB; the new checkpoint picks it up.
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
@@ -332,24 +333,11 @@ def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 min
         fired = stream.groupBy("offer_id").applyInPandasWithState(
             _deadline_fn, outputStructType=DEADLINE_OUT, stateStructType=DEADLINE_STATE,
             outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
-    return spark.read.parquet(run_to_files(fired, "deadlines"))
+    out = spark.read.parquet(run_to_files(fired, "deadlines"))
+    epoch = F.lit(EPOCH_NTZ).cast("timestamp_ntz")
 
+    def ntz(ms_col: str):
+        return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col(ms_col) / 1000)
 
-# ---------------------------------------------------------------------------
-# order-feed publishing
-# ---------------------------------------------------------------------------
-def stream_publish_orders(spark: SparkSession, changes: DataFrame, offers: DataFrame) -> DataFrame:
-    """Every offer change publishes the offer's current order event. Each
-    micro-batch is written by ``foreachBatch`` into its own folder, so a
-    retried batch rewrites the same output."""
-    from offerlake.operators.feed import order_tags
-    stream = read_changes(spark, changes, "publish").where(F.col("offer_id").isNotNull())
-    rows = stream.join(offers.withColumnRenamed("id", "offer_id"), "offer_id").withColumnRenamed("offer_id", "id")
-    events = rows.select("seq", "id", F.lit(S.ORDER_EVENT_KIND).alias("kind"),
-                         F.to_json(order_tags()).alias("tags"))
-
-    def write(df: DataFrame, batch_id: int, out: str) -> None:
-        df.write.mode("overwrite").json(f"{out}/batch={batch_id}")
-
-    out = run_foreach_batch(events, "publish", write, mode="append")
-    return spark.read.schema("seq LONG, id STRING, kind INT, tags STRING").json(out).drop("batch")
+    return out.select("offer_id", "status", "timeout_status", ntz("due_ms").alias("due_at"),
+                      ntz("fired_ms").alias("fired_at"))

@@ -28,7 +28,7 @@ def test_every_query_has_a_spark_plan(spark):
     assert len(qs) >= 85
 
 
-@pytest.mark.parametrize("key", ["replay_actions", "replay_steps", "stream_deadlines"])
+@pytest.mark.parametrize("key", ["replay_actions", "replay_steps"])
 def test_rows_only_queries_run(spark, key):
     assert E.queries()[key](spark, SF_SMALL).count() > 0
 
