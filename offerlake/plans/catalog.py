@@ -263,8 +263,10 @@ def _lifecycle() -> None:
         lambda t: LC.apply_invoice_change(t.offers, invoice_change_rows(t)))
     register("validate_actions", O.VALIDATE_ACTIONS, "action_log", "offers")(
         lambda t: LC.validate_actions(t.action_log, t.offers))
-    register("replay_actions")(lambda t: LC.replay_actions(t.action_log, t.offers))
-    register("replay_steps")(lambda t: LC.replay_steps(t.action_log, t.offers))
+    register("replay_actions", O.REPLAY_ACTIONS, "action_log", "offers")(
+        lambda t: LC.replay_actions(t.action_log, t.offers))
+    register("replay_steps", O.REPLAY_STEPS, "action_log", "offers")(
+        lambda t: LC.replay_steps(t.action_log, t.offers))
 
 
 # ---------------------------------------------------------------------------

@@ -764,3 +764,51 @@ SELECT offer_id, status, timeout_status,
        TIMESTAMP '1970-01-01 00:00:00' + to_milliseconds(due_ms) AS due_at,
        TIMESTAMP '1970-01-01 00:00:00' + to_milliseconds((SELECT w FROM wm)) AS fired_at
 FROM due WHERE due_ms IS NOT NULL AND (SELECT w FROM wm) > due_ms"""
+
+
+def _replay_sql() -> str:
+    """Sequential fold of every offer's action log as a recursive CTE: step
+    n joins the state after step n-1 with the offer's n-th action."""
+    from offerlake.operators.lifecycle import decide_reason_sql, decide_status_sql, decide_warning_sql
+    refs = {"action": "x.action", "status": "s.status", "actor": "x.actor", "maker": "x.maker",
+            "taker": "s.taker", "has_blik": "s.has_blik", "has_invoice": "s.has_invoice", "verdict": "x.verdict"}
+    qrefs = {k: "q." + v.split(".", 1)[1] if v.startswith("x.") else "q.s_" + v.split(".", 1)[1]
+             for k, v in refs.items()}
+    reason = decide_reason_sql(refs)
+    ns = decide_status_sql(qrefs, "q.r")
+    warn = decide_warning_sql(qrefs, "q.r")
+    clears = f"(({ns}) IN ('funded', 'expired', 'cancelled'))"
+    ok = "(q.r IS NULL)"
+    return f"""WITH RECURSIVE acts AS (
+  SELECT a.offer_id, CAST(a.seq AS INTEGER) AS seq, a.action, a.actor, o.maker_pubkey AS maker,
+         CASE WHEN a.invoice_amount_sats IS NULL THEN NULL
+              WHEN a.invoice_amount_sats > o.net + 10 THEN 'too_large'
+              WHEN a.invoice_amount_sats < o.net - 100 THEN 'too_small' ELSE 'ok' END AS verdict,
+         row_number() OVER (PARTITION BY a.offer_id ORDER BY a.seq) AS n
+  FROM action_log a LEFT JOIN (SELECT id, maker_pubkey, {NET_SUBMIT} AS net FROM offers) o ON o.id = a.offer_id),
+steps AS (
+  SELECT offer_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS taker,
+         false AS has_blik, false AS has_invoice, CAST(NULL AS INTEGER) AS seq, CAST(NULL AS VARCHAR) AS action,
+         CAST(NULL AS VARCHAR) AS actor, CAST(NULL AS VARCHAR) AS status_before, CAST(NULL AS VARCHAR) AS reason,
+         CAST(NULL AS VARCHAR) AS warning
+  FROM (SELECT DISTINCT offer_id FROM acts) d
+  UNION ALL
+  SELECT q.offer_id, q.n, {ns},
+         CASE WHEN {ok} AND q.action = 'reserve' THEN q.actor WHEN {ok} AND {clears} THEN NULL ELSE q.s_taker END,
+         CASE WHEN {ok} AND q.action = 'submit_blik' THEN true WHEN {ok} AND {clears} THEN false ELSE q.s_has_blik END,
+         CASE WHEN {ok} AND q.action = 'submit_blik' THEN true WHEN {ok} AND {clears} THEN false ELSE q.s_has_invoice END,
+         q.seq, q.action, q.actor, q.s_status, q.r, {warn}
+  FROM (SELECT x.offer_id, x.n, x.seq, x.action, x.actor, x.maker, x.verdict, s.status AS s_status,
+               s.taker AS s_taker, s.has_blik AS s_has_blik, s.has_invoice AS s_has_invoice, {reason} AS r
+        FROM steps s JOIN acts x ON x.offer_id = s.offer_id AND x.n = s.n + 1) q)
+SELECT offer_id, seq, action, actor, status_before, status AS status_after, reason IS NULL AS accepted, reason,
+       warning, taker AS taker_after
+FROM steps WHERE n > 0"""
+
+
+REPLAY_STEPS = _replay_sql()
+REPLAY_ACTIONS = f"""SELECT offer_id, arg_max(status_after, seq) AS final_status, arg_max(taker_after, seq) AS taker_pubkey,
+  COUNT(*) AS n_actions, COUNT(*) FILTER (WHERE accepted) AS n_accepted, COUNT(*) FILTER (WHERE NOT accepted) AS n_rejected,
+  COUNT(warning) AS n_warnings,
+  arg_min({{'seq': seq, 'action': action, 'reason': reason}}, seq) FILTER (WHERE NOT accepted) AS first_rejected
+FROM ({REPLAY_STEPS}) st GROUP BY offer_id"""

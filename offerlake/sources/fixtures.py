@@ -560,6 +560,8 @@ def with_fixtures(sql: str, *names: str) -> str:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({fixture_sql(n)})" for n in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
