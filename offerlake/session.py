@@ -31,11 +31,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "offerlake") -> SparkSession:
     """Create (or reuse) a session with the offerlake defaults.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; locally the
-    default is ``local[8]`` with 8 shuffle partitions.
+    ``master=None`` keeps the master the launcher configured (spark-submit
+    passes it as ``spark.master``); only when none is configured does it
+    fall back to ``local[$BENCH_CPUS or 8]`` with that many shuffle partitions.
     """
+    from pyspark import SparkConf
+
     builder = SparkSession.builder.appName(app)
-    if master is None and not os.environ.get("SPARK_MASTER_URL"):
+    if master is None and SparkConf().get("spark.master", None) is None:
         master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     if master:
         builder = builder.master(master)
