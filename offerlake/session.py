@@ -35,10 +35,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     passes it as ``spark.master``); only when none is configured does it
     fall back to ``local[$BENCH_CPUS or 8]`` with that many shuffle partitions.
     """
-    from pyspark import SparkConf
-
     builder = SparkSession.builder.appName(app)
-    if master is None and SparkConf().get("spark.master", None) is None:
+    # spark-submit starts the JVM first (PYSPARK_GATEWAY_PORT) and passes the
+    # master itself; so does an explicit --master in PYSPARK_SUBMIT_ARGS.
+    launched = ("PYSPARK_GATEWAY_PORT" in os.environ
+                or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", ""))
+    if master is None and not launched:
         master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     if master:
         builder = builder.master(master)
