@@ -113,3 +113,18 @@ def test_hot_offer_status_history_matches_window(spark):
         .withColumn("address", F.lit(None).cast("string")).withColumn("taker_fees", F.lit(None).cast("bigint")))
     last = skewed.where("offer_id = 'HOT'").orderBy(F.col("seq").desc()).first()
     assert applied.first().status == last.status
+
+
+def test_cli_jobs(spark, tmp_path_factory):
+    from offerlake.plans import cli
+    t = Tables(spark, SF_SMALL)
+    src = io.scratch_path(spark, "cli-offers")
+    io.write_offers(t.offers, src)
+    out = io.scratch_path(spark, "cli-report")
+    cli.main(["report", "--offers", src, "--group-by", "weekly", "--as-of", "2001-08-02 00:00:00", "--out", out])
+    doc = spark.read.text(out).first().value
+    assert doc.startswith('{"rows":[')
+    sweep_out = io.scratch_path(spark, "cli-sweep")
+    cli.main(["sweep", "--offers", src, "--as-of", "2001-08-02 00:00:00", "--out", sweep_out])
+    assert spark.read.parquet(sweep_out).count() == sum(
+        r.offer_count for r in E.queries()["sweep_summary"](spark, SF_SMALL).where("outcome = 'due'").collect())
