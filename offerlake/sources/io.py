@@ -52,15 +52,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # ---------------------------------------------------------------------------
 # offers
 # ---------------------------------------------------------------------------
+def utc_wall_clock(col: str):
+    """An instant (TIMESTAMP) as its UTC wall-clock TIMESTAMP_NTZ, whatever
+    the session time zone."""
+    return (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_micros(F.col(col)) / F.lit(1_000_000)))
+
+
 def read_offers(spark: SparkSession, path: str, fiat_scale: int = 2, since: datetime | str | None = None,
-                until: datetime | str | None = None) -> DataFrame:
+                until: datetime | str | None = None, instant_timestamps: bool = False) -> DataFrame:
     """Scan an offers table with the fixed schema; secrets are not read,
     late columns missing from old files are NULL, unknown statuses are
     dropped (see `offer_status_rejects`). ``since`` / ``until`` restrict
     created_at and add the matching ``created_date`` partition predicate,
-    so only the needed date folders are listed and read."""
+    so only the needed date folders are listed and read.
+    ``instant_timestamps`` reads tables whose time columns are instants
+    (a TIMESTAMPTZ export) and turns them into UTC wall-clock values."""
     fields = [f if f.name != "fiat_amount" else T.StructField("fiat_amount", T.DecimalType(18, fiat_scale), True)
               for f in S.OFFER_SCHEMA.fields]
+    if instant_timestamps:
+        ts_cols = [f.name for f in fields if isinstance(f.dataType, T.TimestampNTZType)]
+        fields = [T.StructField(f.name, T.TimestampType(), f.nullable) if f.name in ts_cols else f for f in fields]
+        df = spark.read.schema(T.StructType(fields)).parquet(path)
+        df = df.select(*[utc_wall_clock(c).alias(c) if c in ts_cols else F.col(c) for c in df.columns])
+        out = df.where(F.col("status").isin(S.STATUSES)).select(*S.OFFER_COLUMNS)
+        if since is not None:
+            out = out.where(F.col("created_at") >= ts_lit(since))
+        if until is not None:
+            out = out.where(F.col("created_at") < ts_lit(until))
+        return out
     schema = T.StructType(fields)
     df = spark.read.schema(schema).parquet(path)
     if since is not None or until is not None:

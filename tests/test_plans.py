@@ -128,3 +128,23 @@ def test_cli_jobs(spark, tmp_path_factory):
     cli.main(["sweep", "--offers", src, "--as-of", "2001-08-02 00:00:00", "--out", sweep_out])
     assert spark.read.parquet(sweep_out).count() == sum(
         r.offer_count for r in E.queries()["sweep_summary"](spark, SF_SMALL).where("outcome = 'due'").collect())
+
+
+def test_read_offers_from_instant_timestamps(spark):
+    """A store exported with instant timestamps (TIMESTAMPTZ) reads back as
+    the same UTC wall-clock rows, even in a non-UTC session."""
+    from pyspark.sql import functions as F
+    t = Tables(spark, SF_SMALL)
+    path = io.scratch_path(spark, "instant-offers")
+    ts_cols = [c for c, typ in t.offers.dtypes if typ == "timestamp_ntz"]
+    # instants whose UTC wall clock is the NTZ value
+    exported = t.offers.select(*[F.to_utc_timestamp(F.col(c).cast("timestamp"), "UTC").alias(c) if c in ts_cols
+                                 else F.col(c) for c in t.offers.columns])
+    exported.write.parquet(path)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        back = io.read_offers(spark, path, instant_timestamps=True)
+        assert back.exceptAll(t.offers).count() == 0 and t.offers.exceptAll(back).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
