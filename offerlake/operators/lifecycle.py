@@ -236,15 +236,12 @@ _CLEARED = {"taker_pubkey", "reserved_at", "blik_received_at", "taker_lightning_
             "taker_invoice", "taker_invoice_fees"}
 
 
-def apply_status_updates(offers: DataFrame, events: DataFrame) -> DataFrame:
-    """Apply ordered status events to the current rows.
-
-    Applying a chain of updates field by field equals taking, for every
-    field, the value written by the *last* event that touches it (set or
-    clear); untouched fields keep their current value. That is a set of
-    max_by aggregates per offer - partial aggregation, no per-offer list -
-    followed by one join. Events missing a required value (reserved without
-    taker) are rejected as in the original."""
+def status_update_aggregates(events: DataFrame) -> DataFrame:
+    """Per offer: the last event (status, ts) and, for every field, the value
+    written by the last event that touches it (set or clear). Events
+    missing a required value (reserved without taker) are rejected as in
+    the original. Plain aggregates, so the same expression runs as a
+    streaming aggregation."""
     valid = events.where(~((F.col("status") == "reserved") & F.col("taker_pubkey").isNull())
                          & F.col("ts").isNotNull())
     st = F.col("status")
@@ -261,7 +258,12 @@ def apply_status_updates(offers: DataFrame, events: DataFrame) -> DataFrame:
             touch = touch | clear
         v = (value if value is not None else F.lit(None)).cast(S.OFFER_SCHEMA[field].dataType)
         aggs.append(F.max_by(F.struct(v.alias("v")), F.when(touch, F.col("seq"))).alias(f"_{field}"))
-    upd = valid.groupBy(F.col("offer_id").alias("id")).agg(*aggs)
+    return valid.groupBy(F.col("offer_id").alias("id")).agg(*aggs)
+
+
+def merge_status_updates(offers: DataFrame, upd: DataFrame) -> DataFrame:
+    """Current rows with the aggregated updates applied; untouched fields
+    keep their value."""
     joined = offers.join(upd, "id", "left")
     cols = []
     for c in S.OFFER_COLUMNS:
@@ -276,6 +278,16 @@ def apply_status_updates(offers: DataFrame, events: DataFrame) -> DataFrame:
     return joined.select(*cols)
 
 
+def apply_status_updates(offers: DataFrame, events: DataFrame) -> DataFrame:
+    """Apply ordered status events to the current rows.
+
+    Applying a chain of updates field by field equals taking, for every
+    field, the value written by the *last* event that touches it; that is a
+    set of max_by aggregates per offer - partial aggregation, no per-offer
+    list - followed by one join."""
+    return merge_status_updates(offers, status_update_aggregates(events))
+
+
 def apply_invoice_updates(offers: DataFrame, updates: DataFrame) -> DataFrame:
     """Set taker_invoice / taker_invoice_fees from the latest update per
     offer (``updates``: offer_id, taker_invoice?, taker_invoice_fees?, ts);

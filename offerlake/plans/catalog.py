@@ -397,5 +397,7 @@ def _streams() -> None:
         lambda t: J.stream_fund_offers(t.spark, P.quote_offer(priced_quotes(t)), t.quote_updates, t.offers))
     register("stream_deadlines", O.STREAM_DEADLINES, "status_events")(
         lambda t: J.stream_deadlines(t.spark, t.status_events, single_batch=True))
+    register("stream_apply_status_updates", O.APPLY_STATUS_UPDATES, "offers", "status_events")(
+        lambda t: J.stream_apply_status_updates(t.spark, t.status_events, t.offers))
     register("stream_publish_orders", O.STREAM_PUBLISH_ORDERS, "offer_changes", "offers")(
         lambda t: J.stream_publish_orders(t.spark, t.offer_changes, t.offers))

@@ -361,3 +361,22 @@ def stream_publish_orders(spark: SparkSession, changes: DataFrame, offers: DataF
 
     out = run_foreach_batch(events, "publish", write, mode="append")
     return spark.read.schema("seq LONG, id STRING, kind INT, tags STRING").json(out).drop("batch")
+
+
+# ---------------------------------------------------------------------------
+# status updates as a stateful stream
+# ---------------------------------------------------------------------------
+def stream_apply_status_updates(spark: SparkSession, events: DataFrame, offers: DataFrame) -> DataFrame:
+    """The per-field "last writer" aggregation of `apply_status_updates` as a
+    streaming aggregation (state per offer in the state store, update mode).
+    Each micro-batch logs the offers it changed; the newest entry per offer
+    in the log is merged onto the current rows."""
+    from offerlake.operators.lifecycle import merge_status_updates, status_update_aggregates
+    path, schema = land_files(events, "status-updates", order="ts")
+    agg = status_update_aggregates(read_stream(spark, path, schema))
+    out = run_foreach_batch(agg, "status-updates", _batch_writer, mode="update")
+    log = spark.read.parquet(out)
+    cols = [c for c in log.columns if c not in ("id", "batch_id", "batch")]
+    latest = (log.groupBy("id").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
+              .select("id", *[F.col(f"r.{c}").alias(c) for c in cols]))
+    return merge_status_updates(offers, latest)
