@@ -581,7 +581,9 @@ def replay_steps(actions: DataFrame, offers: DataFrame, hot_threshold: int = 100
         F.when(code % 2 == 1, F.lit("retry_on_paid")).alias("warning"),
         "taker_after")
 
-    streamed = (hot.repartition("offer_id").sortWithinPartitions("offer_id", "seq")
+    # Range partitioning samples the keys, so distinct hot offers land in
+    # different tasks (hashing could put two of them together).
+    streamed = (hot.repartitionByRange("offer_id").sortWithinPartitions("offer_id", "seq")
                 .mapInPandas(_fold_sorted_batches, STEP_SCHEMA))
     return decoded.unionByName(streamed)
 
