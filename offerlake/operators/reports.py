@@ -82,7 +82,7 @@ def metrics_by_period(offers: DataFrame, group_by: str, as_of: datetime | str,
 
     daily covers the last 29 x 24 h before ``as_of`` (not midnight aligned);
     weekly and monthly cover all history. Periods ascend and the first
-    ``limit`` are kept - the *oldest* ones, as in the reference report;
+    ``limit`` are kept - the *oldest* ones, as in the original report;
     ``newest=True`` keeps the most recent instead.
     """
     if group_by not in PERIODS:
@@ -122,7 +122,7 @@ def taker_domain_ranking(offers: DataFrame) -> DataFrame:
 def weekday_profile(offers: DataFrame, weekdays: DataFrame | None = None) -> DataFrame:
     """Success count and average offers per calendar day, by ISO weekday.
 
-    The reference expands a dense calendar from the first to the last offer
+    The original expands a dense calendar from the first to the last offer
     date and left-joins daily counts. Here the number of calendar days of
     each weekday in that range is computed arithmetically from the two
     bounds, so the plan is one scan + a 7-key aggregate; no calendar whose
@@ -160,7 +160,7 @@ def success_stats(offers: DataFrame, as_of: datetime | str, limit: int | None =
 
     Durations are summed, truncated to whole seconds, divided by the count
     and rounded half away from zero; 0 when there is nothing to average.
-    ``limit`` keeps only the newest N paid offers (the reference caps at
+    ``limit`` keeps only the newest N paid offers (the original caps at
     10,000 to bound memory; the default here is all history).
     """
     paid = offers.where(is_success())

@@ -239,7 +239,7 @@ def test_replay_hot_path_matches_fold(spark):
 
 
 def test_replay_brute_force(spark):
-    """Sequential reference fold in plain Python over the sf0.001 logs."""
+    """Sequential fold in plain Python over the sf0.001 logs."""
     from offerlake.sources.fixtures import Tables
     from tests.conftest import SF_SMALL
     t = Tables(spark, SF_SMALL)
