@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake import schema as S
@@ -125,8 +125,10 @@ def weekday_profile(offers: DataFrame, weekdays: DataFrame | None = None) -> Dat
     The original expands a dense calendar from the first to the last offer
     date and left-joins daily counts. Here the number of calendar days of
     each weekday in that range is computed arithmetically from the two
-    bounds, so the plan is one scan + a 7-key aggregate; no calendar whose
-    size grows with the date span is materialised or broadcast.
+    bounds, so the plan is one scan + a 7-key aggregate; the bounds come
+    from a window over those (at most 7) aggregated rows, and no calendar
+    whose size grows with the date span is materialised or broadcast.
+    A weekday without offers gets 0 / 0, as in the original.
     """
     spark = offers.sparkSession
     if weekdays is None:
@@ -136,20 +138,19 @@ def weekday_profile(offers: DataFrame, weekdays: DataFrame | None = None) -> Dat
                .agg(F.count_if(is_success()).alias("success_count"),
                     F.count(F.lit(1)).alias("offer_count"),
                     F.min(d).alias("min_d"), F.max(d).alias("max_d")))
-    bounds = per_day.agg(F.min("min_d").alias("lo"), F.max("max_d").alias("hi"))
-    n_days = F.datediff(F.col("hi"), F.col("lo")) + 1
-    first_dow = (F.weekday(F.col("lo")) + 1)
-    offset = (F.col("day_num") - first_dow + 7) % 7
+    every = Window.partitionBy()  # at most 7 rows
+    lo, hi = F.min("min_d").over(every), F.max("max_d").over(every)
+    n_days = F.datediff(hi, lo) + 1
+    offset = (F.col("day_num") - (F.weekday(lo) + 1) + 7) % 7
     days_w = F.when(offset >= n_days, F.lit(0)).otherwise(F.floor((n_days - 1 - offset) / 7) + 1)
-    # 7-row literal x 1-row bounds: both sides have a fixed size.
-    cal = F.broadcast(weekdays).crossJoin(F.broadcast(bounds)).withColumn("days_w", days_w)
-    out = cal.join(F.broadcast(per_day.select("day_num", "success_count", "offer_count")),
-                   "day_num", "left")
+    stats = per_day.select("day_num", "success_count",
+                           round2(exact_ratio(F.col("offer_count"), days_w)).alias("avg_offer_count"))
+    # 7-row literal and a <= 7-row result: both sides have a fixed size.
+    out = F.broadcast(weekdays).join(F.broadcast(stats), "day_num", "left")
     return (out.select(
         F.col("day_name").alias("weekday"),
         F.coalesce(F.col("success_count"), F.lit(0)).cast("bigint").alias("success_count"),
-        F.coalesce(round2(exact_ratio(F.col("offer_count"), F.col("days_w"))),
-                   F.lit(0).cast("decimal(18,2)")).alias("avg_offer_count"),
+        F.coalesce(F.col("avg_offer_count"), F.lit(0).cast("decimal(18,2)")).alias("avg_offer_count"),
         F.col("day_num"))
         .orderBy("day_num").drop("day_num"))
 
