@@ -508,6 +508,9 @@ def _code(col: Column, values: list) -> Column:
     return F.coalesce(m[col], F.lit(len(values) if None not in values else values.index(None)))
 
 
+MAX_BROADCAST_HOT = 100_000  # hot offer ids broadcast at most (a few MB)
+
+
 def replay_steps(actions: DataFrame, offers: DataFrame, hot_threshold: int = 1000) -> DataFrame:
     """Replay every offer's action log in seq order from "no offer" and
     return one decision row per action (status before / after, accepted or
@@ -523,11 +526,19 @@ def replay_steps(actions: DataFrame, offers: DataFrame, hot_threshold: int = 100
                            "amount_sats", "taker_fees")
     acts = (actions.join(makers, "offer_id", "left").withColumn("verdict", _verdict(_net_at_submit()))
             .select("offer_id", F.col("seq").cast("int").alias("seq"), "action", "actor", "maker", "verdict"))
-    # Sizes from the raw log: only offer_id is read for this pass.
+    # Sizes from the raw log: only offer_id is read for this pass. The hot
+    # ids are fetched behind a size check: none (the usual case) -> no split
+    # at all; up to MAX_BROADCAST_HOT -> broadcast split; more -> shuffle join.
     sizes = actions.groupBy("offer_id").agg(F.count(F.lit(1)).alias("_n"))
     hot_ids = sizes.where(F.col("_n") > hot_threshold).select("offer_id")
-    normal = acts.join(hot_ids, "offer_id", "left_anti")
-    hot = acts.join(hot_ids, "offer_id", "left_semi")
+    probe = [r.offer_id for r in hot_ids.limit(MAX_BROADCAST_HOT + 1).collect()]
+    if not probe:
+        normal, hot = acts, None
+    elif len(probe) <= MAX_BROADCAST_HOT:
+        small = F.broadcast(actions.sparkSession.createDataFrame([(x,) for x in probe], "offer_id STRING"))
+        normal, hot = acts.join(small, "offer_id", "left_anti"), acts.join(small, "offer_id", "left_semi")
+    else:
+        normal, hot = acts.join(hot_ids, "offer_id", "left_anti"), acts.join(hot_ids, "offer_id", "left_semi")
 
     # State-independent parts of each step, in generated code.
     coded = normal.select(
@@ -581,6 +592,8 @@ def replay_steps(actions: DataFrame, offers: DataFrame, hot_threshold: int = 100
         F.when(code % 2 == 1, F.lit("retry_on_paid")).alias("warning"),
         "taker_after")
 
+    if hot is None:
+        return decoded
     # Range partitioning samples the keys, so distinct hot offers land in
     # different tasks (hashing could put two of them together).
     streamed = (hot.repartitionByRange("offer_id").sortWithinPartitions("offer_id", "seq")

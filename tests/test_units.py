@@ -521,3 +521,16 @@ def test_invoice_change_only_by_own_taker(spark):
     assert LC.apply_invoice_change(offers, chg).first().taker_invoice == "lnbc-new"
     only_other = chg.where("sender = 'other'")
     assert LC.apply_invoice_change(offers, only_other).first().taker_invoice == "old"
+
+
+def test_replay_hot_split_beyond_broadcast_cap(spark, monkeypatch):
+    """More hot offers than the broadcast cap: the split falls back to a
+    shuffle join and the steps are unchanged."""
+    from offerlake.sources.fixtures import Tables
+    from tests.conftest import SF_SMALL
+    t = Tables(spark, SF_SMALL)
+    cols = ["offer_id", "seq", "status_after", "accepted", "reason", "taker_after"]
+    jvm = LC.replay_steps(t.action_log, t.offers, hot_threshold=10**9).select(*cols)
+    monkeypatch.setattr(LC, "MAX_BROADCAST_HOT", 2)
+    joined = LC.replay_steps(t.action_log, t.offers, hot_threshold=5).select(*cols)
+    assert jvm.exceptAll(joined).count() == 0 and joined.exceptAll(jvm).count() == 0
