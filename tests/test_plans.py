@@ -148,3 +148,28 @@ def test_read_offers_from_instant_timestamps(spark):
         assert back.exceptAll(t.offers).count() == 0 and t.offers.exceptAll(back).count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_python_workers_need_no_installed_package():
+    """Queries with Python functions (streamed replay fold, per-offer timers)
+    run from another working directory in a plain session: the functions
+    are shipped by value."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+spec = importlib.util.spec_from_file_location("entry_mod", "{repo}/__spark_entry__.py")
+m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)
+from offerlake.operators import lifecycle as LC
+from offerlake.sources.fixtures import Tables
+t = Tables(spark, "{SF_SMALL}")
+print("STEPS", LC.replay_steps(t.action_log, t.offers, hot_threshold=5).count())
+print("TIMERS", m.queries()["stream_deadlines"](spark, "{SF_SMALL}").count())
+"""
+    out = subprocess.run([sys.executable, "-c", script], cwd="/tmp", capture_output=True, text=True, timeout=600)
+    assert "STEPS 8250" in out.stdout, out.stderr[-2000:]
+    assert "TIMERS 300" in out.stdout, out.stderr[-2000:]
