@@ -22,4 +22,60 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
-SQL = {"op2_substring_dedup": SUBSTRING}
+CHAT = """
+WITH t AS (
+  SELECT conv_id, floor(turn / 64.0)::BIGINT AS piece, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body
+  FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+pieces AS (SELECT DISTINCT conv_id, piece FROM t),
+views AS (
+  SELECT p.conv_id, p.piece, s.perspective FROM pieces p LEFT JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+seg AS (
+  SELECT v.*, row_number() OVER (PARTITION BY v.conv_id, v.piece, v.perspective ORDER BY t.turn NULLS FIRST, t.role, t.body) AS k,
+    coalesce(t.role = v.perspective, false) AS mine,
+    '<|im_start|>' || CASE WHEN t.role = 'system' THEN 'system' WHEN t.role = v.perspective THEN 'assistant'
+      ELSE 'user name=' || t.role END || chr(10) AS head,
+    t.body || '<|im_end|>' AS body
+  FROM views v JOIN t ON t.conv_id IS NOT DISTINCT FROM v.conv_id AND t.piece IS NOT DISTINCT FROM v.piece),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, piece, perspective ORDER BY k
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a
+  FROM seg)
+SELECT conv_id, piece, perspective, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
+  coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(body) AS BIGINT), ',' ORDER BY k) FILTER (WHERE mine), '') AS train_spans,
+  count(*) FILTER (WHERE mine) AS n_trained, count(*) AS n_turns
+FROM placed GROUP BY conv_id, piece, perspective
+"""
+
+STOP = "'" + "','".join((
+    "the of and to in a is that it was for on with as be at by this are or der die und den von zu das mit sich des auf ist im dem "
+    "nicht ein eine de la le les et un une du est pour que dans sur pas qui par el los las y en una se del por con no para su al como"
+).split()) + "'"
+
+RULES = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS l0 FROM documents),
+e AS (
+  SELECT *, [x FOR x IN l0 IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l FROM d),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM starts),
+twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT pos) AS n FROM (
+    SELECT win.doc_id, unnest(range(win.i, win.i + 8)) AS pos
+    FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.k = twice.k) GROUP BY doc_id),
+m AS (
+  SELECT e.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    len([x FOR x IN w IF lower(x) IN ({STOP})])::BIGINT AS n_stop_words
+  FROM e LEFT JOIN rep ON e.doc_id = rep.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND n_symbols / greatest(n_words, 1) <= 0.1
+    AND 2 * n_dup_lines <= n_lines AND (n_words < 200 OR n_stop_words / greatest(n_words, 1) >= 0.01) AS kept,
+  n_lines, n_stop_words
+FROM b
+"""
+
+SQL = {"op2_substring_dedup": SUBSTRING, "op3_chat_perspectives": CHAT, "op10_quality_rules": RULES}
