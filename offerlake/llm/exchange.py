@@ -84,7 +84,8 @@ def spread(keys: np.ndarray, buckets: int) -> np.ndarray:
 def exchange(docs: DataFrame, id_col: str, text: str, ask: Callable, answer: Callable, use: Callable, schema: str, buckets: int | None = None) -> DataFrame:
     """Run the three steps.
 
-    ask(block) -> (sorted distinct uint64 keys, extra array or None);
+    ask(block) -> (sorted distinct uint64 keys, None or a function of [lo, hi) that
+    gives the bytes that go with those keys);
     answer(list of keys, list of extras) -> one bytes value per list;
     use(block, keys' answers in order, one per bucket) -> RecordBatches of ``schema``.
     ``docs`` holds an integer column ``id_col`` and a string column ``text``.
@@ -102,13 +103,11 @@ def exchange(docs: DataFrame, id_col: str, text: str, ask: Callable, answer: Cal
                     yield pa.RecordBatch.from_arrays([
                         pa.array([b], pa.int32()), pa.array([number], pa.int64()), pa.array([mark], pa.int64()),
                         pa.array([X.pack_sorted(keys[lo:hi])], pa.binary()),
-                        pa.array([None if extra is None else X.pack(extra[lo:hi])], pa.binary())],
+                        pa.array([extra(lo, hi) if extra else None], pa.binary())],
                         names=["bucket", "block", "mark", "keys", "extra"])
 
     def answers(table: pa.Table) -> pa.Table:
-        keys = [X.unpack_sorted(x) for x in table["keys"].to_pylist()]
-        extra = table["extra"].to_pylist()
-        out = answer(keys, extra)
+        out = answer([X.unpack_sorted(x) for x in table["keys"].to_pylist()], table["extra"].to_pylist())
         return pa.table({"block": table["block"], "bucket": table["bucket"], "mark": table["mark"], "answer": pa.array(out, pa.binary())})
 
     def held(batches):

@@ -35,13 +35,9 @@ def _windows(block: pa.RecordBatch, width: int):
 
 def _distinct(keys: np.ndarray, ids: np.ndarray):
     """Distinct keys, the smallest id of each, and each item's place among them."""
-    order = np.argsort(keys)
-    ranked = keys[order]
-    first = X.group_starts(ranked)
+    unique, order, first, place = X.distinct(keys)
     least = np.minimum.reduceat(ids[order], first) if len(first) else np.zeros(0, np.int64)
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-    return ranked[first], least, place
+    return unique, least, place
 
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW, buckets: int | None = None) -> DataFrame:
@@ -53,7 +49,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, buckets: int | None =
     def ask(block):
         *_, ids_of_rows, _, _, row, keys, at = _windows(block, width)
         unique, least, _ = _distinct(keys, ids_of_rows[row[at]])
-        return unique, least
+        return unique, lambda lo, hi: X.pack(least[lo:hi])
 
     def answer(keys, extras):
         least = [X.unpack(x, np.int64) for x in extras]

@@ -212,3 +212,13 @@ def group_starts(sorted_values: np.ndarray) -> np.ndarray:
     if len(sorted_values) == 0:
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys; the sorting order and its group starts; each item's place."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = group_starts(ranked)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return ranked[first], order, first, place
