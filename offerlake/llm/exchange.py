@@ -81,35 +81,45 @@ def spread(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges, side="left"), [len(keys)]))
 
 
-def exchange(docs: DataFrame, id_col: str, text: str, ask: Callable, answer: Callable, use: Callable, schema: str, buckets: int | None = None) -> DataFrame:
-    """Run the three steps.
+def rows_of(number: int, mark: int, keys: np.ndarray, extra: Callable | None, p: int) -> Iterator[pa.RecordBatch]:
+    """One block's sorted keys as a row for each bucket that owns some of them."""
+    cut = spread(keys, p)
+    for b in range(p):
+        lo, hi = cut[b], cut[b + 1]
+        if hi > lo:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([b], pa.int32()), pa.array([number], pa.int64()), pa.array([mark], pa.int64()),
+                pa.array([X.pack_sorted(keys[lo:hi])], pa.binary()), pa.array([extra(lo, hi) if extra else None], pa.binary())],
+                names=["bucket", "block", "mark", "keys", "extra"])
+
+
+def asking(docs: DataFrame, id_col: str, text: str, ask: Callable, p: int) -> DataFrame:
+    """Every block's questions; ask(block) -> (sorted uint64 keys, None or a
+    function of [lo, hi) that gives the bytes that go with those keys)."""
+
+    def run(batches):
+        for number, block in blocks(batches, text):
+            yield from rows_of(number, mark_of(block, id_col, text), *ask(block), p)
 
-    ask(block) -> (sorted distinct uint64 keys, None or a function of [lo, hi) that
-    gives the bytes that go with those keys);
-    answer(list of keys, list of extras) -> one bytes value per list;
-    use(block, keys' answers in order, one per bucket) -> RecordBatches of ``schema``.
-    ``docs`` holds an integer column ``id_col`` and a string column ``text``.
-    """
-    docs = settled(docs.select(id_col, text))
-    p = buckets or bucket_count(docs)
+    return docs.mapInArrow(run, ASK)
 
-    def asks(batches):
-        for number, block in blocks(batches, text):
-            keys, extra = ask(block)
-            mark, cut = mark_of(block, id_col, text), spread(keys, p)
-            for b in range(p):
-                lo, hi = cut[b], cut[b + 1]
-                if hi > lo:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([b], pa.int32()), pa.array([number], pa.int64()), pa.array([mark], pa.int64()),
-                        pa.array([X.pack_sorted(keys[lo:hi])], pa.binary()),
-                        pa.array([extra(lo, hi) if extra else None], pa.binary())],
-                        names=["bucket", "block", "mark", "keys", "extra"])
-
-    def answers(table: pa.Table) -> pa.Table:
+
+def answering(asks: DataFrame, answer: Callable) -> DataFrame:
+    """Each bucket's answers; answer(list of keys, list of extras) -> one bytes value per list."""
+
+    def run(table: pa.Table) -> pa.Table:
         out = answer([X.unpack_sorted(x) for x in table["keys"].to_pylist()], table["extra"].to_pylist())
         return pa.table({"block": table["block"], "bucket": table["bucket"], "mark": table["mark"], "answer": pa.array(out, pa.binary())})
 
+    return asks.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+def meeting(docs: DataFrame, id_col: str, text: str, answers: DataFrame, use: Callable, schema: str) -> DataFrame:
+    """Blocks with their answers, one per bucket in bucket order.
+
+    use(block, answers, number, mark) -> RecordBatches of ``schema``.
+    """
+
     def held(batches):
         for number, block in blocks(batches, text):
             sink = pa.BufferOutputStream()
@@ -117,16 +127,26 @@ def exchange(docs: DataFrame, id_col: str, text: str, ask: Callable, answer: Cal
                 w.write_batch(block)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "held"])
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for raw in left["held"].to_pylist():
             block = pa.ipc.open_stream(raw).read_all().combine_chunks().to_batches()[0]
-            if any(m != mark_of(block, id_col, text) for m in set(right["mark"].to_pylist())):
+            mark = mark_of(block, id_col, text)
+            if any(m != mark for m in set(right["mark"].to_pylist())):
                 raise RuntimeError("the input's partitions changed between two reads")
             got = sorted(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))
-            out.extend(use(block, [a for _, a in got]))
-        return pa.Table.from_batches(out)
+            out.extend(use(block, [a for _, a in got], left["block"][0].as_py(), mark))
+        return pa.Table.from_batches(out) if out else empty
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    asked = docs.mapInArrow(asks, ASK).groupBy("bucket").applyInArrow(answers, ANSWER)
     kept = docs.mapInArrow(held, "block long, held binary")
-    return kept.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(meet, schema)
+    empty = pa.Table.from_batches([], schema=to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema))
+    return kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def exchange(docs: DataFrame, id_col: str, text: str, ask: Callable, answer: Callable, use: Callable, schema: str, buckets: int | None = None) -> DataFrame:
+    """The three steps over ``docs`` (an integer ``id_col``, a string ``text``)."""
+    docs = settled(docs.select(id_col, text))
+    asks = asking(docs, id_col, text, ask, buckets or bucket_count(docs))
+    return meeting(docs, id_col, text, answering(asks, answer), lambda block, got, number, mark: use(block, got), schema)

@@ -6,8 +6,11 @@ are 64-bit values of the word bytes alone, so they are equal in every task.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 WHITE = np.zeros(256, dtype=bool)
@@ -17,7 +20,7 @@ LOWER[65:91] += 32
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 SEGMENT = 1 << 19  # bytes hashed at a time
-BLOCK_BYTES = 12 << 20  # text bytes held as one block
+BLOCKBYTE_VALUES = 12 << 20  # text bytes held as one block
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -32,7 +35,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, at least ``n`` of each."""
     if 0 not in _POW or len(_POW[0][0]) < n:
         size = max(n, SEGMENT + 1)
@@ -50,7 +53,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +95,9 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, row
 
 
-def _poly(values: np.ndarray) -> np.ndarray:
+def poly(values: np.ndarray) -> np.ndarray:
     """Prefix sums of value[i] * BASE**i, with a leading 0."""
-    power, _ = _power_tables(len(values) + 1)
+    power, _ = power_tables(len(values) + 1)
     out = np.empty(len(values) + 1, dtype=np.uint64)
     out[0] = 0
     np.cumsum(values * power[: len(values)], out=out[1:])
@@ -105,7 +108,7 @@ def _span_value(part: np.ndarray) -> int:
     """The polynomial of one long span, piece by piece."""
     total = 0
     for at in range(0, len(part), SEGMENT):
-        piece = int(_poly(_BYTE[part[at: at + SEGMENT]])[-1])
+        piece = int(poly(BYTE_VALUE[part[at: at + SEGMENT]])[-1])
         total = (total + piece * pow(BASE, at, 1 << 64)) % (1 << 64)
     return total
 
@@ -121,9 +124,9 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             out[at] = _span_value(buf[first: ends[at]])
             at += 1
             continue
-        prefix = _poly(_BYTE[buf[first: ends[to - 1]]])
+        prefix = poly(BYTE_VALUE[buf[first: ends[to - 1]]])
         s, e = starts[at:to] - first, ends[at:to] - first
-        out[at:to] = (prefix[e] - prefix[s]) * _power_tables(len(prefix))[1][s]
+        out[at:to] = (prefix[e] - prefix[s]) * power_tables(len(prefix))[1][s]
         at = to
     return mix(out ^ (ends - starts).astype(np.uint64))
 
@@ -140,8 +143,8 @@ def windows(hashes: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
     rolled = np.empty(len(hashes) - width + 1, dtype=np.uint64)
     for lo in range(0, n, SEGMENT):
         hi = min(n, lo + SEGMENT)
-        prefix = _poly(hashes[lo: hi + width - 1])
-        rolled[lo:hi] = (prefix[width: width + hi - lo] - prefix[: hi - lo]) * _power_tables(len(prefix))[1][: hi - lo]
+        prefix = poly(hashes[lo: hi + width - 1])
+        rolled[lo:hi] = (prefix[width: width + hi - lo] - prefix[: hi - lo]) * power_tables(len(prefix))[1][: hi - lo]
     return mix(rolled[at] + np.uint64(width)), at
 
 
@@ -194,10 +197,20 @@ def unpack_bits(data: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8, offset=8), count=int.from_bytes(raw[:8], "little")).astype(bool)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES):
+def dump(arrays: list[np.ndarray], data: bytes) -> bytes:
+    """64-bit integer arrays and one byte string as one value."""
+    return pickle.dumps(([pack(a.astype(np.int64)) for a in arrays], squeeze(data)))
+
+
+def load(raw: bytes) -> tuple[list[np.ndarray], bytes]:
+    arrays, data = pickle.loads(raw)
+    return [unpack(a, np.int64) for a in arrays], unsqueeze(data)
+
+
+def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCKBYTE_VALUES):
     """The batch in runs of rows of at most ``limit`` text bytes (or one longer row)."""
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     at, n = 0, len(sizes)
     ends = np.cumsum(sizes)
     while at < n:
