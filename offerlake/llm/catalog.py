@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import op2_substring, op3_chat, op5_tokens, op8_minhash, op9_suffix, op10_rules, oracle
+from offerlake.llm import op1_backoff, op2_substring, op3_chat, op5_tokens, op8_minhash, op9_suffix, op10_rules, oracle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_backoff.query(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_substring.query(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_chat_perspectives, op5_token_counts, op8_minhash_dedup, op9_suffix_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_backoff_scores, op2_substring_dedup, op3_chat_perspectives, op5_token_counts, op8_minhash_dedup, op9_suffix_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,6 +22,39 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+BACKOFF = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS} AS w FROM documents),
+t AS (SELECT r, unnest(w) AS c, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (
+  SELECT r, i, c, lag(c) OVER p AS b, lag(c, 2) OVER p AS a FROM t WINDOW p AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT count(*) AS n FROM t),
+u AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+ud AS (SELECT r, c, count(*) AS n FROM g GROUP BY r, c),
+v AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+vd AS (SELECT r, b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY r, b, c),
+x AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
+xd AS (SELECT r, a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY r, a, b, c),
+held AS (
+  SELECT g.r, g.i, u.n - ud.n AS c1, v.n - vd.n AS c2, x.n - xd.n AS c3, ub.n - ubd.n AS b1, vb.n - vbd.n AS b2,
+    (SELECT n FROM n) - len(d.w) AS rest
+  FROM g JOIN d USING (r) JOIN u ON u.c = g.c JOIN ud ON ud.r = g.r AND ud.c = g.c
+  LEFT JOIN v ON v.b = g.b AND v.c = g.c LEFT JOIN vd ON vd.r = g.r AND vd.b = g.b AND vd.c = g.c
+  LEFT JOIN x ON x.a = g.a AND x.b = g.b AND x.c = g.c LEFT JOIN xd ON xd.r = g.r AND xd.a = g.a AND xd.b = g.b AND xd.c = g.c
+  LEFT JOIN u ub ON ub.c = g.b LEFT JOIN ud ubd ON ubd.r = g.r AND ubd.c = g.b
+  LEFT JOIN v vb ON vb.b = g.a AND vb.c = g.b LEFT JOIN vd vbd ON vbd.r = g.r AND vbd.b = g.a AND vbd.c = g.b),
+lev AS (
+  SELECT *, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS lev, least(i - 1, 2) AS ctx FROM held),
+s AS (
+  SELECT r, lev, ln(CASE lev WHEN 3 THEN c3 / b2 WHEN 2 THEN c2 / b1 WHEN 1 THEN c1 / rest ELSE 1.0::DOUBLE / (rest + 1) END)
+    + (ctx - greatest(lev - 1, 0)) * ln(0.4::DOUBLE) AS l FROM lev),
+per AS (
+  SELECT r, sum(l) AS l, count(*) FILTER (WHERE lev = 3) AS n3, count(*) FILTER (WHERE lev = 2) AS n2,
+    count(*) FILTER (WHERE lev = 1) AS n1, count(*) FILTER (WHERE lev = 0) AS n0 FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(per.l / len(w), 6) AS mean_log_score, coalesce(n3, 0) AS n_trigram,
+  coalesce(n2, 0) AS n_bigram, coalesce(n1, 0) AS n_unigram, coalesce(n0, 0) AS n_unseen
+FROM d LEFT JOIN per USING (r)
+"""
+
 CHAT = """
 WITH t AS (
   SELECT conv_id, floor(turn / 64.0)::BIGINT AS piece, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body
@@ -78,4 +111,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-SQL = {"op2_substring_dedup": SUBSTRING, "op3_chat_perspectives": CHAT, "op10_quality_rules": RULES}
+SQL = {"op1_backoff_scores": BACKOFF, "op2_substring_dedup": SUBSTRING, "op3_chat_perspectives": CHAT, "op10_quality_rules": RULES}
