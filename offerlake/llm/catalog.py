@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import op1_backoff, op2_substring, op3_chat, op5_tokens, op8_minhash, op9_suffix, op10_rules, oracle
+from offerlake.llm import op1_backoff, op2_substring, op3_chat, op5_tokens, op6_pages, op8_minhash, op9_suffix, op10_rules, oracle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_tokens.query(table(spark, sf_dir, "documents"))
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_pages.query(table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_minhash.query(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_backoff_scores, op2_substring_dedup, op3_chat_perspectives, op5_token_counts, op8_minhash_dedup, op9_suffix_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_backoff_scores, op2_substring_dedup, op3_chat_perspectives, op5_token_counts, op6_page_text, op8_minhash_dedup, op9_suffix_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
