@@ -1,12 +1,75 @@
-"""Corpus pipeline: stages from raw documents to training tokens."""
+"""Corpus pipeline: from raw documents to training tokens in five stages.
+
+    1 quality_rules          documents that the threshold table rejects go
+    2 minhash_near_dedup     one document of each near-duplicate group stays
+    3 suffix_array_dedup     bytes covered by repeated 400-byte strings go
+    4 decontamination        documents that hold a benchmark item go
+    5 sentencepiece          the texts' best and N best segmentations
+
+Each stage takes all that its predecessor kept, as Parquet, and but for the
+last returns the columns of `documents`. Rows with null doc_id pass every
+stage that decides by id; other rows of one doc_id are one document, of which
+stage 2 keeps one row. A text that loses all its bytes in stage 3 stays as an
+empty one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from offerlake.llm import op4_templates, op7_pieces, op8_minhash, op9_suffix, op10_rules
+from offerlake.session import checkpoint_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SIMILARITY = 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op10_rules.keep(docs.select(*COLUMNS))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    kept = op8_minhash.near_duplicates(docs, SIMILARITY).where("kept").select("doc_id").distinct()
+    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = op9_suffix.repeated_strings(docs.select(*COLUMNS), carry=("lang", "source"))
+    # a cut may split a character; what is left of it is dropped
+    whole = F.regexp_replace(F.try_validate_utf8(F.col("kept").cast("string")), "x^", "")
+    text = F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    return cut.select("doc_id", text.alias("text"), "carried.lang", "carried.source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op4_templates.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op7_pieces.encode(docs.select(*COLUMNS))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+#: SQL cannot express the stages 3 to 5; tests hold each against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over `documents`; each result is written to the shared folder and read again."""
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES[:-1], 1):
+        out = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return STAGES[-1][1](spark, docs, sf_dir)

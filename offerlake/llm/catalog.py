@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlake.llm import op1_backoff, op2_substring, op3_chat, op4_templates, op5_tokens, op6_pages, op8_minhash, op9_suffix, op10_rules, oracle
+from offerlake.llm import op1_backoff, op2_substring, op3_chat, op4_templates, op5_tokens, op6_pages, op7_pieces, op8_minhash, op9_suffix, op10_rules, oracle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_pages.query(table(spark, sf_dir, "pages"))
 
 
+def op7_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_pieces.query(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_minhash.query(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_backoff_scores, op2_substring_dedup, op3_chat_perspectives, op4_benchmark_leaks, op5_token_counts, op6_page_text, op8_minhash_dedup, op9_suffix_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_backoff_scores, op2_substring_dedup, op3_chat_perspectives, op4_benchmark_leaks, op5_token_counts, op6_page_text, op7_piece_nbest, op8_minhash_dedup, op9_suffix_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -190,8 +190,11 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
-    """One row per document: sizes, maximal removed byte spans [start, end), kept bytes."""
+def repeated_strings(docs: DataFrame, length: int = LENGTH, buckets: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: sizes, maximal removed byte spans [start, end), kept bytes.
+
+    Columns named in ``carry`` come along in a struct ``carried``.
+    """
 
     def anchors(block):
         key = np.sort(segments_of(*X.text_buffer(block.column(1)), length)[0])
@@ -283,14 +286,16 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, buckets: int | None
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(begin, end)])
             kept.append(buf[lo:hi][~mask].tobytes() if n else raw[lo:hi])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-                                         names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()),
+                                          *block.columns[2:]], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "carried"][: 3 + block.num_columns])
 
-    docs = E.settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    held = [F.struct(*carry).alias("carried")] if carry else []
+    docs = E.settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *held))
+    schema = SCHEMA + (f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else "")
     p = buckets or E.bucket_count(docs)
     known = E.answering(E.asking(docs, "doc_id", "text", anchors, p), repeated)
     sent = E.meeting(docs, "doc_id", "text", known, send, E.ASK)
-    return E.meeting(docs, "doc_id", "text", E.answering(sent, expand), remove, SCHEMA)
+    return E.meeting(docs, "doc_id", "text", E.answering(sent, expand), remove, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
