@@ -40,30 +40,49 @@ def latest_audit_per_offer(audit: DataFrame) -> DataFrame:
 
 def audit_changes_enriched(changes: DataFrame, audit: DataFrame) -> DataFrame:
     """Audit change -> the audit row by id; when it is missing and the change
-    is not a DELETE, the newest audit row of the offer; DELETE keeps NULL."""
+    is not a DELETE, the newest audit row of the offer; DELETE keeps NULL.
+
+    The newest row is worked out only for offers that need it; on a stream of
+    changes, whose needs are not known beforehand, for every offer."""
     by_id = audit.select(F.col("id").alias("_aid"), F.struct(*[F.col(c) for c in AUDIT_VIEW]).alias("_row"))
-    j = (changes.where(F.col("offer_id").isNotNull())
-         .join(by_id, F.col("audit_id") == F.col("_aid"), "left")
-         .join(latest_audit_per_offer(audit), F.col("offer_id") == F.col("_offer"), "left"))
+    found = (changes.where(F.col("offer_id").isNotNull())
+             .join(by_id, F.col("audit_id") == F.col("_aid"), "left"))
+    wanted = audit
+    if not changes.isStreaming:
+        open_ids = (found.where(F.col("_aid").isNull() & (F.col("operation") != "DELETE"))
+                    .select(F.col("offer_id").alias("_open")).distinct())
+        wanted = audit.join(open_ids, F.col("offer_id") == F.col("_open"), "left_semi")
+    j = found.join(latest_audit_per_offer(wanted), F.col("offer_id") == F.col("_offer"), "left")
     entry = F.coalesce(F.col("_row"), F.when(F.col("operation") != "DELETE", F.col("_latest")))
     return j.select("seq", "operation", "offer_id", "audit_id", F.lit("audit_changed").alias("type"),
                     *[entry[c].alias(f"entry_{c}") for c in AUDIT_VIEW])
 
 
+DECISIVE = ["ACCEPTED", "CANCELED", "SETTLED"]
+
+
+def first_decisions(updates: DataFrame) -> DataFrame:
+    """Per payment hash the update that ends its subscription: the first of
+    ACCEPTED, CANCELED and SETTLED by ``seq``. On a stream (update mode) the
+    state is one row per hash and does not depend on the order of arrival."""
+    return (updates.where(F.col("status").isin(DECISIVE)).groupBy("payment_hash")
+            .agg(F.min_by(F.struct("status", "ts", "seq"), F.col("seq")).alias("d")).select("payment_hash", "d.*"))
+
+
 def fund_offers(quotes: DataFrame, updates: DataFrame, offers: DataFrame) -> DataFrame:
     """Quotes (priced, with amounts) + hold-invoice updates -> funding
     outcome per quote, and the new funded offer row.
 
-    Per payment hash the first ACCEPTED / CANCELED update decides (later
-    updates do not fund again). ACCEPTED with a hash that already has an
-    offer is reported as already_exists and not inserted."""
-    decisive = F.col("status").isin("ACCEPTED", "CANCELED")
-    first = (updates.where(decisive).groupBy("payment_hash")
-             .agg(F.min_by(F.struct("status", "ts"), F.col("seq")).alias("_d")))
+    Per payment hash the first ACCEPTED / CANCELED / SETTLED update decides
+    (later updates change nothing, however late they come). ACCEPTED with a
+    hash that already has an offer is reported as already_exists and not
+    inserted."""
+    first = first_decisions(updates).select("payment_hash", F.struct("status", "ts").alias("_d"))
     existing = offers.select(F.col("hold_invoice_payment_hash").alias("payment_hash")).withColumn("_exists", F.lit(True))
     j = quotes.join(first, "payment_hash", "left").join(existing, "payment_hash", "left")
     outcome = (F.when(F.col("_d").isNull(), "pending")
                .when(F.col("_d.status") == "CANCELED", "canceled")
+               .when(F.col("_d.status") == "SETTLED", "settled")
                .when(F.col("amount_sats").isNull(), "no_quote")
                .when(F.coalesce(F.col("_exists"), F.lit(False)), "already_exists")
                .otherwise("funded"))
@@ -81,11 +100,12 @@ def fund_offers(quotes: DataFrame, updates: DataFrame, offers: DataFrame) -> Dat
 
 
 def offers_with_audit(offers: DataFrame, audit: DataFrame, limit: int = S.LISTING_LIMIT) -> DataFrame:
-    """Detail view: each offer's listing columns with its newest audit lines."""
+    """Detail view: each offer's listing columns with its newest audit lines;
+    an offer without any is one row with NULL audit columns."""
     from offerlake.operators.lookups import top_k_per_group
     top = top_k_per_group(audit.where(F.col("offer_id").isNotNull()), ["offer_id"],
                           [F.col("created_at").desc(), F.col("id").desc()], limit, rank_col="audit_rank")
     lines = top.select(F.col("offer_id").alias("id"), F.col("id").alias("audit_id"), "audit_rank",
                        F.col("action").alias("audit_action"), F.col("message").alias("audit_message"),
                        F.col("created_at").alias("audit_created_at"))
-    return offers.select(*S.LISTING_COLUMNS).join(lines, "id")
+    return offers.select(*S.LISTING_COLUMNS).join(lines, "id", "left")

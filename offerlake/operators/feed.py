@@ -147,7 +147,7 @@ _REQ_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Parse each request body and route it, or produce the error the
-    coordinator would answer with. Malformed JSON is dropped without an
+    service would answer with. Malformed JSON is dropped without an
     answer (status 'dropped')."""
     spark = requests.sparkSession
     # One parse per body: malformed text lands in the corrupt-record field.

@@ -115,15 +115,10 @@ def _rule_frame(offers: DataFrame, rule: str) -> tuple[DataFrame, Column, Column
     return offers.where(st.isin(statuses)), due(), new
 
 
-def sweep(offers: DataFrame, rule: str, as_of: datetime | str, limit: int | None = None) -> DataFrame:
+def sweep(offers: DataFrame, rule: str, as_of: datetime | str) -> DataFrame:
     """Rows a start-up sweep acts on: past the deadline (strictly after), or
-    missing the timestamp the deadline is measured from. ``limit`` reads
-    only the newest N rows per status (the original reads 1,000); default
-    is every row."""
+    missing the timestamp the deadline is measured from."""
     df, due, new = _rule_frame(offers, rule)
-    if limit is not None:
-        from offerlake.operators.lookups import top_k_per_group
-        df = top_k_per_group(df, ["status"], [F.col("created_at").desc(), F.col("id")], limit)
     acted = due.isNull() | (ts_lit(as_of) > due)
     return df.where(acted).select("id", "status", new.alias("new_status"), due.alias("due_at"))
 

@@ -1,12 +1,8 @@
 """Rate parsing and averaging, the as-of rate join, quotes and fee checks.
 
-The as-of join (`rate_at`) is built from equi-joins on 5-minute buckets:
-a quote looks for the newest round in its own bucket at or before its time;
-if there is none it takes the round carried forward from the newest
-non-empty earlier bucket. The carry table has one row per 5-minute bucket
-of the rate history (its size depends on the time span covered, not on the
-number of quotes), so no quote ever pairs with more than the rounds of one
-bucket and nothing is sorted globally.
+The as-of join (`rate_at`) merges quotes and rounds in time order inside
+5-minute buckets; a quote before the first round of its bucket takes the
+round carried forward from the newest earlier bucket that has one.
 """
 
 from __future__ import annotations
@@ -76,35 +72,24 @@ def rate_at(quotes: DataFrame, rounds: DataFrame, ts_col: str = "ts", key: str =
     ``rate_status`` is 'fresh' (age < 5 full minutes), 'stale' (older, the
     last known rate) or 'error' (no rate yet, rate NULL).
 
-    A quote is paired only with the rounds of its own 5-minute bucket; a
-    round exists only when a fetch produced a valid rate and the fetcher
-    caches a rate for 5 minutes, so a bucket holds one or two rounds and a
-    hot bucket of quotes stays linear (AQE splits it across tasks)."""
-    r = rounds.select(F.col("round_id"), F.col("fetched_at"), F.col("rate"), _bucket("fetched_at").alias("bucket"))
-    q = quotes.withColumn("_bucket", _bucket(ts_col))
-    rate_struct = F.struct(F.col("fetched_at"), F.col("round_id"), F.col("rate"))
-
-    # (1) newest round of the quote's own bucket at or before the quote.
-    same = (q.select(key, ts_col, "_bucket")
-            .join(r, (F.col("_bucket") == F.col("bucket")) & (F.col("fetched_at") <= F.col(ts_col)))
-            .groupBy(key).agg(F.max_by(rate_struct, F.col("fetched_at")).alias("same")))
-
-    # (2) carry table: for every bucket, the newest round of any earlier bucket.
-    # `last_in_bucket` has one row per non-empty 5-minute bucket of rate
-    # history (~105k rows per year), so ordering it in one window is bounded
-    # by the time span, never by quote volume.
-    last_in_bucket = r.groupBy("bucket").agg(F.max_by(rate_struct, F.col("fetched_at")).alias("last"))
-    max_q = q.agg(F.max("_bucket").alias("max_q"))
-    nxt = F.lead("bucket").over(Window.orderBy("bucket"))
-    carry = (last_in_bucket.withColumn("next_bucket", nxt)
-             .crossJoin(F.broadcast(max_q))  # one-row global aggregate
-             .select(F.explode(F.sequence(F.col("bucket") + 1,
-                                          F.greatest(F.coalesce(F.col("next_bucket"), F.col("max_q") + 1),
-                                                     F.col("bucket") + 1))).alias("_bucket"),
-                     F.col("last").alias("prev")))
-
-    out = (q.join(same, key, "left").join(carry, "_bucket", "left")
-           .withColumn("_r", F.coalesce(F.col("same"), F.col("prev"))))
+    Quotes and rounds are merged, not joined: one pass over each 5-minute
+    bucket in time order carries the last round along, so the work is linear
+    in the rows of a bucket. Quotes before the first round of their bucket take
+    the last round of an earlier bucket from a table with one row per bucket."""
+    rounded = rounds.select(_bucket("fetched_at").alias("_bucket"), F.col("fetched_at").alias("_t"),
+                            F.struct("fetched_at", "round_id", "rate").alias("_round"))
+    asked = quotes.select(_bucket(ts_col).alias("_bucket"), F.col(ts_col).alias("_t"), F.struct(*quotes.columns).alias("_q"))
+    both = rounded.unionByName(asked, allowMissingColumns=True)
+    # at equal times a round comes before the quotes it serves
+    upto = (Window.partitionBy("_bucket").orderBy("_t", F.col("_q").isNotNull(), "_round.round_id")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = both.withColumn("_same", F.last("_round", ignorenulls=True).over(upto))
+    # one row per bucket that holds anything: bounded by the time span, never by the number of quotes
+    last = seen.groupBy("_bucket").agg(F.max_by("_round", F.struct("_round.fetched_at", "_round.round_id")).alias("_end"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("_bucket", F.last("_end", ignorenulls=True).over(before).alias("_prev"))
+    out = (seen.where(F.col("_q").isNotNull()).join(carry, "_bucket", "left")
+           .select("_q.*", F.coalesce("_same", "_prev").alias("_r")))
     age_us = micros_between(F.col("_r.fetched_at"), F.col(ts_col))
     status = (F.when(F.col("_r").isNull(), "error")
               .when(age_us < BUCKET_SECONDS * 1_000_000, "fresh").otherwise("stale"))
@@ -197,7 +182,7 @@ def sendable_range(offers: DataFrame, addresses: DataFrame, pct: float = S.TAKER
 def amount_limit_check(offers: DataFrame, min_sats: int = S.MIN_AMOUNT_SATS, max_sats: int = S.MAX_AMOUNT_SATS,
                        currencies: str = S.SUPPORTED_CURRENCIES) -> DataFrame:
     """Data-quality report: offers outside the advertised amount range or
-    currency list (advertised, not enforced, by the coordinator)."""
+    currency list (advertised, not enforced, by the service)."""
     supported = F.transform(F.split(F.lit(currencies), ","), lambda c: F.upper(F.trim(c)))
     amt = F.col("amount_sats")
     reason = (F.when(amt < min_sats, "below_min").when(amt > max_sats, "above_max")

@@ -76,14 +76,11 @@ def _local(col: str, tz: str) -> Column:
 
 
 def metrics_by_period(offers: DataFrame, group_by: str, as_of: datetime | str,
-                      tz: str = "UTC", limit: int | None = S.REPORT_PERIOD_LIMIT,
-                      newest: bool = False) -> DataFrame:
+                      tz: str = "UTC") -> DataFrame:
     """Per-period metrics. ``group_by`` is daily / weekly / monthly.
 
     daily covers the last 29 x 24 h before ``as_of`` (not midnight aligned);
-    weekly and monthly cover all history. Periods ascend and the first
-    ``limit`` are kept - the *oldest* ones, as in the original report;
-    ``newest=True`` keeps the most recent instead.
+    weekly and monthly cover all history, every period of it.
     """
     if group_by not in PERIODS:
         raise ValueError(f"Invalid groupBy parameter. Must be one of: {', '.join(PERIODS)}")
@@ -100,8 +97,6 @@ def metrics_by_period(offers: DataFrame, group_by: str, as_of: datetime | str,
         bucket = F.date_trunc("month", local).cast("timestamp_ntz")
         label = F.date_format(F.col("bucket"), "yyyy-MM")
     agg = df.groupBy(bucket.alias("bucket")).agg(*metric_columns())
-    if limit is not None:
-        agg = agg.orderBy(F.col("bucket").desc() if newest else F.col("bucket").asc()).limit(limit)
     names = [c for c in agg.columns if c != "bucket"]
     return agg.select(label.alias("date"), *names)
 
@@ -155,18 +150,14 @@ def weekday_profile(offers: DataFrame, weekdays: DataFrame | None = None) -> Dat
         .orderBy("day_num").drop("day_num"))
 
 
-def success_stats(offers: DataFrame, as_of: datetime | str, limit: int | None = None) -> DataFrame:
+def success_stats(offers: DataFrame, as_of: datetime | str) -> DataFrame:
     """Average seconds created -> BLIK received and created -> taker paid,
     lifetime and last 7 days (strictly after as_of - 7 d).
 
     Durations are summed, truncated to whole seconds, divided by the count
     and rounded half away from zero; 0 when there is nothing to average.
-    ``limit`` keeps only the newest N paid offers (the original caps at
-    10,000 to bound memory; the default here is all history).
     """
     paid = offers.where(is_success())
-    if limit is not None:
-        paid = paid.orderBy(F.col("created_at").desc(), F.col("id")).limit(limit)
     recent = F.col("created_at") > ts_lit(as_of) - F.expr("INTERVAL 7 DAYS")
 
     def avg_s(end: str, cond: Column | None) -> Column:

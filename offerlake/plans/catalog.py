@@ -393,10 +393,12 @@ def _streams() -> None:
     register("stream_recent_offers", O.STREAM_RECENT_OFFERS, "offer_changes", "offers")(
         lambda t: J.stream_recent_offers(t.spark, t.offer_changes, t.offers))
     register("stream_rates", O.AVERAGE_RATE, "rate_payloads")(lambda t: J.stream_rates(t.spark, t.rate_payloads))
-    register("stream_fund_offers", O.STREAM_FUND_OFFERS, "rate_payloads", "quotes", "quote_updates", "offers")(
+    register("stream_fund_offers", O.FUND_OFFERS, "rate_payloads", "quotes", "quote_updates", "offers")(
         lambda t: J.stream_fund_offers(t.spark, P.quote_offer(priced_quotes(t)), t.quote_updates, t.offers))
+    register("stream_offer_audit", O.STREAM_OFFER_AUDIT, "audit_changes", "audit")(
+        lambda t: J.stream_offer_audit(t.spark, t.audit_changes, t.audit))
     register("stream_deadlines", O.STREAM_DEADLINES, "status_events")(
-        lambda t: J.stream_deadlines(t.spark, t.status_events, single_batch=True))
+        lambda t: J.stream_deadlines(t.spark, t.status_events))
     register("stream_apply_status_updates", O.APPLY_STATUS_UPDATES, "offers", "status_events")(
         lambda t: J.stream_apply_status_updates(t.spark, t.status_events, t.offers))
     register("stream_publish_orders", O.STREAM_PUBLISH_ORDERS, "offer_changes", "offers")(

@@ -63,10 +63,8 @@ SUPPORTED_CURRENCIES = "PLN"
 INVOICE_TOLERANCE_OVER_SATS = 10
 INVOICE_TOLERANCE_UNDER_SATS = 100
 RATE_VALIDITY_MINUTES = 5
-SUCCESS_STATS_ROW_CAP = 10000
 
 # Report periods and listing sizes.
-REPORT_PERIOD_LIMIT = 90
 DAILY_WINDOW_DAYS = 29
 LISTING_LIMIT = 50
 REBROADCAST_HOURS = 12

@@ -181,7 +181,7 @@ LOG_RECORDS = Fixture("log_records", "events", [
         ("ts", "ts0"),
         ("level", "CASE WHEN e % 7 = 0 THEN 'FINE' WHEN e % 13 = 0 THEN 'SEVERE' "
                   "WHEN e % 17 = 0 THEN 'WARNING' ELSE NULL END"),
-        ("logger_name", "CASE WHEN e % 2 = 0 THEN 'coordinator' ELSE '' END"),
+        ("logger_name", "CASE WHEN e % 2 = 0 THEN 'service' ELSE '' END"),
         ("message", _case("e % 10", _LOG_MESSAGES)),
         ("action", "CASE e % 4 WHEN 1 THEN 'system.event' WHEN 2 THEN 'offer.reserve' "
                    "WHEN 3 THEN NULL ELSE NULL END"),
@@ -288,9 +288,10 @@ QUOTES = Fixture("quotes", "events", [
 QUOTE_UPDATES = Fixture("quote_updates", "quotes", [
     Stage([("q", "quote_id"), ("h", "payment_hash"), ("t", "ts"), ("i", "{gen:3}")]),
     Stage([("payment_hash", "h"), ("seq", "CAST(i AS INT)"),
-           ("status", "CASE WHEN i = 1 THEN 'OPEN' WHEN i = 2 AND q % 10 = 3 THEN 'CANCELED' "
-                      "WHEN i = 2 AND q % 10 <> 7 THEN 'ACCEPTED' WHEN i = 3 AND q % 10 = 1 THEN 'ACCEPTED' END"),
-           ("ts", "{add_s:t::CASE i WHEN 1 THEN 1 WHEN 2 THEN 30 ELSE 60 END}")], where="status IS NOT NULL"),
+           ("status", "CASE WHEN i = 1 THEN 'OPEN' WHEN i = 2 AND q % 10 IN (3, 4) THEN 'CANCELED' "
+                      "WHEN i = 2 AND q % 10 = 5 THEN 'SETTLED' WHEN i = 2 AND q % 10 NOT IN (6, 7) THEN 'ACCEPTED' "
+                      "WHEN i = 3 AND q % 10 IN (1, 4, 5, 6) THEN 'ACCEPTED' END"),
+           ("ts", "{add_s:t::CASE WHEN i = 1 THEN 1 WHEN i = 2 THEN 30 WHEN q % 10 = 6 THEN 172800 ELSE 60 END}")], where="status IS NOT NULL"),
 ])
 
 _RATE_BODY = _case("s", [

@@ -14,7 +14,7 @@ schema, so they are never read.
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,40 +59,42 @@ def utc_wall_clock(col: str):
             + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_micros(F.col(col)) / F.lit(1_000_000)))
 
 
+def _instant(value: datetime | str):
+    """A UTC wall-clock time as an instant literal, whatever the session time zone."""
+    at = value if isinstance(value, datetime) else datetime.fromisoformat(value)
+    at = at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at
+    return F.timestamp_micros(F.lit(int((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1))))
+
+
 def read_offers(spark: SparkSession, path: str, fiat_scale: int = 2, since: datetime | str | None = None,
-                until: datetime | str | None = None, instant_timestamps: bool = False) -> DataFrame:
-    """Scan an offers table with the fixed schema; secrets are not read,
-    late columns missing from old files are NULL, unknown statuses are
-    dropped (see `offer_status_rejects`). ``since`` / ``until`` restrict
-    created_at and add the matching ``created_date`` partition predicate,
-    so only the needed date folders are listed and read.
-    ``instant_timestamps`` reads tables whose time columns are instants
-    (a TIMESTAMPTZ export) and turns them into UTC wall-clock values."""
+                until: datetime | str | None = None, instant_timestamps: bool = False,
+                flag_status: bool = False) -> DataFrame:
+    """Scan an offers table with the fixed schema; secrets are not read and
+    late columns missing from old files are NULL. Every row is kept, also one
+    with an unknown or NULL status; ``flag_status`` adds ``status_known`` (and
+    `offer_status_rejects` lists the others). ``since`` / ``until`` restrict
+    created_at; where the folder is partitioned by ``created_month`` they also
+    prune its months. ``instant_timestamps`` reads tables whose time columns
+    are instants (a TIMESTAMPTZ export) and turns them into UTC wall-clock
+    values; the bounds are applied to the stored instants."""
     fields = [f if f.name != "fiat_amount" else T.StructField("fiat_amount", T.DecimalType(18, fiat_scale), True)
               for f in S.OFFER_SCHEMA.fields]
-    if instant_timestamps:
-        ts_cols = [f.name for f in fields if isinstance(f.dataType, T.TimestampNTZType)]
-        fields = [T.StructField(f.name, T.TimestampType(), f.nullable) if f.name in ts_cols else f for f in fields]
-        df = spark.read.schema(T.StructType(fields)).parquet(path)
-        df = df.select(*[utc_wall_clock(c).alias(c) if c in ts_cols else F.col(c) for c in df.columns])
-        out = df.where(F.col("status").isin(S.STATUSES)).select(*S.OFFER_COLUMNS)
-        if since is not None:
-            out = out.where(F.col("created_at") >= ts_lit(since))
-        if until is not None:
-            out = out.where(F.col("created_at") < ts_lit(until))
-        return out
-    schema = T.StructType(fields)
-    df = spark.read.schema(schema).parquet(path)
-    if since is not None or until is not None:
-        if PARTITION_COL not in df.columns:
-            df = spark.read.schema(T.StructType(fields + [T.StructField(PARTITION_COL, T.DateType())])).parquet(path)
-        if since is not None:
-            df = df.where((F.col(PARTITION_COL) >= F.trunc(F.to_date(ts_lit(since)), "month"))
-                          & (F.col("created_at") >= ts_lit(since)))
-        if until is not None:
-            df = df.where((F.col(PARTITION_COL) <= F.trunc(F.to_date(ts_lit(until)), "month"))
-                          & (F.col("created_at") < ts_lit(until)))
-    return df.where(F.col("status").isin(S.STATUSES)).select(*S.OFFER_COLUMNS)
+    ts_cols = [f.name for f in fields if isinstance(f.dataType, T.TimestampNTZType)] if instant_timestamps else []
+    fields = [T.StructField(f.name, T.TimestampType(), f.nullable) if f.name in ts_cols else f for f in fields]
+    df = spark.read.schema(T.StructType(fields)).parquet(path)
+    bound = _instant if instant_timestamps else ts_lit
+    months = PARTITION_COL in df.columns  # a folder without month folders has no such column
+    if since is not None:
+        df = df.where(F.col("created_at") >= bound(since))
+        if months:
+            df = df.where(F.col(PARTITION_COL) >= F.trunc(F.to_date(ts_lit(since)), "month"))
+    if until is not None:
+        df = df.where(F.col("created_at") < bound(until))
+        if months:
+            df = df.where(F.col(PARTITION_COL) <= F.trunc(F.to_date(ts_lit(until)), "month"))
+    out = df.select(*[utc_wall_clock(c).alias(c) if c in ts_cols else F.col(c) for c in S.OFFER_COLUMNS])
+    known = F.coalesce(F.col("status").isin(S.STATUSES), F.lit(False))
+    return out.withColumn("status_known", known) if flag_status else out
 
 
 def offer_status_rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -113,19 +115,18 @@ def read_offers_jdbc(spark: SparkSession, url: str, table: str = "offers", prope
 def write_offers(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a snapshot partitioned by creation month; with dynamic partition
     overwrite only the months present in ``df`` are replaced."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (_time_ranged(df).withColumn(PARTITION_COL, _month())
-     .write.mode(mode).partitionBy(PARTITION_COL).parquet(path))
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION_COL).parquet(path))
 
 
 def append_offers(new_rows: DataFrame, path: str, as_of: datetime | str) -> DataFrame:
-    """Insert funded offers: one row per payment hash, none whose hash is
-    already stored, ``updated_at`` = insertion time. Returns the rows that
+    """Insert funded offers: one row per payment hash (the first by creation
+    time, then id), none whose hash is already stored, ``updated_at`` = insertion time. Returns the rows that
     were appended."""
     spark = new_rows.sparkSession
     existing = spark.read.schema(T.StructType([S.OFFER_SCHEMA["hold_invoice_payment_hash"]])).parquet(path)
-    fresh = (new_rows.dropDuplicates(["hold_invoice_payment_hash"])
+    first = F.min_by(F.struct(*new_rows.columns), F.struct("created_at", "id"))
+    fresh = (new_rows.groupBy("hold_invoice_payment_hash").agg(first.alias("r")).select("r.*")
              .join(existing, "hold_invoice_payment_hash", "left_anti")
              .withColumn("updated_at", ts_lit(as_of))
              .select(*S.OFFER_COLUMNS))

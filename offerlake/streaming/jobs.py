@@ -1,11 +1,16 @@
 """Structured Streaming versions of the operators.
 
-Sources are folders of Parquet files read with an explicit schema
-(``readStream``); sinks are file sinks or ``foreachBatch`` writers with a
-checkpoint under the shared checkpoint folder, so a restarted query resumes
-exactly where it stopped. The stateless operators reuse the batch column
-expressions unchanged; stateful ones use streaming aggregation (state in
-the state store) and ``applyInPandasWithState`` for per-offer timers.
+The operators take and return streaming DataFrames, so they attach to any
+source: the stateless ones are the batch functions themselves
+(`enrich_audit`, `validate_requests`, `changes_enriched`,
+`audit_changes_enriched`), the stateful ones are `rate_rounds`,
+`deadline_timers`, `changes.first_decisions` and
+`lifecycle.status_update_aggregates`. Sinks are file sinks or
+``foreachBatch`` writers with a checkpoint under the shared checkpoint
+folder, so a restarted query resumes where it stopped.
+
+The ``stream_*`` functions run one operator over a landed folder of files in
+several micro-batches and return what its sink holds.
 """
 
 from __future__ import annotations
@@ -20,29 +25,28 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from offerlake import schema as S
 from offerlake.sources.io import scratch_path
 
-def land_files(df: DataFrame, name: str, files: int = 4, order: str | None = None) -> tuple[str, T.StructType]:
-    """Write ``df`` as a folder of Parquet files (a replayable source).
+LANDED_FILES = 4
 
-    With ``order`` the rows are cut into ``files`` consecutive ranges of that
-    column and landed one after another, the way a feed arrives over time,
-    so a file source with maxFilesPerTrigger replays them in order."""
+
+def land_files(df: DataFrame, name: str, files: int = LANDED_FILES) -> tuple[str, T.StructType]:
+    """Write ``df`` as a folder of Parquet files (a replayable source); the
+    files hold the rows in no particular order."""
+    path = scratch_path(df.sparkSession, f"src-{name}")
+    df.repartition(files).write.parquet(path)
+    return path, df.schema
+
+
+def land_in_steps(df: DataFrame, name: str, order: str, steps: int = 4, files: int = LANDED_FILES) -> tuple[str, T.StructType]:
+    """Land ``df`` the way a feed arrives: ``steps`` equal spans of the
+    timestamp ``order`` one after another, each written by parallel tasks
+    as ``files`` files. Rows without a time come with the first."""
     path = scratch_path(df.sparkSession, f"src-{name}")
-    if not order:
-        df.repartition(files).write.parquet(path)
-        return path, df.schema
-    key = F.col(order)
-    if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType)):
-        key = F.unix_micros(key.cast("timestamp"))
-    keyed = df.withColumn("_k", key.cast("double"))
-    bounds = keyed.approxQuantile("_k", [i / files for i in range(1, files)], 0.0)
-    edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        part = keyed
-        if lo is not None:
-            part = part.where(F.col("_k") > lo)
-        if hi is not None:
-            part = part.where(F.col("_k") <= hi)
-        part.drop("_k").coalesce(1).write.mode("append").parquet(path)
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    width = ((hi or 0) - (lo or 0)) // steps + 1
+    step = F.coalesce(F.floor((at - F.lit(lo or 0)) / F.lit(width)), F.lit(0))
+    for k in range(steps):
+        df.where(step == k).repartition(files).write.mode("append").parquet(path)
     return path, df.schema
 
 
@@ -90,14 +94,14 @@ def _batch_writer(df: DataFrame, batch_id: int, out: str) -> None:
 # ---------------------------------------------------------------------------
 def stream_enrich_audit(spark: SparkSession, records: DataFrame) -> DataFrame:
     from offerlake.operators.audit import enrich_audit
-    path, schema = land_files(records, "log-records", order="record_id")
+    path, schema = land_files(records, "log-records")
     out = run_to_files(enrich_audit(read_stream(spark, path, schema)), "audit")
     return spark.read.schema(S.AUDIT_SCHEMA).parquet(out)
 
 
 def stream_validate_requests(spark: SparkSession, requests: DataFrame) -> DataFrame:
     from offerlake.operators.feed import validate_requests
-    path, schema = land_files(requests, "requests", order="request_id")
+    path, schema = land_files(requests, "requests")
     stream = validate_requests(read_stream(spark, path, schema))
     out = run_to_files(stream, "validated")
     return spark.read.parquet(out)
@@ -105,7 +109,7 @@ def stream_validate_requests(spark: SparkSession, requests: DataFrame) -> DataFr
 
 def read_changes(spark: SparkSession, changes: DataFrame, name: str = "changes") -> DataFrame:
     """The change feed as a stream (files landed by the capture job)."""
-    path, schema = land_files(changes, name, order="seq")
+    path, schema = land_files(changes, name)
     return read_stream(spark, path, schema)
 
 
@@ -127,44 +131,75 @@ def stream_audit_changes(spark: SparkSession, changes: DataFrame, audit: DataFra
 # ---------------------------------------------------------------------------
 # latest-per-key
 # ---------------------------------------------------------------------------
+def _newest_of_batch(keys: list[str]):
+    """A ``foreachBatch`` writer that logs a batch's newest row per key. The
+    stream itself keeps no state; a retried batch rewrites its own folder."""
+    def write(df: DataFrame, batch_id: int, out: str) -> None:
+        cols = [c for c in df.columns if c not in keys]
+        newest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("seq")).alias("r")).select(*keys, "r.*")
+        newest.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    return write
+
+
+def _newest(log: DataFrame, keys: list[str]) -> DataFrame:
+    cols = [c for c in log.columns if c not in (*keys, "batch")]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("seq")).alias("r")).select(*keys, "r.*")
+
+
 def stream_recent_offers(spark: SparkSession, changes: DataFrame, offers: DataFrame,
                          limit: int = S.LISTING_LIMIT) -> DataFrame:
-    """Live top-N listing: upsert by id from the enriched change stream
-    (changed -> replace, removed -> delete), view = true top N by
-    coalesce(updated_at, created_at).
-
-    The stream keeps the latest event per id in the state store (update
-    mode); each micro-batch appends its changed ids to a log, and the view
-    is the newest entry per id over the log."""
+    """Live top-N listing: the snapshot of all offers first, then upserts by
+    id from the enriched change stream (changed -> replace, removed ->
+    delete); the view is the true top N by coalesce(updated_at, created_at)."""
     from offerlake.operators.changes import changes_enriched
     enriched = changes_enriched(read_changes(spark, changes, "recent"), offers)
-    row = F.struct(*[F.col(c) for c in ["seq", "type"] + [c for c in S.LISTING_COLUMNS if c != "id"]])
-    latest = enriched.groupBy(F.col("offer_id").alias("id")).agg(F.max_by(row, F.col("seq")).alias("r"))
-    out = run_foreach_batch(latest, "recent", _batch_writer, mode="update")
-    log = spark.read.parquet(out)
-    current = (log.groupBy("id").agg(F.max_by("r", F.struct("batch_id", F.col("r.seq"))).alias("r"))
-               .where(F.col("r.type") == "offer_changed"))
-    view = current.select("id", *[F.col(f"r.{c}").alias(c) for c in S.LISTING_COLUMNS if c != "id"])
+    out = run_foreach_batch(enriched, "recent", _newest_of_batch(["offer_id"]), mode="append")
+    latest = _newest(spark.read.parquet(out), ["offer_id"]).withColumnRenamed("offer_id", "id")
+    kept = offers.select(*S.LISTING_COLUMNS).join(latest.select("id"), "id", "left_anti")
+    upserts = latest.where(F.col("type") == "offer_changed").select(*S.LISTING_COLUMNS)
+    view = kept.unionByName(upserts)
     return view.orderBy(F.coalesce("updated_at", "created_at").desc(), F.col("id")).limit(limit)
 
 
+def stream_offer_audit(spark: SparkSession, changes: DataFrame, audit: DataFrame, offer_id: str | None = None,
+                       limit: int = S.LISTING_LIMIT) -> DataFrame:
+    """Per-offer audit view on a stream: an entry replaces the one with its id
+    or is added; each offer shows its newest ``limit`` entries. ``offer_id``
+    restricts the view to one offer."""
+    from offerlake.operators.changes import AUDIT_VIEW, audit_changes_enriched
+    from offerlake.operators.lookups import top_k_per_group
+    enriched = audit_changes_enriched(read_changes(spark, changes, "offer-audit"), audit).where(F.col("entry_id").isNotNull())
+    if offer_id is not None:
+        enriched = enriched.where(F.col("offer_id") == offer_id)
+    out = run_foreach_batch(enriched, "offer-audit", _newest_of_batch(["offer_id", "entry_id"]), mode="append")
+    latest = _newest(spark.read.parquet(out), ["offer_id", "entry_id"])
+    top = top_k_per_group(latest, ["offer_id"], [F.col("entry_created_at").desc(), F.col("entry_id").desc()], limit, rank_col="entry_rank")
+    return top.select("offer_id", "entry_rank", *[f"entry_{c}" for c in AUDIT_VIEW if c != "offer_id"])
+
+
 # ---------------------------------------------------------------------------
-# watermarked aggregation
+# streaming aggregation
 # ---------------------------------------------------------------------------
-def stream_rates(spark: SparkSession, payloads: DataFrame) -> DataFrame:
-    """Average rate per fetch round with a 5-minute validity window. The
-    watermark lets the state store drop rounds older than the window."""
+def rate_rounds(payloads: DataFrame, late: str | None = None) -> DataFrame:
+    """Sum and number of the valid rates of each fetch round, updated with
+    every payload however late it comes. ``late`` bounds the state instead:
+    rounds that much older than the newest payload are closed."""
     from offerlake.operators.pricing import parse_rates
-    path, schema = land_files(payloads, "rates", order="round_id")
-    parsed = parse_rates(read_stream(spark, path, schema)).where(F.col("rate").isNotNull())
-    parsed = parsed.withColumn("event_time", F.col("fetched_at").cast("timestamp"))
-    agg = (parsed.withWatermark("event_time", f"{S.RATE_VALIDITY_MINUTES} minutes")
-           .groupBy("round_id", F.window("event_time", f"{S.RATE_VALIDITY_MINUTES} minutes"))
-           .agg(F.min("fetched_at").alias("fetched_at"),
-                F.sum(F.col("rate").cast("decimal(24,8)")).alias("_sum"), F.count("rate").alias("n_sources")))
-    out = run_foreach_batch(agg, "rates", _batch_writer, mode="update")
+    parsed = parse_rates(payloads).where(F.col("rate").isNotNull())
+    keys = [F.col("round_id")]
+    if late is not None:
+        parsed = parsed.withColumn("event_time", F.col("fetched_at").cast("timestamp")).withWatermark("event_time", late)
+        keys.append(F.window("event_time", f"{S.RATE_VALIDITY_MINUTES} minutes"))
+    return parsed.groupBy(*keys).agg(F.min("fetched_at").alias("fetched_at"),
+                                     F.sum(F.col("rate").cast("decimal(24,8)")).alias("_sum"), F.count("rate").alias("n_sources"))
+
+
+def stream_rates(spark: SparkSession, payloads: DataFrame) -> DataFrame:
+    """Average rate per fetch round over a stream of payloads."""
+    path, schema = land_files(payloads, "rates")
+    out = run_foreach_batch(rate_rounds(read_stream(spark, path, schema)), "rates", _batch_writer, mode="update")
     log = spark.read.parquet(out)
-    latest = log.groupBy("round_id").agg(F.max_by(F.struct("fetched_at", "_sum", "n_sources", "window"),
+    latest = log.groupBy("round_id").agg(F.max_by(F.struct("fetched_at", "_sum", "n_sources"),
                                                   F.col("batch_id")).alias("r"))
     return latest.select("round_id", F.col("r.fetched_at").alias("fetched_at"),
                          (F.col("r._sum").cast("double") / F.col("r.n_sources")).alias("rate"),
@@ -172,35 +207,19 @@ def stream_rates(spark: SparkSession, payloads: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# stream-stream join
+# funding
 # ---------------------------------------------------------------------------
 def stream_fund_offers(spark: SparkSession, priced_quotes: DataFrame, updates: DataFrame,
                        offers: DataFrame) -> DataFrame:
-    """Pending quotes and hold-invoice updates as two streams joined on the
-    payment hash within a one-day window (watermarks bound both join
-    buffers). The first ACCEPTED update funds; hashes already stored are
-    reported, not inserted."""
-    q_path, q_schema = land_files(priced_quotes.where(F.col("amount_sats").isNotNull()), "quotes", order="ts")
-    u_path, u_schema = land_files(updates.where(F.col("status") == "ACCEPTED"), "quote-updates", order="ts")
-    q = (read_stream(spark, q_path, q_schema).withColumn("q_time", F.col("ts").cast("timestamp"))
-         .withWatermark("q_time", "1 day"))
-    u = (read_stream(spark, u_path, u_schema)
-         .select(F.col("payment_hash").alias("u_hash"), F.col("seq").alias("u_seq"), F.col("ts").alias("u_ts"),
-                 F.col("ts").cast("timestamp").alias("u_time"))
-         .withWatermark("u_time", "1 day"))
-    joined = q.join(u, (F.col("payment_hash") == F.col("u_hash"))
-                    & (F.col("u_time") >= F.col("q_time"))
-                    & (F.col("u_time") <= F.col("q_time") + F.expr("INTERVAL 1 DAY")))
-    out = run_to_files(joined, "fund")
-    acc = spark.read.parquet(out)
-    first = acc.groupBy("quote_id").agg(F.min_by(F.struct("*"), F.col("u_seq")).alias("r")).select("r.*")
-    existing = offers.select(F.col("hold_invoice_payment_hash").alias("payment_hash"))
-    fresh = first.join(existing, "payment_hash", "left_anti")
-    from offerlake.functions import uuid_of
-    return fresh.select("quote_id", "payment_hash", uuid_of(F.col("quote_id") + F.lit(100000000000)).alias("id"),
-                        "amount_sats", "maker_fees", "taker_fees", F.col("maker_id").alias("maker_pubkey"),
-                        F.lit("funded").alias("status"), F.col("u_ts").alias("created_at"),
-                        F.col("fiat_amount").cast("decimal(18,2)").alias("fiat_amount"))
+    """Funding outcome of every quote from a stream of hold-invoice updates.
+
+    The stream keeps, per payment hash, the update that ends its
+    subscription (`first_decisions`); the quotes waiting for one and the
+    stored offers are tables. There is no time limit on an update."""
+    from offerlake.operators.changes import first_decisions, fund_offers
+    path, schema = land_files(updates, "quote-updates")
+    out = run_foreach_batch(first_decisions(read_stream(spark, path, schema)), "fund", _batch_writer, mode="update")
+    return fund_offers(priced_quotes, spark.read.parquet(out), offers)
 
 
 # ---------------------------------------------------------------------------
@@ -214,126 +233,136 @@ _TIMED = {"funded": ("created", S.FUNDED_EXPIRY_SECONDS, "expired"),
           "conflict": ("event", S.CONFLICT_AUTO_DISPUTE_SECONDS, "dispute")}
 
 DEADLINE_OUT = "offer_id STRING, status STRING, timeout_status STRING, due_ms LONG, fired_ms LONG"
-DEADLINE_STATE = "status STRING, seq INT, due_ms LONG, created_ms LONG, reserved_ms LONG, blik_ms LONG"
-
-
-def _advance(state: tuple, pdfs) -> tuple[tuple, bool]:
-    """Fold new status events (sorted by seq) into the offer state; returns
-    (new state without due time, whether anything new arrived)."""
-    status, seq, _due, created_ms, reserved_ms, blik_ms = state
-    last_ms, new = None, False
-    for pdf in pdfs:
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            if r.seq <= seq:
-                continue
-            new = True
-            status, seq, last_ms = r.status, int(r.seq), int(r.ts_ms)
-            if status == "funded" and created_ms is None:
-                created_ms = last_ms
-            if status == "reserved":
-                reserved_ms = last_ms
-            if status == "blikReceived":
-                blik_ms = last_ms
+DEADLINE_STATE = "status STRING, seq INT, due_ms LONG, created_ms LONG, reserved_ms LONG, blik_ms LONG, entered_ms LONG"
+NOTHING = (None, -1, None, None, None, None, None)
+
+
+def _enter(state: tuple, status: str, at_ms: int) -> tuple:
+    """The offer takes ``status`` at ``at_ms``; its deadline, if any, is set."""
+    _, seq, _, created_ms, reserved_ms, blik_ms, _ = state
+    if status == "funded" and created_ms is None:
+        created_ms = at_ms
+    if status == "reserved":
+        reserved_ms = at_ms
+    if status == "blikReceived":
+        blik_ms = at_ms
     due = None
-    if new and status in _TIMED:
+    if status in _TIMED:
         base, secs, _ = _TIMED[status]
-        start = {"created": created_ms, "reserved": reserved_ms, "blik": blik_ms}.get(base) or last_ms
-        due = start + secs * 1000
-    return (status, seq, due, created_ms, reserved_ms, blik_ms), new
+        start = {"created": created_ms, "reserved": reserved_ms, "blik": blik_ms}.get(base)
+        due = (at_ms if start is None else start) + secs * 1000
+    return status, seq, due, created_ms, reserved_ms, blik_ms, at_ms
+
+
+def _fire(state: tuple, upto_ms: int, fired: list[tuple]) -> tuple:
+    """Fire every timer due by ``upto_ms``: the timeout status becomes the
+    offer's status and may set the next timer, which fires at once if it is
+    already late."""
+    while state[2] is not None and state[2] <= upto_ms:
+        status, _, due, *_, entered = state
+        at = max(due, entered)
+        fired.append((status, _TIMED[status][2], due, at))
+        state = _enter(state, _TIMED[status][2], at)
+    return state
+
+
+def _walk(state: tuple, pdfs, fired: list[tuple]) -> tuple:
+    """Take new status events in order; before each one, the timers due by its
+    time fire. An event with a known or older sequence number is ignored."""
+    rows = [(int(r.seq), r.status, int(r.ts_ms)) for pdf in pdfs for r in pdf.itertuples(index=False)]
+    for seq, status, ts_ms in sorted(rows):
+        if seq > state[1]:
+            state = _fire(state, ts_ms, fired)
+            state = _enter((state[0], seq, *state[2:]), status, ts_ms)
+    return state
 
 
-def _fired(offer_id: str, state: tuple, watermark_ms: int) -> pd.DataFrame:
-    status, _seq, due_ms = state[:3]
-    return pd.DataFrame({"offer_id": [offer_id], "status": [status], "timeout_status": [_TIMED[status][2]],
-                         "due_ms": [due_ms], "fired_ms": [watermark_ms]})
+def _fired(offer_id: str, fired: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(offer_id, *f) for f in fired], columns=["offer_id", "status", "timeout_status", "due_ms", "fired_ms"])
 
 
 def _deadline_fn(key, pdfs, state: GroupState):
-    """Per-offer timer: keep the latest status; when it is a timed status,
-    arm an event-time timeout at its deadline; a timeout that fires while
-    the offer is still in that status emits the timeout transition. A new
-    status cancels the previous timer; a batch with nothing new keeps it."""
-    if state.hasTimedOut:
-        cur = state.get
-        state.remove()
-        yield _fired(key[0], cur, state.getCurrentWatermarkMs())
-        return
-    cur = state.get if state.exists else (None, -1, None, None, None, None)
-    nxt, new = _advance(cur, pdfs)
-    if not new:
-        return
-    state.update(nxt)
-    if nxt[2] is not None:
-        state.setTimeoutTimestamp(max(nxt[2], state.getCurrentWatermarkMs() + 1))
+    """Per-offer timers: events in sequence order, due timers before each,
+    then those the watermark has passed; a pending timer is an event-time
+    timeout. The state stays, so that later deadlines count from the offer's
+    own times."""
+    fired: list[tuple] = []
+    cur = tuple(state.get) if state.exists else NOTHING
+    if not state.hasTimedOut:
+        cur = _walk(cur, pdfs, fired)
+    watermark = state.getCurrentWatermarkMs()
+    cur = _fire(cur, watermark - 1, fired)
+    state.update(cur)
+    if cur[2] is not None:
+        state.setTimeoutTimestamp(max(cur[2], watermark + 1))
+    if fired:
+        yield _fired(key[0], fired)
 
 
 class DeadlineProcessor(StatefulProcessor):
-    """Per-offer timers with ``transformWithState``: one value state per
-    offer (current status, its sequence and the times deadlines count
-    from) and at most one event-time timer. A new status deletes the old
-    timer, like cancelling the in-process timer; a fired timer emits the
-    timeout transition and clears the state."""
+    """The same timers with ``transformWithState``: one value state and at
+    most one event-time timer per offer."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.offer = handle.getValueState("offer", DEADLINE_STATE)
 
+    def _settle(self, key, before: tuple, cur: tuple, watermark: int, fired: list[tuple], timer_gone: bool = False):
+        cur = _fire(cur, watermark - 1, fired)
+        if before[2] is not None and before[2] != cur[2] and not timer_gone:
+            self.handle.deleteTimer(before[2])
+        if cur[2] is not None and (cur[2] != before[2] or timer_gone):
+            self.handle.registerTimer(cur[2])
+        self.offer.update(cur)
+        if fired:
+            yield _fired(key[0], fired)
+
     def handleInputRows(self, key, rows, timerValues):
-        cur = self.offer.get() if self.offer.exists() else (None, -1, None, None, None, None)
-        nxt, new = _advance(cur, rows)
-        if new:
-            if cur[2] is not None:
-                self.handle.deleteTimer(cur[2])
-            if nxt[2] is not None:
-                self.handle.registerTimer(nxt[2])
-            self.offer.update(nxt)
-        return iter(())
+        before, fired = (tuple(self.offer.get()) if self.offer.exists() else NOTHING), []
+        cur = _walk(before, rows, fired)
+        yield from self._settle(key, before, cur, timerValues.getCurrentWatermarkInMs(), fired)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        cur = self.offer.get()
-        self.offer.clear()
-        yield _fired(key[0], cur, timerValues.getCurrentWatermarkInMs())
+        before = tuple(self.offer.get())
+        yield from self._settle(key, before, before, timerValues.getCurrentWatermarkInMs(), [], timer_gone=True)
 
     def close(self) -> None:
         pass
 
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def deadline_timers(events: DataFrame, delay: str = "1 minute", impl: str = "group_state") -> DataFrame:
+    """Timeout transitions (times as epoch milliseconds of the UTC wall clock)
+    of a stream of status events with columns offer_id, seq, status, ts_ms.
 
+    An offer's events are taken by ``seq``; a timer fires before the first
+    event at or after its due time, or once the watermark (newest event time
+    less ``delay``) has passed it, whichever is seen first - so the result
+    does not depend on how the events are cut into micro-batches, as long as
+    none is later than ``delay``. ``fired_ms`` is the due time, or the time
+    the status was entered if that is later.
 
-def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 minute",
-                     impl: str = "group_state", single_batch: bool = False) -> DataFrame:
-    """Timeout transitions fired by per-offer event-time timers over a stream
-    of status events. Timers fire once the watermark passes the deadline, so
-    offers whose deadline lies beyond the last event time stay pending.
-
-    ``impl='group_state'`` (default) uses ``applyInPandasWithState`` with an
-    event-time timeout; ``impl='transform_with_state'`` uses the Spark 4
-    stateful processor API (value state + event-time timers on RocksDB).
-    Both give the same transitions; the first is faster here because the
-    processor API makes a round trip to the JVM for every state call.
-
-    Event times travel as epoch milliseconds of the UTC wall clock, so the
-    result does not depend on the session time zone. ``single_batch`` reads
-    all landed files in one micro-batch: every offer then arms its timer
-    for its final status and the following no-data batch fires those due
-    before max(event time) - delay, a deterministic result."""
-    from offerlake.functions import EPOCH_NTZ, epoch_ms
-    src = events.select("offer_id", "seq", "status", epoch_ms("ts").alias("ts_ms"), "ts")
-    path, schema = land_files(src, "status-events", order="ts")
-    stream = read_stream(spark, path, schema, files_per_trigger=100000 if single_batch else 1)
-    stream = (stream.withColumn("event_time", F.timestamp_millis("ts_ms")).drop("ts")
-              .withWatermark("event_time", delay))
+    ``impl='group_state'`` uses ``applyInPandasWithState``;
+    ``impl='transform_with_state'`` the Spark 4 stateful processor API, which
+    needs the RocksDB state store (`session.BASE_CONF`)."""
+    stream = events.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", delay)
     if impl == "transform_with_state":
-        # The stateful processor API needs RocksDB; the new checkpoint picks it up.
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-        fired = stream.groupBy("offer_id").transformWithStateInPandas(
+        return stream.groupBy("offer_id").transformWithStateInPandas(
             DeadlineProcessor(), outputStructType=DEADLINE_OUT, outputMode="Append", timeMode="EventTime")
-    else:
-        fired = stream.groupBy("offer_id").applyInPandasWithState(
-            _deadline_fn, outputStructType=DEADLINE_OUT, stateStructType=DEADLINE_STATE,
-            outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
-    out = spark.read.parquet(run_to_files(fired, "deadlines"))
+    return stream.groupBy("offer_id").applyInPandasWithState(
+        _deadline_fn, outputStructType=DEADLINE_OUT, stateStructType=DEADLINE_STATE,
+        outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 minute",
+                     impl: str = "group_state", steps: int = 4) -> DataFrame:
+    """`deadline_timers` over events landed in ``steps`` spans of time, one
+    micro-batch each. Offers whose deadline lies beyond the newest event time
+    less ``delay`` stay pending."""
+    from offerlake.functions import EPOCH_NTZ, epoch_ms
+    src = events.where(F.col("ts").isNotNull()).select("offer_id", "seq", "status", epoch_ms("ts").alias("ts_ms"), "ts")
+    path, schema = land_in_steps(src, "status-events", "ts", steps)
+    stream = read_stream(spark, path, schema, files_per_trigger=LANDED_FILES).drop("ts")
+    out = spark.read.parquet(run_to_files(deadline_timers(stream, delay, impl), "deadlines"))
     epoch = F.lit(EPOCH_NTZ).cast("timestamp_ntz")
 
     def ntz(ms_col: str):
@@ -372,7 +401,7 @@ def stream_apply_status_updates(spark: SparkSession, events: DataFrame, offers:
     Each micro-batch logs the offers it changed; the newest entry per offer
     in the log is merged onto the current rows."""
     from offerlake.operators.lifecycle import merge_status_updates, status_update_aggregates
-    path, schema = land_files(events, "status-updates", order="ts")
+    path, schema = land_files(events, "status-updates")
     agg = status_update_aggregates(read_stream(spark, path, schema))
     out = run_foreach_batch(agg, "status-updates", _batch_writer, mode="update")
     log = spark.read.parquet(out)

@@ -328,19 +328,74 @@ def test_status_fanout_keeps_nulls(spark):
 
 
 @pytest.mark.parametrize("impl", ["transform_with_state", "group_state"])
-def test_stream_deadline_timers(spark, impl):
+@pytest.mark.parametrize("steps", [1, 3, 7])
+def test_stream_deadline_timers(spark, impl, steps):
+    """Timers fire in event order, chain, and do not depend on the micro-batches."""
     from offerlake.streaming.jobs import stream_deadlines
-    rows = [("A", 1, "funded", T0), ("B", 1, "funded", T0), ("B", 2, "reserved", T0 + timedelta(seconds=60)),
-            ("C", 1, "funded", T0), ("C", 2, "settled", T0 + timedelta(seconds=100)),
-            ("Z", 1, "funded", T0 + timedelta(hours=2))]  # later traffic moves the watermark on
+
+    def at(s):
+        return T0 + timedelta(seconds=s)
+
+    rows = [("A", 1, "funded", at(0)),
+            ("B", 1, "funded", at(0)), ("B", 2, "reserved", at(60)),
+            ("C", 1, "funded", at(0)), ("C", 2, "settled", at(100)),
+            ("D", 1, "funded", at(0)), ("D", 2, "reserved", at(5)), ("D", 3, "blikReceived", at(301)),
+            ("E", 1, "funded", at(0)), ("E", 2, "reserved", at(590)), ("E", 3, "settled", at(4000)),
+            ("Z", 1, "funded", at(7200))]  # later traffic moves the watermark on
     ev = spark.createDataFrame(rows, "offer_id string, seq int, status string, ts timestamp_ntz")
-    fired = {r.offer_id: (r.status, r.timeout_status, r.due_at)
-             for r in stream_deadlines(spark, ev, impl=impl).collect()}
-    assert fired["A"][:2] == ("funded", "expired")
-    assert fired["B"][:2] == ("reserved", "funded")
-    assert "C" not in fired and "Z" not in fired
-    assert fired["A"][2] == T0 + timedelta(seconds=600)
-    assert fired["B"][2] == T0 + timedelta(seconds=90)
+    fired = {}
+    for r in sorted(stream_deadlines(spark, ev, impl=impl, steps=steps).collect(), key=lambda r: (r.offer_id, r.fired_at)):
+        fired.setdefault(r.offer_id, []).append((r.status, r.timeout_status, (r.due_at - T0).total_seconds(), (r.fired_at - T0).total_seconds()))
+    assert fired == {
+        "A": [("funded", "expired", 600, 600)],
+        "B": [("reserved", "funded", 90, 90), ("funded", "expired", 600, 600)],
+        "D": [("reserved", "funded", 35, 35), ("blikReceived", "expiredBlik", 301 + S.BLIK_CONFIRMATION_SECONDS, 301 + S.BLIK_CONFIRMATION_SECONDS)],
+        "E": [("reserved", "funded", 620, 620), ("funded", "expired", 600, 620)],
+    }
+
+
+def test_streams_do_not_depend_on_file_order(spark):
+    """Changes landed in shuffled files give the batch twin's rows."""
+    from offerlake.operators.changes import first_decisions
+    from offerlake.streaming import jobs as J
+    rows = [(f"h{h}", s, st, T0 + timedelta(days=s)) for h, st_list in enumerate((
+        ["OPEN", "CANCELED", "ACCEPTED"], ["SETTLED", "ACCEPTED"], ["OPEN", None, "ACCEPTED"], ["OPEN"])) for s, st in enumerate(st_list) if st]
+    updates = spark.createDataFrame(rows, "payment_hash string, seq int, status string, ts timestamp_ntz").repartition(5, "ts")
+    path, schema = J.land_files(updates, "shuffled", 5)
+    out = J.run_foreach_batch(first_decisions(J.read_stream(spark, path, schema)), "shuffled", J._batch_writer, mode="update")
+    got = {(r.payment_hash, r.status) for r in first_decisions(spark.read.parquet(out)).collect()}
+    assert got == {("h0", "CANCELED"), ("h1", "SETTLED"), ("h2", "ACCEPTED")}
+
+
+def test_rate_at_is_linear_in_a_crowded_bucket(spark):
+    """Thousands of rounds and quotes inside one bucket: one row per quote, the newest round each."""
+    from offerlake.operators import pricing as P
+    n = 10000
+    rounds = spark.range(n).selectExpr("id AS round_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.02) AS fetched_at", "CAST(id AS double) AS rate")
+    quotes = spark.range(n).selectExpr("id AS quote_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.02 + 0.01) AS ts")
+    priced = P.rate_at(quotes, rounds)
+    assert priced.where("rate_round_id = quote_id AND rate_status = 'fresh'").count() == n
+
+
+def test_read_offers_bounds_on_plain_and_partitioned_folders(spark, tmp_path):
+    from offerlake import schema as S
+    from offerlake.sources import io as IO
+    rows = [(f"id{i}", ["funded", "weird", None][i % 3], T0 + timedelta(days=20 * i)) for i in range(9)]
+    base = spark.createDataFrame(rows, "id string, status string, created_at timestamp_ntz")
+    full = base.select(*[F.col(c) if c in base.columns else F.lit(None).cast(S.OFFER_SCHEMA[c].dataType).alias(c) for c in S.OFFER_COLUMNS])
+    plain, parted, instants = (str(tmp_path / n) for n in ("plain", "parted", "instants"))
+    full.write.parquet(plain)
+    IO.write_offers(full, parted)
+    full.select(*[F.col(c).cast("timestamp").alias(c) if dict(full.dtypes)[c] == "timestamp_ntz" else F.col(c) for c in full.columns]).write.parquet(instants)
+    lo, hi = str(T0 + timedelta(days=30)), str(T0 + timedelta(days=130))
+    for path, kw in ((plain, {}), (parted, {}), (instants, {"instant_timestamps": True})):
+        assert IO.read_offers(spark, path, **kw).count() == 9
+        got = IO.read_offers(spark, path, since=lo, until=hi, **kw)
+        assert sorted(r.id for r in got.collect()) == ["id2", "id3", "id4", "id5", "id6"]
+    assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in IO.read_offers(
+        spark, instants, since=lo, instant_timestamps=True)._jdf.queryExecution().executedPlan().toString()
+    flagged = IO.read_offers(spark, plain, flag_status=True)
+    assert flagged.where("status_known").count() == 3 and flagged.where("NOT status_known").count() == 6
 
 
 def test_report_invariants(spark):
@@ -350,7 +405,7 @@ def test_report_invariants(spark):
     from tests.conftest import SF_SMALL
     offers = Tables(spark, SF_SMALL).offers
     tot = R.metrics_totals(offers).first()
-    monthly = R.metrics_by_period(offers, "monthly", T0, limit=None).agg(
+    monthly = R.metrics_by_period(offers, "monthly", T0).agg(
         F.sum("success").alias("s"), F.sum("failed").alias("f"), F.sum("profit").alias("p")).first()
     assert (monthly.s, monthly.f, monthly.p) == (tot.total_success, tot.total_failed, tot.total_profit)
     wk = R.weekday_profile(offers).collect()
@@ -448,7 +503,7 @@ def test_stream_resumes_from_checkpoint(spark):
     assert result.count() == recs.count() and result.select("id").distinct().count() == recs.count()
 
 
-# The original's coordinator tests as rows: (case, status, taker, blik received, invoice stored,
+# The survey's action cases as rows: (case, status, taker, blik received, invoice stored,
 # action, actor, accepted, new status). Maker is "maker", the taker is "taker" unless given.
 ORIGINAL_CASES = [
     ("funded, maker cancels", "funded", None, False, False, "cancel_offer", "maker", True, "cancelled"),
