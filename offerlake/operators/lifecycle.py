@@ -309,12 +309,9 @@ def apply_cancellations(offers: DataFrame, cancels: DataFrame, as_of: datetime |
     """Conditional update: an offer is cancelled when some cancel request
     names it, comes from its maker and the offer is funded; the seven
     taker-side fields are cleared. Other rows are unchanged."""
-    ok = (cancels.select(F.col("offer_id").alias("id"), F.col("actor"))
-          .join(offers.select("id", "maker_pubkey", "status"), "id")
-          .where((F.col("actor") == F.col("maker_pubkey")) & (F.col("status") == "funded"))
-          .select("id").distinct().withColumn("_cancel", F.lit(True)))
-    j = offers.join(ok, "id", "left")
-    hit = F.coalesce(F.col("_cancel"), F.lit(False))
+    asked = cancels.select(F.col("offer_id").alias("_offer"), F.col("actor").alias("_by")).distinct()
+    j = offers.join(asked, (F.col("id") == F.col("_offer")) & (F.col("maker_pubkey") == F.col("_by")), "left")
+    hit = F.col("_by").isNotNull() & (F.col("status") == "funded")
     cleared = {c: F.when(hit, F.lit(None)).otherwise(F.col(c)).cast(S.OFFER_SCHEMA[c].dataType).alias(c)
                for c in _CLEARED}
     cols = []
@@ -334,11 +331,9 @@ def apply_invoice_change(offers: DataFrame, changes: DataFrame) -> DataFrame:
     """A taker replaces the invoice of their own offer (``changes``:
     offer_id, sender, bolt11, ts). Only the sender equal to the offer's
     taker counts; the latest such change wins and sets updated_at."""
-    own = (changes.join(offers.select(F.col("id").alias("offer_id"), "taker_pubkey"), "offer_id")
-           .where(F.col("sender") == F.col("taker_pubkey")))
-    latest = own.groupBy(F.col("offer_id").alias("id")).agg(
+    latest = changes.groupBy(F.col("offer_id").alias("_offer"), F.col("sender").alias("_by")).agg(
         F.max_by(F.struct("bolt11", "ts"), F.struct("ts", "bolt11")).alias("_chg"))
-    j = offers.join(latest, "id", "left")
+    j = offers.join(latest, (F.col("id") == F.col("_offer")) & (F.col("taker_pubkey") == F.col("_by")), "left")
     cols = []
     for c in S.OFFER_COLUMNS:
         if c == "taker_invoice":

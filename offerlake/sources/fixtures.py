@@ -283,8 +283,8 @@ QUOTES = Fixture("quotes", "events", [
           where="quote_id % 2 = 1"),
 ])
 
-# Hold-invoice updates of the quotes: OPEN, then ACCEPTED (CANCELED when
-# quote_id % 10 = 3, nothing when % 10 = 7), and a repeated ACCEPTED when % 10 = 1.
+# Hold-invoice updates of the quotes: OPEN, then ACCEPTED; by quote_id % 10: 3 and 4 CANCELED, 5 SETTLED,
+# 7 nothing; a third ACCEPTED for 1, 4 and 5, and for 6 the only one, two days late.
 QUOTE_UPDATES = Fixture("quote_updates", "quotes", [
     Stage([("q", "quote_id"), ("h", "payment_hash"), ("t", "ts"), ("i", "{gen:3}")]),
     Stage([("payment_hash", "h"), ("seq", "CAST(i AS INT)"),
