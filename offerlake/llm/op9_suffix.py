@@ -31,7 +31,7 @@ from offerlake.llm import exchange as E, textops as X
 
 LENGTH = 400
 GRAM = 48
-BATCH = 2 << 20
+BATCH = 1 << 19
 SEPARATOR = 0xFF  # never occurs in UTF-8
 FIRST = 8  # depth of the first sort
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -152,7 +152,8 @@ def segments_of(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
         anchor = least[at]
         cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))))
         last = np.append(cut[1:], len(at)) - 1
-        for k, v in enumerate((h[anchor[cut]], anchor[cut] + lo, at[cut] + lo, at[last] + lo)):
+        # smallest hashes are small: mixed again, they spread evenly over the buckets
+        for k, v in enumerate((X.mix(h[anchor[cut]]), anchor[cut] + lo, at[cut] + lo, at[last] + lo)):
             out[k].append(v)
     if not out[0]:
         empty = np.zeros(0, np.int64)
