@@ -101,12 +101,15 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, buckets: int | None =
         got = [X.load(a)[0] for a in answers]
         total = np.concatenate([a for a, _ in got])[g.place]
         total3 = np.concatenate([b for _, b in got])[g.place3]
+        del got, g.keys, g.last, g.place, g.place3
         c1 = total[: g.n] - _own(g.one, g.row)
         c2, c3 = np.zeros(g.n, np.int64), np.zeros(g.n, np.int64)
         c2[g.at2] = total[g.n: -1] - _own(g.two, g.row[g.at2])
         c3[g.at3] = total3 - _own(g.three, g.row[g.at3])
+        all_words = total[-1]
+        del total, total3, g.one, g.two, g.three
         words = np.bincount(g.row, minlength=rows)
-        others = (total[-1] - words)[g.row].astype(float)
+        others = (all_words - words)[g.row].astype(float)
         first = np.cumsum(words) - words
         order = np.minimum(np.arange(g.n) - first[g.row], 2)  # words of context
         level = np.zeros(g.n, np.int64)
