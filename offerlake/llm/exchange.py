@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from offerlake.llm import textops as X
 from offerlake.session import checkpoint_dir
@@ -34,6 +34,28 @@ ASK = "bucket int, block long, mark long, keys binary, extra binary"
 ANSWER = "block long, bucket int, mark long, answer binary"
 
 
+SLOT_BITS = 23
+
+
+def bitmap(df: DataFrame, column: str) -> bytes:
+    """Which leading SLOT_BITS bits occur among a column's 64-bit hashes: 1 MiB, however
+    many rows there are. At most 256 rows of 4 KiB reach the driver."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - SLOT_BITS)
+    rows = df.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s + 1)").alias("k")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(s + 1))").alias("bits")).collect()
+    out = bytearray(1 << (SLOT_BITS - 3))
+    for r in rows:
+        at = (r.k - 1) * len(r.bits)
+        out[at: at + len(r.bits)] = r.bits
+    return bytes(out)
+
+
+def hits(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the bitmap's column."""
+    slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 def settled(docs: DataFrame) -> DataFrame:
     """``docs`` with partitions that are the same each time they are computed.
 

@@ -14,7 +14,7 @@ that are no placeholders. Items shorter than WIDTH are one window of their own
 length, with at least half of it literal.
 
 Only document windows whose hash hits a bitmap of the benchmark's hashes leave
-the scan; the bitmap has SLOTS bits whatever the benchmark's size (1 MiB), so
+the scan; the bitmap has 1 MiB whatever the benchmark's size, so
 it is safe to send to every task, and the join after it is exact.
 
 Defined results: null or empty texts and items have no windows and are never
@@ -30,13 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from offerlake.llm import textops as X
+from offerlake.llm import exchange as E, textops as X
 from offerlake.llm.op10_rules import STOP_WORDS
 
 WIDTH = 8
 MIN_LITERAL = 4
 SHARE = 0.5
-SLOTS = 1 << 23
 UNITS = frozenset((
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t gram grams kilogram kilograms ton tons tonne tonnes oz lb lbs pound pounds "
     "ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
@@ -92,7 +91,6 @@ def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None)
     """
 
     def make(batches):
-        bits = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
         for batch in batches:
             for block in X.slices(batch, "text"):
                 row, kind, code, place, cores = _tokens(block)
@@ -104,11 +102,11 @@ def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None)
                     hashes, at = X.windows(code, row, width)
                     need = MIN_LITERAL if width == WIDTH else (width + 1) // 2
                     ok = literals[at + width] - literals[at] >= need
-                    if bits is None:
+                    if bitmap is None:
                         if width < WIDTH:
                             ok &= size[row[at]] == width
                     else:
-                        ok &= bits[(hashes >> np.uint64(41)).astype(np.int64)].astype(bool)
+                        ok &= E.hits(bitmap, hashes)
                     hashes, at = hashes[ok], at[ok]
                     if not len(at):
                         continue
@@ -122,18 +120,6 @@ def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None)
     return texts.mapInArrow(make, WINDOWS)
 
 
-def _bitmap(windows: DataFrame) -> bytes:
-    """SLOTS bits: which leading 23 bits occur among the hashes. At most 256 rows of 4 KiB reach the driver."""
-    slot = F.shiftrightunsigned("hash", 41)
-    rows = windows.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s + 1)").alias("k")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(s + 1))").alias("bits")).collect()
-    out = bytearray(SLOTS // 8)
-    for r in rows:
-        at = (r.k - 1) * len(r.bits)
-        out[at: at + len(r.bits)] = r.bits
-    return bytes(out)
-
-
 def _consistent(pairs: list[tuple]) -> bool:
     """Whether the (item slots, document slots) of one alignment map one to one."""
     fore, back = {}, {}
@@ -154,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     bench = template_windows(items, list(range(1, WIDTH + 1)), None)
     widths = sorted(r.width for r in bench.select("width").distinct().collect())  # WIDTH values at most
-    found = template_windows(texts, widths, _bitmap(bench)).select(F.col("id").alias("doc_id"), "pos", "width", "hash", F.col("slots").alias("dslots"))
+    found = template_windows(texts, widths, E.bitmap(bench, "hash")).select(F.col("id").alias("doc_id"), "pos", "width", "hash", F.col("slots").alias("dslots"))
     right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "width", "size", "hash", F.col("slots").alias("islots"))
     joined = found.join(right, ["hash", "width"]).select("doc_id", "item_id", "pos", "ipos", "width", "size", "islots", "dslots")
     near = joined.repartition("doc_id").sortWithinPartitions("doc_id", "item_id")

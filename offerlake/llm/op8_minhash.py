@@ -9,10 +9,15 @@ sets. Links are contracted to connected components.
 
 No bucket is expanded into all its pairs. Round one verifies, for every class,
 the pair with the smallest class it shares a key with; members of a bucket that
-are then in one component need no more comparison. What is left are pairs of
-different components inside a bucket: small buckets list them, buckets of over
-SMALL members are compared in blocks, signature matrix against signature
-matrix, and only pairs that pass the posterior bound come out.
+are then joined need no more comparison. What is left are pairs of differently
+labelled classes inside a bucket. Buckets of up to SMALL members list them.
+The members of larger buckets go, once each, with their shingle sets to blocks
+of about BLOCK; blocks that share a bucket are compared, signature matrix
+against signature matrix and then set against set, and give at most the links
+that join two components, fewer than they have members.
+
+Texts are fetched for verification only where a bitmap of fixed size says that
+the document shares a key with another.
 
 Defined results: text without words has an empty set, is linked with nothing
 and kept; texts of under WIDTH words are one shingle; a null doc_id is linked
@@ -28,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from offerlake.llm import textops as X
+from offerlake.llm import exchange as E, textops as X
 from offerlake.llm.graph import components
 from offerlake.session import checkpoint_dir
 
@@ -37,7 +42,7 @@ HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 BATCH = 16
 MISS = 1e-6
-SMALL, BLOCK = 48, 256
+SMALL, BLOCK = 32, 256
 CHUNK = 1 << 15
 PROFILE = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
 
@@ -191,40 +196,87 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
 
 
-def _cross(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside a bucket; members: key, rep, comp, sig."""
-    bounds = least_matches(percent)
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_keys = sizes.where("lo != hi").select("key", "size")
-    held = members.join(open_keys, "key")
-    few = held.where(F.col("size") <= SMALL)
+def _listed(few: DataFrame) -> DataFrame:
+    """Pairs of different components in small buckets."""
     left = few.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
     right = few.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    listed = left.join(right, "key").where("a > b and ca != cb").select("a", "b")
+    return left.join(right, "key").where("a > b and ca != cb").select("a", "b").distinct()
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(rep, set): each document's sorted shingle hashes as bytes."""
 
-    # a block holds about BLOCK members of one bucket, by component where that is large
-    many = held.where(F.col("size") > SMALL)
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
-    row = F.struct("rep", "comp", "sig")
-    blocks = many.withColumn("blk", block).groupBy("key", "blk").agg(F.collect_list(row).alias("rows"))
-    twin = blocks.select("key", F.col("blk").alias("blk2"), F.col("rows").alias("rows2"))
+    def make(batches):
+        for batch in batches:
+            for block in X.slices(batch, "text"):
+                keys, rows = shingles(*X.text_buffer(block.column(1)))
+                cut = np.searchsorted(rows, np.arange(block.num_rows + 1)).tolist()
+                sets = [np.sort(keys[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
+
+    return texts.select("doc_id", "text").mapInArrow(make, "rep long, set binary")
+
+
+def _links_of_blocks(one, two, same: bool, percent: int, bounds) -> list[tuple[int, int]]:
+    """Links between two blocks that join components not joined before."""
+    (rx, cx, sx, tx), (ry, cy, sy, ty) = one, two
+    sizes, found = np.array([len(t) for t in ty]), []
+    for i in range(len(rx)):
+        other = np.flatnonzero((cy != cx[i]) & ((ry < rx[i]) if same else True))
+        n = len(tx[i])
+        other = other[100 * np.minimum(sizes[other], n) >= percent * np.maximum(sizes[other], n)]
+        other = other[_bayes(np.broadcast_to(sx[i], (len(other), HASHES)), sy[other], bounds)]
+        if not len(other):
+            continue
+        flat = np.concatenate([ty[j] for j in other])
+        at = np.minimum(np.searchsorted(tx[i], flat), n - 1)
+        shared = np.add.reduceat((tx[i][at] == flat).astype(np.int64), np.cumsum(sizes[other]) - sizes[other])
+        for j in other[100 * shared >= percent * (sizes[other] + n - shared)].tolist():
+            if cx[i] != cy[j]:
+                found.append((max(rx[i], ry[j]), min(rx[i], ry[j])))
+                old, new = max(cx[i], cy[j]), min(cx[i], cy[j])
+                cx[cx == old], cy[cy == old] = new, new
+    return found
+
+
+def _blocked(many: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between different components in large buckets; many: key, size, rep, comp."""
+    bounds = least_matches(percent)
+    home = many.groupBy("rep").agg(F.max(F.struct("size", "key")).alias("h"), F.min("comp").alias("comp"))
+    home = home.select("rep", "comp", F.xxhash64("h.key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("h.size") / BLOCK))).alias("blk"))
+    at = many.select("key", "rep").join(home.select("rep", "blk"), "rep").select("key", "blk").distinct()
+    pairs = at.join(at.select("key", F.col("blk").alias("blk2")), "key").where("blk <= blk2").select("blk", "blk2").distinct()
+    sets = shingle_sets(texts).dropDuplicates(["rep"])
+    rows = home.join(signed.select("rep", "sig"), "rep").join(sets, "rep")
+    blocks = rows.groupBy("blk").agg(F.collect_list(F.struct("rep", "comp", "sig", "set")).alias("rows"))
+    twin = blocks.select(F.col("blk").alias("blk2"), F.col("rows").alias("rows2"))
+
+    def read(cell):
+        v = cell.values
+        return (np.asarray(v.field("rep")), np.array(v.field("comp")), _matrix(v.field("sig")), [np.frombuffer(x, np.uint64) for x in v.field("set").to_pylist()])
 
     def compare(batches):
         for batch in batches:
-            for one, two in zip(batch.column(0), batch.column(1)):
-                x, y = (np.asarray(pa.array(v.values.field("rep"))) for v in (one, two))
-                cx, cy = (np.asarray(v.values.field("comp")) for v in (one, two))
-                sx, sy = (_matrix(v.values.field("sig")) for v in (one, two))
-                a, b = [], []
-                for i in range(len(x)):
-                    other = np.flatnonzero((cy != cx[i]) & (y < x[i] if one is two else y != x[i]))
-                    keep = other[_bayes(np.broadcast_to(sx[i], (len(other), HASHES)), sy[other], bounds)]
-                    a.append(np.maximum(x[i], y[keep]))
-                    b.append(np.minimum(x[i], y[keep]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    compared = (blocks.join(twin, "key").where("blk <= blk2").select("rows", "rows2").mapInArrow(compare, "a long, b long"))
-    return listed.unionByName(compared).distinct()
+            for x, y, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                one = read(x)
+                two = one if same else read(y)
+                found = _links_of_blocks(one, two, same, percent, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    joined = pairs.join(blocks, "blk").join(twin, "blk2").select("rows", "rows2", (F.col("blk") == F.col("blk2")).alias("same"))
+    return joined.mapInArrow(compare, "a long, b long")
+
+
+def _candidates(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The documents that share a key with another, and few more."""
+    bits = E.bitmap(members.select(F.xxhash64("rep").alias("h")), "h")
+
+    def pick(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(E.hits(bits, np.asarray(batch.column(0)).view(np.uint64)))).select([1, 2])
+
+    numbered = docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
+    return numbered.mapInArrow(pick, "doc_id long, text string")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -240,18 +292,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = (some.join(reps.select("rep", *set_key), set_key).where("doc_id = rep").dropDuplicates(["rep"])
                .select("rep", F.col("n_shingles").alias("n"), "sig", "bands").checkpoint())
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("center")).where("c > 1")
-    members = banded.join(shared.select("key", "center"), "key").checkpoint()
+    shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("center")).where("size > 1")
+    members = banded.join(shared, "key").checkpoint()
+    texts = _candidates(docs, members)
 
     signed = classes.select("rep", "n", "sig")
     first = members.where("rep != center").groupBy(F.col("rep").alias("a")).agg(F.min("center").alias("b"))
-    links = verified(survivors(first, signed, percent), docs, percent).checkpoint()
-    labels = components(links)
-    placed = (members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-              .select("key", "rep", F.coalesce("component", "rep").alias("comp")))
-    left_over = _cross(placed.join(signed.select("rep", "sig"), "rep"), percent)
-    more = verified(survivors(left_over, signed, percent), docs, percent)
-    found = components(links.unionByName(more))
+    links = verified(survivors(first, signed, percent), texts, percent).checkpoint()
+    # labels only spare comparisons here: the class a class was linked to, followed for a few steps
+    step = links.select(F.col("a").alias("rep"), F.col("b").alias("comp"))
+    for _ in range(2):
+        on = step.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
+        step = step.join(on, "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp"))
+    placed = members.join(step, "rep", "left").select("key", "size", "rep", F.coalesce("comp", "rep").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    left_over = placed.join(mixed, "key").checkpoint()
+    listed = verified(survivors(_listed(left_over.where(F.col("size") <= SMALL)), signed, percent), texts, percent)
+    blocked = _blocked(left_over.where(F.col("size") > SMALL), signed, texts, percent)
+    found = components(links.unionByName(listed).unionByName(blocked))
 
     whole = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         *set_key, F.coalesce("component", "rep").alias("component"))
