@@ -112,7 +112,7 @@ class Lexicon:
         return [self.byte_id.get(b, self.unknown) for b in char.encode()] if self.byte_id else [self.unknown]
 
 
-_LEXICON: dict[str, Lexicon] = {}
+_LEXICON = X.Cache()
 
 
 def lexicon(model: str) -> Lexicon:

@@ -20,7 +20,14 @@ LOWER[65:91] += 32
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 SEGMENT = 1 << 19  # bytes hashed at a time
-BLOCKBYTE_VALUES = 12 << 20  # text bytes held as one block
+BLOCK_BYTES = 8 << 20  # text bytes held as one block
+
+
+class Cache(dict):
+    """A per-process cache; shipped functions that refer to it take it along empty."""
+
+    def __reduce__(self):
+        return Cache, ()
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -32,7 +39,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POW = Cache()
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +155,7 @@ def windows(hashes: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
     return mix(rolled[at] + np.uint64(width)), at
 
 
-_ZIP = {}
+_ZIP = Cache()
 
 
 def _zip() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
@@ -207,7 +214,7 @@ def load(raw: bytes) -> tuple[list[np.ndarray], bytes]:
     return [unpack(a, np.int64) for a in arrays], unsqueeze(data)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCKBYTE_VALUES):
+def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES):
     """The batch in runs of rows of at most ``limit`` text bytes (or one longer row)."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
