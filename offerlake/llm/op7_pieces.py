@@ -37,6 +37,7 @@ from offerlake.llm import textops as X
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 BLOCK_BYTES = 6 << 20
+LATTICE_CHARS = 1 << 17  # characters whose lattices are held at once
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 FLOOR = -1e8  # scores below this mark pieces kept out of use on purpose; they still count, but set no minimum
@@ -149,7 +150,8 @@ def _edges(lex: Lexicon, chars: np.ndarray, left: np.ndarray):
 
 def _sweep(edge_from: np.ndarray, edge_to: np.ndarray, depth: np.ndarray, score: np.ndarray, nodes: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best score into every node, level by level, and the edge that gives it."""
-    order = np.lexsort((edge_from, edge_to, depth))
+    # by level, target, and longest edge first, as one integer
+    order = np.argsort((depth << 36) | (edge_to << 5) | (31 - np.minimum(np.abs(edge_to - edge_from), 31)))
     start, stop, value, level = edge_from[order], edge_to[order], score[order], depth[order]
     best, by = np.full(nodes, -np.inf), np.full(nodes, -1)
     best[roots] = 0.0
@@ -213,8 +215,8 @@ class Lattices:
         self.ids = ids
         per = np.bincount(of[path], weights=width, minlength=len(chunks)).astype(np.int64) if len(path) else np.zeros(len(chunks), np.int64)
         self.id_begin = np.concatenate(([0], np.cumsum(per)))
-        into = np.argsort(node + length, kind="stable")
-        self.into, self.into_at = into, np.searchsorted((node + length)[into], np.arange(nodes + 1))
+        self.nodes = nodes
+        self.into = None
 
     def _ids(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids along edges; an unknown character gives several."""
@@ -231,6 +233,10 @@ class Lattices:
 
     def n_best(self, chunk: int, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations: backward A-star, the forward score as heuristic."""
+        if self.into is None:
+            to = self.node + self.length
+            self.into = np.argsort(to, kind="stable")
+            self.into_at = np.searchsorted(to[self.into], np.arange(self.nodes + 1))
         root, end, tick = int(self.root[chunk]), int(self.end[chunk]), count()
         heap = [(-float(self.best[chunk]), next(tick), end, 0.0, None)]
         out: list[tuple[float, list[int]]] = []
@@ -263,6 +269,19 @@ def _chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(index), np.array(found, np.int64), np.array(sizes, np.int64)
 
 
+def _score(lex: Lexicon, chunks: list[str]) -> tuple[np.ndarray, ...]:
+    """Best score, gap, ids and number of ids of each chunk, some characters at a time."""
+    ends = np.cumsum([len(c) for c in chunks])
+    at, parts = 0, []
+    while at < len(chunks):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + LATTICE_CHARS, side="right")))
+        lat = Lattices(lex, chunks[at:to])
+        parts.append((lat.best, lat.gap, lat.ids, np.diff(lat.id_begin)))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _merge(options: list[list[tuple[float, list[int]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best (loss, choice per place) over independent places."""
     held: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
@@ -297,33 +316,30 @@ def _encode_block(lex: Lexicon, block: pa.RecordBatch, n_best: int) -> pa.Record
     if not chunks:
         return pa.RecordBatch.from_arrays([block.column(0), pa.array([0] * rows, pa.int64()), pa.array([0.0] * rows), pa.array([[]] * rows, pa.list_(pa.int32())),
                                            pa.array([[{"score": 0.0, "changes": []}]] * rows, kind)], names=names)
-    lat = Lattices(lex, chunks)
-    width = np.diff(lat.id_begin)
+    best, gap, all_ids, width = _score(lex, chunks)
+    id_begin = np.concatenate(([0], np.cumsum(width)))
     first = np.cumsum(sizes) - sizes
     row = np.repeat(np.arange(rows), sizes)
     lengths = width[occ]
     begin = np.cumsum(lengths) - lengths
-    ids = lat.ids[np.repeat(lat.id_begin[occ] - begin, lengths) + np.arange(lengths.sum())]
+    ids = all_ids[np.repeat(id_begin[occ] - begin, lengths) + np.arange(lengths.sum())]
     pieces = np.bincount(row, weights=lengths, minlength=rows).astype(np.int64)
     offsets = np.concatenate(([0], np.cumsum(pieces)))
-    score = np.bincount(row, weights=lat.best[occ], minlength=rows)
+    score = np.bincount(row, weights=best[occ], minlength=rows)
     # the places of each text with the smallest gaps
-    order = np.lexsort((np.arange(len(occ)), lat.gap[occ], row))
+    order = np.lexsort((np.arange(len(occ)), gap[occ], row))
     rank = np.arange(len(occ)) - first[row]
     pick = order[rank < n_best - 1]
-    searched: dict[int, list] = {}
+    pick = pick[np.isfinite(gap[occ[pick]])]
+    wanted = np.unique(occ[pick]).tolist()
+    few = Lattices(lex, [chunks[c] for c in wanted]) if wanted else None
+    searched = {c: few.n_best(k, n_best) for k, c in enumerate(wanted)}
     places: list[list[int]] = [[] for _ in range(rows)]
     for i in pick.tolist():
-        if np.isfinite(lat.gap[occ[i]]):
-            places[row[i]].append(i)
+        places[row[i]].append(i)
     nbest = []
     for r in range(rows):
-        options = []
-        for i in places[r]:
-            c = int(occ[i])
-            if c not in searched:
-                searched[c] = lat.n_best(c, n_best)
-            options.append(searched[c])
+        options = [searched[int(occ[i])] for i in places[r]]
         found = []
         for loss, choice in _merge(options, n_best):
             changes = [{"at": int(begin[i] - offsets[r]), "old": int(lengths[i]), "ids": o[k][1]}
