@@ -15,9 +15,10 @@ Characters without a piece become their UTF-8 byte pieces at one penalty below
 the lowest score. Work is one pass over the documents, without a shuffle.
 
 Defined results: null and empty texts have no pieces, score 0 and one empty
-segmentation; fewer than N segmentations give as many as there are; ties prefer
-longer first pieces from the end of the chunk and earlier places in the text;
-null ids and repeated rows are encoded like any other; other columns are
+segmentation; fewer than N segmentations give as many as there are; of equally
+good segmentations the best is the one with longer pieces from the end of the
+chunk, and each of the others is an alternative of its own; equal gaps prefer
+earlier places in the text; null ids and repeated rows are encoded like any other; other columns are
 ignored. Decoding reverses the ids, with U+FFFD for broken bytes.
 """
 
@@ -232,14 +233,16 @@ class Lattices:
         return out.astype(np.int32), width
 
     def n_best(self, chunk: int, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations: backward A-star, the forward score as heuristic."""
+        """The best segmentation, then the n - 1 next: backward A-star, the forward score as heuristic."""
         if self.into is None:
             to = self.node + self.length
             self.into = np.argsort(to, kind="stable")
             self.into_at = np.searchsorted(to[self.into], np.arange(self.nodes + 1))
-        root, end, tick = int(self.root[chunk]), int(self.end[chunk]), count()
+        # among equal scores the newest entry, so the longest piece, as in _sweep
+        root, end, tick = int(self.root[chunk]), int(self.end[chunk]), count(0, -1)
         heap = [(-float(self.best[chunk]), next(tick), end, 0.0, None)]
-        out: list[tuple[float, list[int]]] = []
+        best = self.ids[self.id_begin[chunk]: self.id_begin[chunk + 1]].tolist()
+        out: list[tuple[float, list[int]]] = [(float(self.best[chunk]), best)]
         while heap and len(out) < n:
             _, _, node, gained, path = heapq.heappop(heap)
             if node == root:
@@ -247,7 +250,9 @@ class Lattices:
                 while path is not None:
                     edge, path = path
                     edges.append(edge)
-                out.append((gained, self._ids(np.array(edges, np.int64))[0].tolist()))
+                ids = self._ids(np.array(edges, np.int64))[0].tolist()
+                if ids != best:
+                    out.append((gained, ids))
                 continue
             for k in range(int(self.into_at[node]), int(self.into_at[node + 1])):
                 edge = int(self.into[k])

@@ -244,6 +244,25 @@ def test_nbest():
         assert len(seen) == len(want)
 
 
+@pytest.mark.parametrize("text", ["x%%%", "y&&&", "$$$", "a %%% &&& b", "%%%%%%%%%%", "%%% %%% x%%%"])
+def test_nbest_of_equal_scores(text):
+    """Segmentations as good as the best one are alternatives too, and none is named twice."""
+    lex = op7_pieces.lexicon(op7_pieces.MODEL)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    row = op7_pieces._encode_block(lex, batch, 4).to_pylist()[0]
+    want = plain.segmentations(lex, text, 4)
+    assert [x["score"] for x in row["nbest"]] == pytest.approx([s for s, _ in want])
+    seen = []
+    for x in row["nbest"]:
+        ids = list(row["ids"])
+        for c in reversed(x["changes"]):
+            ids[c["at"]: c["at"] + c["old"]] = c["ids"]
+        assert "".join(lex.text[i] for i in ids) == "▁" + text.replace(" ", "▁")
+        assert sum(lex.score[i] for i in ids) == pytest.approx(x["score"])
+        seen.append(tuple(ids))
+    assert len(set(seen)) == len(want)
+
+
 def test_encoding_round_trip(docs, empty):
     encoded = op7_pieces.encode(docs)
     got = by(tuples(op7_pieces.decode(encoded)))
