@@ -13,6 +13,13 @@ NAME: a capitalised word that is no stop word. Windows need MIN_LITERAL tokens
 that are no placeholders. Items shorter than WIDTH are one window of their own
 length, with at least half of it literal.
 
+Windows with fewer literals (items dense in numbers or names) and copies that
+change a word's case have no common template. They count where they are
+verbatim: windows also meet on the hash of their plain lower-cased words, with
+no least number of literals, and such a match counts wherever the two windows
+are not a template match. A window all in capitals meets only such windows.
+``covered`` counts them only where template windows alone stay below SHARE.
+
 Only document windows whose hash hits a bitmap of the benchmark's hashes leave
 the scan; the bitmap has 1 MiB whatever the benchmark's size, so
 it is safe to send to every task, and the join after it is exact.
@@ -45,7 +52,9 @@ EDGE = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$")
 NUMBER = re.compile(r"[+\-$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?$")
 STOP = frozenset(STOP_WORDS)
 LITERAL, NUM, UNIT, NAME = range(4)
-WINDOWS = "id long, pos int, width int, size int, hash long, slots array<string>"
+SHOUT = np.uint64(0xD6E8FEB86659FD93)  # tells windows all in capitals from others
+PLAIN = np.uint64(0xA0761D6478BD642F)  # tells verbatim windows from templates
+WINDOWS = "id long, pos int, width int, size int, plain boolean, hash long, slots array<string>"
 
 
 def token(word: str) -> tuple[int, str]:
@@ -62,13 +71,18 @@ def token(word: str) -> tuple[int, str]:
 
 
 def _tokens(block: pa.RecordBatch):
-    """Row, kind and canonical hash of every word, and the words' cores."""
+    """Row, kind, canonical and plain hash and case of every word, and the words' cores.
+
+    Case: 0 without letters that have one, 1 all in capitals, 2 other.
+    """
     buf, offsets = X.text_buffer(block.column(1))
     starts, ends, row = X.word_spans(buf, offsets)
     unique, order, first, place = X.distinct(X.word_hashes(buf, starts, ends))
     raw, pick = buf.tobytes(), order[first]
-    seen = [token(raw[s:e].decode()) for s, e in zip(starts[pick].tolist(), ends[pick].tolist())]
+    words = [raw[s:e].decode() for s, e in zip(starts[pick].tolist(), ends[pick].tolist())]
+    seen = [token(w) for w in words]
     kinds, cores = np.array([k for k, _ in seen], np.int8), [c for _, c in seen]
+    case = np.array([1 if w.isupper() else 2 if w.lower() != w.upper() else 0 for w in words], np.int8)
     joined = [c.encode() for c in cores]
     stop = np.cumsum([len(c) for c in joined]) if joined else np.zeros(0, np.int64)
     begin = np.concatenate(([0], stop[:-1])) if joined else stop
@@ -79,8 +93,9 @@ def _tokens(block: pa.RecordBatch):
         after[1:] = (kind[:-1] == NUM) & (row[1:] == row[:-1])
     kind = np.where((kind == UNIT) & ~after, LITERAL, kind)
     marks = X.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(X.BASE))
-    code = np.where(kind == LITERAL, literal[place] if len(place) else 0, marks[kind]).astype(np.uint64)
-    return row, kind, code, place, cores
+    low = literal[place] if len(place) else np.zeros(0, np.uint64)
+    code = np.where(kind == LITERAL, low, marks[kind]).astype(np.uint64)
+    return row, kind, code, low, case[place] if len(place) else np.zeros(0, np.int8), place, cores
 
 
 def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None) -> DataFrame:
@@ -93,15 +108,20 @@ def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None)
     def make(batches):
         for batch in batches:
             for block in X.slices(batch, "text"):
-                row, kind, code, place, cores = _tokens(block)
+                row, kind, code, low, case, place, cores = _tokens(block)
                 size = np.bincount(row, minlength=block.num_rows) if len(row) else np.zeros(block.num_rows, np.int64)
                 first = np.cumsum(size) - size
-                literals = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+                literals, capitals, mixed = (np.concatenate(([0], np.cumsum(x))) for x in (kind == LITERAL, case == 1, case == 2))
                 ids = np.asarray(block.column(0))
-                for width in widths:
-                    hashes, at = X.windows(code, row, width)
-                    need = MIN_LITERAL if width == WIDTH else (width + 1) // 2
-                    ok = literals[at + width] - literals[at] >= need
+                for width, plain in ((w, p) for w in widths for p in (False, True)):
+                    hashes, at = X.windows(low if plain else code, row, width)
+                    if plain:
+                        shout = (capitals[at + width] > capitals[at]) & (mixed[at + width] == mixed[at])
+                        hashes = X.mix(hashes ^ np.where(shout, SHOUT, PLAIN))
+                        ok = np.ones(len(at), bool)
+                    else:
+                        need = MIN_LITERAL if width == WIDTH else (width + 1) // 2
+                        ok = literals[at + width] - literals[at] >= need
                     if bitmap is None:
                         if width < WIDTH:
                             ok &= size[row[at]] == width
@@ -114,8 +134,8 @@ def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(ids[row[at]].astype(np.int64)), pa.array((at - first[row[at]]).astype(np.int32)),
                         pa.array(np.full(len(at), width, np.int32)), pa.array(size[row[at]].astype(np.int32)),
-                        pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
-                        names=["id", "pos", "width", "size", "hash", "slots"])
+                        pa.array(np.full(len(at), plain)), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
+                        names=["id", "pos", "width", "size", "plain", "hash", "slots"])
 
     return texts.mapInArrow(make, WINDOWS)
 
@@ -140,21 +160,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     bench = template_windows(items, list(range(1, WIDTH + 1)), None)
     widths = sorted(r.width for r in bench.select("width").distinct().collect())  # WIDTH values at most
-    found = template_windows(texts, widths, E.bitmap(bench, "hash")).select(F.col("id").alias("doc_id"), "pos", "width", "hash", F.col("slots").alias("dslots"))
-    right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "width", "size", "hash", F.col("slots").alias("islots"))
-    joined = found.join(right, ["hash", "width"]).select("doc_id", "item_id", "pos", "ipos", "width", "size", "islots", "dslots")
+    found = template_windows(texts, widths, E.bitmap(bench, "hash")).select(F.col("id").alias("doc_id"), "pos", "width", "plain", "hash", F.col("slots").alias("dslots"))
+    right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "width", "size", "plain", "hash", F.col("slots").alias("islots"))
+    joined = found.join(right, ["hash", "width", "plain"]).select("doc_id", "item_id", "pos", "ipos", "width", "size", "plain", "islots", "dslots")
     near = joined.repartition("doc_id").sortWithinPartitions("doc_id", "item_id")
 
     def judge(rows):
         lines: dict[int, list] = {}
         for r in rows:
-            lines.setdefault(r["pos"] - r["ipos"], []).append(r)
+            if not r["plain"]:
+                lines.setdefault(r["pos"] - r["ipos"], []).append(r)
         covered, slots = set(), {}
         for line in lines.values():
             if _consistent([(r["islots"], r["dslots"]) for r in line]):
                 for r in line:
                     covered.update(range(r["ipos"], r["ipos"] + r["width"]))
                     slots.update(zip(r["islots"], r["dslots"]))
+        if len(covered) < share * rows[0]["size"]:
+            templates = {(r["pos"], r["ipos"]) for r in rows if not r["plain"]}
+            for r in rows:
+                if r["plain"] and (r["pos"], r["ipos"]) not in templates:
+                    covered.update(range(r["ipos"], r["ipos"] + r["width"]))
+                    for a in r["islots"]:
+                        slots.setdefault(a, a)
         if len(covered) >= share * rows[0]["size"]:
             return {"doc_id": rows[0]["doc_id"], "item_id": rows[0]["item_id"], "item_words": rows[0]["size"], "covered": len(covered),
                     "n_slots": len(slots), "n_changed": sum(a != b for a, b in slots.items())}

@@ -159,6 +159,19 @@ def test_templates(spark):
     assert tuples(op4_templates.leaks(df.limit(0), bench)) == [] and tuples(op4_templates.leaks(df, bench.limit(0))) == []
 
 
+def test_templates_of_dense_items(spark):
+    """Items without enough plain words, and copies in another case, are found where they are verbatim."""
+    items = [(1, "12 + 7 = 19 and 3 * 4 = 12 and 40 / 8 = 5 7 9 11 13"), (2, "Anna Berg Carl Dahl Emma Falk Gustav Holm Ida Jung"), (3, "Solve All Of These Hard Problems Before Sunday Evening Comes"),
+             (4, "ANSWER THE NEXT QUESTION IN ONE WORD ONLY PLEASE"), (5, "Otto Pell"), (6, "the train from Oslo to Bergen passes Finse and Voss before Dale")]
+    copies = [(i, f"x y {t} z") for i, t in items]
+    lower = [(10 + i, f"x y {t.lower()} z") for i, t in items if i in (2, 3, 6)]
+    other = [(20, "12 + 8 = 20 and 3 * 5 = 15 and 40 / 4 = 10 6 8 10 14"), (21, "Nils Berg Olaf Dahl Pia Falk Rolf Holm Siri Jung")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in op4_templates.leaks(spark.createDataFrame(copies + lower + other, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(i, i) for i, _ in items} | {(12, 2), (13, 3), (16, 6)}
+    assert all(r.n_changed == 0 for r in got.values())
+
+
 def test_template_tokens():
     kinds = [op4_templates.token(w)[0] for w in ("3,500", "$4.20", "(17%)", "km", "Alice,", "The", "apple", "***", "A", "1st")]
     n, u, name, lit = op4_templates.NUM, op4_templates.UNIT, op4_templates.NAME, op4_templates.LITERAL
