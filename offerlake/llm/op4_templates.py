@@ -2,10 +2,12 @@
 
 Method: numbers, names and units become typed placeholders; windows of WIDTH
 template tokens of documents and benchmark items are hash-joined; along each
-alignment (document position minus item position) the placeholders' values
-must map one to one, so that a re-parameterised question (other numbers or
-names, consistently) is caught and a chance template match is not. A pair is
-reported when consistent windows cover at least SHARE of the item's words.
+alignment (document position minus item position) an item's placeholder value
+must stand for one value of the document, so that a re-parameterised question
+(other numbers or names, consistently) is caught and a chance template match is
+not. Each place of the item has one vote; windows with a place that differs
+from its value's majority are dropped, and a value without a majority drops the
+alignment. Two values of the item may become equal. A pair is reported when consistent windows cover at least SHARE of the item's words.
 
 Tokens: a word without the punctuation at its ends, in lower case. NUM: digits,
 with signs, separators and per cent; UNIT: a unit name directly after a NUM;
@@ -32,6 +34,7 @@ document are one document; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +57,7 @@ STOP = frozenset(STOP_WORDS)
 LITERAL, NUM, UNIT, NAME = range(4)
 SHOUT = np.uint64(0xD6E8FEB86659FD93)  # tells windows all in capitals from others
 PLAIN = np.uint64(0xA0761D6478BD642F)  # tells verbatim windows from templates
-WINDOWS = "id long, pos int, width int, size int, plain boolean, hash long, slots array<string>"
+WINDOWS = "id long, pos int, width int, size int, plain boolean, hash long, slots array<string>, at array<int>"
 
 
 def token(word: str) -> tuple[int, str]:
@@ -130,24 +133,34 @@ def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None)
                     hashes, at = hashes[ok], at[ok]
                     if not len(at):
                         continue
-                    slots = [[cores[place[i + j]] for j in range(width) if kind[i + j] != LITERAL] for i in at.tolist()]
+                    where = [[j for j in range(width) if kind[i + j] != LITERAL] for i in at.tolist()]
+                    slots = [[cores[place[i + j]] for j in js] for i, js in zip(at.tolist(), where)]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(ids[row[at]].astype(np.int64)), pa.array((at - first[row[at]]).astype(np.int32)),
                         pa.array(np.full(len(at), width, np.int32)), pa.array(size[row[at]].astype(np.int32)),
-                        pa.array(np.full(len(at), plain)), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
-                        names=["id", "pos", "width", "size", "plain", "hash", "slots"])
+                        pa.array(np.full(len(at), plain)), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.string())),
+                        pa.array(where, pa.list_(pa.int32()))],
+                        names=["id", "pos", "width", "size", "plain", "hash", "slots", "at"])
 
     return texts.mapInArrow(make, WINDOWS)
 
 
-def _consistent(pairs: list[tuple]) -> bool:
-    """Whether the (item slots, document slots) of one alignment map one to one."""
-    fore, back = {}, {}
-    for a, b in pairs:
-        for x, y in zip(a, b):
-            if fore.setdefault(x, y) != y or back.setdefault(y, x) != x:
-                return False
-    return True
+def _consistent(line: list[dict]) -> list[dict]:
+    """The windows of one alignment whose item values all stand for their majority value.
+
+    A value that has no value of the document at more than half of its places
+    leaves none.
+    """
+    places = {(a, r["ipos"] + i): b for r in line for i, a, b in zip(r["at"], r["islots"], r["dslots"])}
+    votes: dict[str, Counter] = {}
+    for (a, _), b in places.items():
+        votes.setdefault(a, Counter())[b] += 1
+    to = {}
+    for a, seen in votes.items():
+        to[a], n = seen.most_common(1)[0]
+        if 2 * n <= seen.total():
+            return []
+    return [r for r in line if all(to[a] == b for a, b in zip(r["islots"], r["dslots"]))]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -161,8 +174,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     bench = template_windows(items, list(range(1, WIDTH + 1)), None)
     widths = sorted(r.width for r in bench.select("width").distinct().collect())  # WIDTH values at most
     found = template_windows(texts, widths, E.bitmap(bench, "hash")).select(F.col("id").alias("doc_id"), "pos", "width", "plain", "hash", F.col("slots").alias("dslots"))
-    right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "width", "size", "plain", "hash", F.col("slots").alias("islots"))
-    joined = found.join(right, ["hash", "width", "plain"]).select("doc_id", "item_id", "pos", "ipos", "width", "size", "plain", "islots", "dslots")
+    right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "width", "size", "plain", "hash", F.col("slots").alias("islots"), "at")
+    joined = found.join(right, ["hash", "width", "plain"]).select("doc_id", "item_id", "pos", "ipos", "width", "size", "plain", "islots", "dslots", "at")
     near = joined.repartition("doc_id").sortWithinPartitions("doc_id", "item_id")
 
     def judge(rows):
@@ -172,10 +185,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
                 lines.setdefault(r["pos"] - r["ipos"], []).append(r)
         covered, slots = set(), {}
         for line in lines.values():
-            if _consistent([(r["islots"], r["dslots"]) for r in line]):
-                for r in line:
-                    covered.update(range(r["ipos"], r["ipos"] + r["width"]))
-                    slots.update(zip(r["islots"], r["dslots"]))
+            for r in _consistent(line):
+                covered.update(range(r["ipos"], r["ipos"] + r["width"]))
+                slots.update(zip(r["islots"], r["dslots"]))
         if len(covered) < share * rows[0]["size"]:
             templates = {(r["pos"], r["ipos"]) for r in rows if not r["plain"]}
             for r in rows:

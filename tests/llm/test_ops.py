@@ -172,6 +172,19 @@ def test_templates_of_dense_items(spark):
     assert all(r.n_changed == 0 for r in got.values())
 
 
+def test_templates_with_one_altered_value(spark):
+    """One altered mention drops its windows only, and two numbers may become equal."""
+    one, two, three = (" ".join(f"{k}{chr(97 + i)} then" for i in range(12)) for k in "xyz")
+    item = f"the clerk Alice came {one} so Alice went {two} until Alice slept and {three} with 5 coins or 7 stones at hand"
+    rows = [(1, item.replace("until Alice", "until Carol")), (2, item.replace("5 coins", "9 coins").replace("7 stones", "9 stones")), (3, item.replace("Alice", "Carol")),
+            (4, item.replace("clerk Alice", "clerk Bob").replace("so Alice", "so Carol"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in op4_templates.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3} and all(r.item_words > 80 for r in got.values())
+    assert [got[i].n_changed for i in (1, 2, 3)] == [0, 2, 1]
+    assert got[1].covered < got[3].covered == got[2].covered
+
+
 def test_template_tokens():
     kinds = [op4_templates.token(w)[0] for w in ("3,500", "$4.20", "(17%)", "km", "Alice,", "The", "apple", "***", "A", "1st")]
     n, u, name, lit = op4_templates.NUM, op4_templates.UNIT, op4_templates.NAME, op4_templates.LITERAL
