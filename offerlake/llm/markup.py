@@ -6,6 +6,7 @@ import html
 import re
 
 ARTICLE, OPEN, REMOVED = 0, 1, 2
+NAMED, AGAIN = 3, 4  # while reading: under a mere name, and in an article below one
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -24,20 +25,30 @@ NAMES = frozenset((
     "cookie cookies consent disqus discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
     "popup promo promoted promotion recommended related respond reply replies search share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget").split())
+# Those that mark it inside an article too.
+SURE = frozenset("ad ads advert adverts advertisement advertising comment comments disqus newsletter share sharing sponsored".split())
+STATES = frozenset("has is no not with without".split())  # "with-sidebar" says what stands beside it
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+)", re.I)
 PART = re.compile(r"[a-z]+")
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether the names say boilerplate, and whether they say main text."""
-    bad = main = False
+def _marked(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the names may say boilerplate, whether they surely do, and whether they say main text.
+
+    A class or id counts by its first and its last part, surely by its first only.
+    """
+    bad = sure = main = False
     for kind, value in ATTRIBUTE.findall(attributes):
         value = value.strip("\"'").lower()
-        if kind.lower() == "role" and value == "main":
-            main = True
-        elif not NAMES.isdisjoint(PART.findall(value)):
-            bad = True
-    return bad, main
+        if kind.lower() == "role":
+            main |= value == "main"
+            sure |= not NAMES.isdisjoint(PART.findall(value))
+            continue
+        for parts in map(PART.findall, value.split()):
+            if parts and parts[0] not in STATES:
+                bad |= parts[0] in NAMES or parts[-1] in NAMES
+                sure |= parts[0] in SURE
+    return bad or sure, sure, main
 
 
 def lines(page: str) -> list[tuple[int, str]]:
@@ -45,7 +56,9 @@ def lines(page: str) -> list[tuple[int, str]]:
 
     ARTICLE: inside <article>, <main> or role=main; REMOVED: in an element or
     under a name that marks boilerplate; OPEN: anything else. A <header> inside
-    the article is part of it. Elements left open end with their parent.
+    the article is part of it, and only a SURE name removes there. An article
+    below a mere name is one if the page has no other. Elements left open end
+    with their parent.
     """
     out: list[tuple[int, str]] = []
     parts: list[str] = []
@@ -89,16 +102,18 @@ def lines(page: str) -> list[tuple[int, str]]:
             continue
         if tag == "p" and stack and stack[-1][0] == "p":  # a paragraph ends the one before
             zone = stack.pop()[1]
-        bad, main = _marked(m.group(4))
+        bad, sure, main = _marked(m.group(4))
         before = zone
+        inside = zone in (ARTICLE, AGAIN)
         if zone != REMOVED:
             if tag in ("article", "main") or main:
-                zone = ARTICLE if not (bad and tag == "div") else REMOVED
-            elif (tag in OUTSIDE and not (tag == "header" and zone == ARTICLE)) or (bad and tag not in ("html", "body")):
+                zone = REMOVED if sure and tag == "div" else AGAIN if zone in (NAMED, AGAIN) else ARTICLE
+            elif (tag in OUTSIDE and not (tag == "header" and inside)) or ((sure if inside else bad) and tag not in ("html", "body")):
                 if tag not in BLOCKS:
                     close()
-                zone = REMOVED
+                zone = REMOVED if sure or tag in OUTSIDE else NAMED
         stack.append((tag, before))
     parts.append(page[at:])
     close()
-    return out
+    again = REMOVED if any(z == ARTICLE for z, _ in out) else ARTICLE
+    return [({NAMED: REMOVED, AGAIN: again}.get(z, z), t) for z, t in out]

@@ -6,9 +6,10 @@ both pages have are shared template text and are deleted.
 
 Two pages can also share article text (copies, quotations), and a template may
 fill its menus and footers anew on every page, so markup has a say as well:
-lines inside <article> or <main> are never deleted, and lines in elements or
-under names that mark menus, headers, footers, sidebars, notices, adverts,
-forms and comments always are. On a page with an article nothing outside it
+lines inside <article> or <main> are never deleted but for elements such as
+forms and asides and for names of adverts, comments, newsletters and share
+buttons; outside, lines in elements or under names that mark menus, headers,
+footers, sidebars, notices, adverts, forms and comments always are. On a page with an article nothing outside it
 is main text; on one without, what the difference leaves is.
 
 Pages are range-partitioned by (host, path, page_id), so a host of any size

@@ -229,6 +229,23 @@ def test_markup():
     assert markup.lines("") == [] and markup.lines("a < b <") == [(markup.OPEN, "a < b <")]
 
 
+@pytest.mark.parametrize("page,kept", [
+    ("<div class='layout with-sidebar'><article><p>Text</p></article></div>", ["Text"]),
+    ("<div class='layout with-sidebar'><p>Text</p></div>", []),
+    ("<div id='page-header-fixed'><main><p>Text</p></main></div>", ["Text"]),
+    ("<div class='modal page-menu'><article><p>Text</p></article><p>no</p></div>", ["Text"]),
+    ("<article><header class='entry-header'><h1>Head</h1></header><p class='notice'>Note</p><div class='search-results'>Found</div>"
+     "<section class='related-work'><p>Work</p></section></article>", ["Head", "Note", "Found", "Work"]),
+    ("<article><p>Text</p><div class='ad-slot'>Buy</div><div class='comments'><article>Nice</article></div><div class='share'>Share</div></article>", ["Text"]),
+    ("<article><p>Text</p></article><div class='related'><article>Other</article></div>", ["Text"]),
+    ("<div class='comments'><article>Nice</article></div>", []),
+])
+def test_markup_of_named_elements(page, kept):
+    assert [t for z, t in markup.lines(f"<body>{page}</body>") if z == markup.ARTICLE] == kept
+    if "article" not in page and "main" not in page:
+        assert markup.lines(page) == [(markup.OPEN, "Text")]
+
+
 def pages(spark):
     def page(host, path, body):
         return f"https://{host}{path}", f"<body><div>Shared top</div>{body}<div>Shared end</div></body>"
