@@ -111,4 +111,85 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-SQL = {"op1_backoff_scores": BACKOFF, "op2_substring_dedup": SUBSTRING, "op3_chat_perspectives": CHAT, "op10_quality_rules": RULES}
+TRIE = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT DISTINCT conv_id, xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda state, b: list_reduce(range(8), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)), xor(state, b)),
+    CAST(4294967295 AS BIGINT))) % 4 AS h
+  FROM own),
+seq AS (
+  SELECT c.conv_id, 0 AS late, o.i, o.role, o.text FROM c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.i, o.role, o.text FROM c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY late, i) AS depth FROM seq),
+path AS (
+  SELECT conv_id, depth, text, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM placed
+  UNION ALL SELECT conv_id, 0, '', [] FROM c),
+node AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(text) AS text FROM path GROUP BY depth, key),
+member AS (SELECT p.conv_id AS member, p.depth, n.conv_id FROM path p JOIN node n ON p.depth = n.depth AND p.key = n.key),
+ends AS (
+  SELECT conv_id, depth, string_agg(CAST(member AS VARCHAR), ',' ORDER BY member) AS ids
+  FROM member m JOIN (SELECT conv_id AS member, max(depth) AS depth FROM path GROUP BY conv_id) USING (member, depth) GROUP BY conv_id, depth),
+parent AS (
+  SELECT n.conv_id, n.depth, n.n_convs, n.text, m.conv_id AS parent_conv_id
+  FROM node n LEFT JOIN member m ON m.member = n.conv_id AND m.depth = n.depth - 1),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM parent WHERE depth > 0 GROUP BY ALL),
+full_node AS (
+  SELECT p.*, coalesce(k.n_children, 0) AS n_children,
+    (p.n_convs - 1) * len(regexp_extract_all(p.text, '[^\\x20\\x09-\\x0D]+')) AS tokens
+  FROM parent p LEFT JOIN kids k ON k.conv_id = p.conv_id AND k.depth = p.depth),
+sub AS (
+  SELECT a.conv_id, a.depth, sum((f.n_children = 0)::INT) AS n_leaves, sum(f.tokens) AS saved_tokens
+  FROM full_node f JOIN member a ON a.member = f.conv_id AND a.depth <= f.depth GROUP BY a.conv_id, a.depth)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, f.parent_conv_id, f.n_convs, f.n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM full_node f JOIN sub s ON s.conv_id = f.conv_id AND s.depth = f.depth
+LEFT JOIN ends e ON e.conv_id = f.conv_id AND e.depth = f.depth
+"""
+
+
+def _nearest(k: int) -> str:
+    """Each part's (distance, entry) against the codebook of round k."""
+    return f"""
+a{k} AS (
+  SELECT x.vec_id, x.label, x.p, x.v, min({{'d': list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.e}}) AS m
+  FROM part x JOIN b{k} b ON x.p = b.p GROUP BY x.vec_id, x.label, x.p, x.v)"""
+
+
+def _moved(k: int) -> str:
+    """The codebook of round k + 1."""
+    return f"""
+s{k} AS (
+  SELECT p, m.e AS e, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT p, m, unnest(v) AS x, unnest(range(len(v))) AS j FROM a{k}) GROUP BY ALL),
+u{k} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM s{k} GROUP BY p, e),
+b{k + 1} AS (SELECT b.p, b.e, coalesce(u.v, b.v) AS v FROM b{k} b LEFT JOIN u{k} u ON u.p = b.p AND u.e = b.e)"""
+
+
+CODES = f"""
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (
+  SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS v FROM whole, range(16) t(p)),
+seed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM whole ORDER BY vec_id LIMIT 64),
+b0 AS (SELECT x.p, s.e, x.v FROM seed s JOIN part x ON x.vec_id = s.vec_id),
+{_nearest(0)},{_moved(0)},{_nearest(1)},{_moved(1)},{_nearest(2)},
+row_code AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM a2 GROUP BY vec_id, label),
+book AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(x AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM row_code, book
+"""
+
+SQL = {"op1_backoff_scores": BACKOFF, "op2_substring_dedup": SUBSTRING, "op3_chat_perspectives": CHAT, "op10_quality_rules": RULES,
+       "op11_prefix_trie": TRIE, "op12_vector_codes": CODES}

@@ -385,13 +385,13 @@ def test_quality(docs, empty):
 def test_against_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    want = con.sql(oracle.SQL[name]).df()
-    got = catalog.queries()[name](spark, SF).toPandas()
-    cols = sorted(got.columns)
-    assert cols == sorted(want.columns)
-    rows = lambda df: sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
+    want = con.sql(oracle.SQL[name]).to_arrow_table()
+    got = catalog.queries()[name](spark, SF).toArrow()
+    cols = sorted(got.column_names)
+    assert cols == sorted(want.column_names)
+    rows = lambda t: sorted(map(repr, zip(*(t[c].to_pylist() for c in cols))))
     assert rows(got) == rows(want)
 
 
