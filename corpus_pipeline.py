@@ -7,10 +7,12 @@
     5 sentencepiece          the texts' best and N best segmentations
 
 Each stage takes all that its predecessor kept, as Parquet, and but for the
-last returns the columns of `documents`. Rows with null doc_id pass every
-stage that decides by id; other rows of one doc_id are one document, of which
-stage 2 keeps one row. A text that loses all its bytes in stage 3 stays as an
-empty one.
+last returns the columns of `documents`. Stages 2 and 4 number the rows and
+decide by text, whatever the ids: rows with a null doc_id and rows of one
+doc_id are documents of their own. Of a near-duplicate group the row with the
+smallest doc_id stays (nulls last; of equal ids the first row). A text that
+loses all its bytes in stage 3 stays as an empty one. Empty tables give empty
+results; other columns than those of `documents` are dropped.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerlake.llm import op4_templates, op7_pieces, op8_minhash, op9_suffix, op10_rules
+from offerlake.llm.stored import numbered
 from offerlake.session import checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,10 +34,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    kept = op8_minhash.near_duplicates(docs, SIMILARITY).where("kept").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    rows = numbered(docs.select(*COLUMNS), "row")
+    near = op8_minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), SIMILARITY)
+    groups = near.select(F.col("doc_id").alias("row"), "component_id")
+    # one row of each group: the ids' order, not that of the row numbers
+    first = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")).select("m.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op4_templates.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = numbered(docs.select(*COLUMNS).withColumnRenamed("doc_id", "own_id"), "doc_id")
+    clean = op4_templates.clean(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean.select(F.col("own_id").alias("doc_id"), *COLUMNS[1:])
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

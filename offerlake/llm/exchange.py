@@ -123,7 +123,7 @@ def asking(docs: DataFrame, id_col: str, text: str, ask: Callable, p: int) -> Da
         for number, block in blocks(batches, text):
             yield from rows_of(number, mark_of(block, id_col, text), *ask(block), p)
 
-    return docs.mapInArrow(run, ASK)
+    return docs.mapInArrow(X.lean(run), ASK)
 
 
 def answering(asks: DataFrame, answer: Callable) -> DataFrame:
@@ -131,6 +131,7 @@ def answering(asks: DataFrame, answer: Callable) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         out = answer([X.unpack_sorted(x) for x in table["keys"].to_pylist()], table["extra"].to_pylist())
+        X.give_back()
         return pa.table({"block": table["block"], "bucket": table["bucket"], "mark": table["mark"], "answer": pa.array(out, pa.binary())})
 
     return asks.groupBy("bucket").applyInArrow(run, ANSWER)
@@ -158,11 +159,12 @@ def meeting(docs: DataFrame, id_col: str, text: str, answers: DataFrame, use: Ca
                 raise RuntimeError("the input's partitions changed between two reads")
             got = sorted(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))
             out.extend(use(block, [a for _, a in got], left["block"][0].as_py(), mark))
+        X.give_back()
         return pa.Table.from_batches(out) if out else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept = docs.mapInArrow(held, "block long, held binary")
+    kept = docs.mapInArrow(X.lean(held), "block long, held binary")
     empty = pa.Table.from_batches([], schema=to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema))
     return kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

@@ -10,17 +10,16 @@ from its value's majority are dropped, and a value without a majority drops the
 alignment. Two values of the item may become equal. A pair is reported when consistent windows cover at least SHARE of the item's words.
 
 Tokens: a word without the punctuation at its ends, in lower case. NUM: digits,
-with signs, separators and per cent; UNIT: a unit name directly after a NUM;
-NAME: a capitalised word that is no stop word. Windows need MIN_LITERAL tokens
+with signs, separators and per cent, or an English number word; UNIT: a unit
+name directly after a NUM; NAME: a capitalised word that is no stop word. Windows need MIN_LITERAL tokens
 that are no placeholders. Items shorter than WIDTH are one window of their own
 length, with at least half of it literal.
 
-Windows with fewer literals (items dense in numbers or names) and copies that
-change a word's case have no common template. They count where they are
-verbatim: windows also meet on the hash of their plain lower-cased words, with
-no least number of literals, and such a match counts wherever the two windows
-are not a template match. A window all in capitals meets only such windows.
-``covered`` counts them only where template windows alone stay below SHARE.
+Windows with fewer literals (items dense in numbers or names), copies that
+change words' case and alignments without a consistent value have no common
+template. They count where they are verbatim: windows also meet on the hash of
+their plain lower-cased words, with no least number of literals, and cover the
+item's words whatever the templates say.
 
 Only document windows whose hash hits a bitmap of the benchmark's hashes leave
 the scan; the bitmap has 1 MiB whatever the benchmark's size, so
@@ -51,11 +50,14 @@ UNITS = frozenset((
     "ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros usd eur gbp percent % $ € £ km/h mph hz khz mhz ghz w kw mw kwh v volt volts a amp amps j kj cal kcal "
     "° °c °f degree degrees kb mb gb tb bit bits byte bytes").split())
+NUMBER_WORDS = frozenset((
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice").split())
 EDGE = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$")
 NUMBER = re.compile(r"[+\-$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?$")
 STOP = frozenset(STOP_WORDS)
 LITERAL, NUM, UNIT, NAME = range(4)
-SHOUT = np.uint64(0xD6E8FEB86659FD93)  # tells windows all in capitals from others
+SLICE_BYTES = 1 << 21  # text bytes held as tokens at a time
 PLAIN = np.uint64(0xA0761D6478BD642F)  # tells verbatim windows from templates
 WINDOWS = "id long, pos int, width int, size int, plain boolean, hash long, slots array<string>, at array<int>"
 
@@ -64,7 +66,7 @@ def token(word: str) -> tuple[int, str]:
     """(kind, core) of one word; a UNIT still needs a NUM before it."""
     core = EDGE.sub("", word) or word
     low = core.lower()
-    if NUMBER.match(core):
+    if NUMBER.match(core) or low in NUMBER_WORDS:
         return NUM, low
     if low in UNITS:
         return UNIT, low
@@ -74,10 +76,7 @@ def token(word: str) -> tuple[int, str]:
 
 
 def _tokens(block: pa.RecordBatch):
-    """Row, kind, canonical and plain hash and case of every word, and the words' cores.
-
-    Case: 0 without letters that have one, 1 all in capitals, 2 other.
-    """
+    """Row, kind, canonical and plain hash of every word, and the words' cores."""
     buf, offsets = X.text_buffer(block.column(1))
     starts, ends, row = X.word_spans(buf, offsets)
     unique, order, first, place = X.distinct(X.word_hashes(buf, starts, ends))
@@ -85,7 +84,6 @@ def _tokens(block: pa.RecordBatch):
     words = [raw[s:e].decode() for s, e in zip(starts[pick].tolist(), ends[pick].tolist())]
     seen = [token(w) for w in words]
     kinds, cores = np.array([k for k, _ in seen], np.int8), [c for _, c in seen]
-    case = np.array([1 if w.isupper() else 2 if w.lower() != w.upper() else 0 for w in words], np.int8)
     joined = [c.encode() for c in cores]
     stop = np.cumsum([len(c) for c in joined]) if joined else np.zeros(0, np.int64)
     begin = np.concatenate(([0], stop[:-1])) if joined else stop
@@ -98,7 +96,7 @@ def _tokens(block: pa.RecordBatch):
     marks = X.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(X.BASE))
     low = literal[place] if len(place) else np.zeros(0, np.uint64)
     code = np.where(kind == LITERAL, low, marks[kind]).astype(np.uint64)
-    return row, kind, code, low, case[place] if len(place) else np.zeros(0, np.int8), place, cores
+    return row, kind, code, low, place, cores
 
 
 def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None) -> DataFrame:
@@ -110,17 +108,16 @@ def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None)
 
     def make(batches):
         for batch in batches:
-            for block in X.slices(batch, "text"):
-                row, kind, code, low, case, place, cores = _tokens(block)
+            for block in X.slices(batch, "text", SLICE_BYTES):
+                row, kind, code, low, place, cores = _tokens(block)
                 size = np.bincount(row, minlength=block.num_rows) if len(row) else np.zeros(block.num_rows, np.int64)
                 first = np.cumsum(size) - size
-                literals, capitals, mixed = (np.concatenate(([0], np.cumsum(x))) for x in (kind == LITERAL, case == 1, case == 2))
+                literals = np.concatenate(([0], np.cumsum(kind == LITERAL)))
                 ids = np.asarray(block.column(0))
                 for width, plain in ((w, p) for w in widths for p in (False, True)):
                     hashes, at = X.windows(low if plain else code, row, width)
                     if plain:
-                        shout = (capitals[at + width] > capitals[at]) & (mixed[at + width] == mixed[at])
-                        hashes = X.mix(hashes ^ np.where(shout, SHOUT, PLAIN))
+                        hashes = X.mix(hashes ^ PLAIN)
                         ok = np.ones(len(at), bool)
                     else:
                         need = MIN_LITERAL if width == WIDTH else (width + 1) // 2
@@ -142,7 +139,7 @@ def template_windows(texts: DataFrame, widths: list[int], bitmap: bytes | None)
                         pa.array(where, pa.list_(pa.int32()))],
                         names=["id", "pos", "width", "size", "plain", "hash", "slots", "at"])
 
-    return texts.mapInArrow(make, WINDOWS)
+    return texts.mapInArrow(X.lean(make), WINDOWS)
 
 
 def _consistent(line: list[dict]) -> list[dict]:
@@ -188,13 +185,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
             for r in _consistent(line):
                 covered.update(range(r["ipos"], r["ipos"] + r["width"]))
                 slots.update(zip(r["islots"], r["dslots"]))
-        if len(covered) < share * rows[0]["size"]:
-            templates = {(r["pos"], r["ipos"]) for r in rows if not r["plain"]}
-            for r in rows:
-                if r["plain"] and (r["pos"], r["ipos"]) not in templates:
-                    covered.update(range(r["ipos"], r["ipos"] + r["width"]))
-                    for a in r["islots"]:
-                        slots.setdefault(a, a)
+        for r in rows:
+            if r["plain"]:
+                covered.update(range(r["ipos"], r["ipos"] + r["width"]))
+                for a in r["islots"]:
+                    slots.setdefault(a, a)
         if len(covered) >= share * rows[0]["size"]:
             return {"doc_id": rows[0]["doc_id"], "item_id": rows[0]["item_id"], "item_words": rows[0]["size"], "covered": len(covered),
                     "n_slots": len(slots), "n_changed": sum(a != b for a, b in slots.items())}
@@ -216,7 +211,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         if held:
             yield pa.RecordBatch.from_pylist([x for x in [judge(held)] if x], schema=kind)
 
-    return near.mapInArrow(decide, ", ".join(f"{n} long" for n in names))
+    return near.mapInArrow(X.lean(decide), ", ".join(f"{n} long" for n in names))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -309,7 +309,7 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> DataFra
             for block in X.slices(batch, "text", BLOCK_BYTES):
                 yield _encode_block(lex, block, n_best)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(X.lean(make), SCHEMA)
 
 
 def _encode_block(lex: Lexicon, block: pa.RecordBatch, n_best: int) -> pa.RecordBatch:

@@ -16,13 +16,15 @@ of about BLOCK; blocks that share a bucket are compared, signature matrix
 against signature matrix and then set against set, and give at most the links
 that join two components, fewer than they have members.
 
-Texts are fetched for verification only where a bitmap of fixed size says that
-the document shares a key with another.
+A class is known by one of its rows, so rows of one doc_id may hold different
+texts. Sets are made for verification only where a bitmap of fixed size says
+that the document shares a key with another; they are written once.
 
 Defined results: text without words has an empty set, is linked with nothing
 and kept; texts of under WIDTH words are one shingle; a null doc_id is linked
 with nothing, has a null component and is kept; repeated rows give one result
-row each; the shingles are compared by 64-bit hash. Other columns are ignored.
+row each; rows of one doc_id are one document, whose texts are linked with each
+other; the shingles are compared by 64-bit hash. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from offerlake.llm import exchange as E, textops as X
 from offerlake.llm.graph import components
+from offerlake.llm.stored import stored
 from offerlake.session import checkpoint_dir
 
 WIDTH = 5
@@ -44,7 +48,9 @@ BATCH = 16
 MISS = 1e-6
 SMALL, BLOCK = 32, 256
 CHUNK = 1 << 15
-PROFILE = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
+SLICE_BYTES = 1 << 21  # text bytes shingled at a time
+SET_KEY = ["n_shingles", "d1", "d2"]
+PROFILE = "row long, doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -92,23 +98,32 @@ def signatures(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def digests(keys: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of consecutive sets; 0 for empty ones."""
+    full = np.flatnonzero(size)
+    d1, d2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    if len(full):
+        begin = np.cumsum(size[full]) - size[full]
+        d1[full] = np.add.reduceat(X.mix(keys + np.uint64(1)), begin)
+        d2[full] = np.bitwise_xor.reduceat(X.mix(keys ^ np.uint64(X.BASE)), begin)
+    return d1, d2
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """Per document: set size, set digest, 16-bit signature, band keys."""
+    """Per row: a number, id, set size, set digests, 16-bit signature, band keys."""
 
     def make(batches):
         salt = X.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for block in X.slices(batch, "text"):
+            for block in X.slices(batch, "text", SLICE_BYTES):
                 buf, offsets = X.text_buffer(block.column(1))
                 keys, rows = shingles(buf, offsets)
                 size = np.bincount(rows, minlength=block.num_rows).astype(np.int64)
                 full = np.flatnonzero(size)
-                d1, d2 = np.zeros(block.num_rows, np.uint64), np.zeros(block.num_rows, np.uint64)
+                d1, d2 = digests(keys, size)
                 sig, bands = [None] * block.num_rows, [None] * block.num_rows
                 if len(full):
-                    begin = np.cumsum(size[full]) - size[full]
-                    d1[full] = np.add.reduceat(X.mix(keys + np.uint64(1)), begin)
-                    d2[full] = np.bitwise_xor.reduceat(X.mix(keys ^ np.uint64(X.BASE)), begin)
                     s = signatures(keys, size[full])
                     short = s.astype(np.uint16)
                     pairs = s.reshape(len(full), BANDS, ROWS).astype(np.uint64)
@@ -119,11 +134,12 @@ def profiles(docs: DataFrame) -> DataFrame:
                     for k, r in enumerate(full.tolist()):
                         sig[r], bands[r] = short[k].tobytes(), key[k]
                 yield pa.RecordBatch.from_arrays([
-                    block.column(0), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                    pa.array(np.arange(at, at + block.num_rows)), block.column(0), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                     pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sig", "bands"])
+                    names=["row", "doc_id", "n_shingles", "d1", "d2", "sig", "bands"])
+                at += block.num_rows
 
-    return docs.mapInArrow(make, PROFILE)
+    return docs.mapInArrow(X.lean(make), PROFILE)
 
 
 def least_matches(percent: int, miss: float = MISS) -> list[tuple[int, int]]:
@@ -171,29 +187,29 @@ def survivors(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     left = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(X.lean(prune), "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the threshold."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full shingle sets reach the threshold."""
 
     def exact(batches):
         for batch in batches:
-            for part in X.slices(batch, "ta"):
-                sets = []
+            for part in X.slices(batch, "sa", SLICE_BYTES):
+                n, flat = part.num_rows, []
                 for i in (2, 3):
-                    keys, rows = shingles(*X.text_buffer(part.column(i)))
-                    sets.append((X.mix(keys ^ X.mix(rows.astype(np.uint64) + np.uint64(1))), rows))
-                (ka, ra), (kb, rb) = sets
-                n = part.num_rows
+                    buf, offsets = X.text_buffer(part.column(i))
+                    rows = np.repeat(np.arange(n), np.diff(offsets) // 8)
+                    flat.append((X.mix(np.frombuffer(buf.tobytes(), np.uint64) ^ X.mix(rows.astype(np.uint64) + np.uint64(1))), rows))
+                (ka, ra), (kb, rb) = flat
                 shared = np.bincount(ra[np.isin(ka, kb)], minlength=n)
                 union = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - shared
                 out = part.take(pa.array(np.flatnonzero((100 * shared >= percent * union) & (shared > 0))))
                 yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
 
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
+    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(X.lean(exact), "a long, b long")
 
 
 def _listed(few: DataFrame) -> DataFrame:
@@ -203,18 +219,24 @@ def _listed(few: DataFrame) -> DataFrame:
     return left.join(right, "key").where("a > b and ca != cb").select("a", "b").distinct()
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(rep, set): each document's sorted shingle hashes as bytes."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, set): the sorted shingle hashes, as bytes, of the classes in ``wanted`` (rep, doc_id, set_key)."""
+    bits = E.bitmap(wanted.select(F.xxhash64("doc_id").alias("h")), "h")
 
     def make(batches):
         for batch in batches:
-            for block in X.slices(batch, "text"):
-                keys, rows = shingles(*X.text_buffer(block.column(1)))
-                cut = np.searchsorted(rows, np.arange(block.num_rows + 1)).tolist()
+            some = batch.filter(pa.array(E.hits(bits, np.asarray(batch.column(0)).view(np.uint64)))).select([1])
+            for block in X.slices(some, "text", SLICE_BYTES):
+                keys, rows = shingles(*X.text_buffer(block.column(0)))
+                size = np.bincount(rows, minlength=block.num_rows).astype(np.int64)
+                d1, d2 = digests(keys, size)
+                cut = np.concatenate(([0], np.cumsum(size))).tolist()
                 sets = [np.sort(keys[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sets, pa.binary())], names=[*SET_KEY, "set"])
 
-    return texts.select("doc_id", "text").mapInArrow(make, "rep long, set binary")
+    numbered = docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "text")
+    made = numbered.mapInArrow(X.lean(make), "n_shingles long, d1 long, d2 long, set binary")
+    return stored(wanted.select("rep", *SET_KEY).join(made, SET_KEY).select("rep", "set").dropDuplicates(["rep"]), "shingle-sets")
 
 
 def _links_of_blocks(one, two, same: bool, percent: int, bounds) -> list[tuple[int, int]]:
@@ -239,14 +261,13 @@ def _links_of_blocks(one, two, same: bool, percent: int, bounds) -> list[tuple[i
     return found
 
 
-def _blocked(many: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _blocked(many: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components in large buckets; many: key, size, rep, comp."""
     bounds = least_matches(percent)
     home = many.groupBy("rep").agg(F.max(F.struct("size", "key")).alias("h"), F.min("comp").alias("comp"))
     home = home.select("rep", "comp", F.xxhash64("h.key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("h.size") / BLOCK))).alias("blk"))
     at = many.select("key", "rep").join(home.select("rep", "blk"), "rep").select("key", "blk").distinct()
     pairs = at.join(at.select("key", F.col("blk").alias("blk2")), "key").where("blk <= blk2").select("blk", "blk2").distinct()
-    sets = shingle_sets(texts).dropDuplicates(["rep"])
     rows = home.join(signed.select("rep", "sig"), "rep").join(sets, "rep")
     blocks = rows.groupBy("blk").agg(F.collect_list(F.struct("rep", "comp", "sig", "set")).alias("rows"))
     twin = blocks.select(F.col("blk").alias("blk2"), F.col("rows").alias("rows2"))
@@ -264,19 +285,15 @@ def _blocked(many: DataFrame, signed: DataFrame, texts: DataFrame, percent: int)
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     joined = pairs.join(blocks, "blk").join(twin, "blk2").select("rows", "rows2", (F.col("blk") == F.col("blk2")).alias("same"))
-    return joined.mapInArrow(compare, "a long, b long")
+    return joined.mapInArrow(X.lean(compare), "a long, b long")
 
 
-def _candidates(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The documents that share a key with another, and few more."""
-    bits = E.bitmap(members.select(F.xxhash64("rep").alias("h")), "h")
-
-    def pick(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(E.hits(bits, np.asarray(batch.column(0)).view(np.uint64)))).select([1, 2])
-
-    numbered = docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
-    return numbered.mapInArrow(pick, "doc_id long, text string")
+def _same_document(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that rows of one doc_id belong to, named by their smallest ids."""
+    per = some.groupBy("doc_id").agg(*[f(c).alias(f"{n}_{c}") for c in SET_KEY for n, f in (("lo", F.min), ("hi", F.max))])
+    several = per.where(" or ".join(f"lo_{c} != hi_{c}" for c in SET_KEY)).select("doc_id")
+    own = some.join(several, "doc_id").select("doc_id", *SET_KEY).distinct().join(reps.select("least", *SET_KEY), SET_KEY)
+    return own.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -286,19 +303,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = profiles(docs).checkpoint()
     some = made.where("n_shingles > 0 and doc_id is not null")
-    set_key = ["n_shingles", "d1", "d2"]
-    reps = some.groupBy(*set_key).agg(F.min("doc_id").alias("rep"))
-    # an id may occur in more than one row; a class keeps one signature
-    classes = (some.join(reps.select("rep", *set_key), set_key).where("doc_id = rep").dropDuplicates(["rep"])
-               .select("rep", F.col("n_shingles").alias("n"), "sig", "bands").checkpoint())
+    reps = some.groupBy(*SET_KEY).agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
+    classes = (some.drop("doc_id").join(reps, SET_KEY).where("row = rep")
+               .select("rep", "least", *SET_KEY, F.col("n_shingles").alias("n"), "sig", "bands").checkpoint())
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("center")).where("size > 1")
     members = banded.join(shared, "key").checkpoint()
-    texts = _candidates(docs, members)
+    wanted = members.select("rep").distinct().join(classes.select("rep", F.col("least").alias("doc_id"), *SET_KEY), "rep")
+    sets = shingle_sets(docs, wanted)
 
     signed = classes.select("rep", "n", "sig")
     first = members.where("rep != center").groupBy(F.col("rep").alias("a")).agg(F.min("center").alias("b"))
-    links = verified(survivors(first, signed, percent), texts, percent).checkpoint()
+    links = verified(survivors(first, signed, percent), sets, percent).checkpoint()
     # labels only spare comparisons here: the class a class was linked to, followed for a few steps
     step = links.select(F.col("a").alias("rep"), F.col("b").alias("comp"))
     for _ in range(2):
@@ -307,13 +323,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = members.join(step, "rep", "left").select("key", "size", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     left_over = placed.join(mixed, "key").checkpoint()
-    listed = verified(survivors(_listed(left_over.where(F.col("size") <= SMALL)), signed, percent), texts, percent)
-    blocked = _blocked(left_over.where(F.col("size") > SMALL), signed, texts, percent)
-    found = components(links.unionByName(listed).unionByName(blocked))
-
-    whole = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        *set_key, F.coalesce("component", "rep").alias("component"))
-    out = made.select("doc_id", *set_key).join(whole, set_key, "left")
+    listed = verified(survivors(_listed(left_over.where(F.col("size") <= SMALL)), signed, percent), sets, percent)
+    blocked = _blocked(left_over.where(F.col("size") > SMALL), signed, sets, percent)
+    # a class goes by its smallest id from here on: classes of one such id share that document
+    name = classes.select("rep", "least")
+    named = links.unionByName(listed).unionByName(blocked).join(name.select(F.col("rep").alias("a"), F.col("least").alias("x")), "a").join(
+        name.select(F.col("rep").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components(named.unionByName(_same_document(some, reps)))
+
+    whole = reps.join(found.select(F.col("node").alias("least"), "component"), "least", "left").select(
+        *SET_KEY, F.coalesce("component", "least").alias("component"))
+    out = made.select("doc_id", *SET_KEY).join(whole, SET_KEY, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

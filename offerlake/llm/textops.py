@@ -6,6 +6,7 @@ are 64-bit values of the word bytes alone, so they are equal in every task.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 
 import numpy as np
@@ -227,6 +228,25 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES):
         at = to
 
 
+def give_back() -> None:
+    """Return memory that this worker no longer needs to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
+def lean(run):
+    """``run`` over batches, after which the worker gives memory back."""
+
+    def trimmed(batches):
+        yield from run(batches)
+        give_back()
+
+    return trimmed
+
+
 def group_starts(sorted_values: np.ndarray) -> np.ndarray:
     """Index of the first item of every run of equal values."""
     if len(sorted_values) == 0:

@@ -152,13 +152,73 @@ def test_templates(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("hash", F.lit(1))
     df = spark.createDataFrame(LEAKS, "doc_id long, text string").withColumn("pos", F.lit(1))
     got = {(r.doc_id, r.item_id): r for r in op4_templates.leaks(df, bench).collect()}
-    assert set(got) == {(1, 1), (2, 1), (4, 2), (9, 5)}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (8, 5), (9, 5)}  # 3: most of it verbatim; 8: in capitals
     assert got[1, 1].n_changed == 0 and got[2, 1].n_changed == 3  # Alice, Bob and the number of apples
-    assert got[1, 1].covered == got[1, 1].item_words - 1  # the first window has too few plain words
-    assert sorted(str(r.doc_id) for r in op4_templates.clean(df, bench).collect()) == sorted(["3", "5", "6", "7", "8", "None"])
+    assert got[1, 1].covered == got[1, 1].item_words == got[8, 5].covered + 11
+    assert sorted(str(r.doc_id) for r in op4_templates.clean(df, bench).collect()) == sorted(["5", "6", "7", "None"])
     assert tuples(op4_templates.leaks(df.limit(0), bench)) == [] and tuples(op4_templates.leaks(df, bench.limit(0))) == []
 
 
+def test_templates_of_number_words(spark):
+    """Spelled-out numbers are slots like digits, and stand for each other."""
+    item = "if three trains leave the station with four wagons and each wagon carries nine crates how many crates leave in all"
+    rows = [(1, item.replace("three", "nine").replace("four", "eight").replace("nine crates", "two crates")), (2, item.replace("three", "3").replace("four", "4").replace("nine", "9")),
+            (3, item.replace("trains", "carts").replace("wagons", "boxes").replace("crates", "apples").replace("leave", "reach").replace("carries", "takes"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.n_changed for r in op4_templates.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: 3, 2: 3}
+
+
+def plain_leaks(docs, items, share=op4_templates.SHARE, width=op4_templates.WIDTH):
+    """Every window of a document against every window of an item, alignment by alignment."""
+    def tokens(text):
+        found = [op4_templates.token(w) for w in plain.words(text)]
+        return [(k if k != op4_templates.UNIT or (i and found[i - 1][0] == op4_templates.NUM) else op4_templates.LITERAL, c) for i, (k, c) in enumerate(found)]
+
+    out = {}
+    for item, text in items:
+        t = tokens(text)
+        w = min(width, len(t))
+        for doc, body in docs:
+            d, lines, covered = tokens(body), {}, set()
+            if not t:
+                continue
+            for i in range(len(t) - w + 1):
+                slots = [k for k in range(w) if t[i + k][0] != op4_templates.LITERAL]
+                enough = w - len(slots) >= (op4_templates.MIN_LITERAL if w == width else (w + 1) // 2)
+                for j in range(len(d) - w + 1):
+                    if [c for _, c in t[i:i + w]] == [c for _, c in d[j:j + w]]:
+                        covered.update(range(i, i + w))
+                    if enough and all(x[0] == y[0] and (x[0] != op4_templates.LITERAL or x[1] == y[1]) for x, y in zip(t[i:i + w], d[j:j + w])):
+                        lines.setdefault(j - i, []).append((i, j, slots))
+            for line in lines.values():
+                votes = {}
+                for at, value in {(i + k, t[i + k][1]): d[j + k][1] for i, j, slots in line for k in slots}.items():
+                    votes.setdefault(at[1], []).append(value)
+                to = {a: max(set(v), key=v.count) for a, v in votes.items()}
+                if all(2 * v.count(to[a]) > len(v) for a, v in votes.items()):
+                    for i, j, slots in line:
+                        if all(to[t[i + k][1]] == d[j + k][1] for k in slots):
+                            covered.update(range(i, i + w))
+            if len(covered) >= share * len(t):
+                out[doc, item] = (len(t), len(covered))
+    return out
+
+
+def test_templates_equal_the_plain_search(spark):
+    r = random.Random(12)
+    items = [(i, t) for i, t in ITEMS if i is not None and t]
+    items += [(10 + k, " ".join(r.choice(["Ann", "Bo", "5", "seven", "km", "runs", "to", "the", "mill", "and", "sees", "old", "red", "ships"]) for _ in range(r.choice([3, 8, 20])))) for k in range(12)]
+    docs = [(i, t) for i, t in LEAKS if i is not None and i != 9] + [(9, ITEMS[5][1])]
+    for k in range(60):
+        words = r.choice(items)[1].split()
+        for _ in range(r.randrange(6)):
+            words[r.randrange(len(words))] = r.choice(["Eve", "Bo", "8", "nine", "red", "MILL"])
+        docs.append((100 + k, " ".join(["pre", "fix"][: r.randrange(3)] + words + ["and"] * r.randrange(3))))
+    found = op4_templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): (x.item_words, x.covered) for x in found.collect()} == plain_leaks(docs, items)
+
+
 def test_templates_of_dense_items(spark):
     """Items without enough plain words, and copies in another case, are found where they are verbatim."""
     items = [(1, "12 + 7 = 19 and 3 * 4 = 12 and 40 / 8 = 5 7 9 11 13"), (2, "Anna Berg Carl Dahl Emma Falk Gustav Holm Ida Jung"), (3, "Solve All Of These Hard Problems Before Sunday Evening Comes"),
@@ -180,7 +240,7 @@ def test_templates_with_one_altered_value(spark):
             (4, item.replace("clerk Alice", "clerk Bob").replace("so Alice", "so Carol"))]
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r.doc_id: r for r in op4_templates.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert set(got) == {1, 2, 3} and all(r.item_words > 80 for r in got.values())
+    assert set(got) == {1, 2, 3, 4} and all(r.item_words > 80 for r in got.values())
     assert [got[i].n_changed for i in (1, 2, 3)] == [0, 2, 1]
     assert got[1].covered < got[3].covered == got[2].covered
 
@@ -323,6 +383,14 @@ def test_near_duplicates(spark, docs, empty, monkeypatch):
     assert tuples(op8_minhash.query(empty)) == []
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    a, b, c = prose(21, 200), prose(22, 200), prose(23, 200)
+    near = lambda t: t.replace(t.split()[90], "changed", 1)
+    rows = [(1, a), (1, b), (5, near(a)), (6, near(b)), (8, c), (9, c), (9, prose(24, 90)), (9, None), (7, prose(24, 90)), (None, a)]
+    got = sorted(tuple(r)[::2] for r in op8_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if r.doc_id is not None)
+    assert got == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 7), (9, 7), (9, 9)]
+
+
 @pytest.mark.parametrize("small", [2, 32])
 def test_near_duplicates_of_drifting_copies(spark, monkeypatch, small):
     """A chain of copies, each near its neighbours only, in listed and in blocked buckets."""

@@ -40,6 +40,18 @@ def test_pipeline(spark, tmp_path):
     assert whole == {i: tuple(r.ids) for i, r in kept[4].items()}
 
 
+def test_rows_without_an_id_and_of_one_id_are_judged_by_text(spark, tmp_path):
+    texts = [(1, article(1)), (None, article(1)), (None, article(2)), (None, article(2)), (3, article(3)), (3, article(4)), (None, f"{article(5)} {ITEMS[0][1]}"), (6, article(6, 4000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, row int")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.minhash_near_dedup(spark, docs, str(tmp_path))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", texts[0][1]), ("None", texts[2][1]), *[(str(i), t) for i, t in texts[4:]]])
+    clean = corpus_pipeline.decontamination(spark, kept, str(tmp_path))
+    assert clean.columns == corpus_pipeline.COLUMNS and clean.count() == 5
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+
+
 def test_clean_labelled_documents_pass_the_rules(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
