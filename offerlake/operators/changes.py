@@ -79,7 +79,11 @@ def fund_offers(quotes: DataFrame, updates: DataFrame, offers: DataFrame) -> Dat
     inserted."""
     first = first_decisions(updates).select("payment_hash", F.struct("status", "ts").alias("_d"))
     existing = offers.select(F.col("hold_invoice_payment_hash").alias("payment_hash")).withColumn("_exists", F.lit(True))
-    j = quotes.join(first, "payment_hash", "left").join(existing, "payment_hash", "left")
+    return funding_rows(quotes.join(first, "payment_hash", "left").join(existing, "payment_hash", "left"))
+
+
+def funding_rows(joined: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Outcome and offer row of quotes with their decision ``_d`` and ``_exists`` (an offer has the hash)."""
     outcome = (F.when(F.col("_d").isNull(), "pending")
                .when(F.col("_d.status") == "CANCELED", "canceled")
                .when(F.col("_d.status") == "SETTLED", "settled")
@@ -87,8 +91,8 @@ def fund_offers(quotes: DataFrame, updates: DataFrame, offers: DataFrame) -> Dat
                .when(F.coalesce(F.col("_exists"), F.lit(False)), "already_exists")
                .otherwise("funded"))
     funded = outcome == "funded"
-    return j.select(
-        "quote_id", "payment_hash", outcome.alias("outcome"),
+    return joined.select(
+        *(carry or []), "quote_id", "payment_hash", outcome.alias("outcome"),
         F.when(funded, uuid_of(F.col("quote_id") + F.lit(100000000000))).alias("id"),
         F.when(funded, F.col("amount_sats")).alias("amount_sats"),
         F.when(funded, F.col("maker_fees")).alias("maker_fees"),

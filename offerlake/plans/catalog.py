@@ -308,7 +308,9 @@ def _sources() -> None:
 
     from offerlake import schema as S
     from offerlake.operators import feed as FD
+    from offerlake.sources import commits as CM
     from offerlake.sources import io as IO
+    from offerlake.sources import snapshots as SN
     from offerlake.sources.fixtures import EVENTS_AS_OF
 
     def read_offers_q(t: Tables):
@@ -345,9 +347,9 @@ def _sources() -> None:
 
     def append_audit_q(t: Tables):
         path = IO.scratch_path(t.spark, "audit-append")
-        IO.append_audit(t.audit.where(F.col("id") % 2 == 0), path)
-        IO.append_audit(t.audit.where(F.col("id") % 2 == 1), path)
-        return IO.read_audit(t.spark, path)
+        for batch in (0, 1, 0):  # the first batch is sent again: it counts once
+            CM.append_audit_once(t.audit.where(F.col("id") % 2 == batch), path, batch)
+        return CM.read_audit_committed(t.spark, path)
 
     register("append_audit", O.READ_AUDIT, "audit")(append_audit_q)
 
@@ -360,11 +362,31 @@ def _sources() -> None:
 
     def publish_orders_q(t: Tables):
         path = IO.scratch_path(t.spark, "orders-feed")
-        IO.publish_orders(FD.order_events(t.offers, as_json=True), path)
-        return t.spark.read.schema("id STRING, kind INT, tags STRING").json(path)
+        for _ in range(2):  # a retry of the same batch publishes nothing
+            CM.publish_orders_once(FD.order_events(t.offers, as_json=True), path, "startup")
+        return CM.read_published(t.spark, path)
 
     register("publish_orders", O.ORDER_EVENTS, "offers")(publish_orders_q)
 
+    def capture_changes_q(t: Tables):
+        path = IO.scratch_path(t.spark, "offer-versions")
+        k, touched = F.substring("id", 25, 12).cast("bigint") % 10, F.coalesce(F.month("created_at") % 3 == 1, F.lit(False))
+        SN.write_version(t.offers.where(~touched | (k != 0)).withColumn(
+            "status", F.when(touched & (k == 2), F.lit("funded")).otherwise(F.col("status"))), path, 1)
+        SN.write_version(t.offers.where(~touched | (k != 1)), path, 2)
+        return SN.capture_changes(t.spark, path, 1, 2).withColumnRenamed("id", "offer_id")
+
+    register("capture_changes", O.CAPTURE_CHANGES, "offers")(capture_changes_q)
+
+    def capture_audit_changes_q(t: Tables):
+        path = IO.scratch_path(t.spark, "audit-versions")
+        k = F.col("id") % 10
+        SN.write_version(t.audit.where(k != 0).withColumn("message", F.when(k == 2, F.lit("draft")).otherwise(F.col("message"))), path, 1)
+        SN.write_version(t.audit.where(k != 1), path, 2)
+        return SN.capture_changes(t.spark, path, 1, 2, "id", "bigint", {"offer_id": "string"}).withColumnRenamed("id", "audit_id")
+
+    register("capture_audit_changes", O.CAPTURE_AUDIT_CHANGES, "audit")(capture_audit_changes_q)
+
     def report_json_q(t: Tables):
         from offerlake.operators import reports as R
         return IO.report_json(R.metrics_by_period(t.offers, "weekly", ORDERS_AS_OF), R.metrics_totals(t.offers),

@@ -747,8 +747,11 @@ READ_CHANGES = "SELECT seq, operation, offer_id, change_ts FROM offer_changes"
 STREAM_RECENT_OFFERS = f"""SELECT {', '.join(S.LISTING_COLUMNS)} FROM offers
 ORDER BY coalesce(updated_at, created_at) DESC, id LIMIT 50"""
 
+# All stored lines of every offer, with the stream's entries added or in the place of those with their id.
 STREAM_OFFER_AUDIT = f"""WITH e AS ({AUDIT_CHANGES_ENRICHED}),
-entries AS (SELECT DISTINCT offer_id, {', '.join(f'entry_{x}' for x in _AV if x != 'offer_id')} FROM e WHERE entry_id IS NOT NULL)
+entries AS (
+  SELECT offer_id, {', '.join(f'entry_{x}' for x in _AV if x != 'offer_id')} FROM e WHERE entry_id IS NOT NULL
+  UNION SELECT offer_id, {', '.join(f'{x} AS entry_{x}' for x in _AV if x != 'offer_id')} FROM audit WHERE offer_id IS NOT NULL)
 SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY entry_created_at DESC, entry_id DESC) AS entry_rank
 FROM entries QUALIFY entry_rank <= 50"""
 
@@ -846,3 +849,12 @@ REPLAY_ACTIONS = f"""SELECT offer_id, arg_max(status_after, seq) AS final_status
   COUNT(warning) AS n_warnings,
   arg_min({{'seq': seq, 'action': action, 'reason': reason}}, seq) FILTER (WHERE NOT accepted) AS first_rejected
 FROM ({REPLAY_STEPS}) st GROUP BY offer_id"""
+
+
+# Two versions of the offers: in the first, some later ones are missing, some have an older status and some are there that go later;
+# only offers created in January, April, July or October differ.
+_TOUCHED = "month(created_at) % 3 = 1 AND CAST(substr(id, 25, 12) AS BIGINT) % 10"
+CAPTURE_CHANGES = f"""SELECT CASE WHEN {_TOUCHED} = 0 THEN 'INSERT' WHEN {_TOUCHED} = 1 THEN 'DELETE' ELSE 'UPDATE' END AS operation, id AS offer_id
+FROM offers WHERE {_TOUCHED} IN (0, 1) OR ({_TOUCHED} = 2 AND status IS DISTINCT FROM 'funded')"""
+CAPTURE_AUDIT_CHANGES = """SELECT CASE id % 10 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'DELETE' ELSE 'UPDATE' END AS operation, id AS audit_id, offer_id
+FROM audit WHERE id % 10 IN (0, 1) OR (id % 10 = 2 AND message IS DISTINCT FROM 'draft')"""

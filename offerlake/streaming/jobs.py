@@ -23,6 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from offerlake import schema as S
+from offerlake.sources import commits
 from offerlake.sources.io import scratch_path
 
 LANDED_FILES = 4
@@ -131,49 +132,47 @@ def stream_audit_changes(spark: SparkSession, changes: DataFrame, audit: DataFra
 # ---------------------------------------------------------------------------
 # latest-per-key
 # ---------------------------------------------------------------------------
-def _newest_of_batch(keys: list[str]):
-    """A ``foreachBatch`` writer that logs a batch's newest row per key. The
-    stream itself keeps no state; a retried batch rewrites its own folder."""
-    def write(df: DataFrame, batch_id: int, out: str) -> None:
-        cols = [c for c in df.columns if c not in keys]
-        newest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("seq")).alias("r")).select(*keys, "r.*")
-        newest.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    return write
-
-
-def _newest(log: DataFrame, keys: list[str]) -> DataFrame:
-    cols = [c for c in log.columns if c not in (*keys, "batch")]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("seq")).alias("r")).select(*keys, "r.*")
+def _run_newest(stream: DataFrame, name: str, keys: list[str], order: str = "seq", mode: str = "append", out: str | None = None,
+                checkpoint: str | None = None) -> DataFrame:
+    """Run a stream into a log of the newest row per key and read the log. The log takes every micro-batch
+    once and is compacted as it grows (`sources.commits`); the stream itself keeps no state."""
+    path = run_foreach_batch(stream, name, lambda df, bid, to: commits.log_newest(df, to, bid, keys, order), mode, out, checkpoint)
+    schema = T.StructType([stream.schema[c] for c in (*keys, *[c for c in stream.columns if c not in keys])])
+    return commits.read_newest(stream.sparkSession, path, schema, keys, order)
 
 
 def stream_recent_offers(spark: SparkSession, changes: DataFrame, offers: DataFrame,
                          limit: int = S.LISTING_LIMIT) -> DataFrame:
     """Live top-N listing: the snapshot of all offers first, then upserts by
     id from the enriched change stream (changed -> replace, removed ->
-    delete); the view is the true top N by coalesce(updated_at, created_at)."""
+    delete); the view is the true top N by coalesce(updated_at, created_at),
+    kept by the stream itself (`views.newest_offers`)."""
     from offerlake.operators.changes import changes_enriched
+    from offerlake.streaming import views
     enriched = changes_enriched(read_changes(spark, changes, "recent"), offers)
-    out = run_foreach_batch(enriched, "recent", _newest_of_batch(["offer_id"]), mode="append")
-    latest = _newest(spark.read.parquet(out), ["offer_id"]).withColumnRenamed("offer_id", "id")
-    kept = offers.select(*S.LISTING_COLUMNS).join(latest.select("id"), "id", "left_anti")
-    upserts = latest.where(F.col("type") == "offer_changed").select(*S.LISTING_COLUMNS)
-    view = kept.unionByName(upserts)
-    return view.orderBy(F.coalesce("updated_at", "created_at").desc(), F.col("id")).limit(limit)
+    return views.read_newest_offers(spark, views.run_newest_offers(enriched, offers, limit), limit)
 
 
 def stream_offer_audit(spark: SparkSession, changes: DataFrame, audit: DataFrame, offer_id: str | None = None,
                        limit: int = S.LISTING_LIMIT) -> DataFrame:
-    """Per-offer audit view on a stream: an entry replaces the one with its id
-    or is added; each offer shows its newest ``limit`` entries. ``offer_id``
-    restricts the view to one offer."""
+    """Per-offer audit view on a stream: the stored lines of every offer first;
+    then an entry of the stream replaces the one with its id or is added. Each
+    offer shows its newest ``limit`` entries. ``offer_id`` restricts the view
+    to one offer."""
     from offerlake.operators.changes import AUDIT_VIEW, audit_changes_enriched
     from offerlake.operators.lookups import top_k_per_group
     enriched = audit_changes_enriched(read_changes(spark, changes, "offer-audit"), audit).where(F.col("entry_id").isNotNull())
+    stored = audit.where(F.col("offer_id").isNotNull())
     if offer_id is not None:
-        enriched = enriched.where(F.col("offer_id") == offer_id)
-    out = run_foreach_batch(enriched, "offer-audit", _newest_of_batch(["offer_id", "entry_id"]), mode="append")
-    latest = _newest(spark.read.parquet(out), ["offer_id", "entry_id"])
-    top = top_k_per_group(latest, ["offer_id"], [F.col("entry_created_at").desc(), F.col("entry_id").desc()], limit, rank_col="entry_rank")
+        enriched, stored = enriched.where(F.col("offer_id") == offer_id), stored.where(F.col("offer_id") == offer_id)
+    keys = ["offer_id", "entry_id"]
+    latest = _run_newest(enriched.drop("audit_id", "type", "operation", "entry_offer_id"), "offer-audit", keys).drop("seq")
+    # the newest of the stored lines are enough: a line that is not among them could only come up if the stream
+    # removed one, and it only replaces or adds
+    lines = top_k_per_group(stored, ["offer_id"], [F.col("created_at").desc(), F.col("id").desc()], limit).select(
+        "offer_id", *[F.col(c).alias(f"entry_{c}") for c in AUDIT_VIEW if c != "offer_id"])
+    both = latest.unionByName(lines.join(latest.select(*keys), keys, "left_anti"))
+    top = top_k_per_group(both, ["offer_id"], [F.col("entry_created_at").desc(), F.col("entry_id").desc()], limit, rank_col="entry_rank")
     return top.select("offer_id", "entry_rank", *[f"entry_{c}" for c in AUDIT_VIEW if c != "offer_id"])
 
 
@@ -211,15 +210,16 @@ def stream_rates(spark: SparkSession, payloads: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def stream_fund_offers(spark: SparkSession, priced_quotes: DataFrame, updates: DataFrame,
                        offers: DataFrame) -> DataFrame:
-    """Funding outcome of every quote from a stream of hold-invoice updates.
-
-    The stream keeps, per payment hash, the update that ends its
-    subscription (`first_decisions`); the quotes waiting for one and the
-    stored offers are tables. There is no time limit on an update."""
-    from offerlake.operators.changes import first_decisions, fund_offers
-    path, schema = land_files(updates, "quote-updates")
-    out = run_foreach_batch(first_decisions(read_stream(spark, path, schema)), "fund", _batch_writer, mode="update")
-    return fund_offers(priced_quotes, spark.read.parquet(out), offers)
+    """Funding outcome of every quote from a stream of priced quotes and one of
+    hold-invoice updates (`views.funding_decisions`); the stored offers are a
+    table that the stream meets. The newest of a quote's at most two results."""
+    from offerlake.streaming import views
+    quote_path, quote_schema = land_files(priced_quotes, "priced-quotes")
+    path, schema = land_in_steps(updates, "quote-updates", "ts")
+    decided = views.funding_decisions(read_stream(spark, quote_path, quote_schema), read_stream(spark, path, schema, files_per_trigger=LANDED_FILES))
+    results = spark.read.parquet(run_to_files(views.funding_outcomes(decided, quote_schema, offers), "fund"))
+    cols = [c for c in results.columns if c not in ("final", "quote_id")]
+    return results.groupBy("quote_id").agg(F.max_by(F.struct(*cols), F.col("final")).alias("r")).select("quote_id", "r.*")
 
 
 # ---------------------------------------------------------------------------
@@ -403,9 +403,6 @@ def stream_apply_status_updates(spark: SparkSession, events: DataFrame, offers:
     from offerlake.operators.lifecycle import merge_status_updates, status_update_aggregates
     path, schema = land_files(events, "status-updates")
     agg = status_update_aggregates(read_stream(spark, path, schema))
-    out = run_foreach_batch(agg, "status-updates", _batch_writer, mode="update")
-    log = spark.read.parquet(out)
-    cols = [c for c in log.columns if c not in ("id", "batch_id", "batch")]
-    latest = (log.groupBy("id").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
-              .select("id", *[F.col(f"r.{c}").alias(c) for c in cols]))
-    return merge_status_updates(offers, latest)
+    log = run_foreach_batch(agg, "status-updates", lambda df, bid, to: commits.log_newest(df.withColumn("batch_id", F.lit(bid).cast("long")), to, bid, ["id"], "batch_id"))
+    latest = commits.read_newest(spark, log, T.StructType([*agg.schema.fields, T.StructField("batch_id", T.LongType())]), ["id"], "batch_id")
+    return merge_status_updates(offers, latest.drop("batch_id"))
