@@ -116,6 +116,20 @@ def status_fanout(offers: DataFrame) -> DataFrame:
 _PREFIX = S.MESSAGES["request_error_prefix"]
 
 
+# Parameters that are read with a type, in the order in which they are read; all others are text as well.
+_NUMBERS = {"fiat_amount"}
+_OPTIONAL = {"initiate_offer": ["maker_id"]}
+# Names of JSON values in the service's type errors, by the variant types' first letters.
+_TYPE_NAMES = (("STRING", "String"), ("BIGINT", "int"), ("DECIMAL", "double"), ("DOUBLE", "double"), ("FLOAT", "double"), ("BOOLEAN", "bool"),
+               ("ARRAY", "List<dynamic>"), ("OBJECT", "_Map<String, dynamic>"))
+
+
+def typed_params(method: str) -> list[tuple[str, str]]:
+    """(parameter, type it is read as) of a method, in reading order."""
+    names = [x for p in S.REQUEST_METHODS[method] for x in (p if isinstance(p, list) else [p])] + _OPTIONAL.get(method, [])
+    return [(n, "num" if n in _NUMBERS else "String") for n in names]
+
+
 def _rule_rows() -> list[tuple]:
     rows = []
     for method, req in S.REQUEST_METHODS.items():
@@ -129,15 +143,17 @@ def _rule_rows() -> list[tuple]:
             msg = S.MESSAGES["missing_params"] + ", ".join(required)
         else:
             msg = None
-        rows.append((method, required, any_of, msg))
+        rows.append((method, required, any_of, msg, typed_params(method)))
     return rows
 
 
 def request_rules(spark: SparkSession) -> DataFrame:
+    typed = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])
     schema = T.StructType([T.StructField("rule_method", T.StringType()),
                            T.StructField("required", T.ArrayType(T.StringType())),
                            T.StructField("any_of", T.ArrayType(T.StringType())),
-                           T.StructField("missing_message", T.StringType())])
+                           T.StructField("missing_message", T.StringType()),
+                           T.StructField("typed", T.ArrayType(typed))])
     return spark.createDataFrame(_rule_rows(), schema)
 
 
@@ -145,31 +161,56 @@ _REQ_SCHEMA = "struct<id:string,method:string,params:map<string,string>,_corrupt
 _REQ_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
+def _kind(value: Column) -> Column:
+    """A JSON value's type name in the service's errors; NULL for null and for what is not there."""
+    name, out = F.schema_of_variant(value), F.lit(None).cast("string")
+    for start, dart in reversed(_TYPE_NAMES):
+        out = F.when(name.startswith(start), dart).otherwise(out)
+    return out
+
+
+def _fits(kind: Column, wanted: Column) -> Column:
+    return kind.isNull() | F.when(wanted == "num", kind.isin("int", "double")).otherwise(kind == wanted)
+
+
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Parse each request body and route it, or produce the error the
-    service would answer with. Malformed JSON is dropped without an
-    answer (status 'dropped')."""
+    service would answer with. Malformed JSON is dropped without an answer
+    (status 'dropped'), and so are a body that is no object, an id or method
+    that is no text and params that are no object. Parameters have types: the
+    first one of the wrong type, in reading order, is the error, before any
+    missing one; JSON null counts as missing."""
     spark = requests.sparkSession
-    # One parse per body: malformed text lands in the corrupt-record field.
-    parsed = (requests.select("request_id", "sender", "ts", F.from_json(F.col("body"), _REQ_SCHEMA, _REQ_OPTS)
-                              .alias("req"))
-              .withColumn("valid_json", F.col("req").isNotNull() & F.col("req._corrupt").isNull()))
+    # Malformed text lands in the corrupt-record field; the variant knows the values' types.
+    parsed = requests.select("request_id", "sender", "ts", F.from_json(F.col("body"), _REQ_SCHEMA, _REQ_OPTS).alias("req"), F.try_parse_json("body").alias("v"))
+    part = lambda path: F.try_variant_get("v", path, "variant")
+    shaped = (_kind(F.col("v")) == "_Map<String, dynamic>") & F.coalesce(_kind(part("$.id")) == "String", F.lit(True)) \
+        & F.coalesce(_kind(part("$.method")) == "String", F.lit(True)) & F.coalesce(_kind(part("$.params")) == "_Map<String, dynamic>", F.lit(True))
+    # a body that the variant parser alone refuses (a key twice) is read as text, without types
+    parsed = parsed.withColumn("valid_json", F.col("req").isNotNull() & F.col("req._corrupt").isNull() & (F.col("v").isNull() | F.coalesce(shaped, F.lit(False))))
     # Fixed 16-row rule table: size is a constant, broadcast is safe.
     joined = parsed.join(F.broadcast(request_rules(spark)),
                          F.col("req.method") == F.col("rule_method"), "left")
     params = F.coalesce(F.col("req.params"), F.create_map().cast("map<string,string>"))
     has_required = F.forall("required", lambda p: F.element_at(params, p).isNotNull())
     has_any = (F.size("any_of") == 0) | F.exists("any_of", lambda p: F.element_at(params, p).isNotNull())
+    values = F.try_variant_get("v", "$.params", "map<string,variant>")
+    misfits = F.filter(F.transform("typed", lambda p: F.struct(p["type"].alias("type"), _kind(F.element_at(values, p["name"])).alias("kind"))),
+                       lambda x: ~_fits(x["kind"], x["type"]))
+    misfit = F.when(values.isNotNull() & (F.size(misfits) > 0), F.element_at(misfits, 1))
+    mistyped = misfit.isNotNull()
+    type_error = F.concat(F.lit(_PREFIX.removesuffix("Exception: ") + "type '"), misfit["kind"], F.lit("' is not a subtype of type '"), misfit["type"], F.lit("?' in type cast"))
     bad_json = ~F.col("valid_json")
     missing_id = F.col("req.id").isNull() | F.col("req.method").isNull()
     unknown = F.col("rule_method").isNull()
     missing = ~(has_required & has_any)
-    status = (F.when(bad_json, "dropped").when(missing_id | unknown | missing, "error").otherwise("routed"))
+    status = (F.when(bad_json, "dropped").when(missing_id | unknown | mistyped | missing, "error").otherwise("routed"))
     code = (F.when(bad_json, "PARSE_ERROR").when(missing_id, "INVALID_REQUEST")
-            .when(unknown | missing, "INTERNAL_ERROR"))
+            .when(unknown | mistyped | missing, "INTERNAL_ERROR"))
     message = (F.when(bad_json, F.lit(S.MALFORMED_REQUEST))
                .when(missing_id, F.lit(S.MESSAGES["invalid_request"]))
                .when(unknown, F.concat(F.lit(_PREFIX + S.MESSAGES["unknown_method"]), F.col("req.method")))
+               .when(mistyped, type_error)
                .when(missing, F.concat(F.lit(_PREFIX), F.col("missing_message"))))
     return joined.select(
         "request_id", "sender",

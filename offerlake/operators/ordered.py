@@ -1,33 +1,64 @@
-"""Skew-safe previous/next row within an ordered key.
-
-A plain ``lag/lead OVER (PARTITION BY key ORDER BY o)`` sends every row of a
-key to one task. Here each key is cut into deterministic chunks of the
-numeric order value (``o div chunk``), lag/lead run per (key, chunk), and the
-first / last row of every chunk is linked to the neighbouring chunk through
-a small per-chunk table (one row per chunk). The final join is on
-(key, chunk), so a hot key spreads over as many tasks as it has chunks.
+"""Segmented scan: rows in one order, cut into ranges, finished in parallel.
+
+A plain window over a key sends all rows of the key to one task, and one over
+all rows sends everything there. Here the rows are sorted into ranges of the
+order (`ranged`) and stored with their number; whatever depends on the order is
+worked out inside each range, and one row per range, its *carry*, is scanned to
+link the ranges. A key with a third of all rows, or a minute that holds all of
+them, is cut into as many ranges as its size asks for. Only rows that are equal
+in the whole order stay together.
+
+The source is read for the sort (and sampled for the ranges' bounds); the
+stored rows are read once for the ranges and once for the carries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from offerlake.sources.io import scratch_path
+
+
+def ranged(df: DataFrame, order: list[str | Column], ranges: int | None = None) -> DataFrame:
+    """``df`` sorted by ``order``, stored, with ``_at`` (a number that grows with the order) and ``_part`` (the range)."""
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    path = scratch_path(df.sparkSession, "ranged")
+    dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    stored = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_at", T.LongType())])).parquet(path)
+    return stored.withColumn("_part", F.shiftright("_at", 33))
+
+
+def neighbors(df: DataFrame, key: str, order: str, cols: list[str], chunk: int | None = None) -> DataFrame:
+    """Adds struct columns ``prev`` and ``next`` holding (order, *cols) of the
+    previous / next row of the same key (NULL at the ends). Rows of equal
+    ``order`` follow each other in any order; ``chunk`` asks for ranges of about
+    that many rows."""
+    vals = F.struct(F.col(key).alias("key"), F.struct(F.col(order), *[F.col(c) for c in cols]).alias("row"))
+    ranges = max(1, -(-df.count() // chunk)) if chunk else None
+    rows = ranged(df, [key, order], ranges)
+    w = Window.partitionBy("_part").orderBy("_at")
+    local = rows.withColumn("_prev", F.lag(vals).over(w)).withColumn("_next", F.lead(vals).over(w))
+    # one row per range: its first and last row
+    edges = rows.groupBy("_part").agg(F.min_by(vals, F.col("_at")).alias("_first"), F.max_by(vals, F.col("_at")).alias("_last"))
+    links = edges.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_before"), F.lead("_first").over(Window.orderBy("_part")).alias("_after"))
+
+    def same(side: str, link: str) -> Column:
+        near = F.coalesce(side, link)
+        return F.when(near["key"].eqNullSafe(F.col(key)), near["row"])
+
+    return (local.join(links, "_part")
+            .withColumn("prev", same("_prev", "_before")).withColumn("next", same("_next", "_after"))
+            .drop("_prev", "_next", "_before", "_after", "_part", "_at"))
 
 
-def neighbors(df: DataFrame, key: str, order: str, cols: list[str], chunk: int = 4096) -> DataFrame:
-    """Adds struct columns ``prev`` and ``next`` holding (order, *cols) of
-    the previous / next row of the same key (NULL at the ends). ``order``
-    must be numeric and unique within a key."""
-    vals = F.struct(F.col(order), *[F.col(c) for c in cols])
-    d = df.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("bigint"))
-    w = Window.partitionBy(key, "_chunk").orderBy(order)
-    local = d.withColumn("prev", F.lag(vals).over(w)).withColumn("next", F.lead(vals).over(w))
-    chunks = d.groupBy(key, "_chunk").agg(F.min_by(vals, F.col(order)).alias("_first"),
-                                          F.max_by(vals, F.col(order)).alias("_last"))
-    wc = Window.partitionBy(key).orderBy("_chunk")
-    links = chunks.select(key, "_chunk", F.lag("_last").over(wc).alias("_carry_prev"),
-                          F.lead("_first").over(wc).alias("_carry_next"))
-    return (local.join(links, [key, "_chunk"], "left")
-            .withColumn("prev", F.coalesce("prev", "_carry_prev"))
-            .withColumn("next", F.coalesce("next", "_carry_next"))
-            .drop("_carry_prev", "_carry_next", "_chunk"))
+def last_seen(df: DataFrame, order: list[str | Column], value: str, into: str, ranges: int | None = None) -> DataFrame:
+    """Adds ``into``: the last ``value`` that is not null among the rows up to each one, in ``order``."""
+    rows = ranged(df, order, ranges)
+    upto = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(upto))
+    ends = rows.groupBy("_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_end"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carry = ends.select("_part", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    return local.join(carry, "_part").withColumn(into, F.coalesce("_local", "_carry")).drop("_local", "_carry", "_part", "_at")

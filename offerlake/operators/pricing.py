@@ -1,17 +1,17 @@
 """Rate parsing and averaging, the as-of rate join, quotes and fee checks.
 
-The as-of join (`rate_at`) merges quotes and rounds in time order inside
-5-minute buckets; a quote before the first round of its bucket takes the
-round carried forward from the newest earlier bucket that has one.
+The as-of join (`rate_at`) merges quotes and rounds in time order and carries
+the last round along, range by range (`ordered.last_seen`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake import schema as S
-from offerlake.functions import epoch_us, fee_ceil, micros_between
+from offerlake.functions import fee_ceil, micros_between
+from offerlake.operators.ordered import last_seen
 
 BUCKET_SECONDS = S.RATE_VALIDITY_MINUTES * 60
 # Per source: the JSON path of the rate (schema.RATE_SOURCES) as a one-field
@@ -63,33 +63,24 @@ def average_rate(parsed: DataFrame, rate_col: str = "rate") -> DataFrame:
                  F.count(r).alias("n_sources")))
 
 
-def _bucket(ts: str) -> Column:
-    return F.floor(epoch_us(ts) / (BUCKET_SECONDS * 1_000_000)).cast("bigint")
-
-
 def rate_at(quotes: DataFrame, rounds: DataFrame, ts_col: str = "ts", key: str = "quote_id") -> DataFrame:
     """For each quote: the newest averaged rate fetched at or before it.
     ``rate_status`` is 'fresh' (age < 5 full minutes), 'stale' (older, the
     last known rate) or 'error' (no rate yet, rate NULL).
 
-    Quotes and rounds are merged, not joined: one pass over each 5-minute
-    bucket in time order carries the last round along, so the work is linear
-    in the rows of a bucket. Quotes before the first round of their bucket take
-    the last round of an earlier bucket from a table with one row per bucket."""
-    rounded = rounds.select(_bucket("fetched_at").alias("_bucket"), F.col("fetched_at").alias("_t"),
-                            F.struct("fetched_at", "round_id", "rate").alias("_round"))
-    asked = quotes.select(_bucket(ts_col).alias("_bucket"), F.col(ts_col).alias("_t"), F.struct(*quotes.columns).alias("_q"))
-    both = rounded.unionByName(asked, allowMissingColumns=True)
+    Quotes and rounds are merged, not joined: sorted by time and cut into
+    ranges, each range carries its last round along, and the last round of
+    every range is handed to the ranges after it (`ordered.last_seen`). The work
+    is linear in the rows, however many share a minute. A quote without a time
+    has no rate ('error'), a round without one serves nobody."""
+    rounded = rounds.where(F.col("fetched_at").isNotNull()).select(
+        F.col("fetched_at").alias("_t"), F.lit(0).alias("_side"), F.col("round_id").alias("_tie"), F.struct("fetched_at", "round_id", "rate").alias("_round"))
+    asked = quotes.select(F.col(ts_col).alias("_t"), F.lit(1).alias("_side"), F.xxhash64(key).alias("_tie"), F.struct(*quotes.columns).alias("_q"))
+    both = rounded.unionByName(asked.where(F.col("_t").isNotNull()), allowMissingColumns=True)
     # at equal times a round comes before the quotes it serves
-    upto = (Window.partitionBy("_bucket").orderBy("_t", F.col("_q").isNotNull(), "_round.round_id")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = both.withColumn("_same", F.last("_round", ignorenulls=True).over(upto))
-    # one row per bucket that holds anything: bounded by the time span, never by the number of quotes
-    last = seen.groupBy("_bucket").agg(F.max_by("_round", F.struct("_round.fetched_at", "_round.round_id")).alias("_end"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select("_bucket", F.last("_end", ignorenulls=True).over(before).alias("_prev"))
-    out = (seen.where(F.col("_q").isNotNull()).join(carry, "_bucket", "left")
-           .select("_q.*", F.coalesce("_same", "_prev").alias("_r")))
+    seen = last_seen(both, ["_t", "_side", "_tie"], "_round", "_r").where(F.col("_q").isNotNull()).select("_q", "_r")
+    timeless = asked.where(F.col("_t").isNull()).select("_q")
+    out = seen.unionByName(timeless, allowMissingColumns=True).select("_q.*", "_r")
     age_us = micros_between(F.col("_r.fetched_at"), F.col(ts_col))
     status = (F.when(F.col("_r").isNull(), "error")
               .when(age_us < BUCKET_SECONDS * 1_000_000, "fresh").otherwise("stale"))

@@ -138,6 +138,8 @@ def _feed() -> None:
     register("status_fanout", O.STATUS_FANOUT, "offers")(lambda t: FD.status_fanout(t.offers))
     register("validate_requests", O.VALIDATE_REQUESTS, "requests")(
         lambda t: FD.validate_requests(t.requests))
+    register("validate_typed_requests", O.VALIDATE_TYPED_REQUESTS, "typed_requests")(
+        lambda t: FD.validate_requests(t.typed_requests))
 
 
 # ---------------------------------------------------------------------------

@@ -278,6 +278,42 @@ UNION ALL
 SELECT id, status, 'taker', taker_pubkey, CAST({_BODY} AS VARCHAR) FROM offers WHERE taker_pubkey IS NOT NULL AND taker_pubkey <> ''"""
 
 
+_JSON_NAMES = {"String": ["VARCHAR"], "int": ["BIGINT", "UBIGINT"], "double": ["DOUBLE", "HUGEINT"], "bool": ["BOOLEAN"], "List<dynamic>": ["ARRAY"],
+               "_Map<String, dynamic>": ["OBJECT"]}
+
+
+def _type_error_sql(prefix: str) -> str:
+    """The first parameter of another type than the one it is read as; NULL without one."""
+    per_method = []
+    for m, req in S.REQUEST_METHODS.items():
+        names = [x for r in req for x in (r if isinstance(r, list) else [r])] + (["maker_id"] if m == "initiate_offer" else [])
+        whens = []
+        for n in names:
+            wanted, good = ("num", ("int", "double")) if n == "fiat_amount" else ("String", ("String",))
+            for name, kinds in _JSON_NAMES.items():
+                if name not in good:
+                    whens.append(f"WHEN json_type(body, '$.params.{n}') IN ({', '.join(f"'{k}'" for k in kinds)}) "
+                                 f"THEN '{prefix}type ''{name}'' is not a subtype of type ''{wanted}?'' in type cast'")
+        # in the order of the parameters, not of the kinds
+        if whens:
+            per_method.append(f"WHEN '{m}' THEN CASE {' '.join(whens)} END")
+    return f"CASE mth {' '.join(per_method)} END"
+
+
+def _typed_validate_sql() -> str:
+    prefix = S.MESSAGES["request_error_prefix"]
+    shaped = """coalesce(json_type(body) = 'OBJECT' AND coalesce(json_type(body, '$.id') IN ('VARCHAR', 'NULL'), true)
+        AND coalesce(json_type(body, '$.method') IN ('VARCHAR', 'NULL'), true) AND coalesce(json_type(body, '$.params') IN ('OBJECT', 'NULL'), true), false)"""
+    sound = "(SELECT * REPLACE (CASE WHEN json_valid(body) THEN body END AS body) FROM typed_requests)"
+    checked = _validate_sql().replace("json_valid(body)", shaped).replace("FROM requests", f"FROM {sound}")
+    return f"""SELECT c.* EXCLUDE (status, error_code, error_message),
+  CASE WHEN t.e IS NULL THEN status ELSE 'error' END AS status, CASE WHEN t.e IS NULL THEN error_code ELSE 'INTERNAL_ERROR' END AS error_code,
+  coalesce(t.e, error_message) AS error_message
+FROM ({checked}) c JOIN (
+  SELECT request_id, CASE WHEN {shaped} AND json_extract_string(body, '$.id') IS NOT NULL THEN {_type_error_sql(prefix.removesuffix("Exception: "))} END AS e
+  FROM (SELECT *, json_extract_string(body, '$.method') AS mth FROM {sound})) t USING (request_id)"""
+
+
 def _validate_sql() -> str:
     prefix = S.MESSAGES["request_error_prefix"]
 
@@ -320,6 +356,7 @@ FROM (SELECT *, json_valid(body) AS ok,
 
 
 VALIDATE_REQUESTS = _validate_sql()
+VALIDATE_TYPED_REQUESTS = _typed_validate_sql()
 
 # ---------------------------------------------------------------------------
 # §2.6 pricing and fees

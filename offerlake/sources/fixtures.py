@@ -273,6 +273,23 @@ REQUESTS = Fixture("requests", "events", [
     ]),
 ])
 
+# Requests with values of other types, by request_id % 9: 0 offer_id a number, 1 offer_id true, 2 fiat_amount text, 3 maker_id a list,
+# 4 blik_code an object, 5 id a number, 6 params a list, 7 method a number, 8 as they are.
+def _with_param(old: str, new: str) -> str:
+    """The body with parameter ``old`` under another name and ``new`` in front of the others."""
+    return (f"replace(replace(body, '\"{old}\"', '\"old_{old}\"'), '\"params\":{{', '\"params\":{{{new}' || "
+            f"CASE WHEN body LIKE '%\"params\":{{}}%' THEN '' ELSE ',' END)")
+
+
+TYPED_REQUESTS = Fixture("typed_requests", "requests", [
+    Stage([("request_id", "request_id"), ("sender", "sender"), ("body", _case("request_id % 9", [
+        ("0", _with_param("offer_id", '"offer_id":17')), ("1", _with_param("offer_id", '"offer_id":true')),
+        ("2", _with_param("fiat_amount", '"fiat_amount":"abc"')), ("3", _with_param("maker_id", '"maker_id":[1.5]')),
+        ("4", _with_param("blik_code", '"blik_code":{"a":null}')), ("5", "replace(body, '{\"id\":\"', '{\"id\":5,\"text_id\":\"')"),
+        ("6", "replace(body, '\"params\":', '\"params\":[],\"p\":')"), ("7", "replace(body, '\"method\":\"', '\"method\":5,\"name\":\"')"),
+    ], "body")), ("ts", "ts")]),
+])
+
 # --------------------------------------------------------------------------
 # pricing inputs (from events)
 # --------------------------------------------------------------------------
@@ -451,7 +468,7 @@ def action_log_spark(orders: DataFrame) -> DataFrame:
 
 SIMPLE_FIXTURES = {f.name: f for f in [
     OFFERS, LOG_RECORDS, OFFER_CHANGES, AUDIT_CHANGES, REQUESTS, QUOTES, RATE_PAYLOADS,
-    INVOICE_UPDATES, PAYMENT_UPDATES, INVOICES_RAW, ADDRESSES, QUOTE_UPDATES]}
+    INVOICE_UPDATES, PAYMENT_UPDATES, INVOICES_RAW, ADDRESSES, QUOTE_UPDATES, TYPED_REQUESTS]}
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -532,7 +549,7 @@ FIXTURE_DEPS = {
     "requests": [], "quotes": [], "rate_payloads": [], "action_log": [],
     "invoice_updates": ["offers"], "payment_updates": ["offers"], "invoices_raw": ["offers"],
     "addresses": ["offers"], "status_events": ["offers"], "audit": ["log_records"],
-    "quote_updates": ["quotes"],
+    "quote_updates": ["quotes"], "typed_requests": ["requests"],
 }
 
 

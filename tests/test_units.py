@@ -317,6 +317,55 @@ def test_validate_requests_errors(spark):
     assert got[6][0] == "dropped"
 
 
+def test_request_parameters_have_types(spark):
+    """The first parameter of a wrong type is the error, before a missing one; wrong shapes are dropped."""
+    cast = "Exception: Error processing request: type '{}' is not a subtype of type '{}?' in type cast"
+    cases = [('{"id":"r","method":"initiate_offer","params":{"fiat_amount":"abc"}}', cast.format("String", "num")),
+             ('{"id":"r","method":"initiate_offer","params":{"fiat_amount":12}}', None), ('{"id":"r","method":"initiate_offer","params":{"fiat_amount":1.5e3,"maker_id":null}}', None),
+             ('{"id":"r","method":"initiate_offer","params":{"maker_id":7}}', cast.format("int", "String")),
+             ('{"id":"r","method":"submit_blik","params":{"blik_code":[1],"taker_invoice":true}}', cast.format("List<dynamic>", "String")),
+             ('{"id":"r","method":"submit_blik","params":{"offer_id":"x","blik_code":"1","taker_invoice":{}}}', cast.format("_Map<String, dynamic>", "String")),
+             ('{"id":"r","method":"reserve_offer","params":{"offer_id":2.5,"other":[1]}}', cast.format("double", "String")),
+             ('{"id":"r","method":"reserve_offer","params":{"offer_id":null}}', "Exception: Error processing request: Exception: Missing required parameter: offer_id"),
+             ('{"id":"r","method":"get_info","params":{"offer_id":false}}', None), ('{"id":"r","method":"nope","params":{"offer_id":1}}', "Exception: Error processing request: Exception: Unknown method: nope"),
+             ('{"id":null,"method":"get_info"}', "Missing method or id"), ('{"id":"r","method":"get_info","params":null}', None)]
+    dropped = ['{"id":1,"method":"get_info"}', '{"id":"r","method":["get_info"]}', '{"id":"r","method":"get_info","params":[]}', '[1]', '7', 'null', '', None]
+    bodies = [b for b, _ in cases] + dropped
+    df = spark.createDataFrame([(i, "s", b, T0) for i, b in enumerate(bodies)], "request_id long, sender string, body string, ts timestamp_ntz")
+    got = {r.request_id: (r.status, r.error_message) for r in FD.validate_requests(df).collect()}
+    for i, (body, message) in enumerate(cases):
+        assert got[i] == ("error" if message else "routed", message), body
+    for i in range(len(cases), len(bodies)):
+        assert got[i][0] == "dropped", bodies[i]
+
+
+def test_rate_at_in_one_minute_and_without_times(spark):
+    """All quotes and rounds in a few seconds are cut into ranges; quotes without a time have no rate."""
+    from offerlake.operators import ordered
+    from offerlake.operators import pricing as P
+    n = 20000
+    rounds = spark.range(0, n, 4).selectExpr("id AS round_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, (id div 8) * 0.001) AS fetched_at", "CAST(id AS double) AS rate")
+    rounds = rounds.unionByName(spark.createDataFrame([(-1, None, 1.0)], rounds.schema))
+    quotes = spark.range(n).selectExpr("id AS quote_id", "CASE WHEN id % 1000 <> 999 THEN timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, (id div 8) * 0.001) END AS ts")
+    got = {r.quote_id: (r.rate_round_id, r.rate_status) for r in P.rate_at(quotes, rounds).collect()}
+    assert got == {q: (None, "error") if q % 1000 == 999 else (q // 8 * 8 + 4, "fresh") for q in range(n)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert ordered.ranged(quotes.where("ts is not null"), ["ts", "quote_id"], 16).groupBy("_part").count().agg({"count": "max"}).first()[0] < n // 8
+        assert P.rate_at(quotes, rounds).where("rate_status = 'fresh'").count() == n - n // 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_neighbors_of_one_hot_key_with_sparse_orders(spark):
+    rows = [("hot", 10 ** 9 * i * i, f"v{i}") for i in range(3000)] + [(None, 5, "n"), (None, 6, "m"), ("z", None, "first"), ("z", 1, "last")]
+    df = spark.createDataFrame(rows, "k string, seq long, v string")
+    got = {(r.k, r.seq): (r.prev.v if r.prev else None, r.next.v if r.next else None) for r in neighbors(df, "k", "seq", ["v"], chunk=100).collect()}
+    assert len(got) == len(rows) and got[None, 5] == (None, "m") and got[None, 6] == ("n", None) and got["z", 1] == ("first", None)
+    for i in range(3000):
+        assert got["hot", 10 ** 9 * i * i] == (f"v{i - 1}" if i else None, f"v{i + 1}" if i < 2999 else None)
+
+
 def test_status_fanout_keeps_nulls(spark):
     df = offers_df(spark, [offer(taker_pubkey=None), offer(id="b", taker_pubkey="t", reserved_at=T0)])
     rows = FD.status_fanout(df).collect()
