@@ -62,6 +62,26 @@ def _reports() -> None:
     register("metrics_monthly", O.metrics_period_sql("monthly"), "offers")(
         lambda t: R.metrics_by_period(t.offers, "monthly", ORDERS_AS_OF))
     register("metrics_totals", O.METRICS_TOTALS, "offers")(lambda t: R.metrics_totals(t.offers))
+
+    def rolled_up(t: Tables):
+        """Day states of offers of which some months changed since, refreshed for those."""
+        from pyspark.sql import functions as F
+
+        from offerlake.operators import rollup as RU
+        from offerlake.sources import io as IO
+        path = IO.scratch_path(t.spark, "day-states")
+        changed = F.col("created_at").between("1997-03-01", "1997-06-15")
+        RU.write_states(t.offers.withColumn("status", F.when(changed, F.lit("expired")).otherwise(F.col("status"))), path)
+        RU.refresh(t.offers, path, ["1997-03", "1997-04", "1997-05", "1997-06"])
+        return RU.read_states(t.spark, path)
+
+    def merged(report):
+        from offerlake.operators import rollup as RU
+        return lambda t: report(RU, rolled_up(t))
+
+    register("rollup_weekly", O.metrics_period_sql("weekly"), "offers")(merged(lambda ru, s: ru.period_report(s, "weekly")))
+    register("rollup_monthly", O.metrics_period_sql("monthly"), "offers")(merged(lambda ru, s: ru.period_report(s, "monthly")))
+    register("rollup_totals", O.METRICS_TOTALS, "offers")(merged(lambda ru, s: ru.totals_report(s)))
     register("taker_domain_ranking", O.TAKER_DOMAIN_RANKING, "offers")(
         lambda t: R.taker_domain_ranking(t.offers))
     register("weekday_profile", O.WEEKDAY_PROFILE, "offers")(lambda t: R.weekday_profile(t.offers))
@@ -248,6 +268,19 @@ def _lifecycle() -> None:
                       ("conflict", "sweep_conflict")]:
         register(key, O.sweep_sql(rule), "offers")(
             lambda t, _r=rule: LC.sweep(t.offers, _r, ORDERS_AS_OF))
+
+    def sweep_due_q(t: Tables):
+        from offerlake.operators import due as D
+        from offerlake.sources import io as IO
+        path = IO.scratch_path(t.spark, "due-index")
+        older = F.substring("id", 25, 12).cast("bigint") % 4 == 0  # what a quarter of the offers looked like before
+        before = t.offers.where(older).withColumn("status", F.lit("funded")).withColumn("created_at", F.expr("created_at - INTERVAL 40 DAYS"))
+        D.build(before.unionByName(t.offers.where(~older)), path)
+        for _ in range(2):  # entering a change again changes nothing
+            D.update(before, t.offers.where(older), path, 1)
+        return D.due(t.spark, path, ORDERS_AS_OF)
+
+    register("sweep_due", O.SWEEP_DUE, "offers")(sweep_due_q)
     register("startup_sweep", O.STARTUP_SWEEP, "offers")(lambda t: LC.startup_sweep(t.offers, ORDERS_AS_OF))
     register("deadlines", O.DEADLINES, "offers")(lambda t: LC.deadlines(t.offers, ORDERS_AS_OF))
     register("revert_to_funded", O.REVERT_TO_FUNDED, "offers")(
@@ -345,6 +378,17 @@ def _sources() -> None:
         IO.append_offers(new.unionByName(new).unionByName(replays), path, EVENTS_AS_OF)
         return IO.read_offers(t.spark, path)
 
+    def append_offers_indexed_q(t: Tables):
+        from offerlake.sources import keys as K
+        path = IO.scratch_path(t.spark, "offers-indexed")
+        K.append_offers_once(t.offers, path, "stored")
+        k = F.substring("id", 25, 12).cast("bigint")
+        new = funded_offer_rows(t)
+        for _ in range(2):  # the second time is a retry
+            K.append_offers_once(new.unionByName(new).unionByName(t.offers.where(k % 150 == 0)), path, "funded", EVENTS_AS_OF)
+        return K.read_offers_committed(t.spark, path)
+
+    register("append_offers_indexed", O.APPEND_OFFERS, "offers", "rate_payloads", "quotes", "quote_updates")(append_offers_indexed_q)
     register("append_offers", O.APPEND_OFFERS, "offers", "rate_payloads", "quotes", "quote_updates")(append_offers_q)
 
     def append_audit_q(t: Tables):

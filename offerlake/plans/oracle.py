@@ -895,3 +895,7 @@ CAPTURE_CHANGES = f"""SELECT CASE WHEN {_TOUCHED} = 0 THEN 'INSERT' WHEN {_TOUCH
 FROM offers WHERE {_TOUCHED} IN (0, 1) OR ({_TOUCHED} = 2 AND status IS DISTINCT FROM 'funded')"""
 CAPTURE_AUDIT_CHANGES = """SELECT CASE id % 10 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'DELETE' ELSE 'UPDATE' END AS operation, id AS audit_id, offer_id
 FROM audit WHERE id % 10 IN (0, 1) OR (id % 10 = 2 AND message IS DISTINCT FROM 'draft')"""
+
+
+SWEEP_DUE = " UNION ALL ".join(f"SELECT id, status, '{r}' AS rule, new_status, due_at FROM ({sweep_sql(r)})"
+                               for r in ("funded_expiry", "reservation", "blik_confirmation", "taker_charged", "conflict"))
