@@ -13,9 +13,11 @@ footers, sidebars, notices, adverts, forms and comments always are. On a page wi
 is main text; on one without, what the difference leaves is.
 
 Pages are range-partitioned by (host, path, page_id), so a host of any size
-spreads over tasks. The ranges' first and last keys (two rows per range) are
-known before the texts move, and each edge page also goes to its neighbour's
-range, so that pairs do not depend on where the ranges were cut.
+spreads over tasks. There are as many ranges as the session has shuffle
+partitions, whatever the input; their first and last keys (two rows per range)
+are known before the texts move, and each edge page also goes to its neighbour's
+range, so that pairs do not depend on where the ranges were cut. A range is
+sorted by Spark and read as a stream that holds three pages at a time.
 
 Defined results: null or empty html gives an empty text; a null url has host
 and path "" and is null in the result; repeated rows are pages of their own;
@@ -104,10 +106,29 @@ def main_text(page: list[tuple[int, str]], other: list[tuple[int, str]] | None)
     return "\n\n".join(kept), sum(page[i][0] != M.ARTICLE for i in shared)
 
 
+COLUMNS = ["k", "host", "path", "page_id", "url", "guest", "lines"]
+SHAPE = (("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64()), ("nearest", pa.int64()))
+
+
+def _judged(row: dict, before: dict | None, after: dict | None) -> tuple | None:
+    """A page's result against the nearer of its neighbours; None for a guest, which its own range judges."""
+    if row["guest"]:
+        return None
+    near = [x for x in (before, after) if x and (x["k"], x["host"]) == (row["k"], row["host"])]
+    near.sort(key=lambda x: -len(os.path.commonprefix([x["path"], row["path"]])))
+    text, shared = main_text(row["page"], near[0]["page"] if near else None)
+    return row["page_id"], row["url"], text, len(row["page"]), shared, near[0]["page_id"] if near else None
+
+
+def _put(out: list[list], result: tuple | None) -> None:
+    for column, value in zip(out, result or ()):
+        column.append(value)
+
+
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row per page: page_id, url, main text, lines, shared lines deleted, nearest page."""
     pages = E.settled(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
-    p = ranges or E.bucket_count(pages)
+    p = ranges or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["host", "path", "id"]
     keyed = pages.select(*host_and_path(), F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), "page_id", "url", "html")
 
@@ -145,31 +166,25 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
                     pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()))],
                     names=["k", "host", "path", "id", "page_id", "url", "guest", "lines"])
 
-    def differ(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["host"], r["path"], r["id"], r["lines"]))
-        held: dict[int, list] = {}
-
-        def read(i):
-            if i not in held:
-                held.pop(i - 3, None)
-                held[i] = pickle.loads(X.unsqueeze(rows[i]["lines"]))
-            return held[i]
-
-        out: list[list] = [[] for _ in range(6)]
-        for i, row in enumerate(rows):
-            if row["guest"]:
-                continue
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and rows[j]["host"] == row["host"]]
-            near.sort(key=lambda j: -len(os.path.commonprefix([rows[j]["path"], row["path"]])))
-            page = read(i)
-            text, shared = main_text(page, read(near[0]) if near else None)
-            for column, value in zip(out, (row["page_id"], row["url"], text, len(page), shared, rows[near[0]]["page_id"] if near else None)):
-                column.append(value)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
-                        names=["page_id", "url", "text", "n_lines", "n_shared", "nearest"])
-
-    parsed = keyed.mapInArrow(parse, "k int, host string, path string, id long, page_id long, url string, guest boolean, lines binary")
-    return parsed.groupBy("k").applyInArrow(differ, SCHEMA)
+    def differ(batches):
+        """Each page against the row before and the row after it in its range."""
+        before = page = None
+        for batch in batches:
+            out: list[list] = [[] for _ in SHAPE]
+            for row in (dict(zip(COLUMNS, r)) for r in zip(*(batch.column(i).to_pylist() for i in range(len(COLUMNS))))):
+                row["page"] = pickle.loads(X.unsqueeze(row.pop("lines")))
+                if page is not None:
+                    _put(out, _judged(page, before, row))
+                before, page = page, row
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, SHAPE)], names=[n for n, _ in SHAPE])
+        if page is not None:
+            out = [[] for _ in SHAPE]
+            _put(out, _judged(page, before, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, SHAPE)], names=[n for n, _ in SHAPE])
+
+    parsed = keyed.mapInArrow(X.lean(parse), "k int, host string, path string, id long, page_id long, url string, guest boolean, lines binary")
+    dealt = parsed.repartition(p, "k").sortWithinPartitions("k", "host", "path", "id", "lines").select(*COLUMNS)
+    return dealt.mapInArrow(X.lean(differ), SCHEMA)
 
 
 def query(pages: DataFrame) -> DataFrame:

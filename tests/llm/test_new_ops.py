@@ -281,3 +281,35 @@ def test_queries_on_the_test_tables(spark):
         assert got[d.doc_id].base_sha256 == SHA(",".join(f"{P.KINDS[k]}:{a}:{b}" for k, a, b in plain_base(d.text)))
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted((tuple(r) for r in catalog.op11_prefix_trie(spark, sf).collect()), key=str) == plain_trie(rows)
+
+
+def test_nearest_page_equals_the_plain_search(spark):
+    """Every page against the pages next to it by path in its host, whatever the ranges."""
+    import os
+
+    from offerlake.llm import markup, op6_pages
+    r = random.Random(6)
+    line = lambda: f"line {r.randrange(12)} of the site"
+    rows = []
+    for i in range(120):
+        url = None if i % 40 == 7 else f"http://{r.choice(['a.example', 'B.example', 'c.example'])}/{r.choice('xyz')}/{r.randrange(30)}"
+        rows.append((i, url, "".join(f"<p>{line()}</p>" for _ in range(r.randrange(1, 9)))))
+    rows += [rows[5], rows[6], (None, rows[8][1], rows[9][2]), (500, "http://alone.example/p", "<p>only one</p>"), (501, "http://empty.example/", None)]
+    key = lambda p: (*op6_parts(p[1]), -(1 << 63) if p[0] is None else p[0], p[2] or "")
+    want, order = [], sorted(rows, key=lambda p: key(p)[:3])
+    for i, page in enumerate(order):
+        host, path = key(page)[:2]
+        near = [order[j] for j in (i - 1, i + 1) if 0 <= j < len(order) and key(order[j])[0] == host]
+        near.sort(key=lambda p: -len(os.path.commonprefix([key(p)[1], path])))
+        lines = markup.lines(page[2] or "")
+        text, shared = op6_pages.main_text(lines, markup.lines(near[0][2] or "") if near else None)
+        want.append((page[0], page[1], text, len(lines), shared, near[0][0] if near else None))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for ranges in (1, 3, 16):
+        got = [tuple(x) for x in op6_pages.extract(df, ranges).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), ranges
+
+
+def op6_parts(url):
+    m = re.match(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)([^?#]*)", url or "")
+    return (m.group(1).lower(), m.group(2)) if m else ("", "")
