@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from offerlake import schema as S
 from offerlake.functions import uuid_of
+from offerlake.sources.io import scratch_path
 
 
 def changes_enriched(changes: DataFrame, offers: DataFrame) -> DataFrame:
@@ -42,20 +43,30 @@ def audit_changes_enriched(changes: DataFrame, audit: DataFrame) -> DataFrame:
     """Audit change -> the audit row by id; when it is missing and the change
     is not a DELETE, the newest audit row of the offer; DELETE keeps NULL.
 
-    The newest row is worked out only for offers that need it; on a stream of
-    changes, whose needs are not known beforehand, for every offer."""
+    The changes meet the audit once by id; what that leaves open is written,
+    and only its offers' audit rows are reduced to the newest. On a stream,
+    whose needs are not known beforehand, the newest row is worked out for
+    every offer: run a stream by micro-batch instead (`streaming.jobs`)."""
     by_id = audit.select(F.col("id").alias("_aid"), F.struct(*[F.col(c) for c in AUDIT_VIEW]).alias("_row"))
     found = (changes.where(F.col("offer_id").isNotNull())
-             .join(by_id, F.col("audit_id") == F.col("_aid"), "left"))
-    wanted = audit
-    if not changes.isStreaming:
-        open_ids = (found.where(F.col("_aid").isNull() & (F.col("operation") != "DELETE"))
-                    .select(F.col("offer_id").alias("_open")).distinct())
-        wanted = audit.join(open_ids, F.col("offer_id") == F.col("_open"), "left_semi")
-    j = found.join(latest_audit_per_offer(wanted), F.col("offer_id") == F.col("_offer"), "left")
-    entry = F.coalesce(F.col("_row"), F.when(F.col("operation") != "DELETE", F.col("_latest")))
-    return j.select("seq", "operation", "offer_id", "audit_id", F.lit("audit_changed").alias("type"),
-                    *[entry[c].alias(f"entry_{c}") for c in AUDIT_VIEW])
+             .join(by_id, F.col("audit_id") == F.col("_aid"), "left")
+             .select("seq", "operation", "offer_id", "audit_id", "_row"))
+
+    def shown(rows: DataFrame, entry) -> DataFrame:
+        return rows.select("seq", "operation", "offer_id", "audit_id", F.lit("audit_changed").alias("type"),
+                           *[entry[c].alias(f"entry_{c}") for c in AUDIT_VIEW])
+
+    unmet = F.col("_row").isNull() & F.coalesce(F.col("operation") != "DELETE", F.lit(False))
+    if changes.isStreaming:
+        j = found.join(latest_audit_per_offer(audit), F.col("offer_id") == F.col("_offer"), "left")
+        return shown(j, F.coalesce(F.col("_row"), F.when(unmet, F.col("_latest"))))
+    path = scratch_path(changes.sparkSession, "audit-changes-met")
+    found.write.parquet(path)
+    found = changes.sparkSession.read.schema(found.schema).parquet(path)
+    left = found.where(unmet)
+    wanted = audit.join(left.select(F.col("offer_id").alias("_open")).distinct(), F.col("offer_id") == F.col("_open"), "left_semi")
+    newest = left.join(latest_audit_per_offer(wanted), F.col("offer_id") == F.col("_offer"), "left")
+    return shown(found.where(~unmet), F.col("_row")).unionByName(shown(newest, F.col("_latest")))
 
 
 DECISIVE = ["ACCEPTED", "CANCELED", "SETTLED"]

@@ -124,23 +124,16 @@ def stream_offer_changes(spark: SparkSession, changes: DataFrame, offers: DataFr
 
 
 def stream_audit_changes(spark: SparkSession, changes: DataFrame, audit: DataFrame) -> DataFrame:
+    """Each micro-batch of changes meets the audit; only its own offers' audit rows are reduced."""
     from offerlake.operators.changes import audit_changes_enriched
-    stream = audit_changes_enriched(read_changes(spark, changes, "audit-changes"), audit)
-    return spark.read.parquet(run_to_files(stream, "audit-changes"))
+    out = run_foreach_batch(read_changes(spark, changes, "audit-changes"), "audit-changes",
+                            lambda df, bid, to: _batch_writer(audit_changes_enriched(df, audit), bid, to), mode="append")
+    return spark.read.parquet(out).drop("batch_id", "batch")
 
 
 # ---------------------------------------------------------------------------
 # latest-per-key
 # ---------------------------------------------------------------------------
-def _run_newest(stream: DataFrame, name: str, keys: list[str], order: str = "seq", mode: str = "append", out: str | None = None,
-                checkpoint: str | None = None) -> DataFrame:
-    """Run a stream into a log of the newest row per key and read the log. The log takes every micro-batch
-    once and is compacted as it grows (`sources.commits`); the stream itself keeps no state."""
-    path = run_foreach_batch(stream, name, lambda df, bid, to: commits.log_newest(df, to, bid, keys, order), mode, out, checkpoint)
-    schema = T.StructType([stream.schema[c] for c in (*keys, *[c for c in stream.columns if c not in keys])])
-    return commits.read_newest(stream.sparkSession, path, schema, keys, order)
-
-
 def stream_recent_offers(spark: SparkSession, changes: DataFrame, offers: DataFrame,
                          limit: int = S.LISTING_LIMIT) -> DataFrame:
     """Live top-N listing: the snapshot of all offers first, then upserts by
@@ -161,12 +154,19 @@ def stream_offer_audit(spark: SparkSession, changes: DataFrame, audit: DataFrame
     to one offer."""
     from offerlake.operators.changes import AUDIT_VIEW, audit_changes_enriched
     from offerlake.operators.lookups import top_k_per_group
-    enriched = audit_changes_enriched(read_changes(spark, changes, "offer-audit"), audit).where(F.col("entry_id").isNotNull())
-    stored = audit.where(F.col("offer_id").isNotNull())
+    stored, keys = audit.where(F.col("offer_id").isNotNull()), ["offer_id", "entry_id"]
+    feed = read_changes(spark, changes, "offer-audit")
     if offer_id is not None:
-        enriched, stored = enriched.where(F.col("offer_id") == offer_id), stored.where(F.col("offer_id") == offer_id)
-    keys = ["offer_id", "entry_id"]
-    latest = _run_newest(enriched.drop("audit_id", "type", "operation", "entry_offer_id"), "offer-audit", keys).drop("seq")
+        feed, stored = feed.where(F.col("offer_id") == offer_id), stored.where(F.col("offer_id") == offer_id)
+    shown = ["seq", "offer_id", *[f"entry_{c}" for c in AUDIT_VIEW if c != "offer_id"]]
+
+    def log(df: DataFrame, batch_id: int, to: str) -> None:
+        entries = audit_changes_enriched(df, audit).where(F.col("entry_id").isNotNull()).select(*shown)
+        commits.log_newest(entries, to, batch_id, keys, "seq")
+
+    path = run_foreach_batch(feed, "offer-audit", log, mode="append")
+    types = {"seq": feed.schema["seq"].dataType, "offer_id": feed.schema["offer_id"].dataType, **{f"entry_{c}": audit.schema[c].dataType for c in AUDIT_VIEW}}
+    latest = commits.read_newest(spark, path, T.StructType([T.StructField(c, types[c]) for c in [*keys, *[c for c in shown if c not in keys]]]), keys, "seq").drop("seq")
     # the newest of the stored lines are enough: a line that is not among them could only come up if the stream
     # removed one, and it only replaces or adds
     lines = top_k_per_group(stored, ["offer_id"], [F.col("created_at").desc(), F.col("id").desc()], limit).select(
