@@ -27,13 +27,19 @@ from offerlake.sources import commits
 from offerlake.sources.io import scratch_path
 
 LANDED_FILES = 4
+FILE_BYTES = 64 << 20
 
 
-def land_files(df: DataFrame, name: str, files: int = LANDED_FILES) -> tuple[str, T.StructType]:
-    """Write ``df`` as a folder of Parquet files (a replayable source); the
-    files hold the rows in no particular order."""
+def files_for(df: DataFrame, least: int = LANDED_FILES) -> int:
+    """A number of files that keeps each near FILE_BYTES, by the planner's size estimate."""
+    return max(least, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES))
+
+
+def land_files(df: DataFrame, name: str, files: int | None = None) -> tuple[str, T.StructType]:
+    """Write ``df`` as a folder of Parquet files (a replayable source), as many
+    as its size asks for; the files hold the rows in no particular order."""
     path = scratch_path(df.sparkSession, f"src-{name}")
-    df.repartition(files).write.parquet(path)
+    df.repartition(files or files_for(df)).write.parquet(path)
     return path, df.schema
 
 
@@ -196,13 +202,10 @@ def rate_rounds(payloads: DataFrame, late: str | None = None) -> DataFrame:
 def stream_rates(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     """Average rate per fetch round over a stream of payloads."""
     path, schema = land_files(payloads, "rates")
-    out = run_foreach_batch(rate_rounds(read_stream(spark, path, schema)), "rates", _batch_writer, mode="update")
-    log = spark.read.parquet(out)
-    latest = log.groupBy("round_id").agg(F.max_by(F.struct("fetched_at", "_sum", "n_sources"),
-                                                  F.col("batch_id")).alias("r"))
-    return latest.select("round_id", F.col("r.fetched_at").alias("fetched_at"),
-                         (F.col("r._sum").cast("double") / F.col("r.n_sources")).alias("rate"),
-                         F.col("r.n_sources").alias("n_sources"))
+    rate = (F.col("_sum").cast("double") / F.col("n_sources")).alias("rate")
+    rounds = rate_rounds(read_stream(spark, path, schema)).select("round_id", "fetched_at", rate, "n_sources")
+    log = run_foreach_batch(rounds, "rates", lambda df, bid, to: commits.log_newest(df.withColumn("batch_id", F.lit(bid).cast("long")), to, bid, ["round_id"], "batch_id"))
+    return commits.read_newest(spark, log, T.StructType([*rounds.schema.fields, T.StructField("batch_id", T.LongType())]), ["round_id"], "batch_id").drop("batch_id")
 
 
 # ---------------------------------------------------------------------------
@@ -232,7 +235,9 @@ _TIMED = {"funded": ("created", S.FUNDED_EXPIRY_SECONDS, "expired"),
           "takerCharged": ("created", S.TAKER_CHARGED_AUTO_CONFIRM_SECONDS, "settled"),
           "conflict": ("event", S.CONFLICT_AUTO_DISPUTE_SECONDS, "dispute")}
 
-DEADLINE_OUT = "offer_id STRING, status STRING, timeout_status STRING, due_ms LONG, fired_ms LONG"
+#: Statuses without a timer that no action leaves: an offer's timers end with their event.
+TERMINAL = frozenset(S.STATUSES) - set(_TIMED) - {f for _, moves in S.TRANSITIONS.values() for f in moves}
+DEADLINE_OUT = "offer_id STRING, status STRING, timeout_status STRING, due_ms LONG, fired_ms LONG, ignored_seq INT"
 DEADLINE_STATE = "status STRING, seq INT, due_ms LONG, created_ms LONG, reserved_ms LONG, blik_ms LONG, entered_ms LONG"
 NOTHING = (None, -1, None, None, None, None, None)
 
@@ -266,37 +271,51 @@ def _fire(state: tuple, upto_ms: int, fired: list[tuple]) -> tuple:
     return state
 
 
-def _walk(state: tuple, pdfs, fired: list[tuple]) -> tuple:
+def _walk(state: tuple, pdfs, fired: list[tuple], ignored: list[tuple]) -> tuple:
     """Take new status events in order; before each one, the timers due by its
-    time fire. An event with a known or older sequence number is ignored."""
+    time fire. An event with a known or older sequence number changes nothing
+    and is noted."""
     rows = [(int(r.seq), r.status, int(r.ts_ms)) for pdf in pdfs for r in pdf.itertuples(index=False)]
     for seq, status, ts_ms in sorted(rows):
         if seq > state[1]:
             state = _fire(state, ts_ms, fired)
             state = _enter((state[0], seq, *state[2:]), status, ts_ms)
+        else:
+            ignored.append((status, seq))
     return state
 
 
-def _fired(offer_id: str, fired: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(offer_id, *f) for f in fired], columns=["offer_id", "status", "timeout_status", "due_ms", "fired_ms"])
+def _over(state: tuple) -> bool:
+    """The offer's last event is a terminal status: nothing is waited for any more."""
+    return state[0] in TERMINAL and state[2] is None
+
+
+def _fired(offer_id: str, fired: list[tuple], ignored: list[tuple] = ()) -> pd.DataFrame:
+    rows = [(offer_id, *f, None) for f in fired] + [(offer_id, status, None, None, None, seq) for status, seq in ignored]
+    out = pd.DataFrame(rows, columns=["offer_id", "status", "timeout_status", "due_ms", "fired_ms", "ignored_seq"])
+    return out.astype({"due_ms": "Int64", "fired_ms": "Int64", "ignored_seq": "Int32"})
 
 
 def _deadline_fn(key, pdfs, state: GroupState):
     """Per-offer timers: events in sequence order, due timers before each,
     then those the watermark has passed; a pending timer is an event-time
     timeout. The state stays, so that later deadlines count from the offer's
-    own times."""
+    own times, until a terminal status lies behind the watermark."""
     fired: list[tuple] = []
+    ignored: list[tuple] = []
     cur = tuple(state.get) if state.exists else NOTHING
     if not state.hasTimedOut:
-        cur = _walk(cur, pdfs, fired)
+        cur = _walk(cur, pdfs, fired, ignored)
     watermark = state.getCurrentWatermarkMs()
     cur = _fire(cur, watermark - 1, fired)
-    state.update(cur)
-    if cur[2] is not None:
-        state.setTimeoutTimestamp(max(cur[2], watermark + 1))
-    if fired:
-        yield _fired(key[0], fired)
+    if _over(cur) and watermark > cur[6]:
+        state.remove()
+    else:
+        state.update(cur)
+        if cur[2] is not None or _over(cur):
+            state.setTimeoutTimestamp(max(cur[6] + 1 if _over(cur) else cur[2], watermark + 1))
+    if fired or ignored:
+        yield _fired(key[0], fired, ignored)
 
 
 class DeadlineProcessor(StatefulProcessor):
@@ -307,24 +326,30 @@ class DeadlineProcessor(StatefulProcessor):
         self.handle = handle
         self.offer = handle.getValueState("offer", DEADLINE_STATE)
 
-    def _settle(self, key, before: tuple, cur: tuple, watermark: int, fired: list[tuple], timer_gone: bool = False):
+    def _settle(self, key, before: tuple, cur: tuple, watermark: int, fired: list[tuple], ignored: list[tuple], timer_gone: bool = False):
         cur = _fire(cur, watermark - 1, fired)
         if before[2] is not None and before[2] != cur[2] and not timer_gone:
             self.handle.deleteTimer(before[2])
-        if cur[2] is not None and (cur[2] != before[2] or timer_gone):
-            self.handle.registerTimer(cur[2])
-        self.offer.update(cur)
-        if fired:
-            yield _fired(key[0], fired)
+        if _over(cur) and watermark > cur[6]:
+            self.offer.clear()
+        else:
+            if cur[2] is not None and (cur[2] != before[2] or timer_gone):
+                self.handle.registerTimer(cur[2])
+            if _over(cur):
+                self.handle.registerTimer(cur[6] + 1)
+            self.offer.update(cur)
+        if fired or ignored:
+            yield _fired(key[0], fired, ignored)
 
     def handleInputRows(self, key, rows, timerValues):
-        before, fired = (tuple(self.offer.get()) if self.offer.exists() else NOTHING), []
-        cur = _walk(before, rows, fired)
-        yield from self._settle(key, before, cur, timerValues.getCurrentWatermarkInMs(), fired)
+        before, fired, ignored = (tuple(self.offer.get()) if self.offer.exists() else NOTHING), [], []
+        cur = _walk(before, rows, fired, ignored)
+        yield from self._settle(key, before, cur, timerValues.getCurrentWatermarkInMs(), fired, ignored)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        before = tuple(self.offer.get())
-        yield from self._settle(key, before, before, timerValues.getCurrentWatermarkInMs(), [], timer_gone=True)
+        if self.offer.exists():
+            before = tuple(self.offer.get())
+            yield from self._settle(key, before, before, timerValues.getCurrentWatermarkInMs(), [], [], timer_gone=True)
 
     def close(self) -> None:
         pass
@@ -341,16 +366,25 @@ def deadline_timers(events: DataFrame, delay: str = "1 minute", impl: str = "gro
     none is later than ``delay``. ``fired_ms`` is the due time, or the time
     the status was entered if that is later.
 
+    Events that change nothing come out as rows with ``ignored_seq``: those
+    with a sequence number that the offer has passed, and those without a time.
+    An offer's state ends when the watermark passes its terminal status.
+
     ``impl='group_state'`` uses ``applyInPandasWithState``;
     ``impl='transform_with_state'`` the Spark 4 stateful processor API, which
     needs the RocksDB state store (`session.BASE_CONF`)."""
-    stream = events.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", delay)
+    none = F.lit(None)
+    untimed = events.where(F.col("ts_ms").isNull()).select(
+        "offer_id", "status", none.cast("string").alias("timeout_status"), none.cast("long").alias("due_ms"), none.cast("long").alias("fired_ms"), F.col("seq").cast("int").alias("ignored_seq"))
+    stream = events.where(F.col("ts_ms").isNotNull()).withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", delay)
     if impl == "transform_with_state":
-        return stream.groupBy("offer_id").transformWithStateInPandas(
+        timed = stream.groupBy("offer_id").transformWithStateInPandas(
             DeadlineProcessor(), outputStructType=DEADLINE_OUT, outputMode="Append", timeMode="EventTime")
-    return stream.groupBy("offer_id").applyInPandasWithState(
-        _deadline_fn, outputStructType=DEADLINE_OUT, stateStructType=DEADLINE_STATE,
-        outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    else:
+        timed = stream.groupBy("offer_id").applyInPandasWithState(
+            _deadline_fn, outputStructType=DEADLINE_OUT, stateStructType=DEADLINE_STATE,
+            outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    return timed.unionByName(untimed)
 
 
 def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 minute",
@@ -359,10 +393,10 @@ def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 min
     micro-batch each. Offers whose deadline lies beyond the newest event time
     less ``delay`` stay pending."""
     from offerlake.functions import EPOCH_NTZ, epoch_ms
-    src = events.where(F.col("ts").isNotNull()).select("offer_id", "seq", "status", epoch_ms("ts").alias("ts_ms"), "ts")
+    src = events.select("offer_id", "seq", "status", epoch_ms("ts").alias("ts_ms"), "ts")
     path, schema = land_in_steps(src, "status-events", "ts", steps)
     stream = read_stream(spark, path, schema, files_per_trigger=LANDED_FILES).drop("ts")
-    out = spark.read.parquet(run_to_files(deadline_timers(stream, delay, impl), "deadlines"))
+    out = spark.read.parquet(run_to_files(deadline_timers(stream, delay, impl), "deadlines")).where("ignored_seq is null")
     epoch = F.lit(EPOCH_NTZ).cast("timestamp_ntz")
 
     def ntz(ms_col: str):

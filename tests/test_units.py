@@ -401,6 +401,39 @@ def test_stream_deadline_timers(spark, impl, steps):
     }
 
 
+@pytest.mark.parametrize("impl", ["transform_with_state", "group_state"])
+def test_deadline_state_ends_and_odd_events_are_reported(spark, tmp_path, impl):
+    """A terminal status ends an offer's state; events without a time or with a passed number come out as ignored."""
+    from offerlake.streaming import jobs as J
+    schema = "offer_id string, seq int, status string, ts_ms long"
+    batches = [[("A", 1, "funded", 1000), ("A", 3, "takerPaid", 5000), ("B", 1, "funded", 2000), ("C", 1, "funded", None)],
+               [("A", 2, "reserved", 6000), ("B", 1, "funded", 2000), ("X", 1, "funded", 200_000)],
+               [("Y", 1, "reserved", 300_000)], [("Z", 1, "cancelled", 400_000)], [("Z2", 1, "cancelled", 900_000)], [("Z3", 1, "cancelled", 990_000)]]
+    left = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = J.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+        run = (J.deadline_timers(stream, "1 minute", impl).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+               .option("checkpointLocation", f"{tmp_path}/ckpt").outputMode("append").trigger(availableNow=True).start())
+        run.awaitTermination()
+        left.append(run.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.offer_id, r.ignored_seq) for r in rows if r.ignored_seq is not None) == [("A", 2), ("B", 1), ("C", 1)]
+    fired = sorted((r.offer_id, r.timeout_status, r.fired_ms) for r in rows if r.ignored_seq is None)
+    # Y has no creation time of its own: its return to funded counts from the return
+    assert ("B", "expired", 602_000) in fired and ("X", "expired", 800_000) in fired and ("Y", "funded", 330_000) in fired
+    if impl == "group_state":  # Y waits as funded and Z3 is not behind the watermark; A, B, X, Z and Z2 ended
+        assert left[-1] == 2
+
+
+def test_landed_files_follow_the_size(spark, monkeypatch):
+    from offerlake.streaming import jobs as J
+    df = spark.range(100000)
+    assert J.files_for(df) == J.LANDED_FILES
+    monkeypatch.setattr(J, "FILE_BYTES", 1 << 16)
+    assert J.files_for(df) == -(-800000 // (1 << 16))
+
+
 def test_streams_do_not_depend_on_file_order(spark):
     """Changes landed in shuffled files give the batch twin's rows."""
     from offerlake.operators.changes import first_decisions
