@@ -1,9 +1,10 @@
-"""Due-time index: offers that wait for a timeout, kept by the day they fall due.
+"""Due-time index: offers that wait for a timeout, kept by the month they fall due.
 
 A sweep asks which waiting offers are past their deadline. Instead of reading
-every offer, it reads the slices of the index up to its own day:
+every offer, it reads the slices of the index up to its own month, in which
+entries are sorted by due time:
 
-    path/due_day=<yyyy-MM-dd or none>/...     none: no time to count from, always due
+    path/due_slice=<yyyy-MM or none>/...     none: no time to count from, always due
 
 An offer's change is written as an entry in the slice of its new deadline and,
 when the old version had one elsewhere, as an entry that ends it there; both
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from offerlake.functions import ts_lit
 from offerlake.operators.lifecycle import RULES, SWEEP_ORDER
 
-ENTRY = "id STRING, status STRING, rule STRING, new_status STRING, due_at TIMESTAMP_NTZ, version BIGINT, live BOOLEAN, due_day STRING"
+ENTRY = "id STRING, status STRING, rule STRING, new_status STRING, due_at TIMESTAMP_NTZ, version BIGINT, live BOOLEAN, due_slice STRING"
 
 
 def waiting(offers: DataFrame) -> DataFrame:
-    """(id, status, rule, new_status, due_at, due_day) of every offer that waits for a timeout."""
+    """(id, status, rule, new_status, due_at, due_slice) of every offer that waits for a timeout."""
     st, rule, due, new = F.col("status"), F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string")
     for name in reversed(SWEEP_ORDER):
         statuses, due_of, moves = RULES[name]
@@ -34,11 +35,11 @@ def waiting(offers: DataFrame) -> DataFrame:
             new = F.when(st == f, F.lit(t)).otherwise(new)
     timed = [s for name in SWEEP_ORDER for s in RULES[name][0]]
     rows = offers.where(st.isin(timed)).select("id", "status", rule.alias("rule"), new.alias("new_status"), due.alias("due_at"))
-    return rows.withColumn("due_day", F.coalesce(F.date_format("due_at", "yyyy-MM-dd"), F.lit("none")))
+    return rows.withColumn("due_slice", F.coalesce(F.date_format("due_at", "yyyy-MM"), F.lit("none")))
 
 
 def _write(entries: DataFrame, path: str, mode: str) -> None:
-    entries.repartition("due_day").write.mode(mode).partitionBy("due_day").parquet(path)
+    entries.repartition("due_slice").sortWithinPartitions("due_slice", "due_at").write.mode(mode).partitionBy("due_slice").parquet(path)
 
 
 def build(offers: DataFrame, path: str) -> None:
@@ -51,15 +52,15 @@ def update(before: DataFrame, after: DataFrame, path: str, version: int) -> None
     after, deleted ones only before). ``version`` grows from change to change; entering one again changes nothing."""
     old = waiting(before).withColumn("live", F.lit(False))
     new = waiting(after).withColumn("live", F.lit(True))
-    ended = old.join(new.select("id", "due_day"), ["id", "due_day"], "left_anti")  # in the same slice the new entry ends the old one
+    ended = old.join(new.select("id", "due_slice"), ["id", "due_slice"], "left_anti")  # in the same slice the new entry ends the old one
     _write(ended.unionByName(new).withColumn("version", F.lit(version).cast("bigint")), path, "append")
 
 
 def due(spark: SparkSession, path: str, as_of: datetime | str, rules: list[str] | None = None) -> DataFrame:
-    """What the sweeps act on: (id, status, rule, new_status, due_at), from the slices up to the day of ``as_of``."""
-    day = F.date_format(ts_lit(as_of), "yyyy-MM-dd")
-    entries = spark.read.schema(ENTRY).parquet(path).where((F.col("due_day") <= day) | (F.col("due_day") == "none"))
-    newest = entries.groupBy("due_day", "id").agg(F.max_by(F.struct("status", "rule", "new_status", "due_at", "live"), F.struct("version", "live")).alias("e"))
+    """What the sweeps act on: (id, status, rule, new_status, due_at), from the slices up to the month of ``as_of``."""
+    month = F.date_format(ts_lit(as_of), "yyyy-MM")
+    entries = spark.read.schema(ENTRY).parquet(path).where((F.col("due_slice") <= month) | (F.col("due_slice") == "none"))
+    newest = entries.groupBy("due_slice", "id").agg(F.max_by(F.struct("status", "rule", "new_status", "due_at", "live"), F.struct("version", "live")).alias("e"))
     rows = newest.select("id", "e.*").where(F.col("live")).where(F.col("due_at").isNull() | (ts_lit(as_of) > F.col("due_at")))
     if rules is not None:
         rows = rows.where(F.col("rule").isin(rules))
@@ -69,5 +70,5 @@ def due(spark: SparkSession, path: str, as_of: datetime | str, rules: list[str]
 def compact(spark: SparkSession, path: str, out: str) -> None:
     """The index without ended and replaced entries, in a folder of its own."""
     entries = spark.read.schema(ENTRY).parquet(path)
-    newest = entries.groupBy("due_day", "id").agg(F.max_by(F.struct("status", "rule", "new_status", "due_at", "version", "live"), F.struct("version", "live")).alias("e"))
-    _write(newest.select("id", "e.*", "due_day").where("live"), out, "overwrite")
+    newest = entries.groupBy("due_slice", "id").agg(F.max_by(F.struct("status", "rule", "new_status", "due_at", "version", "live"), F.struct("version", "live")).alias("e"))
+    _write(newest.select("id", "e.*", "due_slice").where("live"), out, "overwrite")

@@ -192,13 +192,14 @@ def test_due_index_equals_the_sweeps(spark, tmp_path):
 
 
 def test_sweep_reads_due_slices_only(spark, tmp_path):
-    D.build(offers(spark, [row(f"o{k}", f"h{k}", status="reserved", reserved_at=DAY + timedelta(days=k)) for k in range(30)]), str(tmp_path))
-    found = D.due(spark, str(tmp_path), DAY + timedelta(days=4, hours=12))
+    D.build(offers(spark, [row(f"o{k}", f"h{k}", status="reserved", reserved_at=DAY + timedelta(days=31 * k)) for k in range(30)]), str(tmp_path))
+    as_of = DAY + timedelta(days=31 * 4, hours=12)
+    found = D.due(spark, str(tmp_path), as_of)
     assert found.count() == 5
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "due_day" in plan[plan.index("PartitionFilters: ["):][:120]
+    assert "PartitionFilters: [" in plan and "due_slice" in plan[plan.index("PartitionFilters: ["):][:120]
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        assert scanned(D.due(spark, str(tmp_path), DAY + timedelta(days=4, hours=12))) <= 6
+        assert scanned(D.due(spark, str(tmp_path), as_of)) <= 6
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
