@@ -119,9 +119,9 @@ _PREFIX = S.MESSAGES["request_error_prefix"]
 # Parameters that are read with a type, in the order in which they are read; all others are text as well.
 _NUMBERS = {"fiat_amount"}
 _OPTIONAL = {"initiate_offer": ["maker_id"]}
-# Names of JSON values in the service's type errors, by the variant types' first letters.
-_TYPE_NAMES = (("STRING", "String"), ("BIGINT", "int"), ("DECIMAL", "double"), ("DOUBLE", "double"), ("FLOAT", "double"), ("BOOLEAN", "bool"),
-               ("ARRAY", "List<dynamic>"), ("OBJECT", "_Map<String, dynamic>"))
+# Names of JSON values in the service's type errors, by the variant types' first word.
+_TYPE_NAMES = {"STRING": "String", "BIGINT": "int", "DECIMAL": "double", "DOUBLE": "double", "FLOAT": "double", "BOOLEAN": "bool",
+               "ARRAY": "List<dynamic>", "OBJECT": "_Map<String, dynamic>"}
 
 
 def typed_params(method: str) -> list[tuple[str, str]]:
@@ -163,10 +163,8 @@ _REQ_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 def _kind(value: Column) -> Column:
     """A JSON value's type name in the service's errors; NULL for null and for what is not there."""
-    name, out = F.schema_of_variant(value), F.lit(None).cast("string")
-    for start, dart in reversed(_TYPE_NAMES):
-        out = F.when(name.startswith(start), dart).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for pair in _TYPE_NAMES.items() for x in pair])
+    return F.element_at(names, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
 def _fits(kind: Column, wanted: Column) -> Column:
@@ -184,20 +182,23 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     # Malformed text lands in the corrupt-record field; the variant knows the values' types.
     parsed = requests.select("request_id", "sender", "ts", F.from_json(F.col("body"), _REQ_SCHEMA, _REQ_OPTS).alias("req"), F.try_parse_json("body").alias("v"))
     part = lambda path: F.try_variant_get("v", path, "variant")
-    shaped = (_kind(F.col("v")) == "_Map<String, dynamic>") & F.coalesce(_kind(part("$.id")) == "String", F.lit(True)) \
-        & F.coalesce(_kind(part("$.method")) == "String", F.lit(True)) & F.coalesce(_kind(part("$.params")) == "_Map<String, dynamic>", F.lit(True))
+    parsed = parsed.select("request_id", "sender", "ts", "req", F.col("v").isNull().alias("untyped"), _kind(F.col("v")).alias("k_body"), _kind(part("$.id")).alias("k_id"),
+                           _kind(part("$.method")).alias("k_method"), _kind(part("$.params")).alias("k_params"),
+                           F.transform_values(F.try_variant_get("v", "$.params", "map<string,variant>"), lambda _, x: _kind(x)).alias("kinds"))
+    object_, text = "_Map<String, dynamic>", "String"
+    shaped = (F.col("k_body") == object_) & (F.coalesce("k_id", F.lit(text)) == text) & (F.coalesce("k_method", F.lit(text)) == text) \
+        & (F.coalesce("k_params", F.lit(object_)) == object_)
     # a body that the variant parser alone refuses (a key twice) is read as text, without types
-    parsed = parsed.withColumn("valid_json", F.col("req").isNotNull() & F.col("req._corrupt").isNull() & (F.col("v").isNull() | F.coalesce(shaped, F.lit(False))))
+    parsed = parsed.withColumn("valid_json", F.col("req").isNotNull() & F.col("req._corrupt").isNull() & (F.col("untyped") | F.coalesce(shaped, F.lit(False))))
     # Fixed 16-row rule table: size is a constant, broadcast is safe.
     joined = parsed.join(F.broadcast(request_rules(spark)),
                          F.col("req.method") == F.col("rule_method"), "left")
     params = F.coalesce(F.col("req.params"), F.create_map().cast("map<string,string>"))
     has_required = F.forall("required", lambda p: F.element_at(params, p).isNotNull())
     has_any = (F.size("any_of") == 0) | F.exists("any_of", lambda p: F.element_at(params, p).isNotNull())
-    values = F.try_variant_get("v", "$.params", "map<string,variant>")
-    misfits = F.filter(F.transform("typed", lambda p: F.struct(p["type"].alias("type"), _kind(F.element_at(values, p["name"])).alias("kind"))),
+    misfits = F.filter(F.transform("typed", lambda p: F.struct(p["type"].alias("type"), F.element_at("kinds", p["name"]).alias("kind"))),
                        lambda x: ~_fits(x["kind"], x["type"]))
-    misfit = F.when(values.isNotNull() & (F.size(misfits) > 0), F.element_at(misfits, 1))
+    misfit = F.get(misfits, F.lit(0))
     mistyped = misfit.isNotNull()
     type_error = F.concat(F.lit(_PREFIX.removesuffix("Exception: ") + "type '"), misfit["kind"], F.lit("' is not a subtype of type '"), misfit["type"], F.lit("?' in type cast"))
     bad_json = ~F.col("valid_json")
