@@ -157,6 +157,8 @@ def test_python_workers_need_no_installed_package():
     import os
     import subprocess
     import sys
+
+    import duckdb
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     script = f"""
 import importlib.util
@@ -175,5 +177,5 @@ print("TIMERS", m.queries()["stream_deadlines"](spark, "{SF_SMALL}").count())
     con = duckdb.connect()
     for name in ("orders", "events", "customer", "nation", "region"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF_SMALL}/{name}.parquet')")
-    timers = con.sql(f"SELECT count(*) FROM ({E.oracle_sql()['stream_deadlines']})").fetchone()[0]
+    timers = con.execute(f"SELECT count(*) FROM ({E.oracle_sql()['stream_deadlines']})").fetchone()[0]
     assert f"TIMERS {timers}\n" in out.stdout, out.stderr[-2000:]
