@@ -37,8 +37,8 @@ from offerlake.llm import textops as X
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
-BLOCK_BYTES = 6 << 20
-LATTICE_CHARS = 1 << 17  # characters whose lattices are held at once
+BLOCK_BYTES = 4 << 20
+LATTICE_CHARS = 1 << 16  # characters whose lattices are held at once
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 FLOOR = -1e8  # scores below this mark pieces kept out of use on purpose; they still count, but set no minimum
