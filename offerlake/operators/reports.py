@@ -125,14 +125,18 @@ def weekday_profile(offers: DataFrame, weekdays: DataFrame | None = None) -> Dat
     whose size grows with the date span is materialised or broadcast.
     A weekday without offers gets 0 / 0, as in the original.
     """
-    spark = offers.sparkSession
-    if weekdays is None:
-        weekdays = spark.createDataFrame(S.WEEKDAYS, "day_num INT, day_name STRING")
     d = F.to_date(F.col("created_at"))
     per_day = (offers.groupBy(iso_weekday("created_at").alias("day_num"))
                .agg(F.count_if(is_success()).alias("success_count"),
                     F.count(F.lit(1)).alias("offer_count"),
                     F.min(d).alias("min_d"), F.max(d).alias("max_d")))
+    return weekday_rows(per_day, weekdays)
+
+
+def weekday_rows(per_day: DataFrame, weekdays: DataFrame | None = None) -> DataFrame:
+    """The weekday profile of at most 7 rows (day_num, success_count, offer_count, min_d, max_d), one per weekday."""
+    if weekdays is None:
+        weekdays = per_day.sparkSession.createDataFrame(S.WEEKDAYS, "day_num INT, day_name STRING")
     every = Window.partitionBy()  # at most 7 rows
     lo, hi = F.min("min_d").over(every), F.max("max_d").over(every)
     n_days = F.datediff(hi, lo) + 1

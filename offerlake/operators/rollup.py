@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.functions import dec, exact_ratio, is_failed, is_success, iso_week_label, micros_between, round2
+from offerlake import schema as S
+from offerlake.functions import dec, exact_ratio, is_failed, is_success, iso_week_label, iso_weekday, micros_between, round2
+from offerlake.operators.reports import weekday_rows
 
 MONTH = "month"
 STATE = ("day DATE, failed BIGINT, success BIGINT, profit BIGINT, volume DECIMAL(38,2), volume_sats BIGINT, fee_sum BIGINT, fee_n BIGINT, "
@@ -28,18 +30,22 @@ def _ratio() -> Column:
 
 def day_states(offers: DataFrame) -> DataFrame:
     """One row per day of creation: sums and counts of its offers, and the day's month."""
+    states = offers.groupBy(F.to_date("created_at").alias("day")).agg(*_sums())
+    return states.withColumn(MONTH, F.coalesce(F.date_format("day", "yyyy-MM"), F.lit("none")))
+
+
+def _sums() -> list[Column]:
     won = lambda c: F.when(is_success(), c)
     reserved, total = won(micros_between("created_at", "reserved_at")), won(micros_between("created_at", "maker_confirmed_at"))
     fees, ratio = won(F.col("taker_invoice_fees")), won(_ratio())
-    states = offers.groupBy(F.to_date("created_at").alias("day")).agg(
+    return [
         F.count_if(is_failed()).alias("failed"), F.count_if(is_success()).alias("success"),
         F.sum(won(F.col("maker_fees") + F.col("taker_fees") - F.col("taker_invoice_fees"))).cast("bigint").alias("profit"),
         F.sum(won(F.col("fiat_amount"))).cast("decimal(38,2)").alias("volume"), F.sum(won(F.col("amount_sats"))).cast("bigint").alias("volume_sats"),
         F.sum(fees).cast("bigint").alias("fee_sum"), F.count(fees).alias("fee_n"),
         F.sum(reserved.cast("decimal(28,0)")).alias("reserved_us"), F.count(reserved).alias("reserved_n"),
         F.sum(total.cast("decimal(28,0)")).alias("total_us"), F.count(total).alias("total_n"),
-        F.sum(ratio).cast("decimal(38,12)").alias("ratio_sum"), F.count(ratio).alias("ratio_n"))
-    return states.withColumn(MONTH, F.coalesce(F.date_format("day", "yyyy-MM"), F.lit("none")))
+        F.sum(ratio).cast("decimal(38,12)").alias("ratio_sum"), F.count(ratio).alias("ratio_n")]
 
 
 def write_states(offers: DataFrame, path: str) -> None:
@@ -105,3 +111,43 @@ def period_report(states: DataFrame, group_by: str) -> DataFrame:
 
 def totals_report(states: DataFrame) -> DataFrame:
     return states.agg(*_merged("total"))
+
+
+# -- the dashboard from one scan ---------------------------------------------------
+def domain_states(offers: DataFrame) -> DataFrame:
+    """Day states by taker domain: one row per day and domain of a paid offer's address; the domain of all others is NULL."""
+    addr = F.col("taker_lightning_address")
+    domain = F.when(is_success() & addr.like("%@%"), F.split_part(addr, F.lit("@"), F.lit(2)))
+    return offers.groupBy(F.to_date("created_at").alias("day"), domain.alias("taker_domain")).agg(F.count("*").alias("offers"), *_sums())
+
+
+def domain_report(states: DataFrame) -> DataFrame:
+    """`reports.taker_domain_ranking` without its order, merged from domain states."""
+    share = round2(F.coalesce(F.try_divide(F.sum("ratio_sum"), F.sum("ratio_n")), F.lit(0)) * 100)
+    return states.where(F.col("taker_domain").isNotNull()).groupBy("taker_domain").agg(
+        F.sum("offers").cast("bigint").alias("offer_count"), share.alias("avg_fees_percentage"))
+
+
+def weekday_report(states: DataFrame) -> DataFrame:
+    """`reports.weekday_profile`, merged from domain states."""
+    return weekday_rows(states.groupBy(iso_weekday("day").alias("day_num")).agg(
+        F.sum("success").cast("bigint").alias("success_count"), F.sum("offers").cast("bigint").alias("offer_count"),
+        F.min("day").alias("min_d"), F.max("day").alias("max_d")))
+
+
+def report_sections(states: DataFrame, group_by: str) -> DataFrame:
+    """The dashboard document as rows (section, rank, name, entry): an entry is one JSON object.
+
+    No row grows with the data: a ranking of very many domains is as many rows, and `io.write_sections` puts
+    them in order. ``rank`` sorts the ranking (falling) and the weekdays (rising as negative numbers); entries
+    of equal rank go by name. ``states`` is read once per section: store it (`io.report_sections`).
+    """
+    def rows(section: str, report: DataFrame, rank: Column, name: Column) -> DataFrame:
+        entry = F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"})
+        return report.select(F.lit(section).alias("section"), rank.cast("decimal(38,2)").alias("rank"), name.alias("name"), entry.alias("entry"))
+
+    none, day_num = F.lit(None), F.create_map(*[F.lit(x) for d in S.WEEKDAYS for x in (d[1], d[0])])
+    periods, totals, domains, days = period_report(states, group_by), totals_report(states), domain_report(states), weekday_report(states)
+    return (rows("rows", periods, none, F.col("date")).unionAll(rows("totals", totals, none, F.lit("totals")))
+            .unionAll(rows("takerDomainRanking", domains, F.col("avg_fees_percentage"), F.col("taker_domain")))
+            .unionAll(rows("weekdaySuccess", days, -day_num[F.col("weekday")], F.col("weekday"))))

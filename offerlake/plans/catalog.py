@@ -439,6 +439,7 @@ def _sources() -> None:
                               R.taker_domain_ranking(t.offers), R.weekday_profile(t.offers))
 
     register("report_json", O.REPORT_JSON, "offers")(report_json_q)
+    register("report_sections", O.REPORT_SECTIONS, "offers")(lambda t: IO.report_sections(t.offers, "weekly"))
 
 
 # ---------------------------------------------------------------------------

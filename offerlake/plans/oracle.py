@@ -807,6 +807,16 @@ SELECT CAST(to_json({{
                      FROM wk w)
 }}) AS VARCHAR) AS report"""
 
+REPORT_SECTIONS = f"""WITH rws AS ({metrics_period_sql('weekly')}),
+tot AS ({METRICS_TOTALS}),
+dom AS ({TAKER_DOMAIN_RANKING}),
+wk AS ({WEEKDAY_PROFILE})
+SELECT 'rows' AS section, CAST(NULL AS DECIMAL(38,2)) AS rank, r.date AS name, CAST(to_json(r) AS VARCHAR) AS entry FROM rws r
+UNION ALL SELECT 'totals', NULL, 'totals', CAST(to_json({{{', '.join(f"'{c}': t.{c}" for c in _TOTAL_ORDER)}}}) AS VARCHAR) FROM tot t
+UNION ALL SELECT 'takerDomainRanking', CAST(d.avg_fees_percentage AS DECIMAL(38,2)), d.taker_domain, CAST(to_json(d) AS VARCHAR) FROM dom d
+UNION ALL SELECT 'weekdaySuccess', -CASE w.weekday {' '.join(f"WHEN '{n}' THEN {i}" for i, n in S.WEEKDAYS)} END, w.weekday,
+  CAST(to_json(w) AS VARCHAR) FROM wk w"""
+
 STREAM_PUBLISH_ORDERS = (f"SELECT c.seq, o.id, 38383 AS kind, CAST(to_json({_tags(False)}) AS VARCHAR) AS tags "
                          f"FROM offer_changes c JOIN offers o ON o.id = c.offer_id")
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from offerlake import schema as S
 from offerlake.functions import ts_lit
+from offerlake.operators import rollup as RU
 from offerlake.session import checkpoint_dir
 
 PARTITION_COL = "created_month"
@@ -177,9 +178,9 @@ def write_rates(payloads: DataFrame, path: str) -> None:
 
 def report_json(rows: DataFrame, totals: DataFrame, domains: DataFrame, weekdays: DataFrame) -> DataFrame:
     """The dashboard document {rows, totals, takerDomainRanking,
-    weekdaySuccess} as one JSON string. All four inputs are small report
-    results (<= 90, 1, #domains and 7 rows), collected into arrays in the
-    cluster and sorted inside the array."""
+    weekdaySuccess} as one JSON string. The inputs are report results (one row per
+    period, 1, one per domain, and 7), collected into arrays of one cell; where
+    domains are very many, `report_sections` keeps every entry a row of its own."""
     def arr(df: DataFrame, name: str, key) -> DataFrame:
         items = F.collect_list(F.struct(key.alias("k"), F.struct(*df.columns).alias("v")))
         return df.agg(F.transform(F.array_sort(items), lambda x: x["v"]).alias(name))
@@ -194,6 +195,21 @@ def report_json(rows: DataFrame, totals: DataFrame, domains: DataFrame, weekdays
                                 {"ignoreNullFields": "false"}).alias("report"))
 
 
+def report_sections(offers: DataFrame, group_by: str = "weekly") -> DataFrame:
+    """The dashboard document as one row per entry. The offers are scanned once, into day states by taker
+    domain that are stored in the shared folder; the four sections are merged from these."""
+    path = scratch_path(offers.sparkSession, "report-states")
+    states = RU.domain_states(offers)
+    states.write.parquet(path)
+    return RU.report_sections(offers.sparkSession.read.schema(states.schema).parquet(path), group_by)
+
+
+def write_sections(sections: DataFrame, path: str) -> None:
+    """Entries as JSON lines in a folder per section, in the document's order over the files' names."""
+    order = [F.col("section"), F.col("rank").desc_nulls_last(), F.col("name")]
+    sections.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("section").json(path)
+
+
 def publish_orders(events: DataFrame, path: str) -> None:
     """File sink for order events (JSON lines); a streaming job reuses it
     from ``foreachBatch``."""

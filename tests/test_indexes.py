@@ -1,5 +1,7 @@
 """Payment-hash index, Bloom filters, day-state reports and the due-time index."""
 
+import glob
+import json
 import random
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -156,6 +158,29 @@ def test_refresh_reads_changed_months_only(spark, tmp_path):
     assert {f.split("month=")[1][:7] for f in before ^ after} == {"1996-04"}
 
 
+def test_report_sections_equal_the_reports(spark, tmp_path):
+    odd = offers(spark, [row("n1", "x1", created_at=None, status="takerPaid", taker_lightning_address="a@late.example"),
+                         row("n2", "x2", status="takerPaid", taker_fees=1000, taker_invoice_fees=3, taker_lightning_address="a@b@c"),
+                         row("n3", "x3", status="takerPaid", taker_invoice_fees=None, taker_lightning_address="x@"),
+                         row("n4", "x4", status="expired", created_at=DAY + timedelta(days=800), taker_lightning_address="a@never.example"),
+                         row("n5", "x5", status="takerPaid", taker_lightning_address="no address")])
+    table = Tables(spark, SF_SMALL).offers.unionByName(odd)
+    for source in (table, table.where("id = 'n4'"), table.limit(0)):
+        states = RU.domain_states(source).cache()
+        for got, want in [(RU.domain_report(states), R.taker_domain_ranking(source)), (RU.weekday_report(states), R.weekday_profile(source)),
+                          (RU.totals_report(states), R.metrics_totals(source)), (RU.period_report(states, "weekly"), R.metrics_by_period(source, "weekly", ORDERS_AS_OF))]:
+            got = got.select(*want.columns)
+            assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = RU.domain_states(odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_sum" in plan
+    sections = io.report_sections(table, "monthly")
+    io.write_sections(sections, f"{tmp_path}/doc")
+    stored = spark.read.json(f"{tmp_path}/doc")
+    assert stored.count() == sections.count()
+    ranking = [json.loads(x)["entry"] for f in sorted(glob.glob(f"{tmp_path}/doc/section=takerDomainRanking/part-*")) for x in open(f)]
+    assert [json.loads(e)["taker_domain"] for e in ranking] == [r.taker_domain for r in R.taker_domain_ranking(table).collect()]
+
+
 # --------------------------------------------------------------------------- due times
 def swept(offers_now, as_of):
     return sorted(tuple(r) for rule in LC.SWEEP_ORDER for r in LC.sweep(offers_now, rule, as_of).withColumn("rule", F.lit(rule)).select("id", "status", "rule", "new_status", "due_at").collect())
