@@ -59,25 +59,34 @@ CHAT = """
 WITH t AS (
   SELECT conv_id, floor(turn / 64.0)::BIGINT AS piece, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body
   FROM conversations),
+numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, piece ORDER BY turn NULLS FIRST, role, body) - 1) // 256 AS part,
+    count(*) OVER (PARTITION BY conv_id, piece) AS n
+  FROM t),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-pieces AS (SELECT DISTINCT conv_id, piece FROM t),
+pieces AS (SELECT DISTINCT conv_id, piece, part FROM numbered),
 views AS (
-  SELECT p.conv_id, p.piece, s.perspective FROM pieces p LEFT JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+  SELECT p.conv_id, p.piece, p.part, s.perspective FROM pieces p LEFT JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+placed_turns AS (
+  SELECT conv_id, piece, part, turn, role, body, false AS context FROM numbered
+  UNION ALL
+  SELECT conv_id, piece + 1, 0, turn, role, body, true FROM numbered WHERE n <= 256 AND turn - 64 * piece >= 56),
 seg AS (
-  SELECT v.*, row_number() OVER (PARTITION BY v.conv_id, v.piece, v.perspective ORDER BY t.turn NULLS FIRST, t.role, t.body) AS k,
-    coalesce(t.role = v.perspective, false) AS mine,
+  SELECT v.*, t.context,
+    row_number() OVER (PARTITION BY v.conv_id, v.piece, v.part, v.perspective ORDER BY t.turn NULLS FIRST, t.role, t.body) AS k,
+    coalesce(t.role = v.perspective, false) AND NOT t.context AS mine,
     '<|im_start|>' || CASE WHEN t.role = 'system' THEN 'system' WHEN t.role = v.perspective THEN 'assistant'
       ELSE 'user name=' || t.role END || chr(10) AS head,
     t.body || '<|im_end|>' AS body
-  FROM views v JOIN t ON t.conv_id IS NOT DISTINCT FROM v.conv_id AND t.piece IS NOT DISTINCT FROM v.piece),
+  FROM views v JOIN placed_turns t ON t.conv_id IS NOT DISTINCT FROM v.conv_id AND t.piece IS NOT DISTINCT FROM v.piece AND t.part = v.part),
 placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, piece, perspective ORDER BY k
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, piece, part, perspective ORDER BY k
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a
   FROM seg)
-SELECT conv_id, piece, perspective, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
+SELECT conv_id, piece, part, perspective, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
   coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(body) AS BIGINT), ',' ORDER BY k) FILTER (WHERE mine), '') AS train_spans,
-  count(*) FILTER (WHERE mine) AS n_trained, count(*) AS n_turns
-FROM placed GROUP BY conv_id, piece, perspective
+  count(*) FILTER (WHERE mine) AS n_trained, count(*) FILTER (WHERE NOT context) AS n_turns, count(*) FILTER (WHERE context) AS n_context
+FROM placed GROUP BY conv_id, piece, part, perspective
 """
 
 STOP = "'" + "','".join((

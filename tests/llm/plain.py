@@ -58,7 +58,7 @@ def substring(rows, width=13):
     return out
 
 
-def rotate(rows, size=64):
+def rotate(rows, size=64, context=8, limit=256):
     """rows: (conv, turn, role, text)."""
     talks = defaultdict(list)
     for conv, turn, role, text in rows:
@@ -67,21 +67,25 @@ def rotate(rows, size=64):
     for conv, turns in talks.items():
         speakers = sorted({r for _, r, _ in turns if r != "system"}) or [None]
         pieces = defaultdict(list)
-        for t in turns:
+        for t in sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1].encode(), t[2].encode())):
             pieces[None if t[0] is None else t[0] // size].append(t)
-        for piece, part in pieces.items():
-            part.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1].encode(), t[2].encode()))
-            for me in speakers:
-                text, spans = "", []
-                for _, role, body in part:
-                    name = "system" if role == "system" else "assistant" if role == me else f"user name={role}"
-                    text += f"<|im_start|>{name}\n"
-                    start = len(text)
-                    text += f"{body}<|im_end|>"
-                    if role == me:
-                        spans.append(f"{start}-{len(text)}")
-                    text += "\n"
-                out.append((conv, piece, me, text, ",".join(spans), len(spans), len(part)))
+        for piece, whole in pieces.items():
+            told = pieces.get(piece - 1, []) if piece is not None else []
+            told = [t for t in told if t[0] % size >= size - context] if len(told) <= limit else []
+            for part in range(-(-len(whole) // limit)):
+                own = whole[part * limit: (part + 1) * limit]
+                before = told if part == 0 else []
+                for me in speakers:
+                    text, spans = "", []
+                    for k, (_, role, body) in enumerate(before + own):
+                        name = "system" if role == "system" else "assistant" if role == me else f"user name={role}"
+                        text += f"<|im_start|>{name}\n"
+                        start = len(text)
+                        text += f"{body}<|im_end|>"
+                        if role == me and k >= len(before):
+                            spans.append(f"{start}-{len(text)}")
+                        text += "\n"
+                    out.append((conv, piece, part, me, text, ",".join(spans), len(spans), len(own), len(before)))
     return out
 
 

@@ -136,6 +136,21 @@ def test_chat(spark):
     assert "Python" not in op3_chat.query(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_chat_hot_pieces_and_context(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    hot = [(None, k % 8, f"r{k % 3}", f"t{k % 1000}") for k in range(5000)]  # a null conversation of ties
+    same = [(1, 5, "ann", "same")] * 2000 + [(1, 70, "bob", "after a hot piece")]
+    untimed = [(2, None, "ann" if k % 2 else None, None) for k in range(700)]
+    across = [(3, t, "ann" if t % 2 else "bob", "é" * (t % 5)) for t in range(60, 71)] + [(3, -1, "bob", "before"), (3, 0, "system", "rules")]
+    edge = [(4, 3, "ann", str(k)) for k in range(256)] + [(4, 64, "ann", "x")] + [(5, 63, "ann", str(k)) for k in range(256)] + [(5, 64, "bob", "y")]
+    long = [(6, 1, "ann", "w" * 300_000), (6, 63, "bob", "z" * 200_000), (6, 64, "ann", "end")]
+    rows = hot + same + untimed + across + edge + long
+    df = spark.createDataFrame(rows, schema).repartition(5).withColumn("at", F.lit(1)).withColumn("part", F.lit("x")).withColumn("n", F.lit(0))
+    assert by(tuples(op3_chat.query(df))) == by(plain.rotate(rows))
+    ranged = op3_chat.parted(spark.createDataFrame(same, schema).selectExpr("*", "floor(turn / 64) AS piece").where("piece = 0"), 100)
+    assert sorted(r["count"] for r in ranged.groupBy("part").count().collect()) == [100] * 20
+
+
 ITEMS = [
     (1, "When Alice buys 5 apples for 3 dollars and gives 2 km of rope to Bob, how many apples does Alice keep for 7 days here"),
     (2, "short item text"), (3, None), (4, ""), (None, "null item id words that never count for anything at all"), (5, "Der Hund lief 10 km durch den Wald und fand 12 alte Steine am Ufer"),
