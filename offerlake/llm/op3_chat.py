@@ -50,30 +50,19 @@ def _segment(turn: Column, perspective: Column) -> Column:
     return F.struct(head.alias("head"), F.concat(turn["text"], F.lit(CLOSE)).alias("body"), (mine & ~turn["context"]).alias("mine"))
 
 
-def _same(left: DataFrame, right: DataFrame, *keys: str) -> Column:
-    """The keys are equal, null like any value."""
-    same = F.lit(True)
-    for k in keys:
-        same = same & left[k].eqNullSafe(right[f"{k}_"])
-    return same
-
-
-def _renamed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.withColumnsRenamed({k: f"{k}_" for k in keys})
-
-
 def parted(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """The turns of hot pieces with their part, by running position in (turn, role, text)."""
     order = ["conv_id", "piece", "turn", "role", "text"]
     # the row number ends the order, so that equal turns can lie in several ranges
     ranged = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie")
-    placed = stored(ranged.drop("tie").withColumn("at", F.monotonically_increasing_id()), "chat-hot").withColumn("range", F.shiftright("at", 33))
+    at = F.monotonically_increasing_id()
+    placed = stored(ranged.drop("tie").withColumn("at", at).withColumn("run", F.struct("conv_id", "piece", F.shiftright("at", 33).alias("range"))), "chat-hot")
     # a piece's rows in a range have consecutive numbers
-    runs = placed.groupBy("conv_id", "piece", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id", "piece").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    runs = _renamed(runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "conv_id", "piece", "range")
-    at = F.col("at") - F.col("first") + F.col("before")
-    return placed.join(runs, _same(placed, runs, "conv_id", "piece", "range")).withColumn("part", F.floor(at / part_rows)).select(*order, "part")
+    runs = placed.groupBy("run").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("run.conv_id", "run.piece").orderBy("run.range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("run", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.col("at") - F.col("first") + F.col("before")
+    return placed.join(runs, "run").withColumn("part", F.floor(place / part_rows)).select(*order, "part")
 
 
 def rotate(turns: DataFrame, piece_turns: int = PIECE_TURNS, context_turns: int = CONTEXT_TURNS, part_rows: int = PART_ROWS) -> DataFrame:
@@ -84,14 +73,17 @@ def rotate(turns: DataFrame, piece_turns: int = PIECE_TURNS, context_turns: int
     t = turns.select(
         "conv_id", F.floor(F.col("turn") / piece_turns).alias("piece"), "turn",
         F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    speakers = (t.where(~F.col("role").isin(*SYSTEM_ROLES)).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct())
-    cells = t.groupBy("conv_id", "piece").agg(F.count("*").alias("n"))
-    pieces = cells.select(F.col("conv_id").alias("pc"), F.col("piece").alias("pp"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part_rows))).alias("pt"))
-    views = pieces.join(speakers, F.col("pc").eqNullSafe(F.col("c")), "left").select("pc", "pp", "pt", "perspective")
-
-    hot = _renamed(cells.where(F.col("n") > part_rows).drop("n"), "conv_id", "piece")
-    cut = parted(t.join(hot, _same(t, hot, "conv_id", "piece"), "left_semi"), part_rows)
-    calm = t.join(hot, _same(t, hot, "conv_id", "piece"), "left_anti")
+    key = F.struct("conv_id", "piece").alias("key")  # a struct is equal to another where nulls are
+    speakers = (t.where(~F.col("role").isin(*SYSTEM_ROLES)).select(F.struct("conv_id").alias("talk"), F.col("role").alias("perspective")).distinct())
+    cells = t.groupBy(key).agg(F.count("*").alias("n"))
+    pieces = cells.select("key", F.struct("key.conv_id").alias("talk"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part_rows))).alias("part"))
+    views = pieces.join(speakers, "talk", "left").select("key", "part", "perspective")
+
+    # a written table has a known size: the planner broadcasts a short list, and shuffles texts for a long one only
+    hot = stored(cells.where(F.col("n") > part_rows).select("key"), "chat-hot-pieces")
+    keyed = t.withColumn("key", key)
+    cut = parted(keyed.join(hot, "key", "left_semi").drop("key"), part_rows)
+    calm = keyed.join(hot, "key", "left_anti")
     here = F.struct("piece", F.lit(False).alias("context"))
     late = F.col("turn") - F.col("piece") * piece_turns >= piece_turns - context_turns
     there = F.struct((F.col("piece") + 1).alias("piece"), F.lit(True).alias("context"))
@@ -99,9 +91,8 @@ def rotate(turns: DataFrame, piece_turns: int = PIECE_TURNS, context_turns: int
     placed = both_ways.select("conv_id", "to.piece", F.lit(0).cast("long").alias("part"), "turn", "role", "text", "to.context").unionByName(
         cut.withColumn("context", F.lit(False)))
 
-    held = placed.groupBy("conv_id", "piece", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "context"))).alias("turns"))
-    # a piece that holds nothing but context has no view
-    both = held.join(views, F.col("conv_id").eqNullSafe(F.col("pc")) & F.col("piece").eqNullSafe(F.col("pp")) & (F.col("part") == F.col("pt")))
+    held = placed.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "context"))).alias("turns"))
+    both = held.join(views, ["key", "part"])  # a piece that holds nothing but context has no view
     parts = both.withColumn("parts", F.transform("turns", lambda x: _segment(x, F.col("perspective"))))
     empty = F.array().cast("array<struct<start:long,end:long>>")
 
@@ -114,7 +105,7 @@ def rotate(turns: DataFrame, piece_turns: int = PIECE_TURNS, context_turns: int
     zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
     context = F.size(F.filter("turns", lambda x: x["context"])).cast("long")
     return parts.select(
-        "conv_id", "piece", "part", "perspective",
+        "key.conv_id", "key.piece", "part", "perspective",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
         F.aggregate("parts", zero, step, lambda a: a["spans"]).alias("spans"),
         (F.size("parts") - context).alias("n_turns"), context.alias("n_context"))
