@@ -11,6 +11,11 @@ backward A-star search whose exact heuristic is the forward score; those of a
 text differ from its best one only in the N - 1 chunk occurrences with the
 smallest gaps, so only these are searched and their choices merged.
 
+The model is a BPE one: its scores are merge ranks, so the best segmentation by
+score is not the library's encoding. That comes beside it as ``library_ids``:
+BPE never merges across chunks, so the library encodes each distinct chunk once
+and the texts' ids are put together from these.
+
 Characters without a piece become their UTF-8 byte pieces at one penalty below
 the lowest score. Work is one pass over the documents, without a shuffle.
 
@@ -19,7 +24,9 @@ segmentation; fewer than N segmentations give as many as there are; of equally
 good segmentations the best is the one with longer pieces from the end of the
 chunk, and each of the others is an alternative of its own; equal gaps prefer
 earlier places in the text; null ids and repeated rows are encoded like any other; other columns are
-ignored. Decoding reverses the ids, with U+FFFD for broken bytes.
+ignored. Decoding reverses the ids, ``ids`` or ``library_ids``,
+with U+FFFD for broken bytes. The model must leave texts as they are but for
+spaces; one that normalises them otherwise fails the job.
 """
 
 from __future__ import annotations
@@ -27,7 +34,8 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from itertools import count
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +47,21 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 BLOCK_BYTES = 4 << 20
 LATTICE_CHARS = 1 << 16  # characters whose lattices are held at once
+KEPT_CHARS = 1 << 20  # characters of chunks whose results a worker keeps for its next blocks
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 FLOOR = -1e8  # scores below this mark pieces kept out of use on purpose; they still count, but set no minimum
-SCHEMA = ("doc_id long, n_pieces long, score double, ids array<int>, "
+SCHEMA = ("doc_id long, n_pieces long, score double, ids array<int>, library_ids array<int>, "
           "nbest array<struct<score:double,changes:array<struct<at:int,old:int,ids:array<int>>>>>")
 BASE = np.uint64(X.BASE)
+PROBE = " A\tﬁ①  é\n "  # what a model that normalises would change
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices begin[p] .. begin[p + 1] of ``values`` one after the other, and their lengths."""
+    lengths = np.diff(begin)[pick]
+    at = np.cumsum(lengths) - lengths
+    return values[np.repeat(begin[pick] - at, lengths) + np.arange(lengths.sum())], lengths
 
 
 class Lexicon:
@@ -57,7 +74,9 @@ class Lexicon:
             import public_tokenizers
 
             model = public_tokenizers.path(model)
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        sp = self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        if sp.normalize(PROBE) != SPACE + PROBE.replace(" ", SPACE):
+            raise ValueError("the model normalises texts")
         n = sp.get_piece_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
@@ -88,6 +107,7 @@ class Lexicon:
                 break
             bits += 1
         self.table, self.value = table, value
+        self.kept: dict[bool, tuple] = {}  # chunks' places and results, see _results
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -110,6 +130,16 @@ class Lexicon:
             open_ = open_[~hit & (self.table[slot[open_]] != 0)]
         return out
 
+    def library_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of chunks, one after the other, and where each begins."""
+        # the library puts the first space itself, but not before an empty text
+        found = self.sp.encode([c[1:] for c in chunks], num_threads=1)
+        lone = next((i for i, c in enumerate(chunks) if c == SPACE), None)
+        if lone is not None:
+            found[lone] = [self.sp.piece_to_id(SPACE)]
+        begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(begin[-1])), begin
+
     def unknown_ids(self, char: str) -> list[int]:
         return [self.byte_id.get(b, self.unknown) for b in char.encode()] if self.byte_id else [self.unknown]
 
@@ -265,13 +295,22 @@ class Lattices:
 def _chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct chunks, the chunk of every occurrence, and each text's number of them."""
     split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-    index: dict[str, int] = {}
-    found, sizes = [], []
-    for t in texts:
-        parts = split(SPACE + t.replace(" ", SPACE)) if t else []
-        sizes.append(len(parts))
-        found.extend([index.setdefault(p, len(index)) for p in parts])
-    return list(index), np.array(found, np.int64), np.array(sizes, np.int64)
+    index: dict[str, int] = defaultdict(count().__next__)
+    sizes = []
+
+    def occurrences():
+        for t in texts:
+            if not t:
+                parts = []
+            elif SPACE in t or "  " in t or t[0] == " " or t[-1] == " ":
+                parts = split(SPACE + t.replace(" ", SPACE))
+            else:  # single spaces inside: every chunk is one word
+                parts = (SPACE + t.replace(" ", f" {SPACE}")).split(" ")
+            sizes.append(len(parts))
+            yield map(index.__getitem__, parts)
+
+    found = np.fromiter(chain.from_iterable(occurrences()), np.int64)
+    return list(index), found, np.array(sizes, np.int64)
 
 
 def _score(lex: Lexicon, chunks: list[str]) -> tuple[np.ndarray, ...]:
@@ -287,6 +326,30 @@ def _score(lex: Lexicon, chunks: list[str]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _results(lex: Lexicon, chunks: list[str], library: bool) -> tuple[np.ndarray, tuple]:
+    """Each chunk's place in a table of results (best, gap, width, library width, ids, library ids).
+
+    The table begins with chunks of the worker's first block, as words recur from block to block.
+    """
+    index, old = lex.kept.get(library, ({}, None))
+    place = np.fromiter((index.get(c, -1) for c in chunks), np.int64, len(chunks))
+    new = np.flatnonzero(place < 0)
+    fresh = [chunks[i] for i in new.tolist()]
+    table = old
+    if fresh:
+        best, gap, ids, width = _score(lex, fresh)
+        given, begin = lex.library_ids(fresh) if library else (np.zeros(0, np.int32), np.zeros(len(fresh) + 1, np.int64))
+        table = (best, gap, width, np.diff(begin), ids, given)
+        if old is None:
+            n = int(np.searchsorted(np.cumsum([len(c) for c in fresh]), KEPT_CHARS, side="right"))
+            lex.kept[library] = ({c: i for i, c in enumerate(fresh[:n])},
+                                 tuple(x[:m].copy() for x, m in zip(table, (n, n, n, n, int(width[:n].sum()), int(begin[n])))))
+        else:
+            table = tuple(np.concatenate(x) for x in zip(old, table))
+        place[new] = np.arange(len(new)) + len(index)
+    return place, table
+
+
 def _merge(options: list[list[tuple[float, list[int]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best (loss, choice per place) over independent places."""
     held: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
@@ -296,8 +359,9 @@ def _merge(options: list[list[tuple[float, list[int]]]], n: int) -> list[tuple[f
     return held
 
 
-def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> DataFrame:
-    """One row per document: ids of the best segmentation, its score, and the N best.
+def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, library: bool = True) -> DataFrame:
+    """One row per document: ids of the best segmentation, its score, the library's ids
+    (empty if not ``library``), and the N best.
 
     An alternative is its score and its changes to the best: at position ``at``
     of ``ids``, ``old`` ids are replaced by others.
@@ -307,35 +371,35 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> DataFra
         lex = lexicon(model)
         for batch in batches:
             for block in X.slices(batch, "text", BLOCK_BYTES):
-                yield _encode_block(lex, block, n_best)
+                yield _encode_block(lex, block, n_best, library)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(X.lean(make), SCHEMA)
 
 
-def _encode_block(lex: Lexicon, block: pa.RecordBatch, n_best: int) -> pa.RecordBatch:
+def _encode_block(lex: Lexicon, block: pa.RecordBatch, n_best: int, library: bool = True) -> pa.RecordBatch:
     chunks, occ, sizes = _chunks([t or "" for t in block.column(1).to_pylist()])
     rows = block.num_rows
     change = pa.struct([("at", pa.int32()), ("old", pa.int32()), ("ids", pa.list_(pa.int32()))])
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
-    names = ["doc_id", "n_pieces", "score", "ids", "nbest"]
+    names = ["doc_id", "n_pieces", "score", "ids", "library_ids", "nbest"]
+    none = pa.array([[]] * rows, pa.list_(pa.int32()))
     if not chunks:
-        return pa.RecordBatch.from_arrays([block.column(0), pa.array([0] * rows, pa.int64()), pa.array([0.0] * rows), pa.array([[]] * rows, pa.list_(pa.int32())),
+        return pa.RecordBatch.from_arrays([block.column(0), pa.array([0] * rows, pa.int64()), pa.array([0.0] * rows), none, none,
                                            pa.array([[{"score": 0.0, "changes": []}]] * rows, kind)], names=names)
-    best, gap, all_ids, width = _score(lex, chunks)
-    id_begin = np.concatenate(([0], np.cumsum(width)))
+    place, (best, gap, width, given_width, all_ids, all_given) = _results(lex, chunks, library)
+    known = place[occ]
     first = np.cumsum(sizes) - sizes
     row = np.repeat(np.arange(rows), sizes)
-    lengths = width[occ]
+    ids, lengths = _gather(all_ids, np.concatenate(([0], np.cumsum(width))), known)
     begin = np.cumsum(lengths) - lengths
-    ids = all_ids[np.repeat(id_begin[occ] - begin, lengths) + np.arange(lengths.sum())]
     pieces = np.bincount(row, weights=lengths, minlength=rows).astype(np.int64)
     offsets = np.concatenate(([0], np.cumsum(pieces)))
-    score = np.bincount(row, weights=best[occ], minlength=rows)
+    score = np.bincount(row, weights=best[known], minlength=rows)
     # the places of each text with the smallest gaps
-    order = np.lexsort((np.arange(len(occ)), gap[occ], row))
+    order = np.lexsort((np.arange(len(occ)), gap[known], row))
     rank = np.arange(len(occ)) - first[row]
     pick = order[rank < n_best - 1]
-    pick = pick[np.isfinite(gap[occ[pick]])]
+    pick = pick[np.isfinite(gap[known[pick]])]
     wanted = np.unique(occ[pick]).tolist()
     few = Lattices(lex, [chunks[c] for c in wanted]) if wanted else None
     searched = {c: few.n_best(k, n_best) for k, c in enumerate(wanted)}
@@ -352,7 +416,10 @@ def _encode_block(lex: Lexicon, block: pa.RecordBatch, n_best: int) -> pa.Record
             found.append({"score": float(score[r] - loss), "changes": changes})
         nbest.append(found)
     held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-    return pa.RecordBatch.from_arrays([block.column(0), pa.array(pieces), pa.array(score), held, pa.array(nbest, kind)], names=names)
+    given, widths = _gather(all_given, np.concatenate(([0], np.cumsum(given_width))), known)
+    ends = np.concatenate(([0], np.cumsum(widths)))[np.concatenate(([0], np.cumsum(sizes)))]
+    library = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(given, pa.int32()))
+    return pa.RecordBatch.from_arrays([block.column(0), pa.array(pieces), pa.array(score), held, library, pa.array(nbest, kind)], names=names)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:

@@ -1,3 +1,4 @@
+import copy
 import random
 import re
 
@@ -388,6 +389,39 @@ def test_encoding_round_trip(docs, empty):
     assert tuples(op7_pieces.query(empty)) == []
 
 
+def test_library_encoding(docs):
+    encoded = op7_pieces.encode(docs)
+    sp = op7_pieces.lexicon(op7_pieces.MODEL).sp
+    assert by((r.doc_id, r.library_ids) for r in encoded.collect()) == by((i, sp.encode(t or "", num_threads=1)) for i, t in edge_rows())
+    assert by(tuples(op7_pieces.decode(encoded, ids="library_ids"))) == by([(i, t or "") for i, t in edge_rows()])
+    lex = op7_pieces.lexicon(op7_pieces.MODEL)
+    texts = ["", " ", "  ", "a ", " a", "a  b", "\t\n", "▁x▁", "😀 é 日本語 %%%", "x" * 5000, "\x00a", "a   ", "①ﬁ ﬀ", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    assert [r["library_ids"] for r in op7_pieces._encode_block(lex, batch, 4).to_pylist()] == [sp.encode(t or "", num_threads=1) for t in texts]
+
+
+def test_kept_chunks_change_nothing(monkeypatch):
+    """A worker's later blocks use results of its first one."""
+    r = random.Random(5)
+    blocks = [pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([" ".join(r.choice("the der un %%% x a1 zebra 梦".split()) + r.choice(["", "s", "%"]) for _ in range(20)) for _ in range(30)])],
+                                         names=["doc_id", "text"]) for _ in range(4)]
+    model = op7_pieces.MODEL
+    for chars in (0, 40, 1 << 20):
+        monkeypatch.setattr(op7_pieces, "KEPT_CHARS", chars)
+        lex = op7_pieces.Lexicon(model)
+        for library in (True, False):
+            for block in blocks:
+                want = op7_pieces._encode_block(plain_lexicon(lex), block, 4, library)
+                got = op7_pieces._encode_block(lex, block, 4, library)
+                assert got.drop_columns("score").equals(want.drop_columns("score"))
+
+
+def plain_lexicon(lex):
+    fresh = copy.copy(lex)
+    fresh.kept = {}
+    return fresh
+
+
 def test_near_duplicates(spark, docs, empty, monkeypatch):
     want = plain.near(edge_rows())
     got = tuples(op8_minhash.near_duplicates(docs))
