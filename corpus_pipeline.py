@@ -58,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op7_pieces.encode(docs.select(*COLUMNS))
+    return op7_pieces.encode(docs.select(*COLUMNS), library=False)
 
 
 STAGES = [

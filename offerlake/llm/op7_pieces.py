@@ -329,7 +329,7 @@ def _score(lex: Lexicon, chunks: list[str]) -> tuple[np.ndarray, ...]:
 def _results(lex: Lexicon, chunks: list[str], library: bool) -> tuple[np.ndarray, tuple]:
     """Each chunk's place in a table of results (best, gap, width, library width, ids, library ids).
 
-    The table begins with chunks of the worker's first block, as words recur from block to block.
+    With the library's ids, the table begins with chunks of the worker's first block, as words recur from block to block.
     """
     index, old = lex.kept.get(library, ({}, None))
     place = np.fromiter((index.get(c, -1) for c in chunks), np.int64, len(chunks))
@@ -340,7 +340,7 @@ def _results(lex: Lexicon, chunks: list[str], library: bool) -> tuple[np.ndarray
         best, gap, ids, width = _score(lex, fresh)
         given, begin = lex.library_ids(fresh) if library else (np.zeros(0, np.int32), np.zeros(len(fresh) + 1, np.int64))
         table = (best, gap, width, np.diff(begin), ids, given)
-        if old is None:
+        if library and old is None:
             n = int(np.searchsorted(np.cumsum([len(c) for c in fresh]), KEPT_CHARS, side="right"))
             lex.kept[library] = ({c: i for i, c in enumerate(fresh[:n])},
                                  tuple(x[:m].copy() for x, m in zip(table, (n, n, n, n, int(width[:n].sum()), int(begin[n])))))
