@@ -344,7 +344,7 @@ def _results(lex: Lexicon, chunks: list[str], library: bool) -> tuple[np.ndarray
             n = int(np.searchsorted(np.cumsum([len(c) for c in fresh]), KEPT_CHARS, side="right"))
             lex.kept[library] = ({c: i for i, c in enumerate(fresh[:n])},
                                  tuple(x[:m].copy() for x, m in zip(table, (n, n, n, n, int(width[:n].sum()), int(begin[n])))))
-        else:
+        elif old is not None:
             table = tuple(np.concatenate(x) for x in zip(old, table))
         place[new] = np.arange(len(new)) + len(index)
     return place, table
