@@ -8,8 +8,10 @@ link the ranges. A key with a third of all rows, or a minute that holds all of
 them, is cut into as many ranges as its size asks for. Only rows that are equal
 in the whole order stay together.
 
-The source is read for the sort (and sampled for the ranges' bounds); the
-stored rows are read once for the ranges and once for the carries.
+The source is read for the sort (counted, and sampled for the ranges' bounds); the
+stored rows are read once for the ranges and once or twice for the carries. Ranges
+hold about RANGE_ROWS rows and are dealt to as many tasks: sorted rows compress so well
+that tasks cut by their bytes would hold many ranges, and sort them in memory.
 """
 
 from __future__ import annotations
@@ -20,6 +22,12 @@ from pyspark.sql import types as T
 
 from offerlake.sources.io import scratch_path
 
+RANGE_ROWS = 100_000
+
+
+def ranges_for(df: DataFrame, chunk: int | None = None) -> int:
+    return max(1, -(-df.count() // (chunk or RANGE_ROWS)))
+
 
 def ranged(df: DataFrame, order: list[str | Column], ranges: int | None = None) -> DataFrame:
     """``df`` sorted by ``order``, stored, with ``_at`` (a number that grows with the order) and ``_part`` (the range)."""
@@ -36,12 +44,14 @@ def neighbors(df: DataFrame, key: str, order: str, cols: list[str], chunk: int |
     ``order`` follow each other in any order; ``chunk`` asks for ranges of about
     that many rows."""
     vals = F.struct(F.col(key).alias("key"), F.struct(F.col(order), *[F.col(c) for c in cols]).alias("row"))
-    ranges = max(1, -(-df.count() // chunk)) if chunk else None
+    ranges = ranges_for(df, chunk)
     rows = ranged(df, [key, order], ranges)
     w = Window.partitionBy("_part").orderBy("_at")
-    local = rows.withColumn("_prev", F.lag(vals).over(w)).withColumn("_next", F.lead(vals).over(w))
-    # one row per range: its first and last row
-    edges = rows.groupBy("_part").agg(F.min_by(vals, F.col("_at")).alias("_first"), F.max_by(vals, F.col("_at")).alias("_last"))
+    local = rows.repartition(ranges, "_part").withColumn("_prev", F.lag(vals).over(w)).withColumn("_next", F.lead(vals).over(w))
+    # one row per range: its first and last row; the numbers of these are found first, so that no range is sorted for them
+    bounds = rows.groupBy("_part").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"))
+    ends = bounds.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_at"))
+    edges = rows.join(F.broadcast(ends), "_at").groupBy("_part").agg(F.min_by(vals, F.col("_at")).alias("_first"), F.max_by(vals, F.col("_at")).alias("_last"))
     links = edges.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_before"), F.lead("_first").over(Window.orderBy("_part")).alias("_after"))
 
     def same(side: str, link: str) -> Column:
@@ -55,9 +65,10 @@ def neighbors(df: DataFrame, key: str, order: str, cols: list[str], chunk: int |
 
 def last_seen(df: DataFrame, order: list[str | Column], value: str, into: str, ranges: int | None = None) -> DataFrame:
     """Adds ``into``: the last ``value`` that is not null among the rows up to each one, in ``order``."""
+    ranges = ranges or ranges_for(df)
     rows = ranged(df, order, ranges)
     upto = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(upto))
+    local = rows.repartition(ranges, "_part").withColumn("_local", F.last(value, ignorenulls=True).over(upto))
     ends = rows.groupBy("_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_end"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     carry = ends.select("_part", F.last("_end", ignorenulls=True).over(before).alias("_carry"))

@@ -669,3 +669,18 @@ def test_replay_hot_split_beyond_broadcast_cap(spark, monkeypatch):
     monkeypatch.setattr(LC, "MAX_BROADCAST_HOT", 2)
     joined = LC.replay_steps(t.action_log, t.offers, hot_threshold=5).select(*cols)
     assert jvm.exceptAll(joined).count() == 0 and joined.exceptAll(jvm).count() == 0
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """Neighbours are found in ranges of about RANGE_ROWS rows, each a task's share, however well the rows compress."""
+    from offerlake.operators import ordered
+    asked, plain = [], ordered.ranged
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    monkeypatch.setattr(ordered, "ranged", lambda df, order, ranges=None: asked.append(ranges) or plain(df, order, ranges))
+    df = spark.range(1500).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 400) END AS k", "CAST(id AS INT) AS seq", "id * 7 AS v")
+    got = {(r.k, r.seq): (r.prev and r.prev.v, r.next and r.next.v) for r in neighbors(df, "k", "seq", ["v"]).collect()}
+    by_key = {}
+    for r in df.orderBy("seq").collect():
+        by_key.setdefault(r.k, []).append((r.seq, r.v))
+    want = {(k, s): (rows[i - 1][1] if i else None, rows[i + 1][1] if i + 1 < len(rows) else None) for k, rows in by_key.items() for i, (s, _) in enumerate(rows)}
+    assert got == want and asked == [15]
