@@ -15,6 +15,7 @@ several micro-batches and return what its sink holds.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from offerlake import schema as S
 from offerlake.sources import commits
 from offerlake.sources.io import scratch_path
+from offerlake.streaming import shards as Z
 
 LANDED_FILES = 4
 FILE_BYTES = 64 << 20
+FILE_ROWS = 100_000
 
 
 def files_for(df: DataFrame, least: int = LANDED_FILES) -> int:
@@ -43,23 +46,39 @@ def land_files(df: DataFrame, name: str, files: int | None = None) -> tuple[str,
     return path, df.schema
 
 
-def land_in_steps(df: DataFrame, name: str, order: str, steps: int = 4, files: int = LANDED_FILES) -> tuple[str, T.StructType]:
+def landed_stream(df: DataFrame, name: str) -> DataFrame:
+    """``df`` landed and read as a stream of LANDED_FILES micro-batches. The files of a micro-batch follow the
+    number of rows (the planner's estimate of a join is the product of its sides) and are read side by side."""
+    files = max(LANDED_FILES, -(-df.count() // FILE_ROWS))
+    path, schema = land_files(df, name, files)
+    return read_stream(df.sparkSession, path, schema, -(-files // LANDED_FILES))
+
+
+def landing_steps(df: DataFrame, path: str, order: str, steps: int = 4, files: int | None = None):
     """Land ``df`` the way a feed arrives: ``steps`` equal spans of the
     timestamp ``order`` one after another, each written by parallel tasks
-    as ``files`` files. Rows without a time come with the first."""
-    path = scratch_path(df.sparkSession, f"src-{name}")
+    as ``files`` files, by default as many as its share of the rows asks for.
+    Rows without a time come with the first. Yields the files a span has at most."""
     at = F.unix_micros(F.col(order).cast("timestamp"))
-    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    lo, hi, n = df.agg(F.min(at), F.max(at), F.count("*")).first()
+    files = files or max(LANDED_FILES, -(-n // (steps * FILE_ROWS)))
     width = ((hi or 0) - (lo or 0)) // steps + 1
     step = F.coalesce(F.floor((at - F.lit(lo or 0)) / F.lit(width)), F.lit(0))
     for k in range(steps):
         df.where(step == k).repartition(files).write.mode("append").parquet(path)
-    return path, df.schema
+        yield files
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of its own: what every micro-batch reads is worked out once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(path))
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = 1) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def run_to_files(stream: DataFrame, name: str, mode: str = "append", out: str | None = None,
@@ -101,23 +120,19 @@ def _batch_writer(df: DataFrame, batch_id: int, out: str) -> None:
 # ---------------------------------------------------------------------------
 def stream_enrich_audit(spark: SparkSession, records: DataFrame) -> DataFrame:
     from offerlake.operators.audit import enrich_audit
-    path, schema = land_files(records, "log-records")
-    out = run_to_files(enrich_audit(read_stream(spark, path, schema)), "audit")
+    out = run_to_files(enrich_audit(landed_stream(records, "log-records")), "audit")
     return spark.read.schema(S.AUDIT_SCHEMA).parquet(out)
 
 
 def stream_validate_requests(spark: SparkSession, requests: DataFrame) -> DataFrame:
     from offerlake.operators.feed import validate_requests
-    path, schema = land_files(requests, "requests")
-    stream = validate_requests(read_stream(spark, path, schema))
-    out = run_to_files(stream, "validated")
+    out = run_to_files(validate_requests(landed_stream(requests, "requests")), "validated")
     return spark.read.parquet(out)
 
 
 def read_changes(spark: SparkSession, changes: DataFrame, name: str = "changes") -> DataFrame:
     """The change feed as a stream (files landed by the capture job)."""
-    path, schema = land_files(changes, name)
-    return read_stream(spark, path, schema)
+    return landed_stream(changes, name)
 
 
 # ---------------------------------------------------------------------------
@@ -131,7 +146,8 @@ def stream_offer_changes(spark: SparkSession, changes: DataFrame, offers: DataFr
 
 def stream_audit_changes(spark: SparkSession, changes: DataFrame, audit: DataFrame) -> DataFrame:
     """Each micro-batch of changes meets the audit; only its own offers' audit rows are reduced."""
-    from offerlake.operators.changes import audit_changes_enriched
+    from offerlake.operators.changes import AUDIT_VIEW, audit_changes_enriched
+    audit = stored(audit.select(*AUDIT_VIEW), "audit")
     out = run_foreach_batch(read_changes(spark, changes, "audit-changes"), "audit-changes",
                             lambda df, bid, to: _batch_writer(audit_changes_enriched(df, audit), bid, to), mode="append")
     return spark.read.parquet(out).drop("batch_id", "batch")
@@ -160,10 +176,11 @@ def stream_offer_audit(spark: SparkSession, changes: DataFrame, audit: DataFrame
     to one offer."""
     from offerlake.operators.changes import AUDIT_VIEW, audit_changes_enriched
     from offerlake.operators.lookups import top_k_per_group
-    stored, keys = audit.where(F.col("offer_id").isNotNull()), ["offer_id", "entry_id"]
+    audit = stored(audit.select(*AUDIT_VIEW), "audit")
+    before, keys = audit.where(F.col("offer_id").isNotNull()), ["offer_id", "entry_id"]
     feed = read_changes(spark, changes, "offer-audit")
     if offer_id is not None:
-        feed, stored = feed.where(F.col("offer_id") == offer_id), stored.where(F.col("offer_id") == offer_id)
+        feed, before = feed.where(F.col("offer_id") == offer_id), before.where(F.col("offer_id") == offer_id)
     shown = ["seq", "offer_id", *[f"entry_{c}" for c in AUDIT_VIEW if c != "offer_id"]]
 
     def log(df: DataFrame, batch_id: int, to: str) -> None:
@@ -175,7 +192,7 @@ def stream_offer_audit(spark: SparkSession, changes: DataFrame, audit: DataFrame
     latest = commits.read_newest(spark, path, T.StructType([T.StructField(c, types[c]) for c in [*keys, *[c for c in shown if c not in keys]]]), keys, "seq").drop("seq")
     # the newest of the stored lines are enough: a line that is not among them could only come up if the stream
     # removed one, and it only replaces or adds
-    lines = top_k_per_group(stored, ["offer_id"], [F.col("created_at").desc(), F.col("id").desc()], limit).select(
+    lines = top_k_per_group(before, ["offer_id"], [F.col("created_at").desc(), F.col("id").desc()], limit).select(
         "offer_id", *[F.col(c).alias(f"entry_{c}") for c in AUDIT_VIEW if c != "offer_id"])
     both = latest.unionByName(lines.join(latest.select(*keys), keys, "left_anti"))
     top = top_k_per_group(both, ["offer_id"], [F.col("entry_created_at").desc(), F.col("entry_id").desc()], limit, rank_col="entry_rank")
@@ -201,9 +218,8 @@ def rate_rounds(payloads: DataFrame, late: str | None = None) -> DataFrame:
 
 def stream_rates(spark: SparkSession, payloads: DataFrame) -> DataFrame:
     """Average rate per fetch round over a stream of payloads."""
-    path, schema = land_files(payloads, "rates")
     rate = (F.col("_sum").cast("double") / F.col("n_sources")).alias("rate")
-    rounds = rate_rounds(read_stream(spark, path, schema)).select("round_id", "fetched_at", rate, "n_sources")
+    rounds = rate_rounds(landed_stream(payloads, "rates")).select("round_id", "fetched_at", rate, "n_sources")
     log = run_foreach_batch(rounds, "rates", lambda df, bid, to: commits.log_newest(df.withColumn("batch_id", F.lit(bid).cast("long")), to, bid, ["round_id"], "batch_id"))
     return commits.read_newest(spark, log, T.StructType([*rounds.schema.fields, T.StructField("batch_id", T.LongType())]), ["round_id"], "batch_id").drop("batch_id")
 
@@ -217,10 +233,10 @@ def stream_fund_offers(spark: SparkSession, priced_quotes: DataFrame, updates: D
     hold-invoice updates (`views.funding_decisions`); the stored offers are a
     table that the stream meets. The newest of a quote's at most two results."""
     from offerlake.streaming import views
-    quote_path, quote_schema = land_files(priced_quotes, "priced-quotes")
-    path, schema = land_in_steps(updates, "quote-updates", "ts")
-    decided = views.funding_decisions(read_stream(spark, quote_path, quote_schema), read_stream(spark, path, schema, files_per_trigger=LANDED_FILES))
-    results = spark.read.parquet(run_to_files(views.funding_outcomes(decided, quote_schema, offers), "fund"))
+    quotes, path = landed_stream(priced_quotes, "priced-quotes"), scratch_path(spark, "src-quote-updates")
+    *_, files = landing_steps(updates, path, "ts", LANDED_FILES)
+    decided = views.funding_decisions(quotes, read_stream(spark, path, updates.schema, files_per_trigger=files))
+    results = spark.read.parquet(run_to_files(views.funding_outcomes(decided, quotes.schema, offers), "fund"))
     cols = [c for c in results.columns if c not in ("final", "quote_id")]
     return results.groupBy("quote_id").agg(F.max_by(F.struct(*cols), F.col("final")).alias("r")).select("quote_id", "r.*")
 
@@ -296,26 +312,132 @@ def _fired(offer_id: str, fired: list[tuple], ignored: list[tuple] = ()) -> pd.D
     return out.astype({"due_ms": "Int64", "fired_ms": "Int64", "ignored_seq": "Int32"})
 
 
+_NAMES = list(_TIMED)  # a timed status as a number; _END and _OTHER are the ones without a timer
+_END, _OTHER = len(_NAMES), len(_NAMES) + 1
+_CODE = {**{s: k for k, s in enumerate(_NAMES)}, **{s: _END for s in TERMINAL}}
+_AFTER = np.array([_CODE.get(to, _OTHER) for _, _, to in _TIMED.values()], np.int64)
+FEW = 32  # fewer offers than this are walked one by one
+
+
+class Timers:
+    """The timers of a shard's offers as arrays: `_enter`, `_fire` and `_walk` for all of them at once."""
+
+    COLUMNS = ("offer_id", "code", "seq", "due_ms", "created_ms", "reserved_ms", "blik_ms", "entered_ms")
+
+    def __init__(self, data: bytes | None, rows: pd.DataFrame):
+        held = Z.unpack(data) if data is not None else {c: np.empty(0, object if c == "offer_id" else np.int64) for c in self.COLUMNS}
+        self.ids, self.place = Z.numbered(held["offer_id"], rows["offer_id"].to_numpy(object))
+        n = len(self.ids)
+        fill = {"code": _OTHER, "seq": -1}
+        self.code, self.seq, self.due, self.created, self.reserved, self.blik, self.entered = (
+            Z.extended(held[c], n, fill.get(c, Z.NONE)) for c in self.COLUMNS[1:])
+        self.rows, self.fired, self.ignored = rows, [], []
+
+    def enter(self, k: np.ndarray, code: np.ndarray, at: np.ndarray) -> None:
+        new = (code == _CODE["funded"]) & (self.created[k] == Z.NONE)
+        self.created[k[new]] = at[new]
+        for status, times in (("reserved", self.reserved), ("blikReceived", self.blik)):
+            new = code == _CODE[status]
+            times[k[new]] = at[new]
+        due = np.full(len(k), Z.NONE)
+        for c, (base, secs, _) in enumerate(_TIMED.values()):
+            hit = code == c
+            held = {"created": self.created, "reserved": self.reserved, "blik": self.blik}.get(base)
+            start = at[hit] if held is None else np.where(held[k[hit]] == Z.NONE, at[hit], held[k[hit]])
+            due[hit] = start + secs * 1000
+        self.code[k], self.due[k], self.entered[k] = code, due, at
+
+    def fire(self, k: np.ndarray, upto) -> None:
+        upto = np.broadcast_to(upto, len(k))
+        while len(k):
+            late = (self.due[k] != Z.NONE) & (self.due[k] <= upto)
+            k, upto = k[late], upto[late]
+            code, due = self.code[k], self.due[k]
+            at = np.maximum(due, self.entered[k])
+            self.fired.append((k, code, due, at))
+            if len(k):
+                self.enter(k, _AFTER[code], at)
+
+    def walk(self) -> None:
+        if not len(self.rows):
+            return
+        ev = pd.DataFrame({"k": self.place, "seq": Z.whole(self.rows["seq"]), "status": self.rows["status"].to_numpy(object), "ts": Z.whole(self.rows["ts_ms"])})
+        ev = ev.sort_values(["k", "seq", "status", "ts"], ignore_index=True)
+        known = ev.duplicated(["k", "seq"]).to_numpy() | (ev["seq"].to_numpy() <= self.seq[ev["k"].to_numpy()])
+        old = ev[known]
+        self.ignored.append((old["k"].to_numpy(), old["status"].to_numpy(object), old["seq"].to_numpy()))
+        ev = ev[~known]
+        k, seq, status, ts = ev["k"].to_numpy(), ev["seq"].to_numpy(), ev["status"].to_numpy(object), ev["ts"].to_numpy()
+        code = ev["status"].map(_CODE).fillna(_OTHER).to_numpy().astype(np.int64)
+        begin = Z.firsts(k)
+        size = np.diff(np.append(begin, len(k)))
+        turn = 0
+        while True:  # every offer's next event at once
+            begin, size = begin[size > turn], size[size > turn]
+            if len(begin) < FEW:
+                break
+            at = begin + turn
+            self.fire(k[at], ts[at])
+            self.enter(k[at], code[at], ts[at])
+            self.seq[k[at]] = seq[at]
+            turn += 1
+        for b, n in zip(begin.tolist(), size.tolist()):  # few offers with many events
+            self._walk_one(int(k[b]), list(zip(seq[b + turn: b + n].tolist(), status[b + turn: b + n], ts[b + turn: b + n].tolist())))
+
+    def _walk_one(self, k: int, events: list[tuple]) -> None:
+        times = (self.due, self.created, self.reserved, self.blik, self.entered)
+        state = (_NAMES[self.code[k]] if self.code[k] < _END else None, int(self.seq[k]), *(None if t[k] == Z.NONE else int(t[k]) for t in times))
+        fired: list[tuple] = []
+        for seq, status, ts_ms in events:
+            state = _fire(state, ts_ms, fired)
+            state = _enter((state[0], seq, *state[2:]), status, ts_ms)
+        self.code[k], self.seq[k] = _CODE.get(state[0], _OTHER), state[1]
+        for t, v in zip(times, state[2:]):
+            t[k] = Z.NONE if v is None else v
+        if fired:
+            was, _, due, at = zip(*fired)
+            self.fired.append((np.full(len(fired), k), np.array([_CODE[s] for s in was]), np.array(due), np.array(at)))
+
+    def over(self) -> np.ndarray:
+        return (self.code == _END) & (self.due == Z.NONE)
+
+    def packed(self, keep: np.ndarray) -> bytes:
+        every = (self.ids, self.code, self.seq, self.due, self.created, self.reserved, self.blik, self.entered)
+        return Z.pack({c: v[keep] for c, v in zip(self.COLUMNS, every)})
+
+    def results(self):
+        names, after = np.array(_NAMES, object), np.array([to for _, _, to in _TIMED.values()], object)
+        for k, code, due, at in self.fired:
+            if len(k):
+                yield pd.DataFrame({"offer_id": self.ids[k], "status": names[code], "timeout_status": after[code], "due_ms": due, "fired_ms": at,
+                                    "ignored_seq": pd.array([None] * len(k), "Int32")})
+        for k, status, seq in self.ignored:
+            if len(k):
+                none = pd.array([None] * len(k), "Int64")
+                yield pd.DataFrame({"offer_id": self.ids[k], "status": status, "timeout_status": None, "due_ms": none, "fired_ms": none, "ignored_seq": pd.array(seq, "Int32")})
+
+
 def _deadline_fn(key, pdfs, state: GroupState):
-    """Per-offer timers: events in sequence order, due timers before each,
-    then those the watermark has passed; a pending timer is an event-time
-    timeout. The state stays, so that later deadlines count from the offer's
-    own times, until a terminal status lies behind the watermark."""
-    fired: list[tuple] = []
-    ignored: list[tuple] = []
-    cur = tuple(state.get) if state.exists else NOTHING
-    if not state.hasTimedOut:
-        cur = _walk(cur, pdfs, fired, ignored)
+    """A shard's timers: every offer's events in sequence order, due timers before
+    each, then those the watermark has passed; the earliest pending timer of the
+    shard is its event-time timeout. An offer's state stays, so that later deadlines
+    count from its own times, until a terminal status lies behind the watermark."""
+    rows = Z.rows_of([] if state.hasTimedOut else pdfs, ["offer_id", "seq", "status", "ts_ms"])
+    timers = Timers(state.get[0] if state.exists else None, rows)
+    timers.walk()
     watermark = state.getCurrentWatermarkMs()
-    cur = _fire(cur, watermark - 1, fired)
-    if _over(cur) and watermark > cur[6]:
+    timers.fire(np.arange(len(timers.ids)), watermark - 1)
+    over = timers.over()
+    keep = ~(over & (timers.entered < watermark))
+    if keep.any():
+        state.update((timers.packed(keep),))
+        ends = np.where(over, timers.entered + 1, timers.due)[keep]
+        ends = ends[ends != Z.NONE]
+        if len(ends):
+            state.setTimeoutTimestamp(max(int(ends.min()), watermark + 1))
+    elif state.exists:
         state.remove()
-    else:
-        state.update(cur)
-        if cur[2] is not None or _over(cur):
-            state.setTimeoutTimestamp(max(cur[6] + 1 if _over(cur) else cur[2], watermark + 1))
-    if fired or ignored:
-        yield _fired(key[0], fired, ignored)
+    yield from timers.results()
 
 
 class DeadlineProcessor(StatefulProcessor):
@@ -370,7 +492,7 @@ def deadline_timers(events: DataFrame, delay: str = "1 minute", impl: str = "gro
     with a sequence number that the offer has passed, and those without a time.
     An offer's state ends when the watermark passes its terminal status.
 
-    ``impl='group_state'`` uses ``applyInPandasWithState``;
+    ``impl='group_state'`` uses ``applyInPandasWithState`` on shards of offers (`shards`);
     ``impl='transform_with_state'`` the Spark 4 stateful processor API, which
     needs the RocksDB state store (`session.BASE_CONF`)."""
     none = F.lit(None)
@@ -381,8 +503,8 @@ def deadline_timers(events: DataFrame, delay: str = "1 minute", impl: str = "gro
         timed = stream.groupBy("offer_id").transformWithStateInPandas(
             DeadlineProcessor(), outputStructType=DEADLINE_OUT, outputMode="Append", timeMode="EventTime")
     else:
-        timed = stream.groupBy("offer_id").applyInPandasWithState(
-            _deadline_fn, outputStructType=DEADLINE_OUT, stateStructType=DEADLINE_STATE,
+        timed = stream.withColumn("shard", Z.shard_of("offer_id")).groupBy("shard").applyInPandasWithState(
+            _deadline_fn, outputStructType=DEADLINE_OUT, stateStructType=Z.STATE,
             outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
     return timed.unionByName(untimed)
 
@@ -394,9 +516,11 @@ def stream_deadlines(spark: SparkSession, events: DataFrame, delay: str = "1 min
     less ``delay`` stay pending."""
     from offerlake.functions import EPOCH_NTZ, epoch_ms
     src = events.select("offer_id", "seq", "status", epoch_ms("ts").alias("ts_ms"), "ts")
-    path, schema = land_in_steps(src, "status-events", "ts", steps)
-    stream = read_stream(spark, path, schema, files_per_trigger=LANDED_FILES).drop("ts")
-    out = spark.read.parquet(run_to_files(deadline_timers(stream, delay, impl), "deadlines")).where("ignored_seq is null")
+    path, sink, ckpt = (scratch_path(spark, f"{n}-deadlines") for n in ("src", "sink", "ckpt"))
+    for _ in landing_steps(src, path, "ts", steps):  # whatever number of files a span has, it is one micro-batch
+        stream = read_stream(spark, path, src.schema, files_per_trigger=None).drop("ts")
+        run_to_files(deadline_timers(stream, delay, impl), "deadlines", out=sink, checkpoint=ckpt)
+    out = spark.read.schema(DEADLINE_OUT).parquet(sink).where("ignored_seq is null")
     epoch = F.lit(EPOCH_NTZ).cast("timestamp_ntz")
 
     def ntz(ms_col: str):
@@ -435,8 +559,7 @@ def stream_apply_status_updates(spark: SparkSession, events: DataFrame, offers:
     Each micro-batch logs the offers it changed; the newest entry per offer
     in the log is merged onto the current rows."""
     from offerlake.operators.lifecycle import merge_status_updates, status_update_aggregates
-    path, schema = land_files(events, "status-updates")
-    agg = status_update_aggregates(read_stream(spark, path, schema))
+    agg = status_update_aggregates(landed_stream(events, "status-updates"))
     log = run_foreach_batch(agg, "status-updates", lambda df, bid, to: commits.log_newest(df.withColumn("batch_id", F.lit(bid).cast("long")), to, bid, ["id"], "batch_id"))
     latest = commits.read_newest(spark, log, T.StructType([*agg.schema.fields, T.StructField("batch_id", T.LongType())]), ["id"], "batch_id")
     return merge_status_updates(offers, latest.drop("batch_id"))
