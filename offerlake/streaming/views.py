@@ -29,6 +29,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from offerlake import schema as S
 from offerlake.functions import epoch_us
 from offerlake.sources.io import scratch_path
+from offerlake.streaming import shards as Z
 
 # ---------------------------------------------------------------------------
 # newest offers
@@ -161,32 +162,57 @@ def read_newest_offers(spark, out: str, limit: int = S.LISTING_LIMIT) -> DataFra
 # funding from two streams
 # ---------------------------------------------------------------------------
 FUNDING_OUT = "payment_hash STRING, quote STRING, status STRING, ts_us LONG, final BOOLEAN"
-FUNDING_STATE = "quote STRING, status STRING, seq LONG, ts_us LONG, done BOOLEAN"
 
 
 def _funding(keep_ms: int):
+    """One shard of payment hashes: for each its waiting quote, its decision and, once there is an end, when it is dropped."""
+    import numpy as np
+
+    empty = {"hash": np.empty(0, object), "quote": np.empty(0, object), "status": np.empty(0, object), "seq": np.empty(0, np.int64),
+             "ts_us": np.empty(0, np.int64), "done": np.empty(0, bool), "gone_ms": np.empty(0, np.int64)}
+
     def run(key, pdfs, state: GroupState):
-        quote, status, seq, ts_us, done = state.get if state.exists else (None, None, None, None, False)
-        if state.hasTimedOut:
+        held = Z.unpack(state.get[0]) if state.exists else empty
+        rows = Z.rows_of([] if state.hasTimedOut else pdfs, ["payment_hash", "quote", "status", "seq", "ts_us", "came_ms"])
+        hashes, code = Z.numbered(held["hash"], rows["payment_hash"].to_numpy(object))
+        n = len(hashes)
+        quote, status = (Z.extended(held[c], n, None) for c in ("quote", "status"))
+        seq, ts_us, gone = (Z.extended(held[c], n, Z.NONE) for c in ("seq", "ts_us", "gone_ms"))
+        done, waiting = Z.extended(held["done"], n, False), ~pd.isna(quote)
+        came = np.full(n, Z.NONE)
+        np.maximum.at(came, code, Z.whole(rows["came_ms"]))
+        touched = came != Z.NONE
+
+        asked = rows.assign(k=code)[rows["quote"].notna()].sort_values(["k", "quote"]).drop_duplicates("k")
+        at = asked["k"].to_numpy()
+        new = ~done[at] & ~waiting[at]
+        quote[at[new]] = asked["quote"].to_numpy(object)[new]
+
+        decided = rows.assign(k=code)[rows["status"].notna()].sort_values(["k", "seq", "status", "ts_us"]).drop_duplicates("k")
+        at, first = decided["k"].to_numpy(), Z.whole(decided["seq"])
+        new = ~done[at] & ((seq[at] == Z.NONE) | (first < seq[at]))
+        seq[at[new]], ts_us[at[new]], status[at[new]] = first[new], Z.whole(decided["ts_us"])[new], decided["status"].to_numpy(object)[new]
+
+        live = touched & ~done & ~pd.isna(quote)
+        final, pending = live & ~pd.isna(status), live & pd.isna(status) & ~waiting
+        out = pd.concat([pd.DataFrame({"payment_hash": hashes[m], "quote": quote[m], "status": status[m] if f else None,
+                                       "ts_us": pd.array(ts_us[m] if f else [None] * int(m.sum()), "Int64"), "final": f})
+                         for m, f in ((final, True), (pending, False)) if m.any()] or [pd.DataFrame()])
+        done |= final
+        quote[done] = None
+        ends = done | pd.isna(quote)  # only a quote waits without an end
+        gone[touched] = np.where(ends, came + keep_ms, Z.NONE)[touched]
+        watermark = state.getCurrentWatermarkMs()
+        keep = touched | (gone == Z.NONE) | (gone >= watermark)
+        if keep.any():
+            state.update((Z.pack({c: v[keep] for c, v in zip(empty, (hashes, quote, status, seq, ts_us, done, gone))}),))
+            timed = gone[keep & (gone != Z.NONE)]
+            if len(timed):
+                state.setTimeoutTimestamp(max(int(timed.min()), watermark + 1))
+        elif state.exists:
             state.remove()
-            return
-        rows, out, waiting = [r for pdf in pdfs for r in pdf.itertuples(index=False)], [], quote is not None
-        asked = sorted(r.quote for r in rows if isinstance(r.quote, str))
-        if asked and not done and not waiting:
-            quote = asked[0]
-        decided = sorted((int(r.seq), r.status, int(r.ts_us)) for r in rows if isinstance(r.status, str))
-        if decided and not done and (seq is None or decided[0][0] < seq):
-            seq, status, ts_us = decided[0]
-        if not done and quote is not None:
-            if status is not None:
-                out, done = [(key[0], quote, status, ts_us, True)], True
-            elif not waiting:
-                out = [(key[0], quote, None, None, False)]
-        state.update((None if done else quote, status, seq, ts_us, done))
-        if done or quote is None:  # only a quote waits without an end
-            state.setTimeoutTimestamp(max(int(r.came_ms) for r in rows) + keep_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["payment_hash", "quote", "status", "ts_us", "final"])
+        if len(out):
+            yield out
 
     return run
 
@@ -213,8 +239,8 @@ def funding_decisions(quotes: DataFrame, updates: DataFrame, keep_ms: int = 3_60
         "payment_hash", none.cast("string").alias("quote"), "status", F.col("seq").cast("long").alias("seq"), epoch_us("ts").alias("ts_us"))
     # the watermark follows the time of arrival, of which no row is late
     both = left.unionByName(right).withColumn("came", F.current_timestamp()).withWatermark("came", "0 seconds").withColumn("came_ms", F.unix_millis("came"))
-    met = both.groupBy("payment_hash").applyInPandasWithState(
-        _funding(keep_ms), outputStructType=FUNDING_OUT, stateStructType=FUNDING_STATE,
+    met = both.withColumn("shard", Z.shard_of("payment_hash")).groupBy("shard").applyInPandasWithState(
+        _funding(keep_ms), outputStructType=FUNDING_OUT, stateStructType=Z.STATE,
         outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
     alone = quotes.where(F.col("payment_hash").isNull()).select(
         "payment_hash", body, none.cast("string").alias("status"), none.cast("long").alias("ts_us"), F.lit(False).alias("final"))

@@ -63,3 +63,19 @@ def test_timers_of_a_shard_are_those_of_its_offers(monkeypatch, few):
     held = Z.unpack(state.value[0])
     assert sorted(held["offer_id"]) == sorted(alone)
     assert {i: d for i, d in zip(held["offer_id"], held["due_ms"].tolist())} == {k: Z.NONE if v[2] is None else v[2] for k, v in alone.items()}
+
+
+def test_funding_of_a_shard_is_one_call():
+    """1,000 quotes and their updates are one call with one state, whichever comes first."""
+    state, none = State(), [None] * 500
+    quotes = pd.DataFrame({"payment_hash": [f"h{k}" for k in range(500)], "quote": [f"q{k}" for k in range(500)], "status": none, "seq": np.nan, "ts_us": np.nan, "came_ms": 1})
+    updates = pd.DataFrame({"payment_hash": [f"h{k}" for k in range(250, 750)], "quote": none, "status": "ACCEPTED", "seq": 2.0, "ts_us": 7.0, "came_ms": 5})
+    run = V._funding(1000)
+    first = pd.concat(run((0,), iter([quotes]), state))
+    assert len(first) == 500 and not first["final"].any() and state.timer is None
+    state.watermark = 1
+    second = pd.concat(run((0,), iter([updates, updates]), state))
+    assert sorted(second["payment_hash"]) == sorted(f"h{k}" for k in range(250, 500)) and second["final"].all() and state.timer == 1005
+    state.watermark, state.hasTimedOut = 1006, True
+    assert list(run((0,), iter([]), state)) == []
+    assert sorted(Z.unpack(state.value[0])["hash"]) == sorted(f"h{k}" for k in range(250))  # the quotes that wait
