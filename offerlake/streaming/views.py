@@ -1,17 +1,18 @@
 """Live results that come out of the stream: the newest offers, and funding.
 
 `newest_offers` keeps the listing of the most recently changed offers as state.
-Offers are dealt to shards by id. A shard's state holds its live offers by id
+Offers are dealt to shards by id. A shard's state holds its offers in buckets by id
 (state store, on disk) and a short sorted list of its newest ones, wide enough
 that offers may leave it; only when it runs short is it filled again from the
-shard's own state. The snapshot of all offers is the initial state. Every
+shard's own state. The snapshot of all offers, packed into buckets by Spark, is the
+initial state. The state store is RocksDB, the only one that keeps such state. Every
 micro-batch puts out the newest ``limit`` of each shard that changed, so the
 listing is read from ``shards * limit`` rows and no table is merged.
 
 `funding_decisions` joins two streams, quotes and hold-invoice updates, by
 payment hash. A quote waits for its first decisive update and an update for its
 quote, whichever comes first; both together end the wait, and what is left of the hash
-is dropped some time later.
+is dropped some time later. Hashes are kept and worked on by shard (`shards`).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from offerlake import schema as S
 from offerlake.functions import epoch_us
+from offerlake.session import rocksdb_state
 from offerlake.sources.io import scratch_path
 from offerlake.streaming import shards as Z
 
@@ -47,8 +49,26 @@ def _listed(rows: DataFrame, shards: int, seq, live) -> DataFrame:
     return rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", seq.cast("long").alias("seq"), at.alias("at"), body.alias("body"))
 
 
+BUCKETS = 256  # of a shard
+SHORT = -1  # the bucket of the short list
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """With the bucket of an offer in its shard."""
+    return rows.withColumn("bucket", F.pmod(F.hash("id"), F.lit(BUCKETS)))
+
+
+def _packed(rows: DataFrame, width: int) -> DataFrame:
+    """(shard, bucket, held): the offers of a bucket, and as bucket SHORT the newest ones of a shard and one more, as JSON lists."""
+    from offerlake.operators.lookups import top_k_per_group
+    entry = F.struct("id", "at", "seq", "body")
+    text = F.to_json(F.collect_list(entry), {"ignoreNullFields": "false"}).alias("held")
+    newest = top_k_per_group(rows, ["shard"], [F.col("at").desc(), F.col("id")], width + 1).withColumn("bucket", F.lit(SHORT))
+    return _bucketed(rows).unionByName(newest).groupBy("shard", "bucket").agg(text)
+
+
 class NewestOffers(StatefulProcessor):
-    """One shard: live offers by id, and its newest ones in order.
+    """One shard: its offers by id in buckets, and its newest ones in order.
 
     ``spare`` is how many more than ``limit`` the short list may hold. Of an
     offer's events the one with the highest seq counts, whenever it comes;
@@ -59,43 +79,72 @@ class NewestOffers(StatefulProcessor):
         self.limit, self.width = limit, limit + spare
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.offers = handle.getMapState("offers", "id STRING", "at LONG, seq LONG, body STRING")
+        self.buckets = handle.getMapState("buckets", "bucket INT", "held STRING")
         self.short = handle.getValueState("short", "whole BOOLEAN, entries STRING")
 
+    @staticmethod
+    def _offers(held: str) -> dict[str, tuple]:
+        """(seq, at, body) by id; of rows with one id the newest."""
+        out: dict[str, tuple] = {}
+        for e in json.loads(held):
+            v = (e["seq"], e["at"], e["body"])
+            if e["id"] not in out or out[e["id"]][:2] < v[:2]:
+                out[e["id"]] = v
+        return out
+
+    def _bucket(self, bucket: int) -> dict[str, tuple]:
+        return self._offers(self.buckets.getValue((bucket,))[0]) if self.buckets.containsKey((bucket,)) else {}
+
+    def _cut(self, offers: dict[str, tuple]) -> list:
+        return sorted((-at, id_, body) for id_, (_, at, body) in offers.items() if body is not None)
+
     def _fill(self) -> tuple[bool, list]:
         """The short list from all live offers of the shard."""
-        live = sorted((-at, key[0], body) for key, (at, _, body) in self.offers.iterator() if body is not None)
-        return len(live) <= self.width, live[: self.width]
+        entries, whole = [], True
+        for _, (held,) in self.buckets.iterator():
+            entries = sorted(entries + self._cut(self._offers(held)))
+            whole, entries = whole and len(entries) <= self.width, entries[: self.width]
+        return whole, entries
 
     def handleInitialState(self, key, rows: pd.DataFrame, timerValues) -> None:
         for r in rows.itertuples(index=False):
-            self.offers.updateValue((r.id,), (int(r.at), int(r.seq), r.body))
-        whole, entries = self._fill()
-        self.short.update((whole, json.dumps(entries)))
+            if r.bucket == SHORT:
+                given, entries = json.loads(r.held), self._cut(self._offers(r.held))
+                self.short.update((len(given) <= self.width, json.dumps(entries[: self.width])))
+            else:
+                self.buckets.updateValue((int(r.bucket),), (r.held,))
 
     def handleInputRows(self, key, rows, timerValues):
-        newest: dict[str, tuple] = {}
+        newest: dict[int, dict[str, tuple]] = {}
         for pdf in rows:
             for r in pdf.itertuples(index=False):
-                if r.id not in newest or r.seq > newest[r.id][0]:
-                    newest[r.id] = (int(r.seq), int(r.at), r.body if isinstance(r.body, str) else None)
+                known = newest.setdefault(int(r.bucket), {})
+                if r.id not in known or r.seq > known[r.id][0]:
+                    known[r.id] = (int(r.seq), int(r.at), r.body if isinstance(r.body, str) else None)
         if self.short.exists():
             whole, text = self.short.get()
             entries = [tuple(e) for e in json.loads(text)]
         else:
             whole, entries = True, []
         changed = False
-        for id_, (seq, at, body) in newest.items():
-            if self.offers.containsKey((id_,)) and self.offers.getValue((id_,))[1] >= seq:
+        listed = {e[1] for e in entries}
+        for bucket, known in newest.items():
+            held = self._bucket(bucket)
+            known = {id_: v for id_, v in known.items() if id_ not in held or held[id_][0] < v[0]}
+            if not known:
                 continue
-            self.offers.updateValue((id_,), (at, seq, body))
-            entries = [e for e in entries if e[1] != id_]
-            # below the list's end there may be others that the list does not hold
-            if body is not None and (whole or (entries and (-at, id_) < entries[-1][:2])):
-                bisect.insort(entries, (-at, id_, body))
-            changed = True
-        if len(entries) > self.width:
-            whole, entries = False, entries[: self.width]
+            changed, held = True, {**held, **known}
+            self.buckets.updateValue((bucket,), (json.dumps([{"id": i, "at": at, "seq": seq, "body": body} for i, (seq, at, body) in held.items()]),))
+            for id_, (_, at, body) in known.items():
+                if id_ in listed:
+                    entries, listed = [e for e in entries if e[1] != id_], listed - {id_}
+                # below the list's end there may be others that the list does not hold
+                if body is not None and (whole or (entries and (-at, id_) < entries[-1][:2])):
+                    bisect.insort(entries, (-at, id_, body))
+                    listed.add(id_)
+                    if len(entries) > self.width:
+                        whole = False
+                        listed.discard(entries.pop()[1])
         if not whole and len(entries) < self.limit:
             whole, entries = self._fill()
         if changed:
@@ -114,10 +163,11 @@ def newest_offers(changes: DataFrame, offers: DataFrame, limit: int = S.LISTING_
     A shard without any offer puts out one row without id.
     """
     shards = shards or int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    start = _listed(offers.where(F.col("id").isNotNull()), shards, F.lit(-1), F.lit(True))
-    events = _listed(changes.withColumn("id", F.col("offer_id")), shards, F.col("seq"), F.col("type") == "offer_changed")
+    spare = 3 * limit if spare is None else spare
+    start = _packed(_listed(offers.where(F.col("id").isNotNull()), shards, F.lit(-1), F.lit(True)), limit + spare)
+    events = _bucketed(_listed(changes.withColumn("id", F.col("offer_id")), shards, F.col("seq"), F.col("type") == "offer_changed"))
     return events.groupBy("shard").transformWithStateInPandas(
-        NewestOffers(limit, 3 * limit if spare is None else spare), outputStructType=SHARD_OUT, outputMode="Update", timeMode="None",
+        NewestOffers(limit, spare), outputStructType=SHARD_OUT, outputMode="Update", timeMode="None",
         initialState=start.groupBy("shard"))
 
 
@@ -146,7 +196,8 @@ def run_newest_offers(changes: DataFrame, offers: DataFrame, limit: int = S.LIST
         now.unpersist()
 
     stream = newest_offers(changes, offers, limit, shards, spare)
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    with rocksdb_state(spark):
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
     return out
 
 

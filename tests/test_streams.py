@@ -79,3 +79,18 @@ def test_funding_of_a_shard_is_one_call():
     state.watermark, state.hasTimedOut = 1006, True
     assert list(run((0,), iter([]), state)) == []
     assert sorted(Z.unpack(state.value[0])["hash"]) == sorted(f"h{k}" for k in range(250))  # the quotes that wait
+
+
+def test_listing_with_the_sessions_own_state_store(spark):
+    """Spark's default store cannot keep the listing's state; the stream brings its own and leaves the session's."""
+    name, default = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    was = spark.conf.get(name)
+    spark.conf.set(name, default)
+    try:
+        t = Tables(spark, SF_SMALL)
+        from offerlake.operators.lookups import recent_offers
+        got = sorted(r.id for r in J.stream_recent_offers(spark, t.offer_changes.limit(50), t.offers).collect())
+        assert got == sorted(r.id for r in recent_offers(t.offers).collect()) and len(got) == S.LISTING_LIMIT
+        assert spark.conf.get(name) == default
+    finally:
+        spark.conf.set(name, was)
