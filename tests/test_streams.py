@@ -94,3 +94,21 @@ def test_listing_with_the_sessions_own_state_store(spark):
         assert spark.conf.get(name) == default
     finally:
         spark.conf.set(name, was)
+
+
+def test_micro_batches_do_not_grow_in_number(spark, monkeypatch):
+    """More rows are more files to a micro-batch, read side by side."""
+    monkeypatch.setattr(J, "FILE_ROWS", 100)
+    sizes = []
+    J.run_foreach_batch(J.landed_stream(spark.range(1600).select("id", F.lit("x").alias("v")), "sizes"), "sizes", lambda df, bid, to: sizes.append(df.count()), mode="append")
+    assert len(sizes) == J.LANDED_FILES and sum(sizes) == 1600  # 16 files
+
+
+def test_audit_is_worked_out_once_for_all_micro_batches(spark, monkeypatch):
+    t, kept, plain = Tables(spark, SF_SMALL), [], J.stored
+    monkeypatch.setattr(J, "stored", lambda df, name: kept.append(name) or plain(df, name))
+    from offerlake.operators import changes as C
+    seen, enriched = [], C.audit_changes_enriched
+    monkeypatch.setattr(C, "audit_changes_enriched", lambda df, audit: seen.append(len(audit.inputFiles()) and "audit" in audit.inputFiles()[0].split("/")[-2]) or enriched(df, audit))
+    J.stream_offer_audit(spark, t.audit_changes, t.audit).count()
+    assert kept == ["audit"] and seen and all(seen)
