@@ -35,10 +35,11 @@ import heapq
 import os
 import re
 from collections import defaultdict
-from itertools import chain, count
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from offerlake.llm import textops as X
@@ -47,7 +48,8 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 BLOCK_BYTES = 4 << 20
 LATTICE_CHARS = 1 << 16  # characters whose lattices are held at once
-KEPT_CHARS = 1 << 20  # characters of chunks whose results a worker keeps for its next blocks
+KEPT_CHARS = 3 << 20  # characters of chunks whose results a worker keeps for its next blocks
+KEPT_SEARCHED = 1 << 18  # the same for the chunks whose N best it keeps
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 FLOOR = -1e8  # scores below this mark pieces kept out of use on purpose; they still count, but set no minimum
@@ -107,7 +109,8 @@ class Lexicon:
                 break
             bits += 1
         self.table, self.value = table, value
-        self.kept: dict[bool, tuple] = {}  # chunks' places and results, see _results
+        self.kept: dict[bool, tuple] = {}  # chunks' places, characters and results, see _results
+        self.searched: dict[int, tuple[dict, int]] = {}  # chunks' N best and their characters, see _searched
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -292,25 +295,32 @@ class Lattices:
 
 
 # -- documents -------------------------------------------------------------------
-def _chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct chunks, the chunk of every occurrence, and each text's number of them."""
-    split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-    index: dict[str, int] = defaultdict(count().__next__)
-    sizes = []
-
-    def occurrences():
-        for t in texts:
-            if not t:
-                parts = []
-            elif SPACE in t or "  " in t or t[0] == " " or t[-1] == " ":
-                parts = split(SPACE + t.replace(" ", SPACE))
-            else:  # single spaces inside: every chunk is one word
-                parts = (SPACE + t.replace(" ", f" {SPACE}")).split(" ")
-            sizes.append(len(parts))
-            yield map(index.__getitem__, parts)
-
-    found = np.fromiter(chain.from_iterable(occurrences()), np.int64)
-    return list(index), found, np.array(sizes, np.int64)
+    texts = pc.fill_null(texts, "")
+    # single spaces inside: every chunk is one word
+    plain = pc.invert(pc.match_substring_regex(texts, f"^$|^ | $|  |{SPACE}"))
+    plain = plain.to_numpy(zero_copy_only=False)
+    words = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+    coded = words.flatten().dictionary_encode()
+    # one string cut by Python: several times as fast as a list of scalars
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()
+    chunks = (SPACE + joined.replace(" ", f" {SPACE}")).split(" ") if joined else []
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[plain] = pc.list_value_length(words).to_numpy()
+    found = np.empty(0, np.int64)
+    if not plain.all():
+        split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        index = {c: i for i, c in enumerate(chunks)}
+        parts = [split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts.filter(pa.array(~plain)).to_pylist()]
+        sizes[~plain] = [len(p) for p in parts]
+        number = defaultdict(count(len(index)).__next__, index)
+        found = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64)
+        chunks = list(number)
+    occ = np.empty(sizes.sum(), np.int64)
+    of = np.repeat(plain, sizes)
+    occ[of], occ[~of] = coded.indices.to_numpy(), found
+    return chunks, occ, sizes
 
 
 def _score(lex: Lexicon, chunks: list[str]) -> tuple[np.ndarray, ...]:
@@ -329,10 +339,10 @@ def _score(lex: Lexicon, chunks: list[str]) -> tuple[np.ndarray, ...]:
 def _results(lex: Lexicon, chunks: list[str], library: bool) -> tuple[np.ndarray, tuple]:
     """Each chunk's place in a table of results (best, gap, width, library width, ids, library ids).
 
-    With the library's ids, the table begins with chunks of the worker's first block, as words recur from block to block.
+    With the library's ids, the table begins with chunks of the worker's first blocks, as words recur from block to block.
     """
-    index, old = lex.kept.get(library, ({}, None))
-    place = np.fromiter((index.get(c, -1) for c in chunks), np.int64, len(chunks))
+    index, chars, old = lex.kept.get(library, ({}, 0, None))
+    place = np.fromiter(map(index.get, chunks, repeat(-1)), np.int64, len(chunks))
     new = np.flatnonzero(place < 0)
     fresh = [chunks[i] for i in new.tolist()]
     table = old
@@ -340,16 +350,32 @@ def _results(lex: Lexicon, chunks: list[str], library: bool) -> tuple[np.ndarray
         best, gap, ids, width = _score(lex, fresh)
         given, begin = lex.library_ids(fresh) if library else (np.zeros(0, np.int32), np.zeros(len(fresh) + 1, np.int64))
         table = (best, gap, width, np.diff(begin), ids, given)
-        if library and old is None:
-            n = int(np.searchsorted(np.cumsum([len(c) for c in fresh]), KEPT_CHARS, side="right"))
-            lex.kept[library] = ({c: i for i, c in enumerate(fresh[:n])},
-                                 tuple(x[:m].copy() for x, m in zip(table, (n, n, n, n, int(width[:n].sum()), int(begin[n])))))
-        elif old is not None:
-            table = tuple(np.concatenate(x) for x in zip(old, table))
         place[new] = np.arange(len(new)) + len(index)
+        ends = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))
+        n = int(np.searchsorted(ends, KEPT_CHARS - chars, side="right")) if library else 0
+        more = tuple(x[:m] for x, m in zip(table, (n, n, n, n, int(width[:n].sum()), int(begin[n]))))
+        if old is not None:
+            table = tuple(np.concatenate(x) for x in zip(old, table))
+        if n:
+            held = tuple(np.concatenate(x) for x in zip(old, more)) if old is not None else tuple(x.copy() for x in more)
+            index.update(zip(fresh[:n], range(len(index), len(index) + n)))
+            lex.kept[library] = (index, chars + int(ends[n - 1]), held)
     return place, table
 
 
+def _searched(lex: Lexicon, chunks: list[str], n: int) -> list[list[tuple[float, list[int]]]]:
+    """The n best of each chunk; a worker keeps those of its first blocks."""
+    known, chars = lex.searched.setdefault(n, ({}, 0))
+    fresh = [c for c in chunks if c not in known]
+    lat = Lattices(lex, fresh) if fresh else None
+    found = {c: lat.n_best(k, n) for k, c in enumerate(fresh)}
+    for c in fresh:
+        if chars + len(c) <= KEPT_SEARCHED:
+            known[c], chars = found[c], chars + len(c)
+    lex.searched[n] = (known, chars)
+    return [found[c] if c in found else known[c] for c in chunks]
+
+
 def _merge(options: list[list[tuple[float, list[int]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best (loss, choice per place) over independent places."""
     held: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
@@ -377,7 +403,7 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, library: b
 
 
 def _encode_block(lex: Lexicon, block: pa.RecordBatch, n_best: int, library: bool = True) -> pa.RecordBatch:
-    chunks, occ, sizes = _chunks([t or "" for t in block.column(1).to_pylist()])
+    chunks, occ, sizes = _chunks(block.column(1))
     rows = block.num_rows
     change = pa.struct([("at", pa.int32()), ("old", pa.int32()), ("ids", pa.list_(pa.int32()))])
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
@@ -401,8 +427,7 @@ def _encode_block(lex: Lexicon, block: pa.RecordBatch, n_best: int, library: boo
     pick = order[rank < n_best - 1]
     pick = pick[np.isfinite(gap[known[pick]])]
     wanted = np.unique(occ[pick]).tolist()
-    few = Lattices(lex, [chunks[c] for c in wanted]) if wanted else None
-    searched = {c: few.n_best(k, n_best) for k, c in enumerate(wanted)}
+    searched = dict(zip(wanted, _searched(lex, [chunks[c] for c in wanted], n_best)))
     places: list[list[int]] = [[] for _ in range(rows)]
     for i in pick.tolist():
         places[row[i]].append(i)

@@ -416,6 +416,33 @@ def test_kept_chunks_change_nothing(monkeypatch):
                 assert got.drop_columns("score").equals(want.drop_columns("score"))
 
 
+def test_kept_chunks_grow_with_blocks(monkeypatch):
+    """What a later block scored or searched first is not worked out again."""
+    scored, searched, score, lattices = [], [], op7_pieces._score, op7_pieces.Lattices
+    monkeypatch.setattr(op7_pieces, "_score", lambda lex, chunks: scored.append(chunks) or score(lex, chunks))
+    block = lambda *t: pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t, pa.string())], names=["doc_id", "text"])
+    first, second = block("the zebra", None, "  a  b"), block("running water", "the zebra", "", " ")
+    lex = op7_pieces.Lexicon(op7_pieces.MODEL)
+    want = [op7_pieces._encode_block(plain_lexicon(lex), b, 4).to_pylist() for b in (first, second, second)]
+    scored.clear()
+    lex.searched.clear()
+    got = [op7_pieces._encode_block(lex, first, 4).to_pylist(), op7_pieces._encode_block(lex, second, 4).to_pylist()]
+    assert [len(c) for c in scored] == [4, 3]
+    monkeypatch.setattr(op7_pieces, "Lattices", lambda lex, chunks: searched.append(chunks) or lattices(lex, chunks))
+    assert got + [op7_pieces._encode_block(lex, second, 4).to_pylist()] == want
+    assert len(scored) == 2 and searched == []
+
+
+def test_chunks_of_every_kind_of_text():
+    split = re.compile("▁*[^▁]+|▁+").findall
+    texts = ["a b a", None, "", " ", "  ", " a", "a ", "a  b", "a\tb\n c", "\n", "▁", "x▁y z", "a b", "é 😀 a", "\x00 a", "$ ^", "a\n "]
+    for rows in (texts, texts[:1], texts[1:3], texts[3:8], []):
+        chunks, occ, sizes = op7_pieces._chunks(pa.array(rows, pa.string()))
+        want = [split("▁" + t.replace(" ", "▁")) if t else [] for t in rows]
+        assert sizes.tolist() == [len(w) for w in want] and [chunks[i] for i in occ.tolist()] == [c for w in want for c in w]
+        assert len(set(chunks)) == len(chunks) and sorted(set(occ.tolist())) == list(range(len(chunks)))
+
+
 def plain_lexicon(lex):
     fresh = copy.copy(lex)
     fresh.kept = {}
