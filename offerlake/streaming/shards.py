@@ -24,7 +24,10 @@ def shard_of(key: str, shards: int = SHARDS) -> Column:
 
 
 def pack(columns: dict[str, np.ndarray]) -> bytes:
-    table = pa.RecordBatch.from_pydict({n: pa.array(v, pa.string() if v.dtype == object else None, from_pandas=True) for n, v in columns.items()})
+    return packed(pa.RecordBatch.from_pydict({n: pa.array(v, pa.string() if v.dtype == object else None, from_pandas=True) for n, v in columns.items()}))
+
+
+def packed(table: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
         out.write_batch(table)

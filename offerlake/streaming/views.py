@@ -1,10 +1,10 @@
 """Live results that come out of the stream: the newest offers, and funding.
 
 `newest_offers` keeps the listing of the most recently changed offers as state.
-Offers are dealt to shards by id. A shard's state holds its offers in buckets by id
+Offers are dealt to shards by id. A shard's state holds its changed offers in buckets by id
 (state store, on disk) and a short sorted list of its newest ones, wide enough
 that offers may leave it; only when it runs short is it filled again from the
-shard's own state. The snapshot of all offers, packed into buckets by Spark, is the
+shard's own state. The snapshot of all offers, packed into runs by Spark, is the
 initial state. The state store is RocksDB, the only one that keeps such state. Every
 micro-batch puts out the newest ``limit`` of each shard that changed, so the
 listing is read from ``shards * limit`` rows and no table is merged.
@@ -20,7 +20,9 @@ from __future__ import annotations
 import bisect
 import json
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,15 +44,26 @@ SHARD_OUT = "shard INT, at LONG, id STRING, body STRING"
 NEVER = -(1 << 63)  # an offer without any time comes last
 
 
+def _shard(shards: int):
+    return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+
+
+def _at():
+    return F.coalesce(epoch_us(F.coalesce("updated_at", "created_at")), F.lit(NEVER)).alias("at")
+
+
 def _listed(rows: DataFrame, shards: int, seq, live) -> DataFrame:
     """(shard, id, seq, at, body): a listing row as JSON text, without one for an offer that is gone."""
-    at = F.coalesce(epoch_us(F.coalesce("updated_at", "created_at")), F.lit(NEVER))
     body = F.when(live, F.to_json(F.struct(*S.LISTING_COLUMNS), JSON_TIMES))
-    return rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", seq.cast("long").alias("seq"), at.alias("at"), body.alias("body"))
+    return rows.select(_shard(shards), "id", seq.cast("long").alias("seq"), _at(), body.alias("body"))
 
 
-BUCKETS = 256  # of a shard
-SHORT = -1  # the bucket of the short list
+START = -1  # the seq of an offer of the snapshot
+RUN = 1000  # offers of the snapshot in one value of the state
+BUCKETS = 256  # of a shard, for its changed offers
+PORTION = 10_000  # changed offers that are worked on at once
+STORES = 16  # partitions of the state to a core, at most
+CHANGED = ("id", "seq", "at", "body")
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
@@ -58,83 +71,119 @@ def _bucketed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.hash("id"), F.lit(BUCKETS)))
 
 
-def _packed(rows: DataFrame, width: int) -> DataFrame:
-    """(shard, bucket, held): the offers of a bucket, and as bucket SHORT the newest ones of a shard and one more, as JSON lists."""
-    from offerlake.operators.lookups import top_k_per_group
-    entry = F.struct("id", "at", "seq", "body")
-    text = F.to_json(F.collect_list(entry), {"ignoreNullFields": "false"}).alias("held")
-    newest = top_k_per_group(rows, ["shard"], [F.col("at").desc(), F.col("id")], width + 1).withColumn("bucket", F.lit(SHORT))
-    return _bucketed(rows).unionByName(newest).groupBy("shard", "bucket").agg(text)
+def _runs(batches):
+    """(shard, held) of offers sorted by shard: at most RUN offers of one shard as packed Arrow."""
+    parts, n, of = [], 0, None
+
+    def run():
+        held = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_pydict({"shard": pa.array([of], pa.int32()), "held": pa.array([Z.packed(held)], pa.binary())})
+
+    for batch in batches:
+        shard, at = batch.column("shard").to_numpy(), 0
+        for end in (*(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(shard)):
+            while at < end:
+                if parts and (of != shard[at] or n == RUN):
+                    yield run()
+                    parts, n = [], 0
+                of, take = shard[at], min(end - at, RUN - n)
+                parts.append(batch.slice(at, take).select(["id", "at", "body"]))
+                at, n = at + take, n + take
+    if parts:
+        yield run()
+
+
+def _packed(rows: DataFrame, shards: int) -> DataFrame:
+    """(shard, held): the offers of the snapshot in runs. Spark hands all that a shard starts from to Python at
+    once and keeps it while the shard is worked on, so it goes there packed."""
+    return rows.select("shard", "id", "at", "body").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_runs, "shard INT, held BINARY")
 
 
 class NewestOffers(StatefulProcessor):
-    """One shard: its offers by id in buckets, and its newest ones in order.
+    """One shard: the snapshot's offers in runs, the changed ones by id in buckets, and its newest ones in order.
 
     ``spare`` is how many more than ``limit`` the short list may hold. Of an
     offer's events the one with the highest seq counts, whenever it comes;
-    a removed offer leaves its seq.
+    a removed offer leaves its seq. A changed offer counts as its bucket has it;
+    its place in the run is never written again.
     """
 
     def __init__(self, limit: int, spare: int):
         self.limit, self.width = limit, limit + spare
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buckets = handle.getMapState("buckets", "bucket INT", "held STRING")
-        self.short = handle.getValueState("short", "whole BOOLEAN, entries STRING")
-
-    @staticmethod
-    def _offers(held: str) -> dict[str, tuple]:
-        """(seq, at, body) by id; of rows with one id the newest."""
-        out: dict[str, tuple] = {}
-        for e in json.loads(held):
-            v = (e["seq"], e["at"], e["body"])
-            if e["id"] not in out or out[e["id"]][:2] < v[:2]:
-                out[e["id"]] = v
-        return out
+        self.runs = handle.getMapState("runs", "run INT", "held BINARY")
+        self.buckets = handle.getMapState("buckets", "bucket INT", "held BINARY")
+        self.short = handle.getValueState("short", "runs INT, whole BOOLEAN, entries STRING")
 
-    def _bucket(self, bucket: int) -> dict[str, tuple]:
-        return self._offers(self.buckets.getValue((bucket,))[0]) if self.buckets.containsKey((bucket,)) else {}
-
-    def _cut(self, offers: dict[str, tuple]) -> list:
-        return sorted((-at, id_, body) for id_, (_, at, body) in offers.items() if body is not None)
+    def _short(self) -> tuple[int, bool, list]:
+        """The number of runs, whether the short list holds all live offers, and the list."""
+        if not self.short.exists():
+            return 0, True, []
+        runs, whole, text = self.short.get()
+        return runs, whole, [tuple(e) for e in json.loads(text)]
 
-    def _fill(self) -> tuple[bool, list]:
+    def _bucket(self, bucket: int) -> dict[str, tuple]:
+        """(seq, at, body) by id."""
+        if not self.buckets.containsKey((bucket,)):
+            return {}
+        held = Z.unpack(self.buckets.getValue((bucket,))[0])
+        ids, *values = (held[c].tolist() for c in CHANGED)
+        return dict(zip(ids, zip(*values)))
+
+    def _run(self, run: int) -> bytes:
+        return self.runs.getValue((run,))[0]
+
+    def _with_run(self, whole: bool, entries: list, data: bytes, changed=frozenset()) -> tuple[bool, list]:
+        """The short list with a run's offers but the changed ones; of rows with one id the newest."""
+        held = pa.ipc.open_stream(pa.py_buffer(data)).read_all()
+        at = held.column("at").to_numpy()
+        if len(entries) == self.width:
+            near = at >= -entries[-1][0]
+            held, at, whole = held.filter(pa.array(near)), at[near], whole and bool(near.all())
+        more = zip((-x for x in at.tolist()), held.column("id").to_pylist(), held.column("body").to_pylist())
+        newest: dict[str, tuple] = {}
+        for e in sorted([*entries, *(e for e in more if e[1] not in changed)]):
+            newest.setdefault(e[1], e)
+        entries = list(newest.values())
+        return whole and len(entries) <= self.width, entries[: self.width]
+
+    def _fill(self, runs: int) -> tuple[bool, list]:
         """The short list from all live offers of the shard."""
-        entries, whole = [], True
-        for _, (held,) in self.buckets.iterator():
-            entries = sorted(entries + self._cut(self._offers(held)))
+        whole, entries, changed = True, [], set()
+        for bucket in range(BUCKETS):
+            held = self._bucket(bucket)
+            changed.update(held)
+            entries = sorted(entries + [(-at, id_, body) for id_, (_, at, body) in held.items() if body is not None])
             whole, entries = whole and len(entries) <= self.width, entries[: self.width]
+        for run in range(runs):
+            whole, entries = self._with_run(whole, entries, self._run(run), changed)
         return whole, entries
 
-    def handleInitialState(self, key, rows: pd.DataFrame, timerValues) -> None:
-        for r in rows.itertuples(index=False):
-            if r.bucket == SHORT:
-                given, entries = json.loads(r.held), self._cut(self._offers(r.held))
-                self.short.update((len(given) <= self.width, json.dumps(entries[: self.width])))
-            else:
-                self.buckets.updateValue((int(r.bucket),), (r.held,))
+    def _started(self, ids: set, runs: int) -> set:
+        """Those of ``ids`` that the snapshot has."""
+        return {i for run in range(runs if ids else 0) for i in pa.ipc.open_stream(pa.py_buffer(self._run(run))).read_all().column("id").to_pylist() if i in ids}
 
-    def handleInputRows(self, key, rows, timerValues):
-        newest: dict[int, dict[str, tuple]] = {}
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                known = newest.setdefault(int(r.bucket), {})
-                if r.id not in known or r.seq > known[r.id][0]:
-                    known[r.id] = (int(r.seq), int(r.at), r.body if isinstance(r.body, str) else None)
-        if self.short.exists():
-            whole, text = self.short.get()
-            entries = [tuple(e) for e in json.loads(text)]
-        else:
-            whole, entries = True, []
-        changed = False
-        listed = {e[1] for e in entries}
+    def handleInitialState(self, key, rows: pd.DataFrame, timerValues) -> None:
+        runs, whole, entries = self._short()
+        for held in rows["held"]:
+            held = bytes(held)
+            self.runs.updateValue((runs,), (held,))
+            runs, (whole, entries) = runs + 1, self._with_run(whole, entries, held)
+        self.short.update((runs, whole, json.dumps(entries)))
+
+    def _apply(self, newest: dict[int, dict[str, tuple]], runs: int, whole: bool, entries: list) -> tuple[bool, bool, list]:
+        """Whether an offer changed, and the short list after the events of each bucket; the list may run short."""
+        changed, listed = False, {e[1] for e in entries}
         for bucket, known in newest.items():
             held = self._bucket(bucket)
-            known = {id_: v for id_, v in known.items() if id_ not in held or held[id_][0] < v[0]}
+            early = self._started({id_ for id_, v in known.items() if v[0] <= START and id_ not in held}, runs)
+            known = {id_: v for id_, v in known.items() if id_ not in early and (id_ not in held or held[id_][0] < v[0])}
             if not known:
                 continue
             changed, held = True, {**held, **known}
-            self.buckets.updateValue((bucket,), (json.dumps([{"id": i, "at": at, "seq": seq, "body": body} for i, (seq, at, body) in held.items()]),))
+            columns = (list(held), *zip(*held.values()))
+            self.buckets.updateValue((bucket,), (Z.pack({n: np.array(v, np.int64 if n in ("seq", "at") else object) for n, v in zip(CHANGED, columns)}),))
             for id_, (_, at, body) in known.items():
                 if id_ in listed:
                     entries, listed = [e for e in entries if e[1] != id_], listed - {id_}
@@ -145,10 +194,30 @@ class NewestOffers(StatefulProcessor):
                     if len(entries) > self.width:
                         whole = False
                         listed.discard(entries.pop()[1])
+        return changed, whole, entries
+
+    def handleInputRows(self, key, rows, timerValues):
+        runs, whole, entries = self._short()
+        changed, newest, n = False, {}, 0
+
+        def applied():
+            nonlocal changed, whole, entries, newest, n
+            some, whole, entries = self._apply(newest, runs, whole, entries)
+            changed, newest, n = changed or some, {}, 0
+
+        for pdf in rows:
+            for bucket, id_, seq, at, body in zip(*(pdf[c].tolist() for c in ("bucket", "id", "seq", "at", "body"))):
+                known = newest.setdefault(int(bucket), {})
+                if id_ not in known or seq > known[id_][0]:
+                    n += id_ not in known
+                    known[id_] = (int(seq), int(at), body if isinstance(body, str) else None)
+            if n >= PORTION:
+                applied()
+        applied()
         if not whole and len(entries) < self.limit:
-            whole, entries = self._fill()
+            whole, entries = self._fill(runs)
         if changed:
-            self.short.update((whole, json.dumps(entries)))
+            self.short.update((runs, whole, json.dumps(entries)))
             out = [(key[0], -at, id_, body) for at, id_, body in entries[: self.limit]] or [(key[0], 0, None, None)]
             yield pd.DataFrame(out, columns=["shard", "at", "id", "body"])
 
@@ -164,18 +233,25 @@ def newest_offers(changes: DataFrame, offers: DataFrame, limit: int = S.LISTING_
     """
     shards = shards or int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spare = 3 * limit if spare is None else spare
-    start = _packed(_listed(offers.where(F.col("id").isNotNull()), shards, F.lit(-1), F.lit(True)), limit + spare)
+    start = _packed(_listed(offers.where(F.col("id").isNotNull()), shards, F.lit(START), F.lit(True)), shards)
     events = _bucketed(_listed(changes.withColumn("id", F.col("offer_id")), shards, F.col("seq"), F.col("type") == "offer_changed"))
     return events.groupBy("shard").transformWithStateInPandas(
         NewestOffers(limit, spare), outputStructType=SHARD_OUT, outputMode="Update", timeMode="None",
         initialState=start.groupBy("shard"))
 
 
+def _stores(spark) -> int:
+    """Partitions of the state: an executor that has worked on one keeps it open with threads and buffers of its
+    own, so their number follows the cores and not the rows; more shards are more groups to a partition."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(96, STORES * spark.sparkContext.defaultParallelism))
+
+
 def _first_view(offers: DataFrame, limit: int, shards: int) -> DataFrame:
     """What the shards hold before the first change: at most ``limit`` rows each."""
     from offerlake.operators.lookups import top_k_per_group
-    rows = _listed(offers.where(F.col("id").isNotNull()), shards, F.lit(-1), F.lit(True))
-    return top_k_per_group(rows, ["shard"], [F.col("at").desc(), F.col("id")], limit).select("shard", "at", "id", "body")
+    rows = offers.where(F.col("id").isNotNull()).select(_shard(shards), _at(), *S.LISTING_COLUMNS)
+    top = top_k_per_group(rows, ["shard"], [F.col("at").desc(), F.col("id")], limit)  # before their text is made
+    return _listed(top, shards, F.lit(START), F.lit(True)).select("shard", "at", "id", "body")
 
 
 def run_newest_offers(changes: DataFrame, offers: DataFrame, limit: int = S.LISTING_LIMIT, shards: int | None = None, spare: int | None = None,
@@ -196,7 +272,7 @@ def run_newest_offers(changes: DataFrame, offers: DataFrame, limit: int = S.LIST
         now.unpersist()
 
     stream = newest_offers(changes, offers, limit, shards, spare)
-    with rocksdb_state(spark):
+    with rocksdb_state(spark, _stores(spark)):
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
     return out
 

@@ -96,6 +96,92 @@ def test_listing_with_the_sessions_own_state_store(spark):
         spark.conf.set(name, was)
 
 
+class Held:
+    """A map state and a value state as a processor sees them."""
+
+    def __init__(self):
+        self.values, self.wrote = {}, []
+
+    def getMapState(self, *_):
+        return Held()
+
+    getValueState = getMapState
+
+    def containsKey(self, key):
+        return key in self.values
+
+    def exists(self):
+        return None in self.values
+
+    def getValue(self, key):
+        return self.values[key]
+
+    def get(self):
+        return self.values[None]
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+        self.wrote.append(key)
+
+    def update(self, value):
+        self.values[None] = value
+
+
+def test_listing_holds_a_snapshot_in_packed_runs(spark, monkeypatch):
+    """A shard's snapshot comes and stays packed, no value of its state grows with it, and an event writes its own bucket only."""
+    monkeypatch.setattr(V, "PORTION", 300)  # a micro-batch is worked on in parts
+    rows = spark.range(9000).selectExpr("cast(id % 2 as int) shard", "concat('o', id) id", "id at", "concat('{', repeat(concat('text ', id % 9), 80), id, '}') body")
+    runs = [(r.shard, bytes(r.held)) for r in V._packed(rows.unionByName(rows.where("id = 'o8'").withColumn("at", F.lit(-7))), 2).collect()]
+    assert len(runs) == 10 and {s for s, _ in runs} == {0, 1} and sum(len(h) for _, h in runs) < 9000 * 500 / 3
+    shard = V.NewestOffers(5, 2)
+    shard.init(Held())
+    for k in (0, 1):  # Spark may bring a shard's rows in several frames
+        shard.handleInitialState((0,), pd.DataFrame({"held": [h for s, h in runs if s == 0][k::2]}), None)
+    assert len(shard.runs.values) == 5 and not shard.buckets.values
+    live = {f"o{i}": i for i in range(0, 9000, 2)}
+
+    def put(events):
+        frame = pd.DataFrame([(sum(map(ord, i)) % V.BUCKETS, i, seq, at, body) for seq, i, at, body in events], columns=["bucket", "id", "seq", "at", "body"])
+        out = pd.concat([*shard.handleInputRows((0,), iter([frame[:400], frame[400:]]), None), pd.DataFrame(columns=["id"])])
+        for seq, i, at, body in events:
+            if seq > V.START:
+                live.pop(i, None)
+                live.update({i: at} if body else {})
+        return out["id"].tolist()
+
+    newest = lambda: sorted(live, key=lambda i: (-live[i], i))[:5]
+    assert put([(1, "o8998", 8998, None)]) == newest() and len(shard.buckets.wrote) == 1
+    assert put([(2, "o4", 99_999, "{4}")]) == newest()
+    assert put([(V.START, "o8996", 0, None)]) == []  # not newer than the snapshot
+    assert put([(V.START, "new", 5, "{}")]) == newest()
+    assert put([(3 + n, f"o{i}", i, None) for n, i in enumerate(range(8000, 9000, 2))]) == newest()  # the list runs short and is filled again
+    assert put([(900, "o8000", 100_000, "{}"), (901, "o8", 1, None)]) == newest()
+    assert sorted(shard.runs.wrote) == [(k,) for k in range(5)] and max(len(h) for (h,) in shard.runs.values.values()) < 200_000
+
+
+def test_listing_bounds_the_memory_of_its_state_store(spark):
+    """All partitions of an executor share RocksDB's buffers; the session's own settings come back."""
+    from offerlake.session import rocksdb_state
+    names = ("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.shuffle.partitions")
+    was = [spark.conf.get(name, None) for name in names]
+    with rocksdb_state(spark, 3):
+        assert [spark.conf.get(name) for name in names] == ["true", "3"]
+    assert [spark.conf.get(name, None) for name in names] == was
+
+
+def test_listing_has_few_partitions_of_state(spark):
+    """They follow the cores: an executor keeps each one open that it has worked on."""
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "100000")
+        assert V._stores(spark) == max(96, V.STORES * spark.sparkContext.defaultParallelism)
+        spark.conf.set(name, "3")
+        assert V._stores(spark) == 3
+    finally:
+        spark.conf.set(name, was)
+
+
 def test_micro_batches_do_not_grow_in_number(spark, monkeypatch):
     """More rows are more files to a micro-batch, read side by side."""
     monkeypatch.setattr(J, "FILE_ROWS", 100)
